@@ -131,7 +131,10 @@ def with_rules(
     step = step.withColumn(
         "kept", F.expr(f"NOT base_failed AND {held.format('_lines')} - {held.format('_good')} <= {max_lost}D * {held.format('_lines')}")
     )
-    return step.withColumn("clean_text", F.array_join("_good", "\n")).drop(*names)
+    step = step.withColumn("clean_text", F.array_join("_good", "\n"))
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
+    # a generator of one row: filters on these columns stay above it, where everything is computed once
+    return step.select(*docs.columns, F.inline(F.array(F.struct(*made))))
 
 
 def clean_documents(docs: DataFrame, **rules: float) -> DataFrame:
