@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, minhash, packing, quality_rules
+from . import chat_format, decontamination, html_extraction, license_scan, line_dedup, minhash, packing, quality_gam, quality_rules, token_counts
 from .common import table
 
 
@@ -24,12 +24,35 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.linked(*chat_format.calls_of(table(spark, sf_dir, "conversations")))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extraction.extracted(pages, html_extraction.train(pages))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = line_dedup.without_boilerplate(docs, host="source")
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_gam.scored(docs, quality_gam.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.with_rules(docs).select(
@@ -61,6 +84,47 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP3_SQL = f"""
+WITH k AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT conv_id, turn, min('{{"prompt":' || to_json(text) || ',"words":' || len({_SPACED.format('text')}) || '}}') AS arguments,
+             arg_min(text, '{{"prompt":' || to_json(text) || ',"words":' || len({_SPACED.format('text')}) || '}}') AS prompt FROM k WHERE role = 'user' GROUP BY 1, 2),
+r AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content FROM k WHERE role = 'assistant' GROUP BY 1, 2),
+isle AS (SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS isle FROM c),
+lev AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, isle ORDER BY turn) - 1 AS level FROM isle),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS id_turn, coalesce(c.turn, r.turn + 1) AS turn, c.arguments, c.prompt, r.content,
+             CAST(level AS BIGINT) AS level, c.turn IS NOT NULL AS is_call, c.turn IS NOT NULL AND r.turn IS NOT NULL AS linked
+      FROM c JOIN lev USING (conv_id, turn) FULL OUTER JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn),
+v AS (SELECT *, 'call-' || conv_id || '-' || id_turn AS call_id,
+             is_call AND length(prompt) BETWEEN 1 AND 4000 AND len({_SPACED.format('prompt')}) BETWEEN 1 AND 2000 AS valid FROM j)
+SELECT conv_id, turn, call_id, level, valid, linked,
+       '{{"arguments":' || coalesce(CAST(to_json(arguments) AS VARCHAR), 'null') || ',"content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"id":"' || call_id
+       || '","level":' || coalesce(CAST(level AS VARCHAR), 'null') || ',"linked":' || linked || ',"name":' || CASE WHEN is_call THEN '"reply"' ELSE 'null' END || ',"valid":' || valid || '}}' AS json
+FROM v
+"""
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _license_sql() -> str:
+    table_rows = ", ".join(f"({_sql(p)}, {_sql(k)})" for p, k in license_scan.known_sentences().items())
+    held = ", ".join(f"CASE WHEN line LIKE {_sql(license_scan.rule_pattern(r))} THEN {_sql(n)} END" for n, r in license_scan.RULES)
+    plain = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+    return rf"""
+WITH known(sentence, sid) AS (VALUES {table_rows}),
+cut AS (SELECT doc_id, unnest(s) AS raw, generate_subscripts(s, 1) AS place
+        FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?:;])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS s FROM documents)),
+found AS (SELECT doc_id, place, sid FROM (SELECT doc_id, place, trim(regexp_replace({_ASCII_LOWER.format('raw')}, '{plain}', ' ', 'g')) AS sentence FROM cut) JOIN known USING (sentence)),
+ids AS (SELECT doc_id, list(sid ORDER BY place) AS ids FROM found GROUP BY 1),
+d AS (SELECT doc_id, coalesce(ids, []) AS ids, ',' || array_to_string(coalesce(ids, []), ',,') || ',' AS line FROM documents LEFT JOIN ids USING (doc_id))
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
+       array_to_string(list_sort(list_distinct(list_filter([{held}], lambda x: x IS NOT NULL))), ',') AS licenses FROM d
+""".replace("\\\\", "\\")
+
+
+OP5_SQL = _license_sql()
+
 OP6_SQL = r"""
 WITH l AS (SELECT doc_id, source, k, line, trim(line, E' \t\r\x0b\x0c') AS t FROM (
              SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)),
@@ -110,7 +174,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_packing": op2_packing,
+        "op3_chat_format": op3_chat_format,
+        "op4_html_extraction": op4_html_extraction,
+        "op5_license_scan": op5_license_scan,
         "op6_line_dedup": op6_line_dedup,
+        "op7_token_counts": op7_token_counts,
+        "op8_quality_gam": op8_quality_gam,
         "op9_quality_rules": op9_quality_rules,
         "op10_minhash": op10_minhash,
         "pipeline": corpus_pipeline.run,
@@ -120,6 +189,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1_SQL,
+        "op3_chat_format": OP3_SQL,
+        "op5_license_scan": OP5_SQL,
         "op6_line_dedup": OP6_SQL,
         "op9_quality_rules": OP9_SQL,
         "op10_minhash": OP10_SQL,
