@@ -34,7 +34,7 @@ from .common import shared_dir, stored
 BITS = 2
 BANDS, ROWS = 32, 4
 #: Minima in a signature; the bands use the first of them.
-FIELDS = 512
+FIELDS = 1024
 #: Odd multipliers of the hash functions below (any odd 64-bit numbers do).
 PRIME, MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 LOW = 0x5555555555555555
@@ -193,7 +193,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> D
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, slack: float = 0.08
+    docs: DataFrame, size: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, slack: float = 0.055
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
