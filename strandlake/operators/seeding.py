@@ -36,7 +36,8 @@ def adaptive_seed_join(queries: DataFrame, found: DataFrame, multiplicity: int,
     Partitions go by four letters, as shorter matches do not count.
     """
     ref = found.filter(F.length("suffix") >= 4)
-    both = queries.filter(F.length("suffix") >= 4).select("q_id", "q_pos", "suffix", F.lit(None).cast("string").alias("r")).union(
+    starts = small(ref.select(F.substring("suffix", 1, 4).alias("_p")).distinct())
+    both = queries.join(starts, F.substring("suffix", 1, 4) == F.col("_p"), "left_semi").filter(F.length("suffix") >= 4).select("q_id", "q_pos", "suffix", F.lit(None).cast("string").alias("r")).union(
         ref.select(F.lit(None).cast("long"), F.lit(None).cast("int"), "suffix", F.col("suffix"))
     )
     order = Window.partitionBy(F.substring("suffix", 1, 4)).orderBy("suffix")
