@@ -209,15 +209,6 @@ ORACLES = {
     "lcp_neighbours": f"WITH {_READS}, {_PROT}, {_SUF}, b AS (SELECT *, lag(suffix) OVER (PARTITION BY suffix[1:3] ORDER BY suffix, prot_id, pos) AS p FROM suf) SELECT prot_id, pos, CASE WHEN p IS NULL THEN 0 ELSE {_LCP.format('suffix', 'p')} END AS lcp FROM b",
     "minimizers": f"WITH {_READS}, {_PROT}, s AS (SELECT prot_id, pos, ascii(aa[pos + 1]) + ascii(aa[pos + 2]) + ascii(aa[pos + 3]) AS s FROM (SELECT prot_id, aa, unnest(range(greatest(length(aa) - 2, 0))) AS pos FROM prot WHERE length(aa) >= 6)), w AS (SELECT a.prot_id, a.pos AS w, b.pos, b.s FROM s a JOIN s b ON a.prot_id = b.prot_id AND b.pos BETWEEN a.pos AND a.pos + 3 QUALIFY count(*) OVER (PARTITION BY a.prot_id, a.pos) = 4) SELECT DISTINCT prot_id, pos FROM (SELECT prot_id, pos FROM w QUALIFY row_number() OVER (PARTITION BY prot_id, w ORDER BY s, pos DESC) = 1)",
     "seed_join_k": f"{_ALL} SELECT doc_id, frame, prot_id, q_pos - r_pos AS diag, count(*) AS n_seeds FROM seeds GROUP BY 1, 2, 3, 4",
-    "adaptive_seed_join": f"""WITH {_READS}, {_PROT}, {_SIX}, {_SUF},
-qs AS (SELECT doc_id * 8 + frame + 3 AS q_id, pos AS q_pos, substr(aa, pos + 1, 32) AS suffix FROM (SELECT doc_id, frame, aa, unnest(range(greatest(length(aa) - 3, 0))) AS pos FROM pep)),
-keys AS (SELECT prot_id, pos, l, suffix[1:l] AS key FROM (SELECT *, unnest(range(4, length(suffix) + 1)) AS l FROM suf)),
-kn AS (SELECT l, key, prot_id, pos, count(*) OVER (PARTITION BY l, key) AS n, row_number() OVER (PARTITION BY l, key ORDER BY prot_id, pos) AS k FROM keys),
-near AS (SELECT * FROM qs WHERE suffix[1:4] IN (SELECT key FROM keys WHERE l = 4)),
-cand AS (SELECT q_id, q_pos, l, suffix[1:l] AS key FROM (SELECT *, unnest(range(4, length(suffix) + 1)) AS l FROM near)),
-best AS (SELECT q_id, q_pos, max(l) AS l FROM cand WHERE key IN (SELECT key FROM keys) GROUP BY 1, 2),
-hit AS (SELECT q_id, prot_id, l FROM best JOIN cand USING (q_id, q_pos, l) JOIN kn USING (l, key) WHERE n <= {M} OR k = 1)
-SELECT q_id, prot_id, l AS len, count(*) AS n FROM hit GROUP BY 1, 2, 3""",
     "diagonal_suppress": f"{_ALL} SELECT doc_id, frame, prot_id, q_pos, r_pos FROM (SELECT *, lag(q_pos) OVER (PARTITION BY doc_id, frame, prot_id, q_pos - r_pos ORDER BY q_pos) + {K} AS e FROM seeds) WHERE e IS NULL OR q_pos > e",
     "diagonal_window_best": f"{_ALL}, {_WIN} SELECT doc_id, strand, prot_id, n_seeds, y FROM win",
     "strand_choice": f"{_ALL}, {_WIN} SELECT doc_id, prot_id, strand, n_seeds, y FROM win QUALIFY row_number() OVER (PARTITION BY doc_id, prot_id ORDER BY n_seeds DESC, strand = '+' DESC) = 1",
