@@ -257,8 +257,13 @@ def labelled_pages(texts: list[str], count: int = 400, seed: int = 7) -> list[tu
 
 
 def train(pages: DataFrame, sample_pages: int = 200, layouts: int = 500) -> Crf:
-    """A model from the texts of a bounded sample of pages (the smallest hashes of url)."""
-    rows = pages.filter("html IS NOT NULL").orderBy(F.xxhash64("url", "page_id"), "page_id").limit(sample_pages).select(F.substring("html", 1, 100_000)).collect()
+    """A model from the texts of a bounded sample of pages (the smallest hashes of url and page_id)."""
+    # first the sample's keys alone: rows of html would reach the driver from each task
+    key = F.xxhash64("url", "page_id")
+    full = pages.filter("html IS NOT NULL")
+    chosen = full.select(key.alias("key")).distinct().orderBy("key").limit(sample_pages)
+    html = full.withColumn("key", key).join(F.broadcast(chosen), "key").groupBy("key").agg(F.min(F.substring("html", 1, 100_000)).alias("html"))
+    rows = html.orderBy("key").select("html").collect()
     texts = [b.text for (page,) in rows for b in blocks(page) if b.text.count(" ") >= 3]
     return fit(labelled_pages(texts, layouts))
 
