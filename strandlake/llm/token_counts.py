@@ -2,7 +2,8 @@
 
 :func:`write_files` tokenises documents into flat files of big-endian 16-bit ids, each
 document followed by the end-of-document id, without any index.  The writer is Spark's text
-writer: a row's bytes are its ids, the line separator is the end id.  :func:`scan` reads
+writer: a row's bytes are its ids, the line separator is the end id.  The doc_ids stand in
+the same order in files of their own, without places or lengths.  :func:`scan` reads
 such files as blocks, searches each block for the end id at once, and joins the blocks by
 a prefix scan: the last end before a block gives the length of the document that reaches
 into it.  Files hold about ``shard_chars`` characters, so a task's memory is bounded.
@@ -44,26 +45,52 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
-def sharded(docs: DataFrame, shard_chars: int) -> DataFrame:
-    """``docs`` (doc_id, text) with ``shard`` and ``tie``, which orders rows of one doc_id."""
-    total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_chars))
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("text").alias("tie"))
+def write_files(docs: DataFrame, path: str, tokenizer: str, shard_chars: int) -> None:
+    """Flat token files under ``path``/kind=tokens, and the doc_ids in the same order, in
+    files of the same names, under ``path``/kind=names.
 
-
-def write_files(docs: DataFrame, path: str, tokenizer: str) -> None:
-    """Flat token files under ``path``/shard=N; ``docs`` come from :func:`sharded`."""
+    Each task writes the files of its own rows, both kinds at once: nothing is shuffled and
+    a repeated task repeats both.  A task starts another file every ``shard_chars`` characters.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode_ordinary
+        place = shard = chars = 0
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                out.append(("names", shard, place, b"" if doc_id is None else str(doc_id).encode()))
+                out.append(("tokens", shard, place, np.array(encode(text), ">u2").tobytes()))
+                place, chars = place + 1, chars + len(text)
+                if chars >= shard_chars:
+                    shard, chars = shard + 1, 0
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["kind", "shard", "place", "value"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind string, shard int, place long, value binary")
+    rows = rows.sortWithinPartitions("kind", "shard", "place").select("kind", "shard", F.col("value").cast("string").alias("value"))
+    rows.write.partitionBy("kind", "shard").option("lineSep", END_ID.to_bytes(2, "big").decode()).text(path)
+
+
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, content): the files under ``path``, named by the writing task and its file's number."""
+    name = F.concat_ws("-", F.regexp_extract("path", r"part-(\d+)", 1), F.regexp_extract("path", r"shard=(\d+)", 1))
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(name.alias("shard"), "content")
+
+
+def names_of(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, ordinal, doc_id) of the files of doc_ids under ``path``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.array(encode(t.as_py() or ""), ">u2").tobytes() for t in batch.column(1)]
-            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard", "tie", "ids"])
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = [int(x) if x else None for x in content.as_py().split(END_ID.to_bytes(2, "big"))[:-1]]
+                columns = [pa.array([shard] * len(ids), pa.string()), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "ordinal", "doc_id"])
 
-    tokens = docs.select(F.col("doc_id").cast("long"), "text", "shard", "tie").mapInArrow(run, "doc_id long, shard int, tie long, ids binary")
-    tokens = tokens.repartition("shard").sortWithinPartitions("shard", "doc_id", "tie")
-    tokens.select("shard", F.col("ids").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", END_ID.to_bytes(2, "big").decode()).text(path)
+    return files_of(spark, path).mapInArrow(run, "shard string, ordinal long, doc_id long")
 
 
 def scan(spark: SparkSession, path: str, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
@@ -71,17 +98,16 @@ def scan(spark: SparkSession, path: str, end_id: int = END_ID, block: int = BLOC
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for file, shard, content in zip(frame["path"], frame["shard"], frame["content"], strict=True):
+            for shard, content in zip(frame["shard"], frame["content"], strict=True):
                 ids = np.frombuffer(content, ">u2")
                 rows = []
                 for k in range(0, len(ids), block):
                     ends = np.flatnonzero(ids[k : k + block] == end_id) + k
-                    rows.append((file, shard, k // block, ends))
-                yield pd.DataFrame(rows, columns=["file", "shard", "block", "ends"])
+                    rows.append((shard, k // block, ends))
+                yield pd.DataFrame(rows, columns=["shard", "block", "ends"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "shard", "content")
-    blocks = files.mapInPandas(run, "file string, shard int, block long, ends array<long>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = files_of(spark, path).mapInPandas(run, "shard string, block long, ends array<long>")
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = blocks.withColumns(
         {
             "last": F.coalesce(F.max(F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1)).over(before), F.lit(-1)),
@@ -96,11 +122,9 @@ def scan(spark: SparkSession, path: str, end_id: int = END_ID, block: int = BLOC
 def count_tokens(docs: DataFrame, tokenizer: str, shard_chars: int = 4_000_000) -> DataFrame:
     """One row per document: doc_id, shard, start (in ids) and n_tokens, through token files."""
     spark = docs.sparkSession
+    if docs.limit(1).count() == 0:
+        return spark.createDataFrame([], "doc_id long, shard string, start long, n_tokens long")
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    rows = sharded(docs, shard_chars)
-    write_files(rows, path, tokenizer)
-    if rows.limit(1).count() == 0:
-        return spark.createDataFrame([], "doc_id long, shard int, start long, n_tokens long")
-    order = Window.partitionBy("shard").orderBy("doc_id", "tie")
-    named = rows.select(F.col("doc_id").cast("long"), "shard", (F.row_number().over(order) - 1).cast("long").alias("ordinal"))
-    return named.join(scan(spark, path), ["shard", "ordinal"]).select("doc_id", "shard", "start", "n_tokens")
+    write_files(docs, path, tokenizer, shard_chars)
+    found = names_of(spark, f"{path}/kind=names").join(scan(spark, f"{path}/kind=tokens"), ["shard", "ordinal"])
+    return found.select("doc_id", "shard", "start", "n_tokens")
