@@ -52,7 +52,10 @@ def frame_of(q_start: Column, read_length: Column, plus: Column) -> Column:
 
 def common_prefix(a: str, b: str, longest: int) -> Column:
     """Length of the common prefix of two string columns, at most ``longest``; 0 for null."""
-    same = f"size(filter(sequence(1, {longest}), i -> i <= least(length({a}), length({b})) AND substr({a}, 1, i) = substr({b}, 1, i)))"
+    # equal prefixes are equal in all shorter ones: lengths are added from large to small powers of two
+    steps = ", ".join(str(1 << k) for k in reversed(range(longest.bit_length())))
+    fits = f"n + s <= least(length({a}), length({b}), {longest}) AND substr({a}, 1, n + s) = substr({b}, 1, n + s)"
+    same = f"aggregate(array({steps}), 0, (n, s) -> CASE WHEN {fits} THEN n + s ELSE n END)"
     return F.expr(f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0 ELSE {same} END")
 
 

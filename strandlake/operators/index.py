@@ -9,7 +9,8 @@ from strandlake.functions.sequences import common_prefix, reduced
 
 
 def suffixes(proteins: DataFrame, longest: int = 32, groups: dict[str, str] | None = None) -> DataFrame:
-    """(prot_id, pos, prefix3, suffix): each position with three letters or more left."""
+    """(prot_id, pos, prefix3, suffix): each position with three letters or more left; ``suffix``
+    holds its first ``longest`` letters."""
     letters = proteins.filter(F.length("aa") >= 3).select("prot_id", F.split(reduced(F.col("aa"), groups), "").alias("_a"))
     place = letters.select("prot_id", "_a", F.explode(F.expr("sequence(0, size(_a) - 3)")).alias("pos"))
     cut = place.select("prot_id", "pos", F.expr(f"array_join(slice(_a, pos + 1, {longest}), '')").alias("suffix"))

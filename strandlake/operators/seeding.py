@@ -9,6 +9,8 @@ from strandlake.functions.sequences import common_prefix, kmers
 
 #: Rows of the smaller side up to which a join may broadcast it.
 BROADCAST_ROWS = 500_000
+#: Letters of a suffix that the adaptive join reads.
+LONGEST = 100
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -26,19 +28,29 @@ def seed_join(peptides: DataFrame, proteins: DataFrame, k: int, multiplicity: in
     return query.join(rows, "kmer").select("doc_id", "frame", "prot_id", "q_pos", "r_pos")
 
 
-def adaptive_seed_join(queries: DataFrame, found: DataFrame, multiplicity: int, longest: int = 32) -> DataFrame:
+def adaptive_seed_join(queries: DataFrame, found: DataFrame, multiplicity: int, longest: int = LONGEST, small_partitions: bool = False) -> DataFrame:
     """(q_id, q_pos, prot_id, pos, len): the longest prefix that a query suffix shares with any
     protein suffix (four letters at least), and the protein suffixes that share it: all if they
-    are no more than ``multiplicity``, else the first.
+    are no more than ``multiplicity``, else the first.  Both sides should hold ``longest`` letters.
+
+    ``small_partitions``: a query suffix whose three-letter prefix starts no more than
+    ``multiplicity`` protein suffixes gets all of those instead, with length 3.
 
     In lexicographic order the longest match is a neighbour, so one window over the union of
     both sides finds its length; an equi-join on the prefix of that length finds the suffixes.
     Partitions go by four letters, as shorter matches do not count.
     """
+    if small_partitions:
+        rare = small(found.groupBy(F.substring("suffix", 1, 3).alias("_p3")).agg(F.count("*").alias("_n")).filter(F.col("_n") <= multiplicity).select("_p3"))
+        mine = queries.withColumn("_p3", F.substring("suffix", 1, 3)).join(rare, "_p3").select("_p3", "q_id", "q_pos")
+        theirs = small(found.withColumn("_p3", F.substring("suffix", 1, 3)).join(rare, "_p3", "left_semi").select("_p3", "prot_id", "pos"))
+        short = mine.join(theirs, "_p3").select("q_id", "q_pos", "prot_id", "pos", F.lit(3).cast("long").alias("len"))
+        rest = queries.join(rare, F.substring("suffix", 1, 3) == F.col("_p3"), "left_anti")
+        return adaptive_seed_join(rest, found, multiplicity, longest).union(short)
     ref = found.filter(F.length("suffix") >= 4)
     starts = small(ref.select(F.substring("suffix", 1, 4).alias("_p")).distinct())
     both = queries.join(starts, F.substring("suffix", 1, 4) == F.col("_p"), "left_semi").filter(F.length("suffix") >= 4).select("q_id", "q_pos", "suffix", F.lit(None).cast("string").alias("r")).union(
-        ref.select(F.lit(None).cast("long"), F.lit(None).cast("int"), "suffix", F.col("suffix"))
+        ref.select(*(F.lit(None).cast(queries.schema[c].dataType) for c in ("q_id", "q_pos")), "suffix", F.col("suffix"))
     )
     order = Window.partitionBy(F.substring("suffix", 1, 4)).orderBy("suffix")
     near = both.withColumns(

@@ -103,8 +103,9 @@ def seed_join_k(spark: SparkSession, d: str) -> DataFrame:
 
 def adaptive_seed_join(spark: SparkSession, d: str) -> DataFrame:
     peptides = _peptides(spark, d).select((F.col("doc_id") * 8 + F.col("frame") + 3).alias("prot_id"), "aa")
-    query = index.suffixes(peptides).select(F.col("prot_id").alias("q_id"), F.col("pos").alias("q_pos"), "suffix")
-    return seeding.adaptive_seed_join(query, index.suffixes(proteins(spark, d)), M).groupBy("q_id", "prot_id", "len").agg(F.count("*").alias("n"))
+    query = index.suffixes(peptides, seeding.LONGEST).select(F.col("prot_id").alias("q_id"), F.col("pos").alias("q_pos"), "suffix")
+    out = seeding.adaptive_seed_join(query, index.suffixes(proteins(spark, d), seeding.LONGEST), M, small_partitions=True)
+    return out.groupBy("q_id", "prot_id", "len").agg(F.count("*").alias("n"))
 
 
 def ungapped_xdrop(spark: SparkSession, d: str) -> DataFrame:
