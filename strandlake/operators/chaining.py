@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def diagonal_windows(seeds: DataFrame, proteins: DataFrame) -> DataFrame:
+def diagonal_windows(seeds: DataFrame, proteins: DataFrame, weight: str | None = None) -> DataFrame:
     """The densest window of diagonals of each (doc_id, strand, prot_id).
 
     A window reaches max(6 % of the protein in bases, 10) bases from its first seed; the
     order key is divided by that width, which makes the range the same for all proteins.
-    Most seeds win, then the first window.
+    Most seeds win, then the first window.  Extended seeds, where a whole homology may be one
+    seed, go by the sum of a ``weight`` column (in ``n_seeds``) instead of their number.
     """
     lengths = proteins.select("prot_id", F.length("aa").alias("ref_len"))
     step = seeds.join(lengths, "prot_id").withColumns(
@@ -25,7 +26,7 @@ def diagonal_windows(seeds: DataFrame, proteins: DataFrame) -> DataFrame:
     step = step.withColumn("y", F.col("nt") - 3 * F.col("r_pos") + 3 * F.col("ref_len"))
     step = step.withColumn("z", F.col("y") / F.col("width"))
     reach = Window.partitionBy("doc_id", "strand", "prot_id").orderBy("z").rangeBetween(0, 1)
-    counted = step.withColumn("n", F.count("*").over(reach))
+    counted = step.withColumn("n", (F.sum(weight) if weight else F.count("*")).over(reach))
     best = counted.groupBy("doc_id", "strand", "prot_id").agg(F.max(F.struct("n", (-F.col("y")).alias("y"))).alias("b"), F.first("width").alias("width"), F.first("ref_len").alias("ref_len"))
     return best.select("doc_id", "strand", "prot_id", F.col("b.n").alias("n_seeds"), (-F.col("b.y")).cast("long").alias("y"), F.col("width"), F.col("ref_len").cast("long").alias("ref_len"))
 
@@ -44,7 +45,7 @@ def members(seeds: DataFrame, chosen: DataFrame) -> DataFrame:
     return both.filter((place >= F.col("y")) & (place <= F.col("y") + F.col("width")))
 
 
-def linear_chains(found: DataFrame, k: int) -> DataFrame:
+def linear_chains(found: DataFrame) -> DataFrame:
     """(doc_id, prot_id, strand, start, stop, r_start, r_stop, n): seeds of a window after
     overlapping ones that go backwards in the protein are left out, merged to an interval.
 
@@ -52,15 +53,15 @@ def linear_chains(found: DataFrame, k: int) -> DataFrame:
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, int]] = []
-        for nt, r in sorted(zip(group["nt"], group["r_pos"], strict=True)):
+        kept: list[tuple[int, int, int]] = []
+        for nt, r, n in sorted(zip(group["nt"], group["r_pos"], group["length"], strict=True)):
             if not kept or r >= kept[-1][1]:
-                kept.append((nt, r))
+                kept.append((nt, r, n))
         one = group.iloc[0]
         return pd.DataFrame(
-            [(one["doc_id"], one["prot_id"], one["strand"], kept[0][0], kept[-1][0] + 3 * k, kept[0][1], kept[-1][1] + k, len(kept))],
+            [(one["doc_id"], one["prot_id"], one["strand"], kept[0][0], max(nt + 3 * n for nt, _, n in kept), kept[0][1], max(r + n for _, r, n in kept), len(kept))],
             columns=["doc_id", "prot_id", "strand", "start", "stop", "r_start", "r_stop", "n"],
         )
 
     schema = "doc_id long, prot_id long, strand string, start long, stop long, r_start long, r_stop long, n long"
-    return found.select("doc_id", "prot_id", "strand", "nt", "r_pos").groupBy("doc_id", "prot_id", "strand").applyInPandas(run, schema)
+    return found.select("doc_id", "prot_id", "strand", "nt", "r_pos", "length").groupBy("doc_id", "prot_id", "strand").applyInPandas(run, schema)

@@ -109,12 +109,8 @@ def adaptive_seed_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ungapped_xdrop(spark: SparkSession, d: str) -> DataFrame:
-    """Best ungapped extension from each first seed of a diagonal."""
-    seeds = seeding.suppress_covered(_seeds(spark, d), K)
-    q = _peptides(spark, d).select("doc_id", "frame", F.col("aa").alias("q_aa"))
-    pairs = seeds.join(q, ["doc_id", "frame"]).join(seeding.small(proteins(spark, d).withColumnRenamed("aa", "r_aa")), "prot_id")
-    cut = pairs.select("doc_id", "frame", "prot_id", "q_pos", "r_pos", F.expr("substr(q_aa, q_pos + 1, length(r_aa) - r_pos)").alias("q"), F.expr("substr(r_aa, r_pos + 1)").alias("r"))
-    return seeding.ungapped_extension(cut, 27, 6, -2).drop("q", "r")
+    """Adaptive seeds after their ungapped extension to both sides."""
+    return search.seeds(reads(spark, d), proteins(spark, d), long_reads())
 
 
 def diagonal_suppress(spark: SparkSession, d: str) -> DataFrame:

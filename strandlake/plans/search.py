@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.config import SearchConfig
 from strandlake.functions.sequences import normal_dna, reverse_complement, six_frames
 from strandlake.functions.statistics import ka
-from strandlake.operators import alignment, chaining, index, postfilter, seeding
+from strandlake.operators import alignment, chaining, extension, index, postfilter, seeding
 from strandlake.sources.fasta import first_of_names, read_fasta
 
 
@@ -19,12 +19,17 @@ def make_db(spark, fasta: str, path: str) -> None:
     index.write_index(spark.read.parquet(f"{path}/proteins"), f"{path}/suffixes")
 
 
+def seeds(reads: DataFrame, proteins: DataFrame, config: SearchConfig) -> DataFrame:
+    """The adaptive seeds of all six frames, extended both ways, that reach the least seed score."""
+    lam, k = ka(config.matrix, config.gap_open, config.gap_extend)[:2]
+    return extension.seeds(six_frames(reads.select("doc_id", "dna")), proteins, config.multiplicity, config.match, config.mismatch, lam, k)
+
+
 def chains(reads: DataFrame, proteins: DataFrame, config: SearchConfig) -> DataFrame:
     """The linear seed chain of each read and protein on the better strand."""
-    k = config.seed_length
-    seeds = seeding.seed_join(six_frames(reads.select("doc_id", "dna")), proteins, k, config.multiplicity)
-    chosen = chaining.strand_choice(chaining.diagonal_windows(seeds, proteins))
-    return chaining.linear_chains(chaining.members(seeds, chosen), k)
+    found = seeds(reads, proteins, config)
+    chosen = chaining.strand_choice(chaining.diagonal_windows(found, proteins, "score"))
+    return chaining.linear_chains(chaining.members(found, chosen))
 
 
 def blastx(reads: DataFrame, proteins: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
@@ -42,6 +47,8 @@ def blastx(reads: DataFrame, proteins: DataFrame, config: SearchConfig = SearchC
     right = F.least(F.col("stop") + reach(F.length("protein") - F.col("r_stop")), F.length("dna"))
     windows = both.withColumns({"read_len": F.length("dna").cast("long"), "offset": left.cast("long"), "_right": right}).withColumn("_s", strand)
     windows = windows.withColumn("window", F.expr("substr(_s, CAST(offset + 1 AS INT), CAST(_right - offset AS INT))"))
+    # rows are small but their alignments are not: deal them out, which a given number of partitions keeps
+    windows = windows.repartition(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = alignment.gapped(windows, config.match, config.mismatch, config.gap_open, config.gap_extend, config.frameshift)
     letters = proteins.agg(F.coalesce(F.sum(F.length("aa")), F.lit(0)).cast("long").alias("letters"))
     out = postfilter.significant(postfilter.scored(rows, letters, lam, k), config.max_evalue, config.min_coverage)

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from strandlake.operators import index, seeding
+from strandlake.config import long_reads
+from strandlake.operators import extension, index, seeding
+from strandlake.plans import search
 
 DNA = {"A": "GCT", "R": "CGT", "N": "AAT", "D": "GAT", "C": "TGT", "Q": "CAA", "E": "GAA", "G": "GGT", "H": "CAT", "K": "AAA"}
 
@@ -45,3 +47,49 @@ def test_adaptive_seeds_tell_long_repeats_apart(spark, small):
     got = sorted(tuple(r) for r in got.collect())
     assert got == brute_seeds(peptides, proteins, 10, small)
     assert any(p == 9 and n > 60 for _, _, p, _, n in got) and any(n == 3 for *_, n in got) == small
+
+
+def brute_extended(peptides, proteins, hits, least, x_drop, match=6, mismatch=-2):
+    def side(q, r, i, j, step, drop):
+        now = best = n = k = 0
+        while 0 <= i < len(q) and 0 <= j < len(r) and best - now < drop:
+            now += match if q[i] == r[j] and q[i] not in "X*" else mismatch
+            i, j, k = i + step, j + step, k + 1
+            if now > best:
+                best, n = now, k
+        return best, n
+
+    out = set()
+    for q, i, p, j, _ in hits:
+        for drop in (x_drop, round(0.1 * least[q])):
+            (a, n), (b, m) = side(peptides[q], proteins[p], i, j, -1, drop), side(peptides[q], proteins[p], i + 1, j + 1, 1, drop)
+            if a + b < least[q] and drop == x_drop:
+                break
+        else:
+            n = max(n, 1)
+            out.add((q, 1, p, i - n + 1, j - n + 1, n + m, a + b))
+    return out
+
+
+@pytest.mark.parametrize("letters", [extension.INDEX_LETTERS, 0])
+def test_extended_seeds_match_brute_force(spark, letters):
+    rng = random.Random(4)
+    peptides, proteins = repeated()
+    peptides[4] = "".join(c if rng.random() > 0.12 else rng.choice("ARNDX") for c in proteins[3])  # no long exact run
+    proteins[20], peptides[5] = "HHGKHGKKEEHK", "ARHHGKHGKKXEHKA"  # small partitions
+    lam, k = 0.365249, 0.168504
+    sizes = {q: int(extension.least_score(extension.np.array([len(s)]), sum(map(len, proteins.values())), lam, k)[0]) for q, s in peptides.items()}
+    want = brute_extended(peptides, proteins, brute_seeds(peptides, proteins, 10, True), sizes, 27)
+    rows = spark.createDataFrame([(q, 1, s) for q, s in peptides.items()], "doc_id long, frame int, aa string")
+    got = [tuple(r) for r in extension.seeds(rows, table(spark, proteins), 10, 6, -2, lam, k, letters).collect()]
+    assert set(got) == want and {q for q, *_ in want} >= {1, 4, 5}
+
+
+def test_homologies_without_an_exact_run_of_ten_are_aligned(spark):
+    rng = random.Random(6)
+    protein = "".join(rng.choice("ARNDCQEGHK") for _ in range(63))
+    other = "".join("A" if k % 8 == 7 and c != "A" else "R" if k % 8 == 7 else c for k, c in enumerate(protein))
+    assert not any(other[i : i + 10] in protein for i in range(54))
+    reads = spark.createDataFrame([(1, "ACG" * 5 + "".join(DNA[c] for c in other) + "TTGAC")], "doc_id long, dna string")
+    found = search.blastx(reads, table(spark, {7: protein}), long_reads()).collect()
+    assert [(r["doc_id"], r["prot_id"], r["strand"]) for r in found] == [(1, 7, "+")] and found[0]["r_stop"] - found[0]["r_start"] > 55
