@@ -2,7 +2,8 @@
 
 1. Arrow batches of texts become word hashes, shingle hashes, FIELDS minima, the band keys and a signature that keeps the low ``BITS`` bits of each minimum, packed in
    longs.  Only these leave the task; the sets do not.
-2. Documents with the same shingle set form one class, stood for by its smallest doc_id.
+2. Documents with the same shingle set form one class, stood for by a 64-bit hash of the
+   set's 128-bit key; one of its rows, by doc_id and text, gives the set when it is needed.
 3. Classes that share a band are candidates.  Bit counts of the signatures estimate their
    similarity, corrected for chance collisions of low bits; far ones are dropped (the
    bound lies many standard deviations under the threshold).
@@ -106,11 +107,11 @@ def packed(low: np.ndarray) -> list[list[int]]:
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, key, bands, sig): ``key`` tells shingle sets apart (128 bits)."""
+    """(doc_id, h, n_shingles, key, bands, sig): ``h`` hashes the text, ``key`` tells shingle sets apart (128 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
-            sets = [shingle_set(text.as_py(), size) for text in batch.column(1)]
+            sets = [shingle_set(text.as_py(), size) for text in batch.column(2)]
             full = [k for k, s in enumerate(sets) if len(s)]
             keys, all_bands, sigs = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             if full:
@@ -123,16 +124,17 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array(all_bands, pa.list_(pa.int64())),
                     pa.array(sigs, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "key", "bands", "sig"],
+                names=["doc_id", "h", "n_shingles", "key", "bands", "sig"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, key binary, bands array<long>, sig array<long>"
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(
+        run, "doc_id long, h long, n_shingles long, key binary, bands array<long>, sig array<long>"
     )
 
 
@@ -181,21 +183,30 @@ def components(links: DataFrame, partitions: int | None = None) -> DataFrame:
             return label
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets have 100 * common >= threshold * union."""
+def confirmed(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) of ids whose full shingle sets have 100 * common >= threshold * union.
+
+    ``rows`` (id, doc_id, h): the row of ``docs``, by doc_id and hash of the text, that has an id's set."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    sets = stored(sets_of(text.join(wanted, "id", "left_semi"), size), "sets").dropDuplicates(["id"])
+    wanted = rows.join(wanted, "id").select("id", F.col("doc_id").alias("_i"), F.col("h").alias("_h"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text = text.join(wanted, text["doc_id"].eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_h"))).select("id", "text")
+    sets = stored(sets_of(text, size), "sets").dropDuplicates(["id"])
     left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return both.withColumn("common", common).filter(100 * F.col("common") >= threshold * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
 
 
-def near_duplicates(
+def near_duplicates(docs: DataFrame, **how: float) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept; options as in :func:`grouped`."""
+    return grouped(docs, **how).drop("h")
+
+
+def grouped(
     docs: DataFrame, size: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, slack: float = 0.055
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, h (the text's hash), n_shingles, component_id, kept.
 
     ``size``: words of a shingle.  ``threshold``: least similarity in hundredths.
     ``slack``: how far under the threshold an estimate may lie (four standard deviations).
@@ -203,11 +214,11 @@ def near_duplicates(
     shared_dir(docs.sparkSession)
     longs = FIELDS * BITS // 64
     signed = stored(signatures(docs, size, bands, rows), "signatures")
-    # a doc_id that stands on several rows names a class by its text as well
-    classes = stored(
-        signed.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
-        "classes",
-    )
+    # classes are named by their sets: a doc_id may stand on rows with different texts
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("row")
+    classes = signed.filter("key IS NOT NULL").groupBy("key").agg(row, F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = stored(classes.select("key", F.xxhash64("key").alias("id"), "row.doc_id", "row.h", "bands", "sig"), "classes")
+    holders = classes.select("id", "doc_id", "h")
     buckets = stored(classes.select("id", F.posexplode("bands").alias("band", "bucket")), "buckets")
     shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").drop("n")
     hot = stored(buckets.join(shared, ["band", "bucket"]), "hot")
@@ -227,7 +238,7 @@ def near_duplicates(
         .agg(F.max_by("near", F.struct("estimate", -F.col("near"))).alias("near"))
     )
     star = stored(star.select(F.col("near").alias("a"), F.col("id").alias("b")), "star")
-    links = stored(confirmed(star, docs, size, threshold), "confirmed")
+    links = stored(confirmed(star, docs, holders, size, threshold), "confirmed")
     label = components(links)
     # what may still join two components: pairs of members of different components in a bucket
     members = hot.join(sig, "id").join(label, "id", "left")
@@ -249,15 +260,19 @@ def near_duplicates(
     rest = single.union(mixed_pairs).union(whole).distinct().join(star, ["a", "b"], "left_anti")
     rest = stored(rest, "rest")
     if rest.limit(1).count():
-        links = links.union(confirmed(rest, docs, size, threshold))
+        links = links.union(confirmed(rest, docs, holders, size, threshold))
         label = components(links)
-    by_key = classes.select("key", "id").join(label, "id", "left").select("key", F.coalesce("comp", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
+    # the smallest doc_id names a component
+    by_class = classes.select("key", "id", "doc_id").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    names = by_class.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    by_key = by_class.select("key", "comp").join(names, "comp").select("key", "component_id")
+    out = signed.select("doc_id", "h", "n_shingles", "key").join(by_key, "key", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def clean_documents(docs: DataFrame, **how: int) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with all its columns."""
-    rest = near_duplicates(docs, **how).filter("NOT kept").select(F.col("doc_id").alias("_i"))
-    return docs.join(rest.distinct(), F.col("doc_id") == F.col("_i"), "left_anti")
+    """The rows with the smallest doc_id of each group, with all their columns; of rows that share
+    a doc_id, only those whose own text is a copy go."""
+    rest = grouped(docs, **how).filter("NOT kept").select(F.col("doc_id").alias("_i"), F.col("h").alias("_h")).distinct()
+    return docs.join(rest, docs["doc_id"].cast("long").eqNullSafe(rest["_i"]) & (F.xxhash64(docs["text"]) == rest["_h"]), "left_anti")
