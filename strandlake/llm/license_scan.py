@@ -5,6 +5,10 @@ characters as one blank) and looked up among known licence sentences.  The ident
 a document's known sentences, in their order, are then matched against ordered rules: a
 rule holds if its identifiers occur one after the other, others between them allowed.
 
+A sentence may be wrapped over lines: each line is looked up among the word runs of the
+known sentences, and runs on neighbouring lines that make up a sentence are that sentence,
+at the place of its first line.  A blank line or an end mark ends a sentence.
+
 The lookup is a broadcast join with the fixed table below, whose size is known; texts do
 not move, only the few matching sentences do.  Defined results: null and empty texts have
 no sentences; a sentence that stands several times counts each time; rows alike in doc_id
@@ -75,6 +79,13 @@ RULES = [
     ("Proprietary", ["rights-reserved"]),
     ("Unlicense", ["unlicense"]),
 ]
+#: Sentences and rules beside those of the table, in the words of the whole licence texts.
+MORE_SENTENCES = {
+    "mit-permission-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+}
+MORE_RULES = [("MIT", ["mit-permission-full", "mit-as-is"])]
+#: Sentences that are cut in parts, with the part that names the version and has to follow.
+VERSIONS = {"mpl-grant": "mpl-grant+1", "gpl-free-software": "gpl-free-software+1"}
 #: Sentence ends, in SQL strings of Spark: a mark and blanks, or a line end.
 CUT = r"split(regexp_replace(text, '([.!?:;])[ \\t\\r]+', '$1\n'), '\n', -1)"
 PLAIN = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
@@ -90,36 +101,74 @@ def rule_pattern(identifiers: list[str]) -> str:
     return "%".join(["", *(f",{x}," for x in identifiers), ""])
 
 
-def known_sentences() -> dict[str, str]:
+def known_sentences(entries: dict[str, str] = SENTENCES) -> dict[str, str]:
     """Normalised sentences of the table and their identifiers; entries of several sentences are cut as texts are."""
     known: dict[str, str] = {}
-    for key, entry in SENTENCES.items():
+    for key, entry in entries.items():
         for k, part in enumerate(re.sub(r"([.!?:;])[ \t\r]+", "\\1\n", entry).split("\n")):
             if normalised(part):
                 known.setdefault(normalised(part), f"{key}+{k}" if k else key)
     return known
 
 
+def rules() -> list[tuple[str, list[str]]]:
+    """All rules, with the parts of sentences that name a version."""
+    return [(name, [y for x in rule for y in (x, VERSIONS.get(x)) if y]) for name, rule in RULES + MORE_RULES]
+
+
+def runs() -> list[tuple[str, str, int, int, int]]:
+    """(run, sid, start, stop, words): the word runs of all known sentences."""
+    out = []
+    for sentence, sid in known_sentences(SENTENCES | MORE_SENTENCES).items():
+        w = sentence.split()
+        out += [(" ".join(w[a:b]), sid, a, b, len(w)) for a in range(len(w)) for b in range(a + 1, len(w) + 1)]
+    return out
+
+
+#: Runs of words, in order of their place, to (place, sid) of the sentences that they make up.
+CHAIN = """
+aggregate(parts, struct(CAST(array() AS ARRAY<STRUCT<sid: STRING, stop: INT, place: INT, last: INT>>) AS open, CAST(array() AS ARRAY<STRUCT<place: INT, sid: STRING>>) AS done),
+  (s, x) -> struct(
+    concat(filter(s.open, o -> o.last >= x.place - 1),
+      CASE WHEN x.ended OR x.stop = x.words THEN CAST(array() AS ARRAY<STRUCT<sid: STRING, stop: INT, place: INT, last: INT>>)
+           WHEN x.start = 0 THEN array(struct(x.sid AS sid, x.stop AS stop, x.place AS place, x.place AS last))
+           ELSE transform(filter(s.open, o -> o.last = x.place - 1 AND o.sid = x.sid AND o.stop = x.start),
+                          o -> struct(x.sid AS sid, x.stop AS stop, o.place AS place, x.place AS last)) END) AS open,
+    concat(s.done,
+      CASE WHEN x.stop < x.words THEN CAST(array() AS ARRAY<STRUCT<place: INT, sid: STRING>>)
+           WHEN x.start = 0 THEN array(struct(x.place AS place, x.sid AS sid))
+           ELSE transform(filter(s.open, o -> o.last = x.place - 1 AND o.sid = x.sid AND o.stop = x.start), o -> struct(o.place AS place, x.sid AS sid)) END) AS done),
+  s -> array_sort(s.done))
+"""
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_sentences (known ones), sentence_ids, licenses (sorted), comma-joined."""
     spark = docs.sparkSession
-    table = spark.createDataFrame(list(known_sentences().items()), "sentence string, sid string")
-    longest = max(len(s) for s in SENTENCES.values()) + 200
+    table = spark.createDataFrame(runs(), "sentence string, sid string, start int, stop int, words int")
     rows = docs.select(*row_key(), "doc_id", "text")
-    cut = rows.select("_id", "_h", F.posexplode(F.expr(CUT)).alias("place", "raw")).filter((F.octet_length("raw") > 8) & (F.octet_length("raw") < longest))
-    found = (
+    cut = rows.select("_id", "_h", F.posexplode(F.expr(CUT)).alias("place", "raw"))
+    parts = (
         cut.withColumn("sentence", F.trim(F.regexp_replace(ascii_lower(F.col("raw")), PLAIN, " ")))
         .join(F.broadcast(table), "sentence")
-        .select("_id", "_h", "place", "sid")
+        .select("_id", "_h", "place", "start", "stop", "sid", "words", F.col("raw").rlike(r"[.!?:;][ \t\r]*$").alias("ended"))
         .distinct()
+    )
+    # most runs are common words alone on a line: only those that whole sentences may be made of are gathered
+    key = ["_id", "_h", "sid"]
+    whole = parts.groupBy(*key).agg(
+        F.max(F.expr("start = 0")).alias("head"), F.max(F.expr("stop = words")).alias("tail"), F.array_sort(F.collect_list(F.struct("place", "start", "stop", "sid", "words", "ended"))).alias("parts")
+    ).filter("head AND tail")
+    found = (
+        whole.select("_id", "_h", F.explode(F.expr(CHAIN)).alias("x"))
         .groupBy(F.col("_id").alias("i"), F.col("_h").alias("h"))
-        .agg(F.array_sort(F.collect_list(F.struct("place", "sid"))).alias("s"))
+        .agg(F.array_sort(F.collect_list("x")).alias("s"))
         .select("i", "h", F.expr("transform(s, x -> x.sid)").alias("ids"))
     )
     out = rows.join(found, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("h")), "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     line = F.concat(F.lit(","), F.array_join(ids, ",,"), F.lit(","))
-    held = [F.when(line.like(rule_pattern(rule)), F.lit(name)) for name, rule in RULES]
+    held = [F.when(line.like(rule_pattern(rule)), F.lit(name)) for name, rule in rules()]
     licenses = F.array_sort(F.array_distinct(F.array_compact(F.array(*held))))
     return out.select(
         "doc_id", F.size(ids).cast("long").alias("n_sentences"), F.array_join(ids, ",").alias("sentence_ids"), F.array_join(licenses, ",").alias("licenses")

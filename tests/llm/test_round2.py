@@ -18,3 +18,33 @@ def test_rows_of_a_doc_id_are_grouped_by_their_own_texts(spark):
     assert [comp[r] for r in rows] == [3, 3, 9, 9, 9, 9, 3]
     left = sorted((r["doc_id"], r["text"]) for r in minhash.clean_documents(docs).collect())
     assert left == sorted([(3, base), (9, other), (9, third)])
+
+
+def test_wrapped_and_full_licence_texts_are_found(spark):
+    s, more = license_scan.SENTENCES, license_scan.MORE_SENTENCES
+    mit = more["mit-permission-full"] + "\n\nThe above copyright notice and this permission notice shall be included in all copies.\n\n" + s["mit-as-is"]
+
+    def wrap(text, width, mark=""):
+        out = []
+        for part in text.split("\n"):
+            line = mark
+            for w in part.split(" "):
+                if len(line) + len(w) > width:
+                    out.append(line.rstrip())
+                    line = mark
+                line += w + " "
+            out.append(line.rstrip())
+        return "\n".join(out)
+
+    apache = s["apache-grant-full"] + "\n" + s["apache-compliance"]
+    gpl = s["gpl-free-software"] + "\n\n" + s["gpl-no-warranty"]
+    rows = [
+        (1, mit), (2, wrap(mit, 60)), (3, wrap(apache, 40, " * ")), (4, wrap(gpl, 70, "# ")), (5, wrap(s["bsd-conditions"], 30)),
+        (6, gpl.replace("either version 3", "either version 2")), (7, s["mpl-grant"]), (8, s["mpl-grant"].replace("v. 2.0", "v. 1.1")),
+        (9, s["bsd-conditions"].replace("with or", "\n\nwith or")), (10, s["bsd-conditions"].replace("forms,", "forms.\n")), (11, "x\n" + wrap(s["cc-by"], 12)),
+        (12, wrap(s["mpl-grant"], 50)),
+    ]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    want = {1: "MIT", 2: "MIT", 3: "Apache-2.0", 4: "GPL-3.0-or-later", 5: "BSD", 6: "", 7: "MPL-2.0", 8: "", 9: "", 10: "", 11: "CC-BY-4.0", 12: "MPL-2.0"}
+    assert {k: r["licenses"] for k, r in got.items()} == want
+    assert got[7]["sentence_ids"] == "mpl-grant,mpl-grant+1" and got[2]["sentence_ids"] == "mit-permission-full,mit-as-is"
