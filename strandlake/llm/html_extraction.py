@@ -32,7 +32,10 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 INLINE = set("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 SILENT = set("button datalist head iframe math noscript object option script select style svg template textarea title".split())
 RAW = "script|style|template|noscript|textarea|svg|title"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+#: A self-closed svg is over at once; of unclosed raw elements script and style go to the end, title and textarea to the next tag.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?!svg\b[^>]*/>)({RAW})\b[^>]*>.*?</\1\s*>|<(?:script|style)\b[^>]*>.*\Z|<(?:title|textarea)\b[^>]*>[^<]*|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+#: Elements that may stand in the head; any other, or text, ends it.
+HEAD = {"html", "head", "base", "link", "meta", *RAW.split("|")} - {"svg", "textarea"}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
 
@@ -61,18 +64,27 @@ def blocks(page: str | None) -> list[Block]:
 
     def take(text: str) -> None:
         nonlocal linked
+        if not text.isspace():
+            leave_head()
         run.append(text)
         if any(tag == "a" for tag, _ in stack[-4:]):
             linked += len(text)
 
+    def leave_head() -> None:
+        if any(tag == "head" for tag, _ in stack[:8]):
+            while stack.pop()[0] != "head":
+                pass
+
     page = page or ""
     for m in TOKEN.finditer(page):
         if m.start() > place:
             take(page[place : m.start()])
         place = m.end()
         tag = (m[3] or "").lower()
-        if not tag:
+        if not tag or tag in RAW.split("|"):
             continue
+        if tag not in HEAD and not m[2]:
+            leave_head()
         if tag in INLINE or tag in VOID:
             if tag == "br":
                 run.append(" ")
@@ -256,13 +268,17 @@ def labelled_pages(texts: list[str], count: int = 400, seed: int = 7) -> list[tu
     return pages
 
 
-def train(pages: DataFrame, sample_pages: int = 200, layouts: int = 500) -> Crf:
-    """A model from the texts of a bounded sample of pages (the smallest hashes of url and page_id)."""
+def train(pages: DataFrame, sample_pages: int = 200, layouts: int = 500, sample_chars: int = 100_000) -> Crf:
+    """A model from the texts of a bounded sample of pages (the smallest hashes of url and page_id).
+
+    ``sample_chars``: of a sample page only so many first characters are trained on, as the
+    sample is held by the driver; extraction reads pages whole.
+    """
     # first the sample's keys alone: rows of html would reach the driver from each task
     key = F.xxhash64("url", "page_id")
     full = pages.filter("html IS NOT NULL")
     chosen = full.select(key.alias("key")).distinct().orderBy("key").limit(sample_pages)
-    html = full.withColumn("key", key).join(F.broadcast(chosen), "key").groupBy("key").agg(F.min(F.substring("html", 1, 100_000)).alias("html"))
+    html = full.withColumn("key", key).join(F.broadcast(chosen), "key").groupBy("key").agg(F.min(F.substring("html", 1, sample_chars)).alias("html"))
     rows = html.orderBy("key").select("html").collect()
     texts = [b.text for (page,) in rows for b in blocks(page) if b.text.count(" ") >= 3]
     return fit(labelled_pages(texts, layouts))

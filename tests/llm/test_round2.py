@@ -48,3 +48,19 @@ def test_wrapped_and_full_licence_texts_are_found(spark):
     want = {1: "MIT", 2: "MIT", 3: "Apache-2.0", 4: "GPL-3.0-or-later", 5: "BSD", 6: "", 7: "MPL-2.0", 8: "", 9: "", 10: "", 11: "CC-BY-4.0", 12: "MPL-2.0"}
     assert {k: r["licenses"] for k, r in got.items()} == want
     assert got[7]["sentence_ids"] == "mpl-grant,mpl-grant+1" and got[2]["sentence_ids"] == "mit-permission-full,mit-as-is"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>t</title><meta charset=utf-8><body><p>One text.</p><p>Two.</p></html>",
+        "<head><link href=x><div><p>One text.</p></div><p>Two.</p>",
+        "<head><title>t</title>One text.<p>Two.</p>",
+        "<body><p>One <svg class='i' width=1/>text.</p><p>Two.</p><svg><path d=''/></svg>",
+        "<body><noscript><p>One text.</p><template><svg><p>Two.</p>",
+        "<head><title>t<body><p>One text.</p><p>Two.</p><script>var x = '<p>no</p>'",
+        "<body><p>One text.</p><SVG/><p>Two.</p><noscript><p>no</p></noscript>",
+    ],
+)
+def test_pages_without_optional_end_tags_keep_their_texts(page):
+    assert [b.text for b in html_extraction.blocks(page)] == ["One text.", "Two."]
