@@ -58,3 +58,14 @@ def words(text: Column, pattern: str) -> Column:
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Columns that tell rows apart: rows alike in both columns have the same results."""
     return [F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_h")]
+
+
+def aside(docs: DataFrame, taken: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns named as in ``taken`` under free names, and where each column is."""
+    low = {c.lower() for c in [*docs.columns, *taken]}
+    mark = "_in"
+    while any(c.startswith(mark) for c in low):
+        mark += "_"
+    clash = {c.lower() for c in taken}
+    names = {c: f"{mark}{k}" if c.lower() in clash else c for k, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(there) for c, there in names.items())), names

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import aside, stored
 
 BLANKS = r"' \t\r\u000b\u000c'"
 LINES = rf"transform(split(text, '\n', -1), l -> trim(BOTH {BLANKS} FROM l))"
@@ -35,8 +35,17 @@ def boilerplate(docs: DataFrame, host: str, ratio: float, min_pages: int) -> Dat
 
 
 def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
-    """``docs`` with texts free of boilerplate, ``n_lines`` and ``n_dropped``."""
-    assert not {"_host", "_line", "_h", "_i", "_drop", "n_lines", "n_dropped"} & set(docs.columns), "internal names are taken"
+    """``docs`` with texts free of boilerplate, ``n_lines`` and ``n_dropped`` (which replace columns of these names)."""
+    step, names = aside(docs, TAKEN)
+    out = trimmed(step, names[host], ratio, min_pages)
+    return out.select(*(F.col(there).alias(c) for c, there in names.items() if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
+
+
+TAKEN = ["_host", "_line", "_h", "_i", "_drop", "_kept", "n_lines", "n_dropped"]
+
+
+def trimmed(docs: DataFrame, host: str, ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+    """As :func:`without_boilerplate`, for tables without columns named as in ``TAKEN``."""
     bad = stored(boilerplate(docs, host, ratio, min_pages), "boilerplate")
     prints = F.expr(f"explode(transform(array_distinct(filter({LINES}, l -> l <> '')), l -> {PRINT.format('l')}))")
     key = [F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_h"), F.col(host).alias("_host")]
@@ -45,8 +54,8 @@ def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.
     drop = lines.join(bad, on).select("_i", "_h", lines["_host"], lines["_line"]).groupBy("_i", "_h", "_host").agg(F.collect_set("_line").alias("_drop"))
     same = docs["doc_id"].eqNullSafe(drop["_i"]) & (F.xxhash64(docs["text"]) == drop["_h"]) & docs[host].eqNullSafe(drop["_host"])
     out = docs.join(drop, same, "left")
-    trimmed = f"trim(BOTH {BLANKS} FROM l)"
-    goes = f"array_contains(_drop, {PRINT.format(trimmed)}) AND {trimmed} <> ''"
+    bare = f"trim(BOTH {BLANKS} FROM l)"
+    goes = f"array_contains(_drop, {PRINT.format(bare)}) AND {bare} <> ''"
     kept = rf"CASE WHEN _drop IS NULL THEN text ELSE array_join(filter(split(text, '\n', -1), l -> NOT ({goes})), '\n') END"
     n = r"CASE WHEN text IS NULL THEN 0L ELSE CAST(size(split(text, '\n', -1)) AS BIGINT) END"
     dropped = rf"CASE WHEN _drop IS NULL THEN 0L ELSE CAST(size(filter(split(text, '\n', -1), l -> {goes})) AS BIGINT) END"
@@ -55,9 +64,10 @@ def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.
     return out.select(*columns, "n_lines", "n_dropped")
 
 
-def clean_documents(docs: DataFrame, **how: float) -> DataFrame:
+def clean_documents(docs: DataFrame, host: str = "source", **how: float) -> DataFrame:
     """``docs`` with boilerplate lines cut out of their texts; every document stays."""
-    out = without_boilerplate(docs, **how)
+    step, names = aside(docs, TAKEN)
+    out = trimmed(step, names[host], **how)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(there).alias(c) for c, there in names.items()))

@@ -7,8 +7,9 @@ one projection over the scan: no shuffle, no Python.
 
 Defined results: null text counts as empty; a text without words has ``n_words`` 0 and
 is ``base_failed``; repeated rows and ties do not influence each other, as each row is
-judged alone; further columns are passed through by :func:`clean_documents` and are
-never read; an empty table gives an empty result.
+judged alone; boilerplate phrases count as whole words only ("catalog in" holds no "log
+in"); further columns are passed through by :func:`clean_documents` under any names and
+are never read; :func:`with_rules` replaces those named as its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, words
+from .common import aside
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
@@ -59,7 +60,24 @@ def fails(open_words: int) -> str:
     return " OR ".join(f"({x.replace('{open_words}', str(open_words))})" for x in LINE_FAILS.values())
 
 
-def with_rules(
+def fails_by_words(open_words: int) -> str:
+    """The rules with phrases at word bounds."""
+    bounds = r"lower(l) RLIKE '(?<![\\p{L}\\p{N}])(" + "|".join(BOILERPLATE) + r")(?![\\p{L}\\p{N}])'"
+    return fails(open_words).replace(f"({LINE_FAILS['boilerplate']})", f"(({LINE_FAILS['boilerplate']}) AND {bounds})")
+
+
+MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
+HELPERS = ["_text", "_bare", "_words", "_raw", "_lines", "_grams", "_twice", "_sorted", "_places", "_marked", "_low", "_named", "_good"]
+
+
+def with_rules(docs: DataFrame, **rules: float) -> DataFrame:
+    """``docs`` with base statistics, ``kept`` and ``clean_text``; options as in :func:`judged`."""
+    step, names = aside(docs, [*MADE, *HELPERS])
+    back = [F.col(there).alias(c) for c, there in names.items() if c not in MADE]
+    return judged(step, **rules).select(*back, *MADE)
+
+
+def judged(
     docs: DataFrame, max_lost: float = 0.3, open_words: int = 30, min_words: int = 10, max_repeated: float = 0.2
 ) -> DataFrame:
     """``docs`` with base statistics, ``kept`` and ``clean_text``, the text without failing lines.
@@ -68,8 +86,6 @@ def with_rules(
     ``min_words``, ``max_repeated``: the base rules on words and on words in repeated
     five-word windows.
     """
-    names = {"_text", "_bare", "_words", "_raw", "_lines", "_grams", "_twice", "_sorted", "_places", "_marked", "_low", "_named", "_good"}
-    assert not names & set(docs.columns), "internal names are taken"
     step = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
     # "\x0b" and "\x0c" by their numbers, as SQL strings know no shorter form
     step = step.withColumn("_bare", F.expr(r"trim(BOTH ' \t\n\u000b\u000c\r' FROM _text)"))
@@ -124,7 +140,7 @@ def with_rules(
             "_marked": F.expr("_named OR n_symbols > 0 OR contains(_text, '!!')"),
         }
     )
-    rules, last = fails(open_words), LINE_FAILS["punctuation"].replace("{open_words}", str(open_words))
+    rules, last = fails_by_words(open_words), LINE_FAILS["punctuation"].replace("{open_words}", str(open_words))
     step = step.withColumn("_good", F.expr(f"CASE WHEN _marked THEN filter(_lines, l -> NOT ({rules})) ELSE filter(_lines, l -> NOT ({last})) END"))
     step = step.withColumn("base_failed", F.expr(f"n_words < {min_words} OR n_repeat_words > {max_repeated}D * n_words"))
     held = "CAST(aggregate({0}, 0L, (n, l) -> n + length(l)) AS DOUBLE)"
@@ -132,14 +148,14 @@ def with_rules(
         "kept", F.expr(f"NOT base_failed AND {held.format('_lines')} - {held.format('_good')} <= {max_lost}D * {held.format('_lines')}")
     )
     step = step.withColumn("clean_text", F.array_join("_good", "\n"))
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
     # a generator of one row: filters on these columns stay above it, where everything is computed once
-    return step.select(*docs.columns, F.inline(F.array(F.struct(*made))))
+    return step.select(*docs.columns, F.inline(F.array(F.struct(*MADE))))
 
 
 def clean_documents(docs: DataFrame, **rules: float) -> DataFrame:
     """The documents that pass, with their columns and their texts without failing lines."""
-    out = with_rules(docs, **rules).filter("kept").withColumn("text", F.col("clean_text"))
+    step, names = aside(docs, [*MADE, *HELPERS])
+    out = judged(step, **rules).filter("kept").withColumn("text", F.col("clean_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(there).alias(c) for c, there in names.items()))

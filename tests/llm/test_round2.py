@@ -64,3 +64,24 @@ def test_wrapped_and_full_licence_texts_are_found(spark):
 )
 def test_pages_without_optional_end_tags_keep_their_texts(page):
     assert [b.text for b in html_extraction.blocks(page)] == ["One text.", "Two."]
+
+
+def test_phrases_are_whole_words(spark):
+    words = "one two three four five six seven eight nine ten eleven"
+    bad = ["please Log in here", "read more", "«sign up»", "Terms of use."]
+    good = ["the catalog in hand", "a dialog in it", "spread more of it", "design up to date", "terms of useful things", "blog in éread more"]
+    rows = [(k, f"{x} {words}") for k, x in enumerate(bad + good)]
+    kept = {r["doc_id"] for r in quality_rules.with_rules(spark.createDataFrame(rows, DOCS)).filter("kept").collect()}
+    assert kept == set(range(len(bad), len(rows)))
+
+
+def test_columns_with_the_operators_own_names_pass_through(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    own = ["n_words", "n_symbols", "kept", "clean_text", "_text", "_good", "_h", "_i", "_drop", "_kept", "n_lines", "n_dropped", "_in0"]
+    docs = spark.createDataFrame([(1, text, "h", *own), (2, "x", "h", *own)], DOCS + ", source string, " + ", ".join(f"{c} string" for c in own))
+    assert [tuple(r) for r in quality_rules.clean_documents(docs).collect()] == [(1, text, "h", *own)]
+    assert sorted(tuple(r) for r in line_dedup.clean_documents(docs).collect()) == [(1, text, "h", *own), (2, "x", "h", *own)]
+    judged = quality_rules.with_rules(docs)
+    assert len(set(judged.columns)) == len(judged.columns) and {r["n_words"] for r in judged.collect()} == {11, 1}
+    dropped = line_dedup.without_boilerplate(docs)
+    assert len(set(dropped.columns)) == len(dropped.columns) and {r["n_lines"] for r in dropped.collect()} == {1}
