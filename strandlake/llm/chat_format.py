@@ -7,7 +7,14 @@ conversation is gathered in a task.  Arguments are validated against the tool's
 everything is written as canonical JSON (sorted keys, no blanks), one row per call, ordered
 within a conversation by (level, turn).
 
-Defined results: a repeated identifier keeps its smallest arguments or content; a result
+:func:`formatted` gives whole conversations: turns of other roles (system, tool, none) are
+rows of their own, by their role's name, not linked.  The query op3_chat_format has calls
+and results only, as its SQL.
+
+Defined results: rows of a repeated identifier that differ are rows of their own, numbered
+from the smallest arguments or content: the first keeps the identifier, the n-th gets #n
+behind it, and equal numbers are linked; calls after the identifier follow its first; rows
+that are alike in all columns are one; a result
 without a call and a call without a result are rows too (``linked`` false); a call after
 an unknown one starts a chain (level 0); calls on a cycle have level null; arguments that
 are null or no JSON object are invalid; null identifiers link with nothing and are left
@@ -16,7 +23,7 @@ out; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_WORD, stored, words
@@ -51,12 +58,32 @@ def fits(arguments: str, name: str, schemas: dict) -> Column:
     return F.coalesce(held, F.lit(False))
 
 
+def numbered(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The different rows of each identifier, which gets #n from the second on."""
+    place = F.row_number().over(Window.partitionBy("call_id").orderBy(*columns))
+    n = rows.filter("call_id IS NOT NULL").select("call_id", *columns).distinct().withColumn("_n", place)
+    return n.withColumn("call_id", F.expr("CASE WHEN _n = 1 THEN call_id ELSE concat(call_id, '#', _n) END")).drop("_n")
+
+
+def formatted(conversations: DataFrame) -> DataFrame:
+    """All turns of conversations, in the columns of :func:`linked`."""
+    other = conversations.filter("conv_id IS NOT NULL AND turn IS NOT NULL AND coalesce(role NOT IN ('user', 'assistant'), true)")
+    ident = F.concat_ws("-", F.lit("turn"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    text = F.coalesce("text", F.lit(""))
+    rows = numbered(other.select("conv_id", "turn", ident.alias("call_id"), text.alias("content"), F.col("role").alias("name")), ["content", "conv_id", "turn", "name"])
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    rows = rows.withColumns({"level": F.lit(None).cast("long"), "valid": no, "linked": no})
+    body = F.struct(none.alias("arguments"), "content", F.col("call_id").alias("id"), "level", "linked", "name", "valid")
+    rows = rows.withColumn("json", F.to_json(body, {"ignoreNullFields": "false"}))
+    out = linked(*calls_of(conversations))
+    return out.unionByName(rows.select(*out.columns))
+
+
 def linked(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """One row per identifier from ``calls`` (conv_id, turn, call_id, after, name, arguments)
+    """One row per (numbered) identifier from ``calls`` (conv_id, turn, call_id, after, name, arguments)
     and ``results`` (conv_id, turn, call_id, content): conv_id, turn, call_id, level, valid, linked, json."""
-    one = calls.filter("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("arguments", "conv_id", "turn", "after", "name")).alias("c"))
-    one = stored(one.select("call_id", "c.*"), "calls")
-    said = results.filter("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("content", "conv_id", "turn")).alias("r"))
+    one = stored(numbered(calls, ["arguments", "conv_id", "turn", "after", "name"]), "calls")
+    said = numbered(results, ["content", "conv_id", "turn"]).select("call_id", F.struct("content", "conv_id", "turn").alias("r"))
     out = one.withColumn("is_call", F.lit(True)).join(levels(one), "call_id").join(said, "call_id", "full_outer")
     valid = F.col("is_call").isNotNull() & fits("arguments", "name", schemas)
     out = out.withColumns({"valid": valid, "linked": F.col("is_call").isNotNull() & F.col("r").isNotNull()})

@@ -85,3 +85,19 @@ def test_columns_with_the_operators_own_names_pass_through(spark):
     assert len(set(judged.columns)) == len(judged.columns) and {r["n_words"] for r in judged.collect()} == {11, 1}
     dropped = line_dedup.without_boilerplate(docs)
     assert len(set(dropped.columns)) == len(dropped.columns) and {r["n_lines"] for r in dropped.collect()} == {1}
+
+
+def test_no_turn_of_a_conversation_is_lost(spark):
+    import json
+
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hello"), (1, 1, "user", "again"), (1, 2, "assistant", "yes"), (1, 2, "assistant", "no"), (1, 3, "user", "bye"), (1, 4, "tool", None), (1, 5, None, "lost")]
+    talk = spark.createDataFrame([*rows, rows[1]], "conv_id long, turn long, role string, text string")
+    got = {r["call_id"]: r for r in chat_format.formatted(talk).collect()}
+    said = {k: (json.loads(r["json"]), r["turn"], r["level"], r["linked"]) for k, r in got.items()}
+    prompts = {k: json.loads(j["arguments"])["prompt"] for k, (j, *_) in said.items() if j["arguments"]}
+    assert prompts == {"call-1-1": "again", "call-1-1#2": "hello", "call-1-3": "bye"}
+    assert {k: j["content"] for k, (j, *_) in said.items()} == {
+        "turn-1-0": "be kind", "call-1-1": "no", "call-1-1#2": "yes", "call-1-3": None, "turn-1-4": "", "turn-1-5": "lost",
+    }
+    assert said["turn-1-0"][0]["name"] == "system" and said["turn-1-0"][1:] == (0, None, False)
+    assert [said[k][2:] for k in ("call-1-1", "call-1-1#2", "call-1-3")] == [(0, True), (0, True), (1, False)]
