@@ -152,12 +152,11 @@ def scan(docs: DataFrame) -> DataFrame:
         cut.withColumn("sentence", F.trim(F.regexp_replace(ascii_lower(F.col("raw")), PLAIN, " ")))
         .join(F.broadcast(table), "sentence")
         .select("_id", "_h", "place", "start", "stop", "sid", "words", F.col("raw").rlike(r"[.!?:;][ \t\r]*$").alias("ended"))
-        .distinct()
     )
     # most runs are common words alone on a line: only those that whole sentences may be made of are gathered
     key = ["_id", "_h", "sid"]
     whole = parts.groupBy(*key).agg(
-        F.max(F.expr("start = 0")).alias("head"), F.max(F.expr("stop = words")).alias("tail"), F.array_sort(F.collect_list(F.struct("place", "start", "stop", "sid", "words", "ended"))).alias("parts")
+        F.max(F.expr("start = 0")).alias("head"), F.max(F.expr("stop = words")).alias("tail"), F.array_sort(F.collect_set(F.struct("place", "start", "stop", "sid", "words", "ended"))).alias("parts")
     ).filter("head AND tail")
     found = (
         whole.select("_id", "_h", F.explode(F.expr(CHAIN)).alias("x"))
