@@ -7,7 +7,10 @@ from dataclasses import dataclass, replace
 
 @dataclass(frozen=True)
 class SearchConfig:
+    #: Name of the score matrix, for its statistics; and its file in the NCBI text format.  Without a
+    #: file, letters score ``match`` or ``mismatch``, with the statistics of these scores.
     matrix: str = "BLOSUM80"
+    matrix_path: str | None = None
     gap_open: int = 11
     gap_extend: int = 2
     #: Penalty of a frame shift; None keeps alignments in one frame.
@@ -18,9 +21,11 @@ class SearchConfig:
     dominance: bool = False
     dominance_overlap: float = 0.9
     dominance_score: float = 0.9
-    seed_length: int = 10
     match: int = 6
     mismatch: int = -2
+    #: Bases of gaps and shifts, in sum, that an alignment may lie off its seed's diagonal; None: the
+    #: longest single gap that the drop allows.
+    band: int | None = None
 
 
 def long_reads(**changes: object) -> SearchConfig:

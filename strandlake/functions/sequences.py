@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 #: Fixed value: the standard code in the order T, C, A, G of each place; stop codons read X.
 CODE = "FFLLSSSSYYXXCCXWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -12,10 +18,6 @@ AMINO_ACIDS = "ARNDCQEGHILKMFPSTWYVBJZX*"
 CODONS = {a + b + c: CODE[16 * i + 4 * j + k] for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES)}
 
 
-def codon_map() -> str:
-    return "map(" + ", ".join(f"'{c}', '{a}'" for c, a in CODONS.items()) + ")"
-
-
 def normal_dna(seq: Column) -> Column:
     """Upper case, U as T, and any other letter as A (as a two-bit code reads it)."""
     return F.regexp_replace(F.translate(F.upper(seq), "U", "T"), "[^ACGT]", "A")
@@ -26,16 +28,56 @@ def reverse_complement(dna: Column) -> Column:
 
 
 def translate(dna: str, frame: int) -> Column:
-    """Amino acids of the column ``dna`` from base ``frame`` (1 to 3) on; a partial codon is left out."""
-    codons = f"regexp_extract_all(substr({dna}, {frame}), '...', 0)"
-    return F.expr(f"array_join(transform({codons}, c -> coalesce(try_element_at({codon_map()}, c), 'X')), '')")
+    """Amino acids of the column ``dna`` from base ``frame`` (1 to 3) on; a partial codon is left out.
+
+    Each codon gets a mark behind it, then the 64 marked codons are replaced one after the other:
+    plain scans of bytes, as a lookup per codon is far slower.  What is left is unknown.
+    """
+    marked = f"regexp_replace(regexp_replace(substr({dna}, {frame}), '(...)', '$1,'), '[^,]{{1,2}}$', '')"
+    for codon, a in CODONS.items():
+        marked = f"replace({marked}, '{codon},', '{a}')"
+    return F.expr(f"regexp_replace({marked}, '...,', 'X')")
 
 
 def six_frames(reads: DataFrame, dna: str = "dna") -> DataFrame:
-    """Each read once per frame 1, 2, 3, -1, -2, -3, with its peptide ``aa``."""
-    both = reads.withColumn("_minus", reverse_complement(F.col(dna)))
-    frames = [F.struct(F.lit(s * f).alias("frame"), translate(dna if s > 0 else "_minus", f).alias("aa")) for s in (1, -1) for f in (1, 2, 3)]
-    return both.select(*reads.columns, F.inline(F.array(*frames)))
+    """Each read once per frame 1, 2, 3, -1, -2, -3, with its peptide ``aa``; a null read has null peptides.
+
+    An Arrow batch of reads at a time: codons are numbers there, looked up all at once.
+    """
+    at = reads.columns.index(dna)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            aa = [None if x is None else p for x in batch.column(at).to_pylist() for p in (peptides(x) if x is not None else [None] * 6)]
+            rows = np.repeat(np.arange(batch.num_rows), 6)
+            frames = pa.array(np.tile(np.array(FRAMES, np.int32), batch.num_rows))
+            columns = [c.take(pa.array(rows)) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([*columns, frames, pa.array(aa, pa.string())], names=[*batch.schema.names, "frame", "aa"])
+
+    schema = StructType([*reads.schema.fields, StructField("frame", IntegerType()), StructField("aa", StringType())])
+    return reads.mapInArrow(run, schema)
+
+
+FRAMES = (1, 2, 3, -1, -2, -3)
+CODE_OF = np.full(256, 64, np.uint8)
+CODE_OF[[ord(c) for c in BASES]] = np.arange(4)
+#: The complement of a base's number; others stay others.
+OTHER_STRAND = np.array([2, 3, 0, 1], np.uint8)
+AMINO = np.frombuffer(CODE.encode(), np.uint8)
+
+
+def peptides(dna: str) -> list[str]:
+    """The six peptides of a read, in the order of FRAMES."""
+    plus = CODE_OF[np.frombuffer(dna.encode("utf-8", "replace"), np.uint8)]
+    minus = plus[::-1].copy()
+    minus[minus < 4] = OTHER_STRAND[minus[minus < 4]]
+    out = []
+    for strand in (plus, minus):
+        b = strand.astype(np.uint16)
+        code = b[:-2] * 16 + b[1:-1] * 4 + b[2:] if len(b) > 2 else b[:0]
+        letters = np.where((b[:-2] < 4) & (b[1:-1] < 4) & (b[2:] < 4), AMINO[np.minimum(code, 63)], ord("X")).astype(np.uint8) if len(b) > 2 else b[:0].astype(np.uint8)
+        out += [letters[f::3].tobytes().decode() for f in range(3)]
+    return out
 
 
 def reduced(aa: Column, groups: dict[str, str] | None = None) -> Column:
@@ -59,8 +101,39 @@ def common_prefix(a: str, b: str, longest: int) -> Column:
     return F.expr(f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0 ELSE {same} END")
 
 
-def kmers(rows: DataFrame, seq: str, k: int, keep: list[str]) -> DataFrame:
-    """(keep, pos, kmer) of every position; linear in the length, as letters are an array."""
-    letters = rows.filter(F.length(seq) >= k).select(*keep, F.split(F.col(seq), "").alias("_a"))
-    place = letters.select(*keep, "_a", F.explode(F.expr(f"sequence(0, size(_a) - {k})")).alias("pos"))
-    return place.select(*keep, "pos", F.expr(f"array_join(slice(_a, pos + 1, {k}), '')").alias("kmer"))
+#: Five bits for each letter: A to Z, * and all others.
+LETTER_BITS = np.full(256, 28, np.int64)
+LETTER_BITS[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ*"]] = np.arange(1, 28)
+
+
+def kmers(rows: DataFrame, seq: str, k: int, keep: list[str], wanted: Broadcast | None = None) -> DataFrame:
+    """(keep, pos, kmer) of every position; a k-mer of up to 12 letters is a long, five bits a letter.
+
+    ``wanted``, a broadcast sorted array of k-mers, leaves only these: of many peptides against few
+    proteins, hardly any leave the task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = wanted.value if wanted is not None else None
+        for batch in (b.slice(n, 64) for b in batches for n in range(0, b.num_rows, 64)):
+            codes, places, owners = [], [], []
+            for n, text in enumerate(batch.column(len(keep)).to_pylist()):
+                bits = LETTER_BITS[np.frombuffer((text or "").encode(), np.uint8)]
+                if len(bits) < k:
+                    continue
+                code = np.zeros(len(bits) - k + 1, np.int64)
+                for j in range(k):
+                    code = code << 5 | bits[j : j + len(code)]
+                place = np.arange(len(code))
+                if known is not None:
+                    near = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
+                    place = place[known[near] == code] if len(known) else place[:0]
+                codes.append(code[place]), places.append(place), owners.append(np.full(len(place), n))
+            owner = pa.array(np.concatenate([*owners, np.empty(0, np.int64)]).astype(np.int64))
+            columns = [batch.column(c).take(owner) for c in range(len(keep))]
+            place = np.concatenate([*places, np.empty(0, np.int64)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(place), pa.array(np.concatenate([*codes, np.empty(0, np.int64)]).astype(np.int64))], names=[*keep, "pos", "kmer"])
+
+    kept = rows.select(*keep, F.col(seq).alias("_seq"))
+    schema = StructType([*kept.schema.fields[:-1], StructField("pos", IntegerType()), StructField("kmer", LongType())])
+    return kept.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,13 @@ def ka_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KARLIN_ALTSCHUL, "matrix string, gap_open int, gap_extend int, lambda double, k double, h double")
 
 
+def read_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of :func:`ka_table` from a text file: a row of matrix, gap opening, gap extension, lambda, K
+    and H, parted by blanks, for each choice of penalties; other lines do not count."""
+    f = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f")).filter("size(f) = 6 AND f[1] RLIKE '^[0-9]+$'")
+    return f.selectExpr("f[0] AS matrix", "int(f[1]) AS gap_open", "int(f[2]) AS gap_extend", "double(f[3]) AS lambda", "double(f[4]) AS k", "double(f[5]) AS h")
+
+
 def ka(matrix: str, gap_open: int, gap_extend: int) -> tuple[float, float, float]:
     """(lambda, K, H); unknown penalties are an error."""
     for m, o, e, *values in KARLIN_ALTSCHUL:
@@ -40,6 +48,44 @@ def ka(matrix: str, gap_open: int, gap_extend: int) -> tuple[float, float, float
     raise ValueError(f"no statistics for {matrix} with {gap_open}/{gap_extend}")
 
 
+#: How often each amino acid stands in proteins, per thousand.
+BACKGROUND = {
+    "A": 78, "R": 51, "N": 45, "D": 54, "C": 19, "Q": 43, "E": 63, "G": 74, "H": 22, "I": 51,
+    "L": 91, "K": 57, "M": 22, "F": 39, "P": 52, "S": 71, "T": 58, "W": 13, "Y": 32, "V": 64,
+}
+
+
+def ungapped(scores: np.ndarray, background: dict[str, int] = BACKGROUND, terms: int = 60) -> tuple[float, float, float]:
+    """(lambda, K, H) of ungapped alignments under ``scores`` (by two letters' codes), by the theory of
+    Karlin and Altschul: lambda solves sum p exp(lambda s) = 1; K by its series of sums of scores."""
+    total, share = sum(background.values()), {}
+    for a, n in background.items():
+        for b, m in background.items():
+            s = int(scores[ord(a), ord(b)])
+            share[s] = share.get(s, 0.0) + n * m / total**2
+    low, high = min(share), max(share)
+    p = np.array([share.get(s, 0.0) for s in range(low, high + 1)])
+    s = np.arange(low, high + 1)
+    if high <= 0 or (p * s).sum() >= 0:
+        raise ValueError("scores need a positive one and a negative mean")
+    left, right = 0.0, 1.0
+    while (p * np.exp(right * s)).sum() < 1:
+        right *= 2
+    for _ in range(100):
+        mid = (left + right) / 2
+        left, right = (mid, right) if (p * np.exp(mid * s)).sum() < 1 else (left, mid)
+    lam = (left + right) / 2
+    h = lam * (p * s * np.exp(lam * s)).sum()
+    step = math.gcd(*(int(x) for x in s[p > 0]))
+    sums, sigma = np.ones(1), 0.0
+    for j in range(1, terms + 1):
+        sums = np.convolve(sums, p)
+        value = np.arange(j * low, j * high + 1)
+        sigma += float((sums * np.where(value >= 0, 1.0, np.exp(lam * np.minimum(value, 0)))).sum()) / j
+    k = lam * step * math.exp(-2 * sigma) / (h * (1 - math.exp(-lam * step)))
+    return lam, k, h
+
+
 def bit_score(score: Column, lam: float, k: float) -> Column:
     return (F.lit(lam) * score - F.lit(math.log(k))) / F.lit(math.log(2))
 
@@ -57,15 +103,18 @@ def coverage(run: Column, whole: Column) -> Column:
     return F.floor(run / whole * 100)
 
 
-def pair_score(a: str, b: str, match: int, mismatch: int) -> str:
-    """SQL of a rule-made matrix: letters match or not; X and * never match."""
-    return f"CASE WHEN {a} = {b} AND {a} NOT IN ('X', '*') THEN {match} ELSE {mismatch} END"
-
-
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(a, b, score) of a score matrix in the NCBI text format: a header line of letters, then a row per letter."""
-    lines = spark.read.text(path).filter("value NOT LIKE '#%' AND trim(value) <> ''").select(F.split(F.trim("value"), r"\s+").alias("f"))
-    head = lines.filter("f[1] RLIKE '[A-Z*]$' AND NOT f[1] RLIKE '^-?[0-9]+$'").select(F.col("f").alias("letters"))
-    rows = lines.filter("f[1] RLIKE '^-?[0-9]+$'")
-    each = rows.join(F.broadcast(head)).select(F.expr("f[0] AS a"), F.posexplode(F.expr("slice(f, 2, size(f) - 1)")).alias("k", "score"), "letters")
-    return each.select("a", F.expr("letters[k] AS b"), F.col("score").cast("int"))
+    """(a, b, score) of a score matrix in the NCBI text format: a header of letters, then a row per
+    letter.  Header and rows may go on over lines, letters may stand in /* */, and # lines do not count.
+
+    A matrix has some 27 letters, so its text is read as one value.
+    """
+    text = spark.read.text(path, wholetext=True)
+    bare = F.regexp_replace(F.regexp_replace("value", r"(?m)^\s*#.*$", ""), r"/\*|\*/|[{},;]", " ")
+    cells = text.select(F.split(F.trim(F.regexp_replace(bare, r"\s+", " ")), " ").alias("c"))
+    number = "x RLIKE '^-?[0-9]+$'"
+    heads = cells.select(F.expr(f"slice(c, 1, array_position(transform(c, x -> {number}), true) - 2)").cast("array<string>").alias("letters"), "c")
+    # the last letter before the first number starts the first row
+    rows = heads.select("letters", F.expr(f"filter(slice(c, size(letters) + 1, size(c)), x -> {number})").alias("n"), F.expr(f"filter(slice(c, size(letters) + 1, size(c)), x -> NOT {number})").alias("names"))
+    each = rows.select("letters", "names", F.posexplode("n").alias("k", "score"))
+    return each.select(F.expr("names[CAST(k DIV size(letters) AS INT)]").alias("a"), F.expr("letters[k % size(letters)]").alias("b"), F.col("score").cast("int"))

@@ -1,8 +1,10 @@
-"""Gapped local alignment of bases with a protein, with or without frame shifts.
+"""Gapped alignment of bases with a protein, with or without frame shifts.
 
-The only kernel that is no DataFrame expression: a row of the dynamic program (one amino
-acid against all bases of the window) is a few numpy operations.  Windows come from seed
-chains, so their size is bounded by the protein's length.
+The only kernel that is no DataFrame expression.  Many chains are aligned at once: from a seed,
+the dynamic program goes to both sides an amino acid at a time, and a row of it holds the cells
+around the seed's diagonal for all chains of a batch.  A chain leaves the batch when its row
+falls ``x_drop`` under its best score.  Scores come first; only alignments that pass the raw
+score wanted are traced, by one byte of moves per cell.
 """
 
 from __future__ import annotations
@@ -16,67 +18,200 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import CODONS
 
-FAR = -(1 << 40)
+FAR = -(1 << 28)
+#: Cells on each side of the diagonal, in bases (gaps and shifts of that many bases in sum).
+BAND = 96
+#: Bytes of moves that a task holds, and chains aligned at once.
+MOVES, CHAINS = 32 << 20, 256
+#: How a cell was reached: codon with amino acid, with a base read twice, with a base skipped, amino acid alone.
+PAIR, TWICE, SKIP, DOWN, DOWN_ON, RIGHT, RIGHT_ON = 1, 2, 3, 4, 8, 16, 32
+CODON_TABLE = np.zeros(64, np.uint8)
+for _codon, _aa in CODONS.items():
+    CODON_TABLE["TCAG".index(_codon[0]) * 16 + "TCAG".index(_codon[1]) * 4 + "TCAG".index(_codon[2])] = ord(_aa)
+BASE_CODE = np.full(256, 64, np.uint8)
+BASE_CODE[[ord(c) for c in "TCAG"]] = np.arange(4)
 
 
-def align(dna: str, protein: str, match: int, mismatch: int, gap_open: int, gap_extend: int, shift: int | None) -> tuple[int, int, int, int, int, str]:
-    """(score, q_start, q_stop, r_start, r_stop, ops) of the best local alignment.
+def score_table(rows: list[tuple[str, str, int]] | None, match: int, mismatch: int) -> np.ndarray:
+    """Scores by two letters' codes: those of a matrix (letters that it lacks count as its ``*``), or
+    ``match`` for equal letters other than X and * and ``mismatch`` for all others."""
+    table = np.full((256, 256), mismatch, np.int32)
+    if rows:
+        given = {(a.upper(), b.upper()): s for a, b, s in rows}
+        letters = {a for a, _ in given}
+        least = min(given.values())
+        known = lambda c: c if c in letters else "*"
+        for a in range(33, 127):
+            for b in range(33, 127):
+                table[a, b] = given.get((known(chr(a).upper()), known(chr(b).upper())), least)
+    else:
+        for c in "ABCDEFGHIJKLMNOPQRSTUVWYZ":
+            table[ord(c), ord(c)] = match
+    table[0, :] = table[:, 0] = FAR
+    return table
 
-    ``ops``, from left to right: M a codon with an amino acid, I a codon without one, D an
-    amino acid without a codon; \\ before an M skips a base, / reads one twice.
-    A gap of n costs gap_open + n * gap_extend, a frame shift costs ``shift``.
-    """
-    n, m = len(dna), len(protein)
-    if n < 3 or not m:
-        return 0, 0, 0, 0, 0, ""
-    aa = np.array([CODONS.get(dna[j - 3 : j], "X") if j >= 3 else "\0" for j in range(n + 1)])
-    best = np.zeros((m + 1, n + 1), np.int64)
-    down = np.full((m + 1, n + 1), FAR, np.int64)  # ends in an amino acid without a codon
-    right = np.full((m + 1, n + 1), FAR, np.int64)  # ends in a codon without an amino acid
-    moves = [(3, 0, "M")] + ([(2, shift, "/M"), (4, shift, "\\M")] if shift else [])
-    lanes = -(-(n + 1) // 3)
-    climb = np.arange(lanes) * gap_extend
-    for i in range(1, m + 1):
-        pair = np.where((aa == protein[i - 1]) & (protein[i - 1] not in "X*"), match, mismatch)
-        row = np.zeros(n + 1, np.int64)
-        for step, cost, _ in moves:
-            reach = max(step, 3)
-            row[reach:] = np.maximum(row[reach:], best[i - 1, reach - step : n + 1 - step] + pair[reach:] - cost)
-        down[i] = np.maximum(best[i - 1] - gap_open, down[i - 1]) - gap_extend
-        row = np.maximum(row, down[i])
-        # a run of codons without amino acids: a running maximum in each of the three frames
-        lane = np.full((3, lanes), FAR, np.int64)
-        for f in range(3):
-            part = row[f::3]
-            lane[f, : len(part)] = part + climb[: len(part)]
-        top = np.maximum.accumulate(lane, axis=1)
-        for f in range(3):
-            part = right[i, f::3]
-            part[1:] = top[f, : len(part) - 1] - gap_open - climb[1 : len(part)]
-        best[i] = np.maximum(row, right[i])
-    i, j = map(int, np.unravel_index(int(best.argmax()), best.shape))
-    score, r_stop, q_stop, ops = int(best[i, j]), i, j, []
-    while i > 0 and best[i, j] > 0:
-        value, pair = best[i, j], match if aa[j] == protein[i - 1] and protein[i - 1] not in "X*" else mismatch
-        for step, cost, op in moves:
-            if j >= max(step, 3) and best[i - 1, j - step] + pair - cost == value:
-                ops.append(op)
-                i, j = i - 1, j - step
-                break
-        else:
-            if down[i, j] == value:
-                length = next(k for k in range(1, i + 1) if best[i - k, j] - gap_open - k * gap_extend == value)
-                ops += ["D"] * length
-                i -= length
-            else:
-                length = next(k for k in range(1, j // 3 + 1) if best[i, j - 3 * k] - gap_open - k * gap_extend == value)
-                ops += ["I"] * length
-                j -= 3 * length
-    return score, j, q_stop, i, r_stop, "".join(reversed(ops))
-
-
-def lines(dna: str, protein: str, q_start: int, r_start: int, ops: str) -> tuple[str, str, str]:
-    """Query, middle and subject line of an alignment; shifts stand in the query line."""
+
+def codons(dna: str) -> np.ndarray:
+    """The amino acid, as a letter's code, of the codon that starts at each base."""
+    b = BASE_CODE[np.frombuffer(dna.encode(), np.uint8)].astype(np.int64)
+    code = b[:-2] * 16 + b[1:-1] * 4 + b[2:] if len(b) > 2 else np.empty(0, np.int64)
+    return np.where(code < 64, CODON_TABLE[np.minimum(code, 63)], ord("X")).astype(np.uint8)
+
+
+def padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All arrays behind each other with a 0 around each, and where each starts and stops."""
+    size = np.array([len(p) for p in parts], np.int64)
+    start = np.cumsum(np.concatenate(([1], size[:-1] + 1)))
+    flat = np.zeros(int(size.sum()) + len(parts) + 1, np.uint8)
+    for p, s in zip(parts, start.tolist(), strict=True):
+        flat[s : s + len(p)] = p
+    return flat, start, start + size
+
+
+class Batch:
+    """Reads' strands and proteins of some chains, and how they are aligned."""
+
+    def __init__(self, dna: list[str], proteins: list[str], table: np.ndarray, gap_open: int, gap_extend: int, shift: int | None, x_drop: int, band: int = BAND) -> None:
+        self.aa, self.a_lo, self.a_hi = padded([codons(x) for x in dna])
+        self.prot, self.p_lo, self.p_hi = padded([np.frombuffer(p.upper().encode(), np.uint8) for p in proteins])
+        self.table, self.open, self.extend, self.shift, self.x_drop = table, gap_open, gap_extend, shift, x_drop
+        self.side = -(-band // 3) * 3
+        self.width = 2 * self.side + 3
+
+    def reach(self, who: np.ndarray, q: np.ndarray, r: np.ndarray, sign: int, until: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(score, amino acids, bases[, ops]) of the best extension of chains ``who`` from base ``q`` and
+        amino acid ``r``, to the right (``sign`` 1) or to the left (-1); with ops if ``until``, the amino
+        acids of the best extensions, are known."""
+        traced = until is not None
+        n, w, c, e = len(who), self.width, self.side, self.extend
+        best, best_i, best_o = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, c)
+        row = np.full((n, w), FAR, np.int32)
+        row[:, c] = 0
+        first = np.arange(1, (w - c - 1) // 3 + 1)
+        row[:, c + 3 * first] = -self.open - first * e
+        down = np.full((n, w), FAR, np.int32)
+        climb = (np.arange(w // 3) * e).astype(np.int32)[:, None]
+        live, i, trail = np.arange(n), 0, []
+        place = np.arange(w)
+        while len(live):
+            i += 1
+            at = self.p_lo[who[live]] + (r[live] + i - 1 if sign > 0 else r[live] - i)
+            inside = (at >= self.p_lo[who[live]]) & (at < self.p_hi[who[live]])
+            if traced:
+                inside &= i <= until[live]
+            if not inside.all():
+                live, at, row, down = live[inside], at[inside], row[inside], down[inside]
+                if not len(live):
+                    break
+            bases = 3 * i + place - c
+            lo, hi = self.a_lo[who[live], None], self.a_hi[who[live], None]
+            start = lo + q[live, None] + (bases - 3 if sign > 0 else -bases)
+            pair = self.table[self.prot[at][:, None], self.aa[np.clip(start, lo - 1, hi)]]
+            if 3 * i - c < 3:
+                pair[:, bases < 3] = FAR
+            move = np.zeros(row.shape, np.uint8) if traced else None
+            here = row + pair
+            if traced:
+                move[:] = PAIR
+            if self.shift:
+                for step, kind in ((1, TWICE), (-1, SKIP)):
+                    other = np.full_like(row, FAR)
+                    if step > 0:
+                        other[:, :-1] = row[:, 1:]
+                    else:
+                        other[:, 1:] = row[:, :-1]
+                    other += pair - np.int32(self.shift)
+                    if traced:
+                        move[other > here] = kind
+                    np.maximum(here, other, out=here)
+            opened, on = np.full_like(row, FAR), np.full_like(row, FAR)
+            opened[:, :-3], on[:, :-3] = row[:, 3:] - self.open - e, down[:, 3:] - e
+            down = np.maximum(opened, on)
+            if traced:
+                move[down > here] = DOWN
+                move[on > opened] |= DOWN_ON
+            np.maximum(here, down, out=here)
+            # runs of codons without amino acids: a running maximum in each of the three frames
+            top = np.maximum.accumulate(here.reshape(len(live), -1, 3) + climb, axis=1)
+            right = np.full_like(row, FAR)
+            right[:, 3:] = (top[:, :-1] - climb[1:] - self.open).reshape(len(live), -1)
+            if traced:
+                move[right > here] |= RIGHT
+                further = np.zeros(row.shape, bool)
+                further[:, 6:] = right[:, 3:-3] - e > here[:, 3:-3] - self.open - e
+                move[further] |= RIGHT_ON
+                full = np.zeros((n, w), np.uint8)
+                full[live] = move
+                trail.append(full)
+            row = np.maximum(here, right)
+            np.maximum(row, FAR, out=row)
+            peak = row.argmax(axis=1)
+            value = row[np.arange(len(live)), peak]
+            more = value > best[live]
+            best[live[more]], best_i[live[more]], best_o[live[more]] = value[more], i, peak[more]
+            stay = value >= best[live] - self.x_drop
+            row[row < (best[live] - self.x_drop)[:, None]] = FAR
+            if not stay.all():
+                live, row, down = live[stay], row[stay], down[stay]
+        out = (best, best_i, 3 * best_i + best_o - c)
+        if not traced:
+            return out
+        return (*out, [self.path(trail, k, int(i_), int(o), sign) for k, (i_, o) in enumerate(zip(best_i, best_o, strict=True))])
+
+    def path(self, trail: list[np.ndarray], k: int, i: int, o: int, sign: int) -> str:
+        """The ops of chain ``k`` from its best cell back to the seed, from left to right."""
+        ops, state = [], "best"
+        while i > 0:
+            move = int(trail[i - 1][k, o])
+            if state == "best" and move & RIGHT:
+                state = "right"
+            if state == "right":
+                ops.append("I")
+                state = "right" if move & RIGHT_ON else "here"
+                o -= 3
+                continue
+            kind = DOWN if state == "down" else move & 7
+            if kind == DOWN:
+                ops.append("D")
+                state = "down" if move & DOWN_ON else "best"
+                i, o = i - 1, o + 3
+                continue
+            ops.append("M")
+            if kind != PAIR:
+                ops.append("/" if kind == TWICE else "\\")
+            i, o, state = i - 1, o + (kind == TWICE) - (kind == SKIP), "best"
+        ops += ["I"] * ((o - self.side) // 3)
+        return "".join(ops if sign < 0 else reversed(ops))
+
+
+def aligned(batch: Batch, seeds: list[list[tuple[int, int]]], least: np.ndarray) -> list[tuple[int, int, int, int, int, int, str]]:
+    """(chain, score, q_start, q_stop, r_start, r_stop, ops): from each chain's first seed (base, amino
+    acid), and from its next one that lies in no alignment yet, as long as there is one."""
+    out = []
+    left = {k: list(s) for k, s in enumerate(seeds) if s}
+    while left:
+        who = np.array(sorted(left))
+        q, r = (np.array([left[k][0][x] for k in who.tolist()], np.int64) for x in (0, 1))
+        found = [batch.reach(who, q, r, sign) for sign in (-1, 1)]
+        score = found[0][0] + found[1][0]
+        box = np.stack([q - found[0][2], q + found[1][2], r - found[0][1], r + found[1][1]], axis=1)
+        good = np.flatnonzero(score >= least[who])
+        rows = 1 + int(max(f[1][good].max(initial=0) for f in found))
+        step = max(1, MOVES // (rows * batch.width))
+        for part in range(0, len(good), step):
+            some = good[part : part + step]
+            before, after = (batch.reach(who[some], q[some], r[some], sign, f[1][some])[3] for sign, f in zip((-1, 1), found, strict=True))
+            out += [(int(who[k]), int(score[k]), *map(int, box[k]), a + b) for k, a, b in zip(some.tolist(), before, after, strict=True)]
+        for k, (q0, q1, r0, r1) in zip(who.tolist(), box.tolist(), strict=True):
+            left[k] = [(a, b) for a, b in left[k][1:] if not (q0 <= a < q1 and r0 <= b < r1)]
+            if not left[k]:
+                del left[k]
+    return out
+
+
+def lines(dna: str, protein: str, q_start: int, r_start: int, ops: str, table: np.ndarray | None = None) -> tuple[str, str, str]:
+    """Query, middle and subject line of an alignment; shifts stand in the query line.  The middle
+    line holds equal letters, and + for others that score above 0 in ``table``."""
     q, mid, r, i, j = [], [], [], r_start, q_start
     for op in ops:
         if op in "/\\":
@@ -84,7 +219,8 @@ def lines(dna: str, protein: str, q_start: int, r_start: int, ops: str) -> tuple
             q.append(op), mid.append(" "), r.append("-")
         elif op == "M":
             a = CODONS.get(dna[j : j + 3], "X")
-            q.append(a), mid.append(a if a == protein[i] else " "), r.append(protein[i])
+            positive = table is not None and table[ord(a), ord(protein[i])] > 0
+            q.append(a), mid.append(a if a == protein[i] else "+" if positive else " "), r.append(protein[i])
             i, j = i + 1, j + 3
         elif op == "I":
             q.append(CODONS.get(dna[j : j + 3], "X")), mid.append(" "), r.append("-")
@@ -95,10 +231,10 @@ def lines(dna: str, protein: str, q_start: int, r_start: int, ops: str) -> tuple
     return "".join(q), "".join(mid), "".join(r)
 
 
-def gapped(chains: DataFrame, match: int, mismatch: int, gap_open: int, gap_extend: int, shift: int | None) -> DataFrame:
-    """Alignments of chains (doc_id, prot_id, strand, offset, read_len, window, protein).
+def gapped(chains: DataFrame, table: np.ndarray, gap_open: int, gap_extend: int, shift: int | None, x_drop: int, band: int = BAND) -> DataFrame:
+    """Alignments of chains (doc_id, prot_id, strand, dna, protein, seeds: array of (q, r), least).
 
-    ``window`` is the part of the read's strand to align and ``offset`` its place there.
+    ``dna`` is the read's strand, ``least`` the raw score from which an alignment counts.
     """
     schema = (
         "doc_id long, prot_id long, strand string, score long, q_start long, q_stop long, r_start long, r_stop long, "
@@ -108,12 +244,17 @@ def gapped(chains: DataFrame, match: int, mismatch: int, gap_open: int, gap_exte
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for x in frame.itertuples(index=False):
-                score, q0, q1, r0, r1, ops = align(x.window, x.protein, match, mismatch, gap_open, gap_extend, shift)
-                rows.append((x.doc_id, x.prot_id, x.strand, score, q0 + x.offset, q1 + x.offset, r0, r1, x.read_len, len(x.protein), ops, *lines(x.window, x.protein, q0, r0, ops)))
+            for part in range(0, len(frame), CHAINS):
+                some = frame.iloc[part : part + CHAINS]
+                dna, proteins = some["dna"].tolist(), some["protein"].tolist()
+                batch = Batch(dna, proteins, table, gap_open, gap_extend, shift, x_drop, band)
+                seeds = [[(int(s["q"]), int(s["r"])) for s in chain] for chain in some["seeds"]]
+                keys = some[["doc_id", "prot_id", "strand"]].values.tolist()
+                for k, score, q0, q1, r0, r1, ops in aligned(batch, seeds, some["least"].to_numpy()):
+                    rows.append((*keys[k], score, q0, q1, r0, r1, len(dna[k]), len(proteins[k]), ops, *lines(dna[k], proteins[k], q0, r0, ops, table)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return chains.select("doc_id", "prot_id", "strand", "offset", "read_len", "window", "protein").mapInPandas(run, schema)
+    return chains.select("doc_id", "prot_id", "strand", "dna", "protein", "seeds", "least").mapInPandas(run, schema)
 
 
 def encoded(ops: str = "ops") -> str:
@@ -135,6 +276,9 @@ def statistics(found: DataFrame) -> DataFrame:
             "gaps": n(f"(x.a = '-' OR x.b = '-') AND NOT {shift}"),
             "gapopen": F.expr(r"CAST(size(regexp_extract_all(regexp_replace(ops, '[/\\\\]', ''), 'I+|D+', 0)) AS BIGINT)"),
             "frameshifts": n(shift),
+            # equal letters and those that score above 0
+            "npos": F.expr("CAST(length(replace(middle_line, ' ', '')) AS BIGINT)"),
         }
     )
-    return out.withColumn("pident", F.round(100 * F.col("nident") / F.greatest("length", F.lit(1)), 2))
+    share = lambda c: F.round(100 * F.col(c) / F.greatest("length", F.lit(1)), 2)
+    return out.withColumns({"pident": share("nident"), "ppos": share("npos"), "pgaps": share("gaps")})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +39,14 @@ def strand_choice(windows: DataFrame) -> DataFrame:
     return windows.groupBy("doc_id", "prot_id").agg(best.alias("b")).select("doc_id", "prot_id", "b.*")
 
 
+def best_frame(seeds: DataFrame, proteins: DataFrame) -> DataFrame:
+    """The seeds of one frame for each (doc_id, strand, prot_id): that with the heaviest window, of equals the smallest."""
+    each = seeds.withColumn("doc_id", F.struct("doc_id", "frame"))
+    windows = diagonal_windows(each.withColumn("frame", F.col("doc_id.frame")), proteins, "score")
+    best = windows.groupBy(F.col("doc_id.doc_id").alias("doc_id"), "strand", "prot_id").agg(F.max_by("doc_id.frame", F.struct("n_seeds", -F.abs("doc_id.frame"))).alias("frame"))
+    return seeds.join(best.drop("strand"), ["doc_id", "prot_id", "frame"], "left_semi")
+
+
 def members(seeds: DataFrame, chosen: DataFrame) -> DataFrame:
     """The seeds that lie in the chosen windows, with their place in the read's strand."""
     step = seeds.withColumns({"strand": F.when(F.col("frame") > 0, F.lit("+")).otherwise(F.lit("-")), "nt": 3 * F.col("q_pos") + F.abs("frame") - 1})
@@ -46,22 +56,30 @@ def members(seeds: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def linear_chains(found: DataFrame) -> DataFrame:
-    """(doc_id, prot_id, strand, start, stop, r_start, r_stop, n): seeds of a window after
-    overlapping ones that go backwards in the protein are left out, merged to an interval.
+    """(doc_id, prot_id, strand, start, stop, r_start, r_stop, n, seeds): the seeds of a window, without
+    those that go backwards against a heavier one, merged to an interval; ``seeds`` (q, r) are the middles
+    of all seeds of the window, those of the chain first, the heaviest first.
 
-    A group holds the seeds of one read and one protein only, no more than the read's letters.
+    Seeds are taken by score, so that a stray one cannot push out heavier ones.  A group holds the seeds
+    of one read and one protein only, no more than the read's letters.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(group["score"], group["nt"], group["r_pos"], group["length"], strict=True), key=lambda x: (-x[0], x[1:]))
         kept: list[tuple[int, int, int]] = []
-        for nt, r, n in sorted(zip(group["nt"], group["r_pos"], group["length"], strict=True)):
-            if not kept or r >= kept[-1][1]:
-                kept.append((nt, r, n))
+        rest = []
+        for _, nt, r, n in rows:
+            k = bisect.bisect(kept, (nt, r, n))
+            if (not k or kept[k - 1][1] <= r) and (k == len(kept) or kept[k][1] >= r):
+                kept.insert(k, (nt, r, n))
+            else:
+                rest.append((nt, r, n))
+        first = set(kept)
+        order = [x[1:] for x in rows if x[1:] in first] + rest
+        seeds = [{"q": int(nt + 3 * (n // 2)), "r": int(r + n // 2)} for nt, r, n in order]
         one = group.iloc[0]
-        return pd.DataFrame(
-            [(one["doc_id"], one["prot_id"], one["strand"], kept[0][0], max(nt + 3 * n for nt, _, n in kept), kept[0][1], max(r + n for _, r, n in kept), len(kept))],
-            columns=["doc_id", "prot_id", "strand", "start", "stop", "r_start", "r_stop", "n"],
-        )
+        stop = (kept[0][0], max(nt + 3 * n for nt, _, n in kept), kept[0][1], max(r + n for _, r, n in kept))
+        return pd.DataFrame([(one["doc_id"], one["prot_id"], one["strand"], *stop, len(kept), seeds)], columns=["doc_id", "prot_id", "strand", "start", "stop", "r_start", "r_stop", "n", "seeds"])
 
-    schema = "doc_id long, prot_id long, strand string, start long, stop long, r_start long, r_stop long, n long"
-    return found.select("doc_id", "prot_id", "strand", "nt", "r_pos", "length").groupBy("doc_id", "prot_id", "strand").applyInPandas(run, schema)
+    schema = "doc_id long, prot_id long, strand string, start long, stop long, r_start long, r_stop long, n long, seeds array<struct<q: long, r: long>>"
+    return found.select("doc_id", "prot_id", "strand", "nt", "r_pos", "length", "score").groupBy("doc_id", "prot_id", "strand").applyInPandas(run, schema)

@@ -35,7 +35,7 @@ def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(GAP + b"".join(p + GAP for p in parts), np.uint8), starts.astype(np.int64)
 
 
-def drop_off(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, step: int, x_drop: np.ndarray, match: int, mismatch: int) -> tuple[np.ndarray, np.ndarray]:
+def drop_off(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, step: int, x_drop: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(score, letters) of the best run of pairs from places ``i`` of ``q`` and ``j`` of ``r``, until
     the score lies ``x_drop`` or more under its best or a text ends."""
     best, length = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
@@ -44,7 +44,7 @@ def drop_off(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, step: i
         a, b = q[i[live] + step * k], r[j[live] + step * k]
         inside = (a != 0) & (b != 0)
         live, a, b, now = live[inside], a[inside], b[inside], now[inside]
-        now = now + np.where((a == b) & (a != 88) & (a != 42), match, mismatch)
+        now = now + table[a, b]
         k += 1
         more = now > best[live]
         best[live[more]], length[live[more]] = now[more], k
@@ -53,12 +53,12 @@ def drop_off(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, step: i
     return best, length
 
 
-def extended(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, least: np.ndarray, x_drop: int, match: int, mismatch: int) -> tuple[np.ndarray, ...]:
+def extended(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, least: np.ndarray, x_drop: int, table: np.ndarray) -> tuple[np.ndarray, ...]:
     """(seed, i, j, length, score) of the seeds at ``i`` and ``j`` that score ``least`` at least."""
 
     def both(i: np.ndarray, j: np.ndarray, drop: np.ndarray) -> tuple[np.ndarray, ...]:
-        left, n = drop_off(q, r, i, j, -1, drop, match, mismatch)
-        right, m = drop_off(q, r, i + 1, j + 1, 1, drop, match, mismatch)
+        left, n = drop_off(q, r, i, j, -1, drop, table)
+        right, m = drop_off(q, r, i + 1, j + 1, 1, drop, table)
         n = np.maximum(n, 1)  # the seed's first pair is part of it
         return left + right, i - n + 1, j - n + 1, n + m
 
@@ -150,8 +150,9 @@ def least_score(length: np.ndarray, letters: int, lam: float, k: float) -> np.nd
     return np.floor(expected + 0.5).astype(np.int64)
 
 
-def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, match: int, mismatch: int, lam: float, k: float, index_letters: int = INDEX_LETTERS) -> DataFrame:
-    """(doc_id, frame, prot_id, q_pos, r_pos, length, score) from peptides (doc_id, frame, aa) and proteins (prot_id, aa)."""
+def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np.ndarray, lam: float, k: float, index_letters: int = INDEX_LETTERS, suffixes: DataFrame | None = None) -> DataFrame:
+    """(doc_id, frame, prot_id, q_pos, r_pos, length, score) from peptides (doc_id, frame, aa) and
+    proteins (prot_id, aa); ``table`` holds the scores by two letters' codes (alignment.score_table)."""
     proteins = proteins.select("prot_id", "aa").filter("aa IS NOT NULL")
     peptides = peptides.select("doc_id", "frame", "aa").filter("length(aa) >= 3")
     letters = int(proteins.agg(F.coalesce(F.sum(F.length("aa")), F.lit(0))).first()[0])
@@ -174,14 +175,14 @@ def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, match: in
                     at = np.concatenate([s + np.arange(n - 2) for s, n in zip(starts, size, strict=True)])
                     i, j = base.matches(flat, at)
                     owner = np.searchsorted(starts, i, side="right") - 1
-                    seed, a, b, length, score = extended(flat, base.flat, i, j, least_score(size, letters, lam, k)[owner], x_drop, match, mismatch)
+                    seed, a, b, length, score = extended(flat, base.flat, i, j, least_score(size, letters, lam, k)[owner], x_drop, table)
                     owner, prot = owner[seed], np.searchsorted(base.starts, j[seed], side="right") - 1
                     yield rows_of(some["doc_id"].to_numpy()[owner], some["frame"].to_numpy()[owner], base.ids[prot], a - starts[owner], b - base.starts[prot], length, score)
 
         return peptides.mapInPandas(run, SCHEMA)
 
     query = index.suffixes(peptides.select(F.struct("doc_id", "frame").alias("prot_id"), "aa"), seeding.LONGEST).select(F.col("prot_id").alias("q_id"), F.col("pos").alias("q_pos"), "suffix")
-    found = seeding.adaptive_seed_join(query, index.suffixes(proteins, seeding.LONGEST), multiplicity, small_partitions=True)
+    found = seeding.adaptive_seed_join(query, index.suffixes(proteins, seeding.LONGEST) if suffixes is None else suffixes, multiplicity, small_partitions=True)
     pairs = found.select("q_id.doc_id", "q_id.frame", "q_pos", "prot_id", F.col("pos").alias("r_pos"))
     pairs = pairs.join(peptides.withColumnRenamed("aa", "q_aa"), ["doc_id", "frame"]).join(proteins.withColumnRenamed("aa", "r_aa"), "prot_id")
 
@@ -191,7 +192,7 @@ def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, match: in
                 some = frame.iloc[part : part + 512]
                 (q, q0), (r, r0) = joined(some["q_aa"].tolist()), joined(some["r_aa"].tolist())
                 least = least_score(some["q_aa"].str.len().to_numpy(np.int64), letters, lam, k)
-                seed, a, b, length, score = extended(q, r, q0 + some["q_pos"].to_numpy(), r0 + some["r_pos"].to_numpy(), least, x_drop, match, mismatch)
+                seed, a, b, length, score = extended(q, r, q0 + some["q_pos"].to_numpy(), r0 + some["r_pos"].to_numpy(), least, x_drop, table)
                 yield rows_of(*(some[c].to_numpy()[seed] for c in ("doc_id", "frame", "prot_id")), a - q0[seed], b - r0[seed], length, score)
 
     return pairs.select("doc_id", "frame", "q_aa", "prot_id", "r_aa", "q_pos", "r_pos").mapInPandas(extend, SCHEMA).distinct()

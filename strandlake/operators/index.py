@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import common_prefix, reduced
 
+#: Letters of a suffix in the index.
+LONGEST = 100
 
-def suffixes(proteins: DataFrame, longest: int = 32, groups: dict[str, str] | None = None) -> DataFrame:
+
+def suffixes(proteins: DataFrame, longest: int = LONGEST, groups: dict[str, str] | None = None) -> DataFrame:
     """(prot_id, pos, prefix3, suffix): each position with three letters or more left; ``suffix``
     holds its first ``longest`` letters."""
     letters = proteins.filter(F.length("aa") >= 3).select("prot_id", F.split(reduced(F.col("aa"), groups), "").alias("_a"))
@@ -26,7 +29,7 @@ def write_index(proteins: DataFrame, path: str) -> None:
     sorted_index(suffixes(proteins)).write.parquet(path)
 
 
-def lcp_neighbours(found: DataFrame, longest: int = 32) -> DataFrame:
+def lcp_neighbours(found: DataFrame, longest: int = 127) -> DataFrame:
     """Each suffix with the length of the prefix that it shares with its predecessor."""
     before = Window.partitionBy("prefix3").orderBy("suffix", "prot_id", "pos")
     return found.withColumn("_b", F.lag("suffix").over(before)).withColumn("lcp", common_prefix("suffix", "_b", longest).cast("long")).drop("_b")

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.statistics import bit_score, coverage, evalue
 
 
-def scored(found: DataFrame, letters: DataFrame, lam: float, k: float) -> DataFrame:
-    """Adds bitscore, evalue and coverage; ``letters`` is one row with the base's letters."""
-    out = found.crossJoin(F.broadcast(letters)) if letters is not None else found
-    return out.withColumns(
+def scored(found: DataFrame, letters: int, lam: float, k: float) -> DataFrame:
+    """Adds bitscore, evalue and coverage; ``letters`` are those of the whole base."""
+    return found.withColumns(
         {
             "bitscore": bit_score(F.col("score"), lam, k),
-            "evalue": evalue(F.col("score"), F.col("read_len"), F.col("letters"), lam, k),
+            "evalue": evalue(F.col("score"), F.col("read_len"), F.lit(letters), lam, k),
             "coverage": coverage(F.col("r_stop") - F.col("r_start"), F.col("ref_len")),
         }
     )
@@ -46,16 +45,18 @@ def merged(volumes: list[DataFrame]) -> DataFrame:
     return out.dropDuplicates()
 
 
-def subject_ids(found: DataFrame) -> DataFrame:
+def subject_ids(found: DataFrame, parts: int = 200) -> DataFrame:
     """(prot_id, name, subject): dense numbers of the subjects that were hit, by name.
 
-    Names are ranked by range partitions: a number is the names of earlier partitions plus
-    the place in the own one, so no task sees all names.
+    About ``parts`` names, chosen by their hashes, bound ranges of names: a number is the names of
+    earlier ranges plus the place in the own one, so no task sees all names, and a range holds the
+    same names however often it is computed.
     """
     names = found.select("prot_id").distinct().withColumn("name", F.concat(F.lit("prot"), F.lpad(F.col("prot_id").cast("string"), 9, "0")))
-    from pyspark.sql import Window
-
-    dealt = names.repartitionByRange("name").sortWithinPartitions("name").withColumn("part", F.spark_partition_id()).persist()
+    every = max(1, names.count() // parts)
+    bounds = sorted(r["name"] for r in names.filter(F.pmod(F.xxhash64("name"), F.lit(every)) == 0).select("name").collect())
+    held = F.array(*map(F.lit, bounds)).cast("array<string>")
+    dealt = names.withColumn("part", F.size(F.filter(held, lambda b: b <= F.col("name"))))
     sizes = dealt.groupBy("part").count()
     before = sizes.withColumn("skip", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("part").orderBy("name"))

@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import common_prefix, kmers
+from strandlake.operators.index import LONGEST
 
-#: Rows of the smaller side up to which a join may broadcast it.
-BROADCAST_ROWS = 500_000
-#: Letters of a suffix that the adaptive join reads.
-LONGEST = 100
+#: Bytes of the smaller side up to which a join may broadcast it.
+BROADCAST_BYTES = 64 << 20
+#: Different k-mers of the proteins up to which every task knows them (8 bytes each, and their rows).
+KNOWN_KMERS = 200_000
+#: Parts in which the reads of a k-mer are joined beyond that.
+SALTS = 8
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if it has no more than ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast if its rows, as JSON, have no more than ``most`` bytes."""
+    size = df.select(F.length(F.to_json(F.struct("*"))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df
 
 
 def seed_join(peptides: DataFrame, proteins: DataFrame, k: int, multiplicity: int) -> DataFrame:
     """(doc_id, frame, prot_id, q_pos, r_pos): equal ``k``-mers; a k-mer on more than ``multiplicity``
-    protein positions counts at its first one only, which also bounds what a common k-mer yields."""
-    ref = kmers(proteins, "aa", k, ["prot_id"]).groupBy("kmer").agg(F.count("*").alias("n"), F.min(F.struct("prot_id", "pos")).alias("first"))
-    rows = kmers(proteins, "aa", k, ["prot_id"]).join(ref, "kmer").filter((F.col("n") <= multiplicity) | ((F.col("prot_id") == F.col("first.prot_id")) & (F.col("pos") == F.col("first.pos"))))
-    rows = small(rows.select("kmer", "prot_id", F.col("pos").alias("r_pos")))
+    protein positions counts at its first one only, which also bounds what a common k-mer yields.
+
+    Up to KNOWN_KMERS different k-mers of the proteins go to the tasks, which leave out all others;
+    beyond that, all k-mers of the peptides are joined, in SALTS parts of each k-mer.
+    """
+    ref = kmers(proteins, "aa", k, ["prot_id"])
+    count = ref.groupBy("kmer").agg(F.count("*").alias("n"), F.min(F.struct("prot_id", "pos")).alias("first"))
+    rare = ref.join(count.filter(F.col("n") <= multiplicity).select("kmer"), "kmer").select("kmer", "prot_id", F.col("pos").alias("r_pos"))
+    rows = rare.union(count.filter(F.col("n") > multiplicity).select("kmer", "first.prot_id", "first.pos"))
+    known = rows.select("kmer").distinct().limit(KNOWN_KMERS + 1).toPandas()["kmer"].to_numpy(np.int64)
+    if len(known) <= KNOWN_KMERS:
+        sent = peptides.sparkSession.sparkContext.broadcast(np.sort(known))
+        query = kmers(peptides, "aa", k, ["doc_id", "frame"], sent).withColumnRenamed("pos", "q_pos")
+        return query.join(F.broadcast(rows), "kmer").select("doc_id", "frame", "prot_id", "q_pos", "r_pos")
     query = kmers(peptides, "aa", k, ["doc_id", "frame"]).withColumnRenamed("pos", "q_pos")
-    return query.join(rows, "kmer").select("doc_id", "frame", "prot_id", "q_pos", "r_pos")
+    query = query.withColumn("salt", F.pmod(F.xxhash64("doc_id", "q_pos"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return query.join(rows, ["kmer", "salt"]).select("doc_id", "frame", "prot_id", "q_pos", "r_pos")
 
 
 def adaptive_seed_join(queries: DataFrame, found: DataFrame, multiplicity: int, longest: int = LONGEST, small_partitions: bool = False) -> DataFrame:
@@ -69,21 +86,6 @@ def adaptive_seed_join(queries: DataFrame, found: DataFrame, multiplicity: int,
     return best.join(kept.select("len", "key", "prot_id", "pos"), ["len", "key"]).select("q_id", "q_pos", "prot_id", "pos", F.col("len").cast("long").alias("len"))
 
 
-def ungapped_extension(pairs: DataFrame, x_drop: int, match: int, mismatch: int) -> DataFrame:
-    """Adds ``score`` and ``length`` of the best extension to the right of two aligned strings
-    ``q`` and ``r`` that never falls more than ``x_drop`` under its best."""
-    state = "struct(0L AS cur, 0L AS best, 0L AS len, 0L AS k, false AS over)"
-    pair = f"CASE WHEN x.a = x.b AND x.a NOT IN ('X', '*') THEN {match} ELSE {mismatch} END"
-    step = (
-        f"(s, x) -> CASE WHEN s.over OR x.a IS NULL OR x.b IS NULL OR s.cur + {pair} < s.best - {x_drop} "
-        "THEN struct(s.cur AS cur, s.best AS best, s.len AS len, s.k AS k, true AS over) "
-        f"ELSE struct(s.cur + {pair} AS cur, greatest(s.best, s.cur + {pair}) AS best, "
-        f"CASE WHEN s.cur + {pair} > s.best THEN s.k + 1 ELSE s.len END AS len, s.k + 1 AS k, false AS over) END"
-    )
-    run = f"aggregate(zip_with(split(q, ''), split(r, ''), (a, b) -> struct(a AS a, b AS b)), {state}, {step})"
-    return pairs.withColumn("_e", F.expr(run)).select(*pairs.columns, F.col("_e.best").alias("score"), F.col("_e.len").alias("length"))
-
-
 def suppress_covered(seeds: DataFrame, k: int) -> DataFrame:
     """Seeds that no earlier seed of their diagonal covers (islands of overlapping seeds keep their first)."""
     diagonal = Window.partitionBy("doc_id", "frame", "prot_id", "diag").orderBy("q_pos")

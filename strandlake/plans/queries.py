@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from strandlake.functions import sequences, statistics
 from strandlake.functions.sequences import CODONS
 from strandlake.operators import alignment, chaining, index, postfilter, seeding
 from strandlake.plans import search
+from strandlake.sources import daa, results
 from strandlake.sources.fasta import first_of_names
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -58,6 +60,16 @@ def six_frame(spark: SparkSession, d: str) -> DataFrame:
     return _peptides(spark, d).select("doc_id", "frame", F.length("aa").cast("long").alias("n_aa"), F.md5("aa").alias("aa_md5"))
 
 
+def pack_dna(spark: SparkSession, d: str) -> DataFrame:
+    """Reads as two bits a base, as archives hold them."""
+
+    @F.pandas_udf("binary")
+    def packed(dna: pd.Series) -> pd.Series:
+        return dna.map(daa.packed_bases)
+
+    return reads(spark, d).select("doc_id", F.md5(F.hex(packed("dna"))).alias("packed_md5"))
+
+
 def reduce_alphabet(spark: SparkSession, d: str) -> DataFrame:
     groups = {"I": "L", "V": "L", "M": "L", "D": "E", "K": "R"}
     return proteins(spark, d).select("prot_id", sequences.reduced(F.col("aa"), groups).alias("reduced"))
@@ -71,13 +83,13 @@ def seq_stats(spark: SparkSession, d: str) -> DataFrame:
 def ka_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of all reads with the statistics of one penalty row: bits that an expected score 1 needs."""
     row = statistics.ka_table(spark).filter("matrix = 'BLOSUM80' AND gap_open = 11 AND gap_extend = 2")
-    return reads(spark, d).select("doc_id", F.length("dna").cast("long").alias("n_bases")).join(F.broadcast(row)).select("doc_id", "n_bases", "lambda", "k", "h")
+    return reads(spark, d).select("doc_id", F.length("dna").cast("long").alias("n_bases")).withColumns({c: row.select(c).scalar() for c in ("lambda", "k", "h")})
 
 
 def min_seed_score(spark: SparkSession, d: str) -> DataFrame:
     lam, k, _ = statistics.ka("BLOSUM80", 11, 2)
-    letters = proteins(spark, d).agg(F.sum(F.length("aa")).alias("letters"))
-    rows = reads(spark, d).select("doc_id", F.length("dna").alias("n")).filter("n > 0").crossJoin(F.broadcast(letters))
+    letters = proteins(spark, d).agg(F.sum(F.length("aa")).alias("letters")).scalar()
+    rows = reads(spark, d).select("doc_id", F.length("dna").alias("n")).filter("n > 0").withColumn("letters", letters)
     return rows.select("doc_id", statistics.min_seed_score(F.col("n"), F.col("letters"), lam, k).alias("min_score"))
 
 
@@ -90,7 +102,7 @@ def suffixes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lcp_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return index.lcp_neighbours(index.suffixes(proteins(spark, d))).select("prot_id", F.col("pos").cast("long").alias("pos"), "lcp")
+    return index.lcp_neighbours(index.suffixes(proteins(spark, d), 127)).select("prot_id", F.col("pos").cast("long").alias("pos"), "lcp")
 
 
 def minimizers(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +158,15 @@ def alignment_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blast_tab(spark: SparkSession, d: str) -> DataFrame:
-    return search.blast_tab(search.blastx(reads(spark, d), proteins(spark, d)))
+    return results.blast_tab(_named(search.blastx(reads(spark, d), proteins(spark, d))))
+
+
+def blast_tab_extended(spark: SparkSession, d: str) -> DataFrame:
+    return results.blast_tab_extended(_named(search.blastx(reads(spark, d), proteins(spark, d))))
+
+
+def _named(found: DataFrame) -> DataFrame:
+    return found.withColumnsRenamed({"doc_id": "qseqid", "prot_id": "sseqid"})
 
 
 def dominance_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +188,7 @@ def dedupe_reads(spark: SparkSession, d: str) -> DataFrame:
 def run_counters(spark: SparkSession, d: str) -> DataFrame:
     n = reads(spark, d).agg(F.count("*").alias("n_reads"), F.sum(F.length("dna")).alias("n_bases"))
     p = proteins(spark, d).agg(F.count("*").alias("n_proteins"), F.sum(F.length("aa")).alias("n_letters"))
-    return n.crossJoin(p)
+    return n.withColumns({c: p.select(c).scalar() for c in p.columns})
 
 
 _MAP = "MAP {" + ", ".join(f"'{c}': '{a}'" for c, a in CODONS.items()) + "}"
@@ -180,8 +200,8 @@ _SIX = (
     "strands AS (SELECT doc_id, 1 AS s, dna FROM reads UNION ALL SELECT doc_id, -1, translate(reverse(dna), 'ACGT', 'TGCA') FROM reads), "
     f"pep AS (SELECT doc_id, CAST(s * f AS INT) AS frame, {_AA.format('substr(dna, f)')} AS aa FROM strands, range(1, 4) r(f), cods)"
 )
-_SUF = "suf AS (SELECT prot_id, pos, substr(aa, pos + 1, 32) AS suffix FROM (SELECT prot_id, aa, unnest(range(greatest(length(aa) - 2, 0))) AS pos FROM prot))"
-_LCP = "len(list_filter(range(1, 33), lambda i: i <= least(length({0}), length({1})) AND {0}[1:i] = {1}[1:i]))"
+_SUF = "suf AS (SELECT prot_id, pos, substr(aa, pos + 1, {0}) AS suffix FROM (SELECT prot_id, aa, unnest(range(greatest(length(aa) - 2, 0))) AS pos FROM prot))"
+_LCP = "len(list_filter(range(1, 128), lambda i: i <= least(length({0}), length({1})) AND {0}[1:i] = {1}[1:i]))"
 _SEEDS = f"""rk AS (SELECT prot_id, pos, substr(aa, pos + 1, {K}) AS kmer FROM (SELECT prot_id, aa, unnest(range(greatest(length(aa) - {K - 1}, 0))) AS pos FROM prot)),
 rn AS (SELECT *, count(*) OVER (PARTITION BY kmer) AS n, row_number() OVER (PARTITION BY kmer ORDER BY prot_id, pos) AS k FROM rk),
 qk AS (SELECT doc_id, frame, pos AS q_pos, substr(aa, pos + 1, {K}) AS kmer FROM (SELECT doc_id, frame, aa, unnest(range(greatest(length(aa) - {K - 1}, 0))) AS pos FROM pep)),
@@ -197,13 +217,14 @@ ORACLES = {
     "revcomp": f"WITH {_READS} SELECT doc_id, md5(translate(reverse(dna), 'ACGT', 'TGCA')) AS rc_md5, CAST(length(dna) AS BIGINT) AS n_bases FROM reads",
     "translate_frame1": f"WITH {_READS} SELECT doc_id, md5({_AA.format('dna')}) AS aa_md5 FROM reads, cods",
     "six_frame": f"WITH {_READS}, {_SIX} SELECT doc_id, frame, CAST(length(aa) AS BIGINT) AS n_aa, md5(aa) AS aa_md5 FROM pep",
+    "pack_dna": f"WITH {_READS} SELECT doc_id, md5(coalesce(array_to_string(list_transform(regexp_extract_all(dna || 'AAA', '....'), lambda g: printf('%02X', instr('ACGT', g[1]) - 1 + 4 * (instr('ACGT', g[2]) - 1) + 16 * (instr('ACGT', g[3]) - 1) + 64 * (instr('ACGT', g[4]) - 1))), ''), '')) AS packed_md5 FROM reads",
     "reduce_alphabet": f"WITH {_READS}, {_PROT} SELECT prot_id, translate(aa, 'IVMDK', 'LLLER') AS reduced FROM prot",
     "seq_stats": f"WITH {_READS}, {_PROT} SELECT count(*) AS n_seqs, CAST(sum(length(aa)) AS BIGINT) AS n_letters, CAST(max(length(aa)) AS BIGINT) AS longest FROM prot",
     "ka_lookup": f"WITH {_READS} SELECT doc_id, CAST(length(dna) AS BIGINT) AS n_bases, CAST(0.365249 AS DOUBLE) AS lambda, CAST(0.168504 AS DOUBLE) AS k, CAST(0.35 AS DOUBLE) AS h FROM reads",
     "min_seed_score": f"WITH {_READS}, {_PROT}, t AS (SELECT sum(length(aa)) AS letters FROM prot) SELECT doc_id, CAST(round((ln(CAST(length(dna) * letters AS DOUBLE) * 0.168504) - 1.52718) / 0.365249) AS BIGINT) AS min_score FROM reads, t WHERE length(dna) > 0",
-    "prefix_histogram": f"WITH {_READS}, {_PROT}, {_SUF} SELECT suffix[1:3] AS prefix3, count(*) AS n FROM suf GROUP BY 1",
-    "suffixes": f"WITH {_READS}, {_PROT}, {_SUF} SELECT prot_id, pos, suffix FROM suf",
-    "lcp_neighbours": f"WITH {_READS}, {_PROT}, {_SUF}, b AS (SELECT *, lag(suffix) OVER (PARTITION BY suffix[1:3] ORDER BY suffix, prot_id, pos) AS p FROM suf) SELECT prot_id, pos, CASE WHEN p IS NULL THEN 0 ELSE {_LCP.format('suffix', 'p')} END AS lcp FROM b",
+    "prefix_histogram": f"WITH {_READS}, {_PROT}, {_SUF.format(100)} SELECT suffix[1:3] AS prefix3, count(*) AS n FROM suf GROUP BY 1",
+    "suffixes": f"WITH {_READS}, {_PROT}, {_SUF.format(100)} SELECT prot_id, pos, suffix FROM suf",
+    "lcp_neighbours": f"WITH {_READS}, {_PROT}, {_SUF.format(127)}, b AS (SELECT *, lag(suffix) OVER (PARTITION BY suffix[1:3] ORDER BY suffix, prot_id, pos) AS p FROM suf) SELECT prot_id, pos, CASE WHEN p IS NULL THEN 0 ELSE {_LCP.format('suffix', 'p')} END AS lcp FROM b",
     "minimizers": f"WITH {_READS}, {_PROT}, s AS (SELECT prot_id, pos, ascii(aa[pos + 1]) + ascii(aa[pos + 2]) + ascii(aa[pos + 3]) AS s FROM (SELECT prot_id, aa, unnest(range(greatest(length(aa) - 2, 0))) AS pos FROM prot WHERE length(aa) >= 6)), w AS (SELECT a.prot_id, a.pos AS w, b.pos, b.s FROM s a JOIN s b ON a.prot_id = b.prot_id AND b.pos BETWEEN a.pos AND a.pos + 3 QUALIFY count(*) OVER (PARTITION BY a.prot_id, a.pos) = 4) SELECT DISTINCT prot_id, pos FROM (SELECT prot_id, pos FROM w QUALIFY row_number() OVER (PARTITION BY prot_id, w ORDER BY s, pos DESC) = 1)",
     "seed_join_k": f"{_ALL} SELECT doc_id, frame, prot_id, q_pos - r_pos AS diag, count(*) AS n_seeds FROM seeds GROUP BY 1, 2, 3, 4",
     "diagonal_suppress": f"{_ALL} SELECT doc_id, frame, prot_id, q_pos, r_pos FROM (SELECT *, lag(q_pos) OVER (PARTITION BY doc_id, frame, prot_id, q_pos - r_pos ORDER BY q_pos) + {K} AS e FROM seeds) WHERE e IS NULL OR q_pos > e",
@@ -219,8 +240,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            revcomp, translate_frame1, six_frame, reduce_alphabet, seq_stats, ka_lookup, min_seed_score, prefix_histogram, suffixes, lcp_neighbours, minimizers,
+            revcomp, translate_frame1, six_frame, pack_dna, reduce_alphabet, seq_stats, ka_lookup, min_seed_score, prefix_histogram, suffixes, lcp_neighbours, minimizers,
             seed_join_k, adaptive_seed_join, ungapped_xdrop, diagonal_suppress, diagonal_window_best, strand_choice, linear_chain, frameshift_blastx, gapped_blastx,
-            alignment_stats, blast_tab, dominance_filter, subject_ids, dedupe_reads, run_counters,
+            alignment_stats, blast_tab, blast_tab_extended, dominance_filter, subject_ids, dedupe_reads, run_counters,
         )
     }

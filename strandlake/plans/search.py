@@ -2,71 +2,113 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.config import SearchConfig
 from strandlake.functions.sequences import normal_dna, reverse_complement, six_frames
-from strandlake.functions.statistics import ka
+from strandlake.functions.statistics import ka, read_matrix, ungapped
 from strandlake.operators import alignment, chaining, extension, index, postfilter, seeding
+from strandlake.sources import daa
 from strandlake.sources.fasta import first_of_names, read_fasta
 
 
 def make_db(spark, fasta: str, path: str) -> None:
-    """Proteins and their sorted suffixes as two tables under ``path``."""
-    proteins = first_of_names(read_fasta(spark, fasta)).select(F.xxhash64("id").alias("prot_id"), "id", F.col("seq").alias("aa"))
+    """Proteins and their sorted suffixes as two tables under ``path``; the first protein of a name counts."""
+    proteins = first_of_names(read_fasta(spark, fasta)).select(F.monotonically_increasing_id().alias("prot_id"), "id", F.col("seq").alias("aa"))
     proteins.write.parquet(f"{path}/proteins")
     index.write_index(spark.read.parquet(f"{path}/proteins"), f"{path}/suffixes")
 
 
-def seeds(reads: DataFrame, proteins: DataFrame, config: SearchConfig) -> DataFrame:
-    """The adaptive seeds of all six frames, extended both ways, that reach the least seed score."""
-    lam, k = ka(config.matrix, config.gap_open, config.gap_extend)[:2]
-    return extension.seeds(six_frames(reads.select("doc_id", "dna")), proteins, config.multiplicity, config.match, config.mismatch, lam, k)
+def read_db(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Proteins (prot_id, id, aa) and suffixes of an index."""
+    return spark.read.parquet(f"{path}/proteins"), spark.read.parquet(f"{path}/suffixes")
+
+
+def scoring(spark, config: SearchConfig) -> tuple[np.ndarray, float, float]:
+    """The scores by two letters' codes, lambda and K.  A matrix file goes with the statistics of its
+    name and penalties; scores by match and mismatch with their own."""
+    if config.matrix_path:
+        # a matrix of some 27 letters
+        rows = [tuple(r) for r in read_matrix(spark, config.matrix_path).collect()]
+        return (alignment.score_table(rows, 0, 0), *ka(config.matrix, config.gap_open, config.gap_extend)[:2])
+    table = alignment.score_table(None, config.match, config.mismatch)
+    return (table, *ungapped(table)[:2])
 
 
-def chains(reads: DataFrame, proteins: DataFrame, config: SearchConfig) -> DataFrame:
-    """The linear seed chain of each read and protein on the better strand."""
-    found = seeds(reads, proteins, config)
+def seeds(reads: DataFrame, proteins: DataFrame, config: SearchConfig, suffixes: DataFrame | None = None) -> DataFrame:
+    """The adaptive seeds of all six frames, extended both ways, that reach the least seed score;
+    ``suffixes`` of an index spare a large base their making."""
+    table, lam, k = scoring(reads.sparkSession, config)
+    return extension.seeds(six_frames(reads.select("doc_id", "dna")), proteins, config.multiplicity, table, lam, k, suffixes=suffixes)
+
+
+def chains(reads: DataFrame, proteins: DataFrame, config: SearchConfig, suffixes: DataFrame | None = None) -> DataFrame:
+    """The linear seed chain of each read and protein on the better strand; without frame shifts, of the
+    frame with the heaviest window."""
+    found = seeds(reads, proteins, config, suffixes)
+    if config.frameshift is None:
+        found = chaining.best_frame(found, proteins)
     chosen = chaining.strand_choice(chaining.diagonal_windows(found, proteins, "score"))
     return chaining.linear_chains(chaining.members(found, chosen))
 
 
-def blastx(reads: DataFrame, proteins: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """Alignments of ``reads`` (doc_id, dna) with ``proteins`` (prot_id, aa) that pass the filters.
-
-    Each chain takes the part of the read's strand that the protein can reach, by expected
-    lengths of the unmatched ends, into the kernel.
-    """
-    lam, k = ka(config.matrix, config.gap_open, config.gap_extend)[:2]
-    found = chains(reads, proteins, config)
+def blastx(reads: DataFrame, proteins: DataFrame, config: SearchConfig = SearchConfig(), suffixes: DataFrame | None = None) -> DataFrame:
+    """Alignments of ``reads`` (doc_id, dna) with ``proteins`` (prot_id, aa) that pass the filters: from
+    each chain's heaviest seed, and from its seeds that no alignment holds yet."""
+    table, lam, k = scoring(reads.sparkSession, config)
+    letters = int(proteins.agg(F.coalesce(F.sum(F.length("aa")), F.lit(0))).first()[0])
+    x_drop = gapped_x_drop(letters, lam, k)
+    band = config.band or 3 * max((x_drop - config.gap_open) // max(config.gap_extend, 1), 10)
+    found = chains(reads, proteins, config, suffixes).select("doc_id", "prot_id", "strand", "seeds")
     both = found.join(reads.select("doc_id", "dna"), "doc_id").join(seeding.small(proteins.select("prot_id", F.col("aa").alias("protein"))), "prot_id")
     strand = F.when(F.col("strand") == "+", F.col("dna")).otherwise(reverse_complement(F.col("dna")))
-    reach = lambda n: F.ceil(3 * n * 1.03 + 30)
-    left = F.greatest(F.col("start") - reach(F.col("r_start")), F.lit(0))
-    right = F.least(F.col("stop") + reach(F.length("protein") - F.col("r_stop")), F.length("dna"))
-    windows = both.withColumns({"read_len": F.length("dna").cast("long"), "offset": left.cast("long"), "_right": right}).withColumn("_s", strand)
-    windows = windows.withColumn("window", F.expr("substr(_s, CAST(offset + 1 AS INT), CAST(_right - offset AS INT))"))
-    # rows are small but their alignments are not: deal them out, which a given number of partitions keeps
-    windows = windows.repartition(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = alignment.gapped(windows, config.match, config.mismatch, config.gap_open, config.gap_extend, config.frameshift)
-    letters = proteins.agg(F.coalesce(F.sum(F.length("aa")), F.lit(0)).cast("long").alias("letters"))
+    # the least raw score under which no alignment passes the filters
+    least = F.greatest(F.ceil((F.log(F.lit(k) * letters * F.length("dna")) - math.log(config.max_evalue)) / lam - 1e-9), F.lit(x_drop), F.lit(1))
+    rows = alignment.gapped(both.withColumns({"dna": strand, "least": least.cast("long")}), table, config.gap_open, config.gap_extend, config.frameshift, x_drop, band)
     out = postfilter.significant(postfilter.scored(rows, letters, lam, k), config.max_evalue, config.min_coverage)
     return postfilter.not_dominated(out, config.dominance_overlap, config.dominance_score) if config.dominance else out
 
 
-def blast_tab(found: DataFrame) -> DataFrame:
-    """The twelve columns of tabular output; starts count from 1, minus strands run backwards."""
-    stats = alignment.statistics(found)
-    plus = F.col("strand") == "+"
-    return stats.select(
-        F.col("doc_id").alias("qseqid"), F.col("prot_id").alias("sseqid"), "pident", "length", "mismatch", "gapopen",
-        F.when(plus, F.col("q_start") + 1).otherwise(F.col("read_len") - F.col("q_start")).alias("qstart"),
-        F.when(plus, F.col("q_stop")).otherwise(F.col("read_len") - F.col("q_stop") + 1).alias("qend"),
-        (F.col("r_start") + 1).alias("sstart"), F.col("r_stop").alias("send"), "evalue", F.round("bitscore", 1).alias("bitscore"),
-    )
+def gapped_x_drop(letters: int, lam: float, k: float) -> int:
+    """The drop that ends a gapped extension: an expectation of 1e18 letters squared against reads of a million bases."""
+    most = 1e18 / (2.0 * max(letters, 1) * 1e6)
+    return round((math.log(k * 1e18) - math.log(most)) / lam)
 
 
 def reads_of(rows: DataFrame, seq: str = "seq", name: str = "id") -> DataFrame:
     """Reads as the search takes them, from a FASTA or FASTQ table."""
-    return first_of_names(rows, name).select(F.xxhash64(name).alias("doc_id"), normal_dna(F.col(seq)).alias("dna"))
+    return first_of_names(rows, name).select(F.xxhash64(name).alias("doc_id"), F.col(name).alias("id"), normal_dna(F.col(seq)).alias("dna"))
+
+
+def named(found: DataFrame, reads: DataFrame, proteins: DataFrame) -> DataFrame:
+    """Alignments with the names and bases of their reads (doc_id, id, dna) and the names of their proteins (prot_id, id)."""
+    names = reads.select("doc_id", F.col("id").alias("read_name"), "dna")
+    subjects = proteins.select("prot_id", F.col("id").alias("subject"))
+    out = found.join(names, "doc_id").join(seeding.small(subjects), "prot_id")
+    return out.withColumns({"qseqid": F.col("read_name"), "sseqid": F.col("subject")})
+
+
+def merge_archives(spark, paths: list[str], path: str, config: SearchConfig) -> None:
+    """One archive from several of the same reads: equal alignments once, dominated ones left out if the
+    configuration says so, names and lengths of all subjects."""
+    heads = [daa.read_headers(spark, p).agg(F.max("db_seqs").alias("n"), F.max("db_letters").alias("l"), F.max("lambda"), F.max("k")).first() for p in paths]
+    sequences, letters = sum(h[0] for h in heads), sum(h[1] for h in heads)
+    lam, k = heads[0][2], heads[0][3]
+    found = postfilter.merged([daa.read_daa(spark, p) for p in paths])
+    if config.dominance:
+        scored = postfilter.scored(found, letters, lam, k).withColumns({"doc_id": F.col("read_name"), "prot_id": F.col("subject")})
+        found = postfilter.not_dominated(scored, config.dominance_overlap, config.dominance_score).select(found.columns)
+    daa.write_daa(found, path, sequences, letters, config, lam, k)
+
+
+def archived(spark, path: str) -> DataFrame:
+    """The alignments of an archive, with bit scores and e-values by its own headers."""
+    head = daa.read_headers(spark, path).agg(F.max("db_letters").alias("l"), F.max("lambda").alias("lam"), F.max("k").alias("k")).first()
+    out = daa.read_daa(spark, path)
+    if head["l"] is None:
+        return postfilter.scored(out, 1, 1.0, 1.0).withColumns({"qseqid": F.col("read_name"), "sseqid": F.col("subject")})
+    return postfilter.scored(out, head["l"], head["lam"], head["k"]).withColumns({"qseqid": F.col("read_name"), "sseqid": F.col("subject")})

@@ -11,20 +11,30 @@ from pyspark.sql import functions as F
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rank, id, seq): ids end at the first blank; sequences are joined lines in upper case."""
-    rows = spark.read.option("lineSep", ">").text(path).filter("trim(value) <> ''")
-    head = F.substring_index("value", "\n", 1)
-    seq = F.regexp_replace(F.expr("substr(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s", "")
-    return rows.select(
-        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("rank"), F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.upper(seq).alias("seq")
-    )
+    """(file, rank, id, seq): a record starts with a > at the start of a line; ids end at the first
+    blank and begin with no >; sequences are joined lines in upper case."""
+    rows = spark.read.option("lineSep", "\n>").text(path).filter("trim(value) NOT IN ('', '>')")
+    # the first record of a file keeps its mark
+    record = F.regexp_replace("value", r"^\s*>", "")
+    step = rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("rank"), record.alias("r"))
+    head = F.substring_index("r", "\n", 1)
+    seq = F.regexp_replace(F.expr("substr(r, length(substring_index(r, '\n', 1)) + 1)"), r"\s", "")
+    return step.select("file", "rank", F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.upper(seq).alias("seq"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rank, id, seq, quality) of four-line records; quality lines may start with any mark."""
-    lines = spark.read.option("wholetext", False).text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), "value")
-    # a record's place is its line number within the file divided by four
-    number = lines.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1)
+    """(file, rank, id, seq, quality) of four-line records; quality lines may start with any mark.
+
+    A record's place is its line number divided by four.  Each split of a file counts its own lines;
+    the counts of the splits before it, a row each, give the number of its first line.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value"
+    )
+    blocks = lines.groupBy("file", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    skips = blocks.select("file", "block", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("skip"))
+    number = lines.join(skips, ["file", "block"]).withColumn("n", F.col("n") - F.col("first") + F.col("skip"))
     record = number.groupBy("file", F.floor(F.col("n") / 4).alias("rank"))
     part = lambda k: F.max(F.when(F.col("n") % 4 == k, F.col("value")))
     found = record.agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("quality"))
@@ -39,25 +49,3 @@ def first_of_names(reads: DataFrame, name: str = "id", rank: str = "rank") -> Da
 
 def write_fasta(rows: DataFrame, path: str, name: str = "id", seq: str = "seq") -> None:
     rows.select(F.concat(F.lit(">"), name, F.lit("\n"), seq)).write.text(path)
-
-
-BLAST_TAB = ["qseqid", "sseqid", "pident", "length", "mismatch", "gapopen", "qstart", "qend", "sstart", "send", "evalue", "bitscore"]
-
-
-def write_blast_tab(rows: DataFrame, path: str) -> None:
-    """Twelve tab-separated columns."""
-    rows.select(*BLAST_TAB).write.option("sep", "\t").csv(path)
-
-
-def write_pairwise(rows: DataFrame, path: str) -> None:
-    """Alignments as text blocks: names, scores and three lines (query, middle, subject)."""
-    block = F.format_string(
-        "Query= %s\n> %s\n Score = %.1f bits, Expect = %.2e\n\nQuery  %s\n       %s\nSbjct  %s\n", "qseqid", "sseqid", "bitscore", "evalue", "query_line", "middle_line", "subject_line"
-    )
-    rows.select(block).write.text(path)
-
-
-def write_blast_xml(rows: DataFrame, path: str) -> None:
-    """One Hit element per alignment."""
-    hit = rows.select(F.col("qseqid").alias("Iteration_query-def"), F.col("sseqid").alias("Hit_id"), F.col("bitscore").alias("Hsp_bit-score"), F.col("evalue").alias("Hsp_evalue"), F.col("query_line").alias("Hsp_qseq"), F.col("middle_line").alias("Hsp_midline"), F.col("subject_line").alias("Hsp_hseq"))
-    hit.write.format("xml").option("rootTag", "BlastOutput").option("rowTag", "Hit").save(path)

@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,8 +9,8 @@ from hypothesis import strategies as st
 from strandlake.config import long_reads, short_reads
 from strandlake.functions import statistics
 from strandlake.functions.sequences import CODONS
-from strandlake.operators import postfilter
-from strandlake.operators.alignment import align, lines
+from strandlake.operators import alignment, postfilter
+from strandlake.operators.alignment import lines
 from strandlake.plans import queries as Q
 from strandlake.plans import search
 from strandlake.sources import fasta
@@ -32,16 +33,16 @@ def test_query_matches_sql(spark, name):
     assert rows == sorted(map(tuple, want[columns].astype(object).values.tolist()))
 
 
-def brute(dna, protein, match, mismatch, gap_open, gap_extend, shift):
-    """The best local score, cell by cell."""
-    n, m, best = len(dna), len(protein), 0
-    s = [[0] * (n + 1) for _ in range(m + 1)]
+def brute(dna, protein, table, gap_open, gap_extend, shift, q0, r0, sign):
+    """The best score of an extension from base q0 and amino acid r0, cell by cell."""
+    n, m, best = (len(dna) - q0, len(protein) - r0, 0) if sign > 0 else (q0, r0, 0)
+    s = [[-(10**9)] * (n + 1) for _ in range(m + 1)]
     for i in range(m + 1):
         for j in range(n + 1):
-            v = 0
+            v = s[i][j] if i or j else 0
             if i and j >= 3:
-                a = CODONS.get(dna[j - 3 : j], "X")
-                p = match if a == protein[i - 1] and a not in "X*" else mismatch
+                at = q0 + j - 3 if sign > 0 else q0 - j
+                p = int(table[ord(CODONS.get(dna[at : at + 3], "X")), ord(protein[r0 + i - 1 if sign > 0 else r0 - i])])
                 v = max(v, s[i - 1][j - 3] + p)
                 if shift:
                     v = max(v, s[i - 1][j - 2] + p - shift)
@@ -55,15 +56,68 @@ def brute(dna, protein, match, mismatch, gap_open, gap_extend, shift):
     return best
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text("ACGT", max_size=40), st.text("ARNDCX", max_size=10), st.sampled_from([None, 3, 15]))
-def test_kernel_is_exact(dna, protein, shift):
-    score, q0, q1, r0, r1, ops = align(dna, protein, 6, -2, 3, 1, shift)
-    assert score == brute(dna, protein, 6, -2, 3, 1, shift)
-    q, mid, r = lines(dna, protein, q0, r0, ops)
-    assert len(q) == len(mid) == len(r)
-    assert r1 - r0 == sum(op in "MD" for op in ops)
-    assert q1 - q0 == 3 * sum(op in "MI" for op in ops) + ops.count("\\") - ops.count("/")
+def rescored(dna, protein, table, gap_open, gap_extend, shift, q, r, ops):
+    """The score of an edit script, and where it ends."""
+    score, last = 0, ""
+    for op in ops:
+        if op in "/\\":
+            score, q = score - shift, q + (1 if op == "\\" else -1)
+        elif op == "M":
+            score, q, r = score + int(table[ord(CODONS.get(dna[q : q + 3], "X")), ord(protein[r])]), q + 3, r + 1
+        else:
+            score -= gap_extend + (gap_open if op != last else 0)
+            q, r = (q + 3, r) if op == "I" else (q, r + 1)
+        last = op
+    return score, q, r
+
+
+MATRIX = [(a, b, 5 if a == b else -1 if a in "ARN" and b in "ARN" else -3) for a in "ARNDCX*" for b in "ARNDCX*"]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text("ACGT", min_size=3, max_size=40), st.text("ARNDCXS", min_size=1, max_size=10), st.sampled_from([None, 3, 15]), st.data(), st.booleans())
+def test_kernel_is_exact(dna, protein, shift, data, matrix):
+    table = alignment.score_table(MATRIX if matrix else None, 6, -2)
+    r0 = data.draw(st.integers(0, len(protein)))
+    q0 = data.draw(st.integers(0, len(dna)))
+    batch = alignment.Batch([dna, "A" + dna], [protein, protein], table, 3, 1, shift, 10**6)
+    who, q, r = np.array([0, 1]), np.array([q0, q0 + 1]), np.array([r0, r0])
+    for sign in (1, -1):
+        score, i, j = batch.reach(who, q, r, sign)
+        ops = batch.reach(who, q, r, sign, i)[3]
+        assert score[0] == brute(dna, protein, table, 3, 1, shift, q0, r0, sign)
+        start = (q0, r0) if sign > 0 else (q0 - int(j[0]), r0 - int(i[0]))
+        stop = (q0 + int(j[0]), r0 + int(i[0])) if sign > 0 else (q0, r0)
+        assert rescored(dna, protein, table, 3, 1, shift, *start, ops[0]) == (score[0], *stop)
+        q_line, mid, r_line = lines(dna, protein, *start, ops[0], table)
+        assert len(q_line) == len(mid) == len(r_line)
+
+
+def test_drop_and_band_never_score_more():
+    rng = random.Random(2)
+    table = alignment.score_table(None, 6, -2)
+    dna = "".join(rng.choice("ACGT") for _ in range(900))
+    aa = "".join(CODONS[dna[k : k + 3]] for k in range(0, 897, 3))
+    protein = aa[:120] + aa[135:200] + "".join(rng.choice("ARND") for _ in range(40)) + aa[200:]
+    score = lambda drop, band: int(sum(alignment.Batch([dna], [protein], table, 3, 1, 15, drop, band).reach(np.array([0]), np.array([180]), np.array([60]), s)[0][0] for s in (1, -1)))
+    full = score(10**6, 900)
+    assert score(10**6, 150) == full and score(60, 900) <= full and score(10**6, 30) < full
+
+
+def test_a_long_protein_takes_little_memory():
+    import tracemalloc
+
+    rng = random.Random(2)
+    protein = "".join(rng.choice("ARNDCQEGHILKMFPSTWYV") for _ in range(4_000))
+    back = {a: c for c, a in sorted(CODONS.items())}
+    dna = "".join(back[a] for a in protein)
+    dna = dna[:3_000] + "A" + dna[3_000:]
+    table = alignment.score_table(None, 6, -2)
+    tracemalloc.start()
+    (found,) = alignment.aligned(alignment.Batch([dna], [protein], table, 11, 2, 15, 60), [[(6_001, 2_000)]], np.array([100]))
+    assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    tracemalloc.stop()
+    assert found[1] > 6 * 3_990 - 15 and found[4:6] == (0, 4_000) and found[6].count("\\") + found[6].count("/") == 1
 
 
 def test_planted_homologies_on_both_strands_and_over_a_shift(spark):
@@ -86,6 +140,46 @@ def test_planted_homologies_on_both_strands_and_over_a_shift(spark):
     assert {r["doc_id"] for r in search.blastx(reads, proteins, short_reads()).collect()} == {1, 2, 3}
 
 
+def test_several_alignments_of_a_read_and_protein(spark):
+    rng = random.Random(7)
+    back = {a: c for c, a in sorted(CODONS.items())}
+    protein = "".join(rng.choice("ARNDCQEGHILKMFPSTWYV") for _ in range(120))
+    gene = "".join(back[a] for a in protein)
+    noise = "".join(rng.choice("ACGT") for _ in range(1200))
+    reads = spark.createDataFrame([(1, gene[:180] + noise[:12] + gene[180:]), (2, gene[:150] + noise + gene[150:300])], "doc_id long, dna string")
+    proteins = spark.createDataFrame([(7, protein + "A" * 5000)], "prot_id long, aa string")
+    found = sorted((r["doc_id"], r["r_start"], r["r_stop"]) for r in search.blastx(reads, proteins, long_reads()).collect())
+    assert found[0][:2] == (1, 0) and found[0][2] >= 118 and len(found) >= 2
+    spans = [f[1:] for f in found if f[0] == 2]
+    assert any(a <= 2 and b >= 48 for a, b in spans)
+
+
+def test_a_matrix_file_gives_the_scores(spark, tmp_path):
+    letters = "ARNDCQEGHILKMFPSTWYVX*"
+    rows = {(a, b): (7 if a == b else 2 if {a, b} == {"A", "S"} else -4) for a in letters for b in letters}
+    text = "/* " + ", ".join(letters) + " */\n" + "".join(f"/*{a}*/ " + ", ".join(str(rows[a, b]) for b in letters[:11]) + ",\n   " + ", ".join(str(rows[a, b]) for b in letters[11:]) + ",\n" for a in letters)
+    (tmp_path / "m.txt").write_text(text)
+    assert {(r["a"], r["b"]): r["score"] for r in statistics.read_matrix(spark, str(tmp_path / "m.txt")).collect()} == rows
+    rng = random.Random(3)
+    back = {a: c for c, a in sorted(CODONS.items())}
+    protein = "".join(rng.choice("RNDCQEGHILKM") for _ in range(60)) + "A" * 3
+    gene = "".join(back[a] for a in protein[:-3] + "SSS")
+    reads, proteins = spark.createDataFrame([(1, gene)], "doc_id long, dna string"), spark.createDataFrame([(7, protein)], "prot_id long, aa string")
+    (hit,) = search.blastx(reads, proteins, long_reads(matrix_path=str(tmp_path / "m.txt"))).collect()
+    assert hit["score"] == 60 * 7 + 3 * 2 and hit["middle_line"].endswith("+++")
+
+
+def test_statistics_of_scores():
+    # the ungapped values of the first row of the table, for a rule with few scores, by its own definition
+    table = alignment.score_table(None, 6, -2)
+    lam, k, h = statistics.ungapped(table)
+    same = sum((n / sum(statistics.BACKGROUND.values())) ** 2 for n in statistics.BACKGROUND.values())
+    assert same * 2.718281828459045 ** (6 * lam) + (1 - same) * 2.718281828459045 ** (-2 * lam) == pytest.approx(1, abs=1e-6)
+    assert 0 < k < 1 and h > 0
+    with pytest.raises(ValueError, match="mean"):
+        statistics.ungapped(alignment.score_table(None, 6, 1))
+
+
 def test_dominated_alignments_go(spark):
     rows = [(1, 1, "+", 0, 90, 100.0), (1, 2, "+", 2, 88, 50.0), (1, 3, "+", 60, 200, 50.0), (2, 2, "+", 2, 88, 50.0)]
     found = spark.createDataFrame(rows, "doc_id long, prot_id long, strand string, q_start long, q_stop long, bitscore double")

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from strandlake.config import long_reads
-from strandlake.operators import extension, index, seeding
+from strandlake.operators import alignment, extension, index, seeding
 from strandlake.plans import search
 
 DNA = {"A": "GCT", "R": "CGT", "N": "AAT", "D": "GAT", "C": "TGT", "Q": "CAA", "E": "GAA", "G": "GGT", "H": "CAT", "K": "AAA"}
@@ -81,7 +81,7 @@ def test_extended_seeds_match_brute_force(spark, letters):
     sizes = {q: int(extension.least_score(extension.np.array([len(s)]), sum(map(len, proteins.values())), lam, k)[0]) for q, s in peptides.items()}
     want = brute_extended(peptides, proteins, brute_seeds(peptides, proteins, 10, True), sizes, 27)
     rows = spark.createDataFrame([(q, 1, s) for q, s in peptides.items()], "doc_id long, frame int, aa string")
-    got = [tuple(r) for r in extension.seeds(rows, table(spark, proteins), 10, 6, -2, lam, k, letters).collect()]
+    got = [tuple(r) for r in extension.seeds(rows, table(spark, proteins), 10, alignment.score_table(None, 6, -2), lam, k, letters).collect()]
     assert set(got) == want and {q for q, *_ in want} >= {1, 4, 5}
 
 
