@@ -2,22 +2,24 @@
 
 1. Arrow batches of texts become word hashes, shingle hashes, FIELDS minima, the band keys and a signature that keeps the low ``BITS`` bits of each minimum, packed in
    longs.  Only these leave the task; the sets do not.
-2. Documents with the same shingle set form one class, stood for by a 64-bit hash of the
-   set's 128-bit key; one of its rows, by doc_id and text, gives the set when it is needed.
+2. Documents with the same shingle set form one class, numbered when the classes are
+   written; one of its rows, by doc_id and text, gives the set when it is needed.
 3. Classes that share a band are candidates.  Bit counts of the signatures estimate their
-   similarity, corrected for chance collisions of low bits; far ones are dropped (the
-   bound lies many standard deviations under the threshold).
-4. Each class is tried with the best of the first classes of its bands (a star, so never
-   all pairs of a bucket); confirmed links are merged to components.  Then only pairs of
-   classes in *different* components remain.  Buckets tell which classes meet which
-   components; the estimate is part of the join, so that only near pairs become rows, and
-   all of those are confirmed.  Pairs inside a component are not made.
-5. Confirmation intersects the full shingle sets of both texts.
+   similarity, corrected for chance collisions of low bits; far ones and those of too
+   different sizes are dropped (the bound lies 3.7 standard deviations under the threshold).
+4. Each class is tried with a few others, the closest of two in each part of its buckets
+   (:func:`tries`), and confirmed links are merged to components: rows grow with the members
+   of buckets, never with their pairs.
+5. Then the close pairs that still lie in different components are all confirmed
+   (:func:`apart`).  Pairs inside a component are not made.
+6. Confirmation intersects the full shingle sets of both texts.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
 nothing; a text with fewer words than a shingle has one, its whole sequence; repeated
 doc_ids keep a row each (they share a component only if their texts do, and the smallest
-doc_id names it); an empty table gives an empty result; further columns are ignored.
+doc_id names it); a text of any length is read whole, a batch of texts at a time; ties go by
+doc_id and the text's hash; an empty table gives an empty result; further columns are
+ignored, and passed through by :func:`clean_documents` under any names.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ FIELDS = 1024
 #: Odd multipliers of the hash functions below (any odd 64-bit numbers do).
 PRIME, MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 LOW = 0x5555555555555555
+#: Fields of the signature that part the buckets for tries.
+DEPTHS = (0, 3, 6)
 PIECE = 1 << 15
 
 
@@ -200,79 +204,106 @@ def confirmed(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, thr
 
 def near_duplicates(docs: DataFrame, **how: float) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept; options as in :func:`grouped`."""
-    return grouped(docs, **how).drop("h")
+    return grouped(docs, **how).drop("h", "stays")
+
+
+def tries(hot: DataFrame, sig: DataFrame, threshold: int, slack: float | None) -> DataFrame:
+    """(a, b): for each class of ``hot`` (band, bucket, id) up to a few others, one for each of DEPTHS.
+
+    Buckets are parted by the first fields of a piece of the signatures (for depth 0 they stay
+    whole).  In each part the smallest and the largest class are held against all others, so rows
+    grow with the members, not with their pairs; the closest by estimate is tried.
+    """
+    longs = FIELDS * BITS // 64
+    parts = [F.expr(f"struct({d} AS depth, " + (f"shiftrightunsigned(sig[pmod(band * 5 + {d}, {longs})], {64 - BITS * d})" if d else "0L") + " AS part)") for d in DEPTHS]
+    dealt = hot.join(sig.select("id", "sig"), "id").select("band", "bucket", "id", F.explode(F.array(*parts)).alias("d")).select("band", "bucket", "id", "d.depth", "d.part")
+    key = ["band", "bucket", "depth", "part"]
+    ends = dealt.groupBy(*key).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
+    near = F.explode(F.expr("filter(array(lo, hi), x -> x <> id)")).alias("near")
+    pairs = dealt.join(ends, key).select("id", "depth", near).distinct()
+    close = pairs.join(sig, "id").join(sig.toDF("near", "near_n", "near_sig"), "near").filter(closeness("", "near_", threshold, slack))
+    best = close.groupBy("id", "depth").agg(F.max_by("near", F.struct(estimate("sig", "near_sig", longs), -F.col("near"))).alias("near"))
+    return best.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
+
+
+def closeness(mine: str, theirs: str, threshold: int, slack: float | None) -> Column:
+    """Whether two sets may reach the threshold, by their sizes and by the estimate (not with ``slack`` None)."""
+    sizes = F.expr(f"100 * least({mine}n, {theirs}n) >= {threshold} * greatest({mine}n, {theirs}n)")
+    if slack is None:
+        return sizes
+    return sizes & (estimate(f"{mine}sig", f"{theirs}sig", FIELDS * BITS // 64) >= threshold / 100 - slack)
+
+
+def apart(members: DataFrame, sig: DataFrame, bands: DataFrame, threshold: int, slack: float | None) -> DataFrame:
+    """(a, b): all close pairs of a bucket whose classes lie in different components, each pair once.
+
+    Members of a bucket's largest component meet only the others, which are few once the
+    components have grown; a pair belongs to the first of the bands that it shares.
+    """
+    sizes = members.groupBy("band", "bucket", "comp").agg(F.count("*").alias("m")).groupBy("band", "bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+    full = stored(members.join(sizes, ["band", "bucket"]).withColumn("main", F.expr("comp = main")).join(sig, "id").join(bands, "id"), "members")
+    theirs = full.select("band", "bucket", *(F.col(c).alias(f"near_{c}") for c in ("id", "comp", "main", "n", "sig", "bands")))
+    once = F.expr("comp <> near_comp AND (near_main OR id < near_id)")
+    first = F.expr("size(filter(sequence(0, band), k -> bands[k] = near_bands[k])) = 1")
+    pairs = full.filter("NOT main").join(theirs, ["band", "bucket"]).filter(once & closeness("", "near_", threshold, slack) & first)
+    return pairs.select(F.least("id", "near_id").alias("a"), F.greatest("id", "near_id").alias("b"))
 
 
 def grouped(
-    docs: DataFrame, size: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, slack: float = 0.055
+    docs: DataFrame, size: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, slack: float | None = 0.055
 ) -> DataFrame:
-    """One row per document: doc_id, h (the text's hash), n_shingles, component_id, kept.
+    """One row per document: doc_id, h (the text's hash), n_shingles, component_id, kept, and
+    ``stays`` for the one row (doc_id, h) that stands for its group.
 
     ``size``: words of a shingle.  ``threshold``: least similarity in hundredths.
-    ``slack``: how far under the threshold an estimate may lie (four standard deviations).
+    ``slack``: how far under the threshold an estimate may lie (3.7 standard deviations);
+    None confirms all candidates, without estimates.
     """
     shared_dir(docs.sparkSession)
-    longs = FIELDS * BITS // 64
     signed = stored(signatures(docs, size, bands, rows), "signatures")
     # classes are named by their sets: a doc_id may stand on rows with different texts
     row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("row")
-    classes = signed.filter("key IS NOT NULL").groupBy("key").agg(row, F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = stored(classes.select("key", F.xxhash64("key").alias("id"), "row.doc_id", "row.h", "bands", "sig"), "classes")
+    classes = signed.filter("key IS NOT NULL").groupBy("key").agg(row, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    # written once, so the numbers stay whatever is computed anew
+    classes = stored(classes.select("key", F.monotonically_increasing_id().alias("id"), "row.doc_id", "row.h", "n", "bands", "sig"), "classes")
     holders = classes.select("id", "doc_id", "h")
     buckets = stored(classes.select("id", F.posexplode("bands").alias("band", "bucket")), "buckets")
-    shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").drop("n")
+    shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
     hot = stored(buckets.join(shared, ["band", "bucket"]), "hot")
-    sig = stored(classes.select("id", "sig").join(hot.select("id").distinct(), "id"), "sigs")
-    near_sig = sig.toDF("near", "near_sig")
-    close = estimate("sig", "near_sig", longs) >= threshold / 100 - slack
-    # the star: every class with the best first class of its buckets
-    star = (
-        hot.filter("id <> first")
-        .select("id", F.col("first").alias("near"))
-        .distinct()
-        .join(sig, "id")
-        .join(near_sig, "near")
-        .withColumn("estimate", estimate("sig", "near_sig", longs))
-        .filter(close)
-        .groupBy("id")
-        .agg(F.max_by("near", F.struct("estimate", -F.col("near"))).alias("near"))
-    )
-    star = stored(star.select(F.col("near").alias("a"), F.col("id").alias("b")), "star")
-    links = stored(confirmed(star, docs, holders, size, threshold), "confirmed")
+    ids = hot.select("id").distinct()
+    sig = stored(classes.select("id", "n", "sig").join(ids, "id"), "sigs")
+    done = stored(tries(hot, sig, threshold, slack), "tries")
+    links = stored(confirmed(done, docs, holders, size, threshold), "confirmed")
     label = components(links)
-    # what may still join two components: pairs of members of different components in a bucket
-    members = hot.join(sig, "id").join(label, "id", "left")
-    members = members.select("band", "bucket", "id", "sig", F.coalesce("comp", "id").alias("comp"), F.expr("comp IS NOT NULL").alias("linked"))
-    many = members.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "bucket")
-    members = stored(members.join(many, ["band", "bucket"]), "members")
-    near = members.select("band", "bucket", F.col("id").alias("near"), F.col("sig").alias("near_sig"), F.col("comp").alias("other"), F.col("linked").alias("near_linked"))
-    pair = [F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")]
-    # classes without a link yet meet each other in their buckets ...
-    single = members.filter("NOT linked").join(near.filter("NOT near_linked"), ["band", "bucket"]).filter(F.expr("id < near") & close).select(*pair)
-    # ... and the components, as components meet each other: each member once
-    sigs = sig.join(label, "id")
-    groups = members.filter("linked").select("band", "bucket", F.col("comp").alias("other")).distinct()
-    meets = members.filter("NOT linked").select("band", "bucket", "id", "sig").join(groups, ["band", "bucket"]).drop("band", "bucket").dropDuplicates(["id", "other"])
-    side = sigs.select(F.col("id").alias("near"), F.col("sig").alias("near_sig"), F.col("comp").alias("other"))
-    mixed_pairs = meets.join(side, "other").filter(close).select(*pair)
-    across = groups.withColumnRenamed("other", "comp").join(groups, ["band", "bucket"]).filter("comp < other").select("comp", "other").distinct()
-    whole = across.join(sigs, "comp").join(side, "other").filter(close).select(*pair)
-    rest = single.union(mixed_pairs).union(whole).distinct().join(star, ["a", "b"], "left_anti")
-    rest = stored(rest, "rest")
+    # what may still join two components: only buckets of several components matter
+    members = hot.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    several = members.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "bucket")
+    members = stored(members.join(several, ["band", "bucket"]), "several")
+    rest = stored(apart(members, sig, classes.select("id", "bands"), threshold, slack).join(done, ["a", "b"], "left_anti"), "apart")
     if rest.limit(1).count():
-        links = links.union(confirmed(rest, docs, holders, size, threshold))
-        label = components(links)
-    # the smallest doc_id names a component
-    by_class = classes.select("key", "id", "doc_id").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    names = by_class.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_key = by_class.select("key", "comp").join(names, "comp").select("key", "component_id")
+        more = stored(confirmed(rest, docs, holders, size, threshold), "confirmed")
+        if more.limit(1).count():
+            label = components(links.union(more))
+    # the smallest doc_id names a component, and the first of its rows stands for it
+    by_class = classes.select("key", "id", "doc_id", "h").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    names = by_class.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("top"))
+    by_key = by_class.select("key", "comp").join(names, "comp").select("key", "top")
     out = signed.select("doc_id", "h", "n_shingles", "key").join(by_key, "key", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.expr("CASE WHEN key IS NULL THEN doc_id ELSE top.doc_id END")
+    stays = F.expr("key IS NULL OR (doc_id <=> top.doc_id AND h = top.h)")
+    return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), stays.alias("stays"))
 
 
 def clean_documents(docs: DataFrame, **how: int) -> DataFrame:
-    """The rows with the smallest doc_id of each group, with all their columns; of rows that share
-    a doc_id, only those whose own text is a copy go."""
-    rest = grouped(docs, **how).filter("NOT kept").select(F.col("doc_id").alias("_i"), F.col("h").alias("_h")).distinct()
-    return docs.join(rest, docs["doc_id"].cast("long").eqNullSafe(rest["_i"]) & (F.xxhash64(docs["text"]) == rest["_h"]), "left_anti")
+    """One row of each group, with all its columns: the smallest doc_id, of equal ones the smallest
+    hash of the text, of rows alike in both any one; rows without shingles all stay."""
+    found = stored(grouped(docs, **how).select("doc_id", "h", "stays", F.expr("n_shingles > 0").alias("full")), "groups")
+    rest = found.filter("NOT stays").select(F.col("doc_id").alias("_i"), F.col("h").alias("_h")).distinct()
+    same = lambda keys: docs["doc_id"].cast("long").eqNullSafe(keys["_i"]) & (F.xxhash64(docs["text"]) == keys["_h"])
+    again = found.filter("stays AND full").groupBy(F.col("doc_id").alias("_i"), F.col("h").alias("_h")).agg(F.count("*").alias("n")).filter("n > 1").select("_i", "_h")
+    if again.limit(1).count():
+        again = stored(again, "again")
+        once = docs.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
+        rest = rest.union(again)
+        return docs.join(rest, same(rest), "left_anti").unionByName(once)
+    return docs.join(rest, same(rest), "left_anti")
