@@ -1,24 +1,28 @@
 """Chat formatting: tool calls linked with their results.
 
-Calls and results are joined by identifier; a call may come after another (``after``).
-Levels order the calls topologically: a call's level is the number of calls before it in
-its chain, found by pointer doubling, so a chain of n calls takes log2(n) joins and no
-conversation is gathered in a task.  Arguments are validated against the tool's schema and
-everything is written as canonical JSON (sorted keys, no blanks), one row per call, ordered
+Calls and results are joined by identifier; a call may come after several others (``after``,
+an array of identifiers).  Levels order the calls topologically: a call's level is one more
+than the highest level before it.  Runs of calls with one predecessor each are jumped over by
+pointer doubling, so a chain of n calls takes log2(n) joins; calls with several predecessors
+follow in Kahn's rounds, one for each layer of such calls.  No conversation is gathered in a
+task.  Arguments are validated against the tool's schema with their JSON types, and everything
+is written as canonical JSON (keys sorted at every depth, no blanks), one row per call, ordered
 within a conversation by (level, turn).
 
 :func:`formatted` gives whole conversations: turns of other roles (system, tool, none) are
-rows of their own, by their role's name, not linked.  The query op3_chat_format has calls
-and results only, as its SQL.
+rows of their own, by their role's name, not linked.
 
 Defined results: rows of a repeated identifier that differ are rows of their own, numbered
 from the smallest arguments or content: the first keeps the identifier, the n-th gets #n
 behind it, and equal numbers are linked; calls after the identifier follow its first; rows
-that are alike in all columns are one; a result
-without a call and a call without a result are rows too (``linked`` false); a call after
-an unknown one starts a chain (level 0); calls on a cycle have level null; arguments that
-are null or no JSON object are invalid; null identifiers link with nothing and are left
-out; an empty table gives an empty result.
+that are alike in all columns are one; a result without a call and a call without a result
+are rows too (``linked`` false); unknown and null predecessors do not count (a call with no
+other starts at level 0); calls on a cycle, and all that come after one, have level null;
+arguments that are null, no JSON object, followed by more text, or that repeat a key are
+invalid, as are unknown keys and values of another type; what is no JSON stands in the
+result as a string; null identifiers link with nothing and are left out, as are turns
+without a conversation or number; texts may be of any length and stay whole; further columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,34 +30,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, stored, words
+from .common import SPACES, stored, words
 
-#: The schema of the one tool that the query derives from conversations.
+#: The schema of the one tool that the query derives from conversations: type, whether
+#: required, and the bounds of a string's length or a number's value.
 SCHEMAS = {"reply": {"prompt": ("string", True, 1, 4000), "words": ("integer", True, 1, 2000)}}
+#: The types of a schema and how Spark names them.
+TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|DECIMAL.*)", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*"}
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, level): how many calls lie before each in its chain of ``after``."""
-    ids = calls.select(F.col("call_id").alias("after"), F.lit(True).alias("there"))
-    step = calls.select("call_id", "after").join(ids, "after", "left")
-    jump = stored(step.select("call_id", F.expr("CASE WHEN there THEN after END").alias("to"), F.expr("CASE WHEN there THEN 1L ELSE 0L END").alias("level")), "levels")
-    reach, total = 1, calls.count()
-    while reach <= total and jump.filter("to IS NOT NULL").limit(1).count():
-        far = jump.select(F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("level").alias("more"))
-        jump = stored(jump.join(far, "to", "left").select("call_id", F.col("next").alias("to"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "levels")
+    """(call_id, level) of calls (call_id, after: array of identifiers)."""
+    ids = stored(calls.select("call_id", "after"), "order")
+    edges = ids.select("call_id", F.explode(F.array_distinct("after")).alias("before"))
+    edges = stored(edges.join(ids.select(F.col("call_id").alias("before")).distinct(), "before"), "edges")
+    count = edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("before").alias("before"))
+    # a call with one predecessor points to it; all others are their own ends
+    jump = ids.select("call_id").join(count, "call_id", "left")
+    jump = stored(jump.select("call_id", F.expr("CASE WHEN n = 1 THEN before ELSE call_id END").alias("top"), F.expr("CASE WHEN n = 1 THEN 1L ELSE 0L END").alias("steps"), F.expr("NOT (n <=> 1L)").alias("over"), F.coalesce("n", F.lit(0)).alias("n")), "jumps")
+    reach, total = 1, jump.count()
+    while reach <= total and jump.filter("NOT over").limit(1).count():
+        far = jump.select(F.col("call_id").alias("top"), F.col("top").alias("next"), F.col("steps").alias("more"), F.col("over").alias("done"))
+        jump = stored(jump.join(far, "top").select("call_id", F.col("next").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), F.col("done").alias("over"), "n"), "jumps")
         reach *= 2
-    return jump.select("call_id", F.expr("CASE WHEN to IS NULL THEN level END").alias("level"))
+    ends = stored(jump.filter("over AND n <> 1").select(F.col("call_id").alias("top"), "n", F.expr("CASE WHEN n = 0 THEN 0L END").alias("level")), "ends")
+    known = ends.filter("level IS NOT NULL").select("top", "level")
+    open_ = ends.filter("level IS NULL").select("top")
+    way = jump.filter("over").select(F.col("call_id").alias("before"), F.col("top").alias("end"), (F.col("steps") + 1).alias("steps"))
+    if open_.limit(1).count():
+        # Kahn's rounds over the calls with several predecessors, each with its ends and the steps to them
+        need = edges.withColumnRenamed("call_id", "top").join(open_, "top").join(way, "before", "left").select("top", "end", "steps")
+        need = stored(need, "needs")
+        while True:
+            there = known.select(F.col("top").alias("end"), "level")
+            step = need.join(there, "end", "left").groupBy("top").agg(F.max(F.expr("level IS NULL")).alias("waits"), F.max(F.expr("level + steps")).alias("level"))
+            ready = stored(step.filter("NOT waits").select("top", "level"), "ready")
+            if not ready.limit(1).count():
+                break
+            known = known.union(ready)
+            need = stored(need.join(ready.select("top"), "top", "left_anti"), "needs")
+    out = jump.join(known, "top", "left")
+    return out.select("call_id", F.expr("CASE WHEN over THEN level + steps END").alias("level"))
+
+
+def parsed(arguments: str) -> str:
+    """SQL of a whole JSON value as a variant; null for anything else."""
+    # in brackets, as text behind a value is ignored by the parser but is an error within an array
+    whole = f"try_parse_json(concat('[', {arguments}, ']'))"
+    return f"CASE WHEN try_variant_get({whole}, '$[1]', 'variant') IS NULL THEN try_variant_get({whole}, '$[0]', 'variant') END"
 
 
 def fits(arguments: str, name: str, schemas: dict) -> Column:
-    """Whether JSON ``arguments`` hold what the schema of the tool ``name`` asks for."""
+    """Whether the JSON ``arguments`` are an object as the schema of the tool ``name`` asks for."""
+    value = parsed(arguments)
     held = F.lit(False)
     for tool, fields in schemas.items():
-        ok = F.lit(True)
+        keys = ", ".join("'" + k.replace("'", "\\'") + "'" for k in fields)
+        ok = F.expr(f"schema_of_variant({value}) LIKE 'OBJECT%' AND size(array_except(json_object_keys({arguments}), array({keys}))) = 0")
         for key, (kind, required, least, most) in fields.items():
-            value = F.get_json_object(arguments, f"$.{key}")
-            size = F.length(value) if kind == "string" else F.when(value.rlike("^-?[0-9]{1,18}$"), value.cast("long"))
-            ok = ok & F.coalesce(size.between(least, most), F.lit(False) if required else value.isNull())
+            at = f"try_variant_get({value}, '$[\"{key}\"]', '{{0}}')"
+            typed = F.expr(f"schema_of_variant({at.format('variant')})").rlike(f"^{TYPES[kind]}$")
+            if kind == "string":
+                typed = typed & F.length(F.expr(at.format("string"))).between(least, most)
+            elif kind in ("integer", "number"):
+                typed = typed & F.expr(at.format("double")).between(least, most)
+            there = F.array_contains(F.expr(f"json_object_keys({arguments})"), key)
+            ok = ok & F.when(there, F.coalesce(typed, F.lit(False))).otherwise(not required)
         held = F.when(F.col(name) == tool, ok).otherwise(held)
     return F.coalesce(held, F.lit(False))
 
@@ -87,7 +129,8 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> Dat
     out = one.withColumn("is_call", F.lit(True)).join(levels(one), "call_id").join(said, "call_id", "full_outer")
     valid = F.col("is_call").isNotNull() & fits("arguments", "name", schemas)
     out = out.withColumns({"valid": valid, "linked": F.col("is_call").isNotNull() & F.col("r").isNotNull()})
-    body = F.struct("arguments", F.col("r.content").alias("content"), F.col("call_id").alias("id"), "level", "linked", "name", "valid")
+    held = F.expr(f"coalesce({parsed('arguments')}, CAST(arguments AS VARIANT))").alias("arguments")
+    body = F.struct(held, F.col("r.content").alias("content"), F.col("call_id").alias("id"), "level", "linked", "name", "valid")
     return out.select(
         F.coalesce("conv_id", "r.conv_id").alias("conv_id"), F.coalesce("turn", "r.turn").alias("turn"), "call_id", "level", "valid", "linked",
         F.to_json(body, {"ignoreNullFields": "false"}).alias("json"),
@@ -100,7 +143,7 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     ident = lambda shift: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), (F.col("turn") - shift).cast("string"))
     known = conversations.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
     text = F.coalesce("text", F.lit(""))
-    arguments = F.to_json(F.struct(text.alias("prompt"), F.size(words(text, SPACE_WORD)).alias("words")))
-    calls = known.filter("role = 'user'").select("conv_id", "turn", ident(0).alias("call_id"), ident(2).alias("after"), F.lit("reply").alias("name"), arguments.alias("arguments"))
+    arguments = F.to_json(F.struct(text.alias("prompt"), F.size(words(text, SPACES)).alias("words")))
+    calls = known.filter("role = 'user'").select("conv_id", "turn", ident(0).alias("call_id"), F.array(ident(2)).alias("after"), F.lit("reply").alias("name"), arguments.alias("arguments"))
     results = known.filter("role = 'assistant'").select("conv_id", "turn", ident(1).alias("call_id"), text.alias("content"))
     return calls, results

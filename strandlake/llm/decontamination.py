@@ -1,39 +1,42 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows with documents.
 
 A window is a run of ``width`` item words (a shorter item is one window).  All tokens of
-a window must occur, so its necessary prefix is one token: its rarest word, by counts
-over all documents.  Document words join these tokens; the token's place in the window
-and the document's length bound where the window can lie; there the words are compared
-one by one.  Occurrences are merged to intervals, whose words are the hit words.
-
-The windows are broadcast only if the benchmark's words keep them under
-``broadcast_bytes``; otherwise places and windows are joined by a shuffle, and the
-candidates are verified after a second join with the documents.
+a window must occur, so its necessary prefix is one token: the rarest of its words by counts
+over all windows, of equally rare ones the longest.  Document words join these tokens; the
+token's place in the window and the document's length bound where the window can lie; there
+the words are compared one by one.  Occurrences are merged to intervals, whose words are the
+hit words.
+
+Each text is cut into words once: the empty word behind its last one joins a row that every
+document meets, which brings the number of words.  The windows are broadcast only if the
+benchmark's words keep them under ``broadcast_bytes``; otherwise places and windows are
+joined by a shuffle (salted, as a token may be common), and the candidates are verified after
+a second join with the documents.
 
 Defined results: null texts have no words, hit nothing and are not contaminated; rows
 that are alike in ``doc_id`` and ``text`` each get the same result; rows that share only
-the ``doc_id`` are judged apart; items that share a window all count; null item texts
-have no windows; further columns are ignored; empty tables give empty results, or no hits.
+the ``doc_id`` are judged apart; items that share a window all count, and repeated items
+once; null item texts have no windows; a text of any length is read whole, row by row;
+further columns are ignored, and passed through by :func:`clean_documents` under any names;
+empty tables give empty results, or no hits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, ascii_lower, row_key, stored, words
+from .common import NO_ALNUM, ascii_lower, cut, stored, words
 
 WIDTH = 13
 BROADCAST_BYTES = 64 << 20
-
-
-def item_words(text: Column) -> Column:
-    return words(ascii_lower(text), ALNUM_WORD)
+#: Parts of each token's places where windows are not broadcast.
+SALTS = 16
 
 
 def windows_of(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """(window words, item ids): each different window once."""
-    item = benchmark.select(F.col("item_id").cast("string").alias("item_id"), item_words(F.col("text")).alias("w")).filter("size(w) > 0")
+    item = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(ascii_lower(F.col("text")), NO_ALNUM).alias("w")).filter("size(w) > 0")
     starts = item.select("item_id", "w", F.explode(F.expr(f"sequence(0, greatest(size(w) - {width}, 0))")).alias("s"))
     return (
         starts.select("item_id", F.expr(f"slice(w, s + 1, {width})").alias("window"))
@@ -42,37 +45,39 @@ def windows_of(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     )
 
 
-def with_prefix(windows: DataFrame, places: DataFrame, small: bool) -> DataFrame:
-    """Each window with ``token``, its rarest word by ``places``, and ``at``, where it stands."""
-    vocabulary = windows.select(F.explode("window").alias("token")).distinct()
-    found = places.join(F.broadcast(vocabulary) if small else vocabulary, "token").groupBy("token").agg(F.count("*").alias("n"))
-    tokens = windows.select("window", F.posexplode("window").alias("at", "token")).join(F.broadcast(found) if small else found, "token", "left")
-    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "at"))
-    return (
-        tokens.groupBy("window").agg(rarest.alias("r")).select("window", "r.token", "r.at").join(windows, "window").select("window", "items", "token", "at")
-    )
+def with_prefix(windows: DataFrame, small: bool) -> DataFrame:
+    """Each window with ``token``, its rarest word, and ``at``, where it stands; ``small`` windows' words may be broadcast."""
+    tokens = windows.select("window", F.posexplode("window").alias("at", "token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct("n", -F.length("token"), "token", "at"))
+    return tokens.join(F.broadcast(counts) if small else counts, "token").groupBy("window").agg(rarest.alias("r")).select("window", "r.token", "r.at").join(windows, "window")
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(_id, _h, start, stop, items): the places where a window occurs in a document."""
+def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, _h, n_words) of each document, and (doc_id, _h, start, stop, items) of each place
+    where a window occurs; ``_h`` is the text's hash."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), cut(ascii_lower(F.col("text")), NO_ALNUM).alias("w"))
     small = size * width <= broadcast_bytes
-    rows = docs.select(*row_key(), item_words(F.col("text")).alias("w"))
-    places = rows.select("_id", "_h", "w", F.posexplode("w").alias("p", "token"))
-    windows = stored(windows_of(benchmark, width), "windows")
-    windows = stored(with_prefix(windows, places.select("token"), small), "prefixes")
-    inside = (F.col("p") >= F.col("at")) & (F.col("p") - F.col("at") + F.size("window") <= F.size("w"))
-    same = F.expr("slice(w, p - at + 1, size(window)) = window")
+    windows = stored(with_prefix(stored(windows_of(benchmark, width), "windows"), small), "prefixes").select("token", "at", "window", "items")
+    n_words = F.expr("CAST(size(w) - 1 - int(w[0] = '') AS BIGINT)").alias("n_words")
+    same = "slice(w, p - at + 1, size(window)) = window"
+    span = [F.expr("p - at").alias("start"), F.expr("p - at + size(window)").alias("stop"), F.col("items")]
     if small:
-        hits = places.alias("d").join(F.broadcast(windows).alias("b"), (F.col("d.token") == F.col("b.token")) & inside & same)
-    else:
-        places = places.withColumn("n", F.size("w")).drop("w")
-        cand = places.join(windows, "token").filter((F.col("p") >= F.col("at")) & (F.col("p") - F.col("at") + F.size("window") <= F.col("n")))
-        cand = cand.select(F.col("_id").alias("i"), F.col("_h").alias("h"), "p", "at", "window", "items").distinct()
-        hits = rows.dropDuplicates(["_id", "_h"]).join(cand, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("h"))).filter(same)
-    return hits.select(
-        "_id", "_h", (F.col("p") - F.col("at")).alias("start"), (F.col("p") - F.col("at") + F.size("window")).alias("stop"), "items"
-    )
+        end = docs.sparkSession.range(1).selectExpr("'' AS token", "0 AS at", "CAST(array() AS ARRAY<STRING>) AS window", "CAST(array() AS ARRAY<STRING>) AS items")
+        ends = "word = '' AND p = size(w) - 1"
+        inside = f"word <> '' AND p >= at AND p - at + size(window) < size(w) AND {same}"
+        places = rows.select("doc_id", "_h", "w", F.posexplode("w").alias("p", "word"))
+        met = places.join(F.broadcast(windows.union(end)), F.expr(f"word = token AND (({ends}) OR ({inside}))"))
+        met = stored(met.select("doc_id", "_h", F.expr("word = ''").alias("over"), F.when(F.expr("word = ''"), n_words).alias("n_words"), *span), "occurrences")
+        return met.filter("over").select("doc_id", "_h", "n_words"), met.filter("NOT over").drop("over", "n_words")
+    salt = F.pmod(F.xxhash64("doc_id", "_h", "p"), F.lit(SALTS)).alias("salt")
+    places = rows.select("doc_id", "_h", F.size("w").alias("n"), F.posexplode("w").alias("p", "token")).select("*", salt)
+    dealt = windows.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    cand = places.join(dealt, ["token", "salt"]).filter("p >= at AND p - at + size(window) < n")
+    cand = cand.select(F.col("doc_id").alias("i"), F.col("_h").alias("h"), "p", "at", "window", "items").distinct()
+    hits = rows.dropDuplicates(["doc_id", "_h"]).join(cand, F.expr(f"doc_id <=> i AND _h = h AND {same}"))
+    return rows.select("doc_id", "_h", n_words), hits.select("doc_id", "_h", *span)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, one_in: int = 20, **how: int) -> DataFrame:
@@ -80,17 +85,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, one
 
     ``contaminated``: some word is hit, and at least one word of ``one_in`` is.
     """
-    found = occurrences(docs, benchmark, width, **how)
-    before = Window.partitionBy("_id", "_h").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    spans = found.groupBy("_id", "_h", "start", "stop").agg(F.first("items").alias("items"))
+    counts, found = occurrences(docs, benchmark, width, **how)
+    before = Window.partitionBy("doc_id", "_h").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    spans = found.groupBy("doc_id", "_h", "start", "stop").agg(F.first("items").alias("items"))
     fresh = F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0)))
     hit = (
         spans.withColumn("fresh", F.greatest(fresh, F.lit(0)))
-        .groupBy(F.col("_id").alias("i"), F.col("_h").alias("h"))
+        .groupBy(F.col("doc_id").alias("i"), F.col("_h").alias("h"))
         .agg(F.sum("fresh").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
     )
-    counts = docs.select(*row_key(), F.col("doc_id"), F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
-    out = counts.join(hit, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h").eqNullSafe(F.col("h"))), "left")
+    out = counts.join(hit, F.expr("doc_id <=> i AND _h = h"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     items = F.coalesce("item_ids", F.array().cast("array<string>"))
     return out.select(
