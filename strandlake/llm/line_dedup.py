@@ -8,7 +8,8 @@ pages is no hot group; the drop list of a page holds no more than the page's lin
 
 Defined results: a null host is a host of its own; null texts stay null and count as pages
 without lines; blank lines are never dropped; hosts on which a line stands on fewer than
-``min_pages`` pages do not lose it; rows alike in doc_id and text are pages of their own
+``min_pages`` pages do not lose it, nor those that have it on just ``ratio`` of their pages;
+a text of any length is read whole, row by row; rows alike in doc_id and text are pages of their own
 and end alike; an empty table gives an empty result; further columns pass through.
 """
 
@@ -41,7 +42,10 @@ def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.
     return out.select(*(F.col(there).alias(c) for c, there in names.items() if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
 
 
-TAKEN = ["_host", "_line", "_h", "_i", "_drop", "_kept", "n_lines", "n_dropped"]
+TAKEN = ["_host", "_line", "_h", "_i", "_drop", "_kept", "_salt", "n_lines", "n_dropped"]
+#: Boilerplate lines of all hosts up to which they are broadcast (some 60 bytes each, and a host's name).
+BROADCAST_LINES = 200_000
+SALTS = 16
 
 
 def trimmed(docs: DataFrame, host: str, ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
@@ -51,7 +55,14 @@ def trimmed(docs: DataFrame, host: str, ratio: float = 0.05, min_pages: int = 5)
     key = [F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_h"), F.col(host).alias("_host")]
     lines = docs.select(*key, prints.alias("_line"))
     on = lines["_host"].eqNullSafe(bad["_host"]) & (lines["_line"] == bad["_line"])
-    drop = lines.join(bad, on).select("_i", "_h", lines["_host"], lines["_line"]).groupBy("_i", "_h", "_host").agg(F.collect_set("_line").alias("_drop"))
+    if bad.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        found = lines.join(F.broadcast(bad), on)
+    else:
+        # a line may stand on each page of a host: its pages are dealt to several tasks
+        lines = lines.withColumn("_salt", F.pmod(F.xxhash64("_i", "_h"), F.lit(SALTS)))
+        bad = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        found = lines.join(bad, lines["_host"].eqNullSafe(bad["_host"]) & (lines["_line"] == bad["_line"]) & (lines["_salt"] == bad["_salt"]))
+    drop = found.select("_i", "_h", lines["_host"], lines["_line"]).groupBy("_i", "_h", "_host").agg(F.collect_set("_line").alias("_drop"))
     same = docs["doc_id"].eqNullSafe(drop["_i"]) & (F.xxhash64(docs["text"]) == drop["_h"]) & docs[host].eqNullSafe(drop["_host"])
     out = docs.join(drop, same, "left")
     bare = f"trim(BOTH {BLANKS} FROM l)"
