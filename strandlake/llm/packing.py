@@ -8,8 +8,8 @@ tree over the remaining capacities finds the tightest open window for each piece
 first.  Only the last windows of a shard stay partly empty.
 
 Defined results: null and empty texts are one id, ``end_id``; repeated rows are packed once
-each; ties go by doc_id and start; an empty table gives an empty result; further columns
-are ignored.
+each; ties go by doc_id, start and checksum; a text of any length is cut into as many windows
+as it fills; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -175,17 +175,18 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def packed(parts: DataFrame, window: int = 4096, shard_pieces: int = 50_000) -> DataFrame:
     """``parts`` with ``sequence_id`` and ``offset``."""
-    parts = stored(parts, "pieces")
+    # numbered when they are written, so that rows alike are dealt to different shards, and the same ones at each try
+    parts = stored(parts.withColumn("number", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-parts.count() // shard_pieces))
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "number"), F.lit(shards)))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        shard = shard.sort_values(["length", "doc_id", "start", "ids_crc32", "number"], ascending=[False, True, True, True, True], kind="stable")
         sequence, offset = best_fit(shard["length"].to_numpy(), window)
         shard["sequence_id"] = (shard["shard"].to_numpy().astype(np.int64) << 40) + sequence
         shard["offset"] = offset
-        return shard.drop(columns="shard")
+        return shard.drop(columns=["shard", "number"])
 
     return dealt.groupBy("shard").applyInPandas(run, schema)
 
