@@ -3,27 +3,30 @@
 Texts are cut into sentences, which are normalised (A-Z in lower case, runs of other ASCII
 characters as one blank) and looked up among known licence sentences.  The identifiers of
 a document's known sentences, in their order, are then matched against ordered rules: a
-rule holds if its identifiers occur one after the other, others between them allowed.
-
-A sentence may be wrapped over lines: each line is looked up among the word runs of the
-known sentences, and runs on neighbouring lines that make up a sentence are that sentence,
-at the place of its first line.  A blank line or an end mark ends a sentence.
-
-The lookup is a broadcast join with the fixed table below, whose size is known; texts do
-not move, only the few matching sentences do.  Defined results: null and empty texts have
-no sentences; a sentence that stands several times counts each time; rows alike in doc_id
-and text share a result; rows of a doc_id with different texts are apart; an empty table
-gives an empty result; further columns are ignored.
+rule holds if all parts of its sentences occur one after the other, others between them
+allowed, and no rule that says more holds (:data:`MORE_SPECIFIC`).
+
+End marks with blanks behind them and blank lines end a sentence.  A line end may end one or
+be a wrap: a sentence may begin at any line and go on over the next lines, up to an end mark.
+It counts at the place of its first line; a sentence and a longer one that begins with it
+both count.
+
+The lookup is a broadcast join of each piece of a text with the beginnings of the sentences
+below, whose size is known; where a sentence goes on behind the next piece, its document is
+read again and compared within the row.  Of all others only the found sentences move.  Defined results: null and empty texts have no sentences; a
+sentence that stands several times counts each time; a text of any length is read whole, row by
+row; rows alike in doc_id and text share a result; rows of a doc_id with different texts are
+apart; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key
+from .common import ascii_lower, row_key, stored
 
 #: Identifier of a licence sentence, and the sentence in its usual form.
 SENTENCES = {
@@ -81,19 +84,72 @@ RULES = [
 ]
 #: Sentences and rules beside those of the table, in the words of the whole licence texts.
 MORE_SENTENCES = {
+    "agpl3-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "boost": "Distributed under the Boost Software License, Version 1.0.",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "cc-by-int": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-nc-int": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-nd-int": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-int": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nd-int": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-sa-int": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl2-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl21-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mit-permission-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "mpl11-grant": 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License.',
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-permission": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
 }
-MORE_RULES = [("MIT", ["mit-permission-full", "mit-as-is"])]
-#: Sentences that are cut in parts, with the part that names the version and has to follow.
-VERSIONS = {"mpl-grant": "mpl-grant+1", "gpl-free-software": "gpl-free-software+1"}
-#: Sentence ends, in SQL strings of Spark: a mark and blanks, or a line end.
-CUT = r"split(regexp_replace(text, '([.!?:;])[ \\t\\r]+', '$1\n'), '\n', -1)"
-PLAIN = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
+MORE_RULES = [
+    ("AGPL-3.0-or-later", ["agpl3-or-later"]),
+    ("BSD-2-Clause", ["bsd-conditions", "bsd-source", "bsd-binary"]),
+    ("BSD-3-Clause", ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("BSL-1.0", ["boost"]),
+    ("CC-BY-4.0", ["cc-by-int"]),
+    ("CC-BY-NC-4.0", ["cc-by-nc-int"]),
+    ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-int"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-int"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-int"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-int"]),
+    ("GPL-2.0", ["gpl2-only"]),
+    ("GPL-2.0-or-later", ["gpl2-or-later"]),
+    ("LGPL-2.1-or-later", ["lgpl21-or-later"]),
+    ("LGPL-3.0-or-later", ["lgpl3-or-later"]),
+    ("MIT", ["mit-permission-full", "mit-as-is"]),
+    ("MPL-1.1", ["mpl11-grant"]),
+    ("Zlib", ["zlib-as-is", "zlib-permission"]),
+]
+#: Licences that do not count beside those that say more.
+MORE_SPECIFIC = {"BSD": ["BSD-2-Clause", "BSD-3-Clause"], "BSD-2-Clause": ["BSD-3-Clause"]}
+#: Sentence ends (a mark, and blanks, a line end or the end behind it) and what is no word, in
+#: regular expressions that Spark and DuckDB both read; \\x01 stands behind an ended piece.
+MARK = r"[.!?:;](?:[ \t\r]*\n|[ \t\r]+|\z)"
+PLAIN = r"[^a-z0-9\x{80}-\x{10FFFF}\x01\n]+"
+
+
+def pieces(sentence: str) -> list[str]:
+    """A sentence of the table, cut and normalised as texts are."""
+    marked = re.sub(r"[.!?:;](?:[ \t\r]*\n|[ \t\r]+|\Z)", "\n", sentence.lower())
+    return [x.strip() for x in re.sub("[^a-z0-9\u0080-\U0010ffff\n]+", " ", marked).split("\n") if x.strip()]
 
 
-def normalised(sentence: str) -> str:
-    """A sentence of the table as the texts are normalised."""
-    return re.sub("[^a-z0-9\u0080-\U0010ffff]+", " ", sentence.lower()).strip()
+def known_sentences() -> dict[str, str]:
+    """Normalised sentences of the table and their identifiers; entries of several sentences are cut as texts are."""
+    known: dict[str, str] = {}
+    for key, entry in (SENTENCES | MORE_SENTENCES).items():
+        for k, part in enumerate(pieces(entry)):
+            known.setdefault(part, f"{key}+{k}" if k else key)
+    return known
+
+
+def rules() -> list[tuple[str, list[str]]]:
+    """All rules, with the identifiers of all parts of their sentences."""
+    known, table = known_sentences(), SENTENCES | MORE_SENTENCES
+    return [(name, [known[part] for x in rule for part in pieces(table[x])]) for name, rule in RULES + MORE_RULES]
 
 
 def rule_pattern(identifiers: list[str]) -> str:
@@ -101,74 +157,51 @@ def rule_pattern(identifiers: list[str]) -> str:
     return "%".join(["", *(f",{x}," for x in identifiers), ""])
 
 
-def known_sentences(entries: dict[str, str] = SENTENCES) -> dict[str, str]:
-    """Normalised sentences of the table and their identifiers; entries of several sentences are cut as texts are."""
-    known: dict[str, str] = {}
-    for key, entry in entries.items():
-        for k, part in enumerate(re.sub(r"([.!?:;])[ \t\r]+", "\\1\n", entry).split("\n")):
-            if normalised(part):
-                known.setdefault(normalised(part), f"{key}+{k}" if k else key)
-    return known
+def heads() -> list[tuple[str, str, str, int]]:
+    """(head, sid, sentence, words): the beginnings of all known sentences."""
+    return [(" ".join(s.split()[:n]), sid, s, len(s.split())) for s, sid in known_sentences().items() for n in range(1, len(s.split()) + 1)]
 
 
-def rules() -> list[tuple[str, list[str]]]:
-    """All rules, with the parts of sentences that name a version."""
-    return [(name, [y for x in rule for y in (x, VERSIONS.get(x)) if y]) for name, rule in RULES + MORE_RULES]
-
-
-def runs() -> list[tuple[str, str, int, int, int]]:
-    """(run, sid, start, stop, words): the word runs of all known sentences."""
-    out = []
-    for sentence, sid in known_sentences(SENTENCES | MORE_SENTENCES).items():
-        w = sentence.split()
-        out += [(" ".join(w[a:b]), sid, a, b, len(w)) for a in range(len(w)) for b in range(a + 1, len(w) + 1)]
-    return out
-
-
-#: Runs of words, in order of their place, to (place, sid) of the sentences that they make up.
-CHAIN = """
-aggregate(parts, struct(CAST(array() AS ARRAY<STRUCT<sid: STRING, stop: INT, place: INT, last: INT>>) AS open, CAST(array() AS ARRAY<STRUCT<place: INT, sid: STRING>>) AS done),
-  (s, x) -> struct(
-    concat(filter(s.open, o -> o.last >= x.place - 1),
-      CASE WHEN x.ended OR x.stop = x.words THEN CAST(array() AS ARRAY<STRUCT<sid: STRING, stop: INT, place: INT, last: INT>>)
-           WHEN x.start = 0 THEN array(struct(x.sid AS sid, x.stop AS stop, x.place AS place, x.place AS last))
-           ELSE transform(filter(s.open, o -> o.last = x.place - 1 AND o.sid = x.sid AND o.stop = x.start),
-                          o -> struct(x.sid AS sid, x.stop AS stop, o.place AS place, x.place AS last)) END) AS open,
-    concat(s.done,
-      CASE WHEN x.stop < x.words THEN CAST(array() AS ARRAY<STRUCT<place: INT, sid: STRING>>)
-           WHEN x.start = 0 THEN array(struct(x.place AS place, x.sid AS sid))
-           ELSE transform(filter(s.open, o -> o.last = x.place - 1 AND o.sid = x.sid AND o.stop = x.start), o -> struct(o.place AS place, x.sid AS sid)) END) AS done),
-  s -> array_sort(s.done))
+#: The candidates ``c`` whose sentence is made up of the pieces from their place on, no end mark before the last one.
+WHOLE = """
+transform(filter(wanted, c -> size(pieces) - c.place > 1 AND
+  exists(sequence(2, greatest(2, least(c.words, size(pieces) - c.place))), k ->
+    NOT exists(slice(pieces, c.place + 1, k - 1), x -> endswith(x, '\u0001')) AND
+    concat_ws(' ', transform(slice(pieces, c.place + 1, k), x -> trim(BOTH ' \u0001' FROM x))) = c.sentence)), c -> struct(c.place AS place, c.sid AS sid))
 """
 
 
+def pieces_of(text: Column) -> Column:
+    """The pieces of a text, normalised but for blanks at their ends; ended ones have \\x01 last."""
+    low = F.replace(ascii_lower(text), F.lit("\x01"), F.lit(" "))
+    return F.split(F.regexp_replace(F.regexp_replace(low, MARK, "\x01\n"), PLAIN, " "), "\n", -1)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_sentences (known ones), sentence_ids, licenses (sorted), comma-joined."""
-    spark = docs.sparkSession
-    table = spark.createDataFrame(runs(), "sentence string, sid string, start int, stop int, words int")
+    table = docs.sparkSession.createDataFrame(heads(), "head string, sid string, sentence string, words int")
     rows = docs.select(*row_key(), "doc_id", "text")
-    cut = rows.select("_id", "_h", F.posexplode(F.expr(CUT)).alias("place", "raw"))
-    parts = (
-        cut.withColumn("sentence", F.trim(F.regexp_replace(ascii_lower(F.col("raw")), PLAIN, " ")))
-        .join(F.broadcast(table), "sentence")
-        .select("_id", "_h", "place", "start", "stop", "sid", "words", F.col("raw").rlike(r"[.!?:;][ \t\r]*$").alias("ended"))
-    )
-    # most runs are common words alone on a line: only those that whole sentences may be made of are gathered
-    key = ["_id", "_h", "sid"]
-    whole = parts.groupBy(*key).agg(
-        F.max(F.expr("start = 0")).alias("head"), F.max(F.expr("stop = words")).alias("tail"), F.array_sort(F.collect_set(F.struct("place", "start", "stop", "sid", "words", "ended"))).alias("parts")
-    ).filter("head AND tail")
-    found = (
-        whole.select("_id", "_h", F.explode(F.expr(CHAIN)).alias("x"))
-        .groupBy(F.col("_id").alias("i"), F.col("_h").alias("h"))
-        .agg(F.array_sort(F.collect_list("x")).alias("s"))
-        .select("i", "h", F.expr("transform(s, x -> x.sid)").alias("ids"))
-    )
-    out = rows.join(found, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("h")), "left")
+    cut = rows.select("_id", "_h", pieces_of(F.col("text")).alias("pieces"))
+    # each piece with the next one, which rules out nearly all beginnings that do not go on
+    pairs = cut.select("_id", "_h", F.posexplode(F.arrays_zip(F.col("pieces").alias("piece"), F.expr("slice(pieces, 2, size(pieces))").alias("next"))).alias("place", "x"))
+    pairs = pairs.select("_id", "_h", "place", F.col("x.piece").alias("piece"), F.expr("trim(BOTH ' \u0001' FROM x.piece)").alias("bare"), F.expr("concat(trim(BOTH ' \u0001' FROM x.piece), ' ', trim(BOTH ' \u0001' FROM x.next))").alias("two"))
+    on = "bare = head AND (head = sentence OR (NOT endswith(piece, '\u0001') AND (two = sentence OR startswith(sentence, concat(two, ' ')))))"
+    met = stored(pairs.join(F.broadcast(table), F.expr(on)).select("_id", "_h", "place", "sid", "sentence", "words", F.expr("head = sentence").alias("whole")), "sentences")
+    parts = met.filter("NOT whole").groupBy(F.col("_id").alias("i"), F.col("_h").alias("h")).agg(F.collect_set(F.struct("place", "sid", "sentence", "words")).alias("wanted"))
+    # sentences over several lines: their few documents are read again
+    parts = stored(parts, "wrapped")
+    again = rows.join(parts, F.expr("_id <=> i AND _h = h")).select("_id", "_h", "wanted", pieces_of(F.col("text")).alias("pieces"))
+    wrapped = again.select("_id", "_h", F.explode(F.expr(WHOLE)).alias("x"))
+    all_ = met.filter("whole").select("_id", "_h", F.struct("place", "sid").alias("x")).union(wrapped)
+    found = all_.groupBy(F.col("_id").alias("i"), F.col("_h").alias("h")).agg(F.array_sort(F.collect_set("x")).alias("s"))
+    found = found.select("i", "h", F.expr("transform(s, x -> x.sid)").alias("ids"))
+    out = rows.drop("text").join(found, F.expr("_id <=> i AND _h = h"), "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     line = F.concat(F.lit(","), F.array_join(ids, ",,"), F.lit(","))
-    held = [F.when(line.like(rule_pattern(rule)), F.lit(name)) for name, rule in rules()]
-    licenses = F.array_sort(F.array_distinct(F.array_compact(F.array(*held))))
+    held = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(line.like(rule_pattern(rule)), F.lit(name)) for name, rule in rules())))))
+    out = out.select("doc_id", ids.alias("ids"), held.alias("held"))
+    weaker = F.array(*(F.when(F.arrays_overlap("held", F.array(*map(F.lit, more))), F.lit(name)) for name, more in MORE_SPECIFIC.items()))
+    licenses = F.array_except("held", weaker)
     return out.select(
-        "doc_id", F.size(ids).cast("long").alias("n_sentences"), F.array_join(ids, ",").alias("sentence_ids"), F.array_join(licenses, ",").alias("licenses")
+        "doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(licenses, ",").alias("licenses")
     )

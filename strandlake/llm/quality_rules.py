@@ -8,7 +8,7 @@ one projection over the scan: no shuffle, no Python.
 Defined results: null text counts as empty; a text without words has ``n_words`` 0 and
 is ``base_failed``; repeated rows and ties do not influence each other, as each row is
 judged alone; boilerplate phrases count as whole words only ("catalog in" holds no "log
-in"); further columns are passed through by :func:`clean_documents` under any names and
+in") and in short lines only; a text of any length is judged whole, row by row; further columns are passed through by :func:`clean_documents` under any names and
 are never read; :func:`with_rules` replaces those named as its own; an empty table gives an empty result.
 """
 
@@ -39,6 +39,12 @@ BOILERPLATE = [
     "terms of use",
 ]
 
+#: Blanks of a line up to which a phrase tells that the line is no text.
+SHORT_LINE = 20
+#: A phrase between ends of the line or characters that are no letter and no digit.
+PHRASE = "(^|[^0-9a-zß-öø-ɏ])(" + "|".join(BOILERPLATE) + ")($|[^0-9a-zß-öø-ɏ])"
+
+
 def _without(text: str, chars: list[str]) -> str:
     for c in chars:
         text = f"replace({text}, '{c}', '')"
@@ -46,12 +52,12 @@ def _without(text: str, chars: list[str]) -> str:
 
 
 #: The rules of one line ``l`` that is free of outer blanks, in SQL that Spark and DuckDB both read
-#: (octet_length is DuckDB's strlen).
+#: (octet_length is DuckDB's strlen, regexp_like its regexp_matches).
 LINE_FAILS = {
     "navigation": "octet_length(l) - octet_length(replace(l, '|', '')) >= 2",
     "symbols": f"100 * (octet_length(l) - octet_length({_without('l', list(SYMBOLS))})) > 10 * octet_length(l)",
     "exclamation": "octet_length(l) - octet_length(replace(l, '!!', '')) >= 6",
-    "boilerplate": " OR ".join(f"lower(l) LIKE '%{x}%'" for x in BOILERPLATE),
+    "boilerplate": f"octet_length(l) - octet_length(replace(l, ' ', '')) <= {SHORT_LINE} AND regexp_like(lower(l), '{PHRASE}')",
     "punctuation": "instr('.!?:;…\"”’»)', right(l, 1)) = 0 AND octet_length(l) - octet_length(replace(l, ' ', '')) >= {open_words}",
 }
 
@@ -60,12 +66,6 @@ def fails(open_words: int) -> str:
     return " OR ".join(f"({x.replace('{open_words}', str(open_words))})" for x in LINE_FAILS.values())
 
 
-def fails_by_words(open_words: int) -> str:
-    """The rules with phrases at word bounds."""
-    bounds = r"lower(l) RLIKE '(?<![\\p{L}\\p{N}])(" + "|".join(BOILERPLATE) + r")(?![\\p{L}\\p{N}])'"
-    return fails(open_words).replace(f"({LINE_FAILS['boilerplate']})", f"(({LINE_FAILS['boilerplate']}) AND {bounds})")
-
-
 MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
 HELPERS = ["_text", "_bare", "_words", "_raw", "_lines", "_grams", "_twice", "_sorted", "_places", "_marked", "_low", "_named", "_good"]
 
@@ -140,7 +140,7 @@ def judged(
             "_marked": F.expr("_named OR n_symbols > 0 OR contains(_text, '!!')"),
         }
     )
-    rules, last = fails_by_words(open_words), LINE_FAILS["punctuation"].replace("{open_words}", str(open_words))
+    rules, last = fails(open_words), LINE_FAILS["punctuation"].replace("{open_words}", str(open_words))
     step = step.withColumn("_good", F.expr(f"CASE WHEN _marked THEN filter(_lines, l -> NOT ({rules})) ELSE filter(_lines, l -> NOT ({last})) END"))
     step = step.withColumn("base_failed", F.expr(f"n_words < {min_words} OR n_repeat_words > {max_repeated}D * n_words"))
     held = "CAST(aggregate({0}, 0L, (n, l) -> n + length(l)) AS DOUBLE)"

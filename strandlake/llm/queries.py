@@ -13,55 +13,56 @@ from .common import table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     out = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     sha = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
     return out.select("doc_id", "n_words", "n_hit", "n_items", sha, "contaminated")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.linked(*chat_format.calls_of(table(spark, sf_dir, "conversations")))
+    """All turns; a row without a level (no call, or one on a cycle) has -1."""
+    return chat_format.formatted(table(spark, sf_dir, "conversations")).withColumn("level", F.coalesce("level", F.lit(-1).cast("long")))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = table(spark, sf_dir, "pages", heavy=True).select("page_id", "url", "html")
     return html_extraction.extracted(pages, html_extraction.train(pages))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return license_scan.scan(table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "source", "text")
     out = line_dedup.without_boilerplate(docs, host="source")
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     return quality_gam.scored(docs, quality_gam.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     return quality_rules.with_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, threshold=80)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", heavy=True), size=4, threshold=80)
 
 
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -85,21 +86,25 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 OP3_SQL = f"""
-WITH k AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-c AS (SELECT conv_id, turn, min('{{"prompt":' || to_json(text) || ',"words":' || len({_SPACED.format('text')}) || '}}') AS arguments,
-             arg_min(text, '{{"prompt":' || to_json(text) || ',"words":' || len({_SPACED.format('text')}) || '}}') AS prompt FROM k WHERE role = 'user' GROUP BY 1, 2),
-r AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content FROM k WHERE role = 'assistant' GROUP BY 1, 2),
-isle AS (SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS isle FROM c),
+WITH k AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c0 AS (SELECT conv_id, turn, text AS prompt, '{{"prompt":' || to_json(text) || ',"words":' || len({_SPACED.format('text')}) || '}}' AS arguments FROM k WHERE role = 'user'),
+c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY arguments) AS n FROM c0),
+r AS (SELECT conv_id, turn - 1 AS turn, text AS content, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS n FROM k WHERE role = 'assistant'),
+isle AS (SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS isle FROM (SELECT DISTINCT conv_id, turn FROM c)),
 lev AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, isle ORDER BY turn) - 1 AS level FROM isle),
-j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS id_turn, coalesce(c.turn, r.turn + 1) AS turn, c.arguments, c.prompt, r.content,
+cl AS (SELECT c.*, level FROM c JOIN lev USING (conv_id, turn)),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS id_turn, coalesce(c.turn, r.turn + 1) AS turn, coalesce(c.n, r.n) AS n, c.arguments, c.prompt, r.content,
              CAST(level AS BIGINT) AS level, c.turn IS NOT NULL AS is_call, c.turn IS NOT NULL AND r.turn IS NOT NULL AS linked
-      FROM c JOIN lev USING (conv_id, turn) FULL OUTER JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn),
-v AS (SELECT *, 'call-' || conv_id || '-' || id_turn AS call_id,
-             is_call AND length(prompt) BETWEEN 1 AND 4000 AND len({_SPACED.format('prompt')}) BETWEEN 1 AND 2000 AS valid FROM j)
-SELECT conv_id, turn, call_id, level, valid, linked,
-       '{{"arguments":' || coalesce(CAST(to_json(arguments) AS VARCHAR), 'null') || ',"content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"id":"' || call_id
-       || '","level":' || coalesce(CAST(level AS VARCHAR), 'null') || ',"linked":' || linked || ',"name":' || CASE WHEN is_call THEN '"reply"' ELSE 'null' END || ',"valid":' || valid || '}}' AS json
-FROM v
+      FROM cl c FULL OUTER JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn AND c.n = r.n),
+v AS (SELECT conv_id, turn, 'call-' || conv_id || '-' || id_turn || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS call_id, level, linked, arguments, content,
+             is_call AND length(prompt) BETWEEN 1 AND 4000 AND len({_SPACED.format('prompt')}) BETWEEN 1 AND 2000 AS valid, CASE WHEN is_call THEN 'reply' END AS name FROM j),
+o AS (SELECT conv_id, turn, 'turn-' || conv_id || '-' || turn || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS call_id, CAST(NULL AS BIGINT) AS level, false AS linked,
+             CAST(NULL AS VARCHAR) AS arguments, text AS content, false AS valid, role AS name
+      FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text, role NULLS FIRST) AS n FROM k WHERE coalesce(role NOT IN ('user', 'assistant'), true)))
+SELECT conv_id, turn, call_id, coalesce(level, -1) AS level, valid, linked,
+       '{{"arguments":' || coalesce(arguments, 'null') || ',"content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"id":"' || call_id
+       || '","level":' || coalesce(CAST(level AS VARCHAR), 'null') || ',"linked":' || linked || ',"name":' || coalesce('"' || name || '"', 'null') || ',"valid":' || valid || '}}' AS json
+FROM (SELECT * FROM v UNION ALL BY NAME SELECT * FROM o)
 """
 
 
@@ -108,19 +113,25 @@ def _sql(text: str) -> str:
 
 
 def _license_sql() -> str:
-    table_rows = ", ".join(f"({_sql(p)}, {_sql(k)})" for p, k in license_scan.known_sentences().items())
-    held = ", ".join(f"CASE WHEN line LIKE {_sql(license_scan.rule_pattern(r))} THEN {_sql(n)} END" for n, r in license_scan.RULES)
-    plain = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+    known = license_scan.known_sentences()
+    table_rows = ", ".join(f"({_sql(p)}, {_sql(k)})" for p, k in known.items())
+    held = ", ".join(f"CASE WHEN line LIKE {_sql(license_scan.rule_pattern(r))} THEN {_sql(n)} END" for n, r in license_scan.rules())
+    weaker = " AND ".join(f"NOT (x = {_sql(n)} AND list_has_any(held, [{', '.join(map(_sql, more))}]))" for n, more in license_scan.MORE_SPECIFIC.items())
+    most = max(len(p.split()) for p in known)
     return rf"""
 WITH known(sentence, sid) AS (VALUES {table_rows}),
-cut AS (SELECT doc_id, unnest(s) AS raw, generate_subscripts(s, 1) AS place
-        FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?:;])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS s FROM documents)),
-found AS (SELECT doc_id, place, sid FROM (SELECT doc_id, place, trim(regexp_replace({_ASCII_LOWER.format('raw')}, '{plain}', ' ', 'g')) AS sentence FROM cut) JOIN known USING (sentence)),
-ids AS (SELECT doc_id, list(sid ORDER BY place) AS ids FROM found GROUP BY 1),
-d AS (SELECT doc_id, coalesce(ids, []) AS ids, ',' || array_to_string(coalesce(ids, []), ',,') || ',' AS line FROM documents LEFT JOIN ids USING (doc_id))
-SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
-       array_to_string(list_sort(list_distinct(list_filter([{held}], lambda x: x IS NOT NULL))), ',') AS licenses FROM d
-""".replace("\\\\", "\\")
+low AS (SELECT doc_id, regexp_replace(replace({_ASCII_LOWER.format("coalesce(text, '')")}, chr(1), ' '), '{license_scan.MARK}', chr(1) || chr(10), 'g') AS t FROM documents),
+cut AS (SELECT doc_id, string_split(regexp_replace(t, '{license_scan.PLAIN}', ' ', 'g'), chr(10)) AS raw FROM low),
+lists AS (SELECT doc_id, list_transform(raw, lambda x: trim(x, ' ' || chr(1))) AS s, list_transform(raw, lambda x: x[-1] = chr(1)) AS ended FROM cut),
+place AS (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS place, unnest(ended) AS ended FROM lists),
+upto AS (SELECT doc_id, s, place, coalesce(min(place) FILTER (ended) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), len(s)) AS last FROM place),
+spans AS (SELECT doc_id, place, array_to_string(s[place : k], ' ') AS sentence FROM (SELECT *, unnest(range(place, least(last, place + {most}) + 1)) AS k FROM upto WHERE s[place] <> '')),
+found AS (SELECT DISTINCT doc_id, place, sid FROM spans JOIN known USING (sentence)),
+ids AS (SELECT doc_id, list(sid ORDER BY place, sid) AS ids FROM found GROUP BY 1),
+d AS (SELECT doc_id, coalesce(ids, []) AS ids, ',' || array_to_string(coalesce(ids, []), ',,') || ',' AS line FROM documents LEFT JOIN ids USING (doc_id)),
+h AS (SELECT doc_id, ids, list_sort(list_distinct(list_filter([{held}], lambda x: x IS NOT NULL))) AS held FROM d)
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids, array_to_string(list_filter(held, lambda x: {weaker}), ',') AS licenses FROM h
+"""
 
 
 OP5_SQL = _license_sql()
@@ -137,7 +148,7 @@ sums AS (SELECT doc_id, count(*) AS n_lines, sum(CASE WHEN goes THEN 1 ELSE 0 EN
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM sums
 """
 
-_FAILS = quality_rules.fails(30).replace("octet_length(", "strlen(")
+_FAILS = quality_rules.fails(30).replace("octet_length(", "strlen(").replace("regexp_like(", "regexp_matches(")
 OP9_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, {_SPACED.format('text')} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS raw FROM d),
