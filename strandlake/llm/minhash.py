@@ -10,8 +10,9 @@
 4. Each class is tried with a few others, the closest of two in each part of its buckets
    (:func:`tries`), and confirmed links are merged to components: rows grow with the members
    of buckets, never with their pairs.
-5. Then the close pairs that still lie in different components are all confirmed
-   (:func:`apart`).  Pairs inside a component are not made.
+5. Close pairs that still lie in different components are gathered (:func:`apart`): the
+   closest one of each two components is confirmed first, then all that even then lie in
+   different ones.  Pairs inside a component are not made.
 6. Confirmation intersects the full shingle sets of both texts.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
@@ -169,7 +170,7 @@ def estimate(a: str, b: str, longs: int) -> Column:
 def components(links: DataFrame, partitions: int | None = None) -> DataFrame:
     """(id, comp): for each id in the links (a, b), the smallest id it is connected with.
 
-    Smallest labels pass over the links and then jump to the label's own label, so the
+    Smallest labels pass over the links and then jump twice to the label's own label, so the
     rounds grow with the logarithm of a chain's length.  Each round is a stored table.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -178,9 +179,10 @@ def components(links: DataFrame, partitions: int | None = None) -> DataFrame:
     while True:
         heard = both.join(label.select(F.col("id").alias("a"), F.col("comp").alias("near")), "a").groupBy(F.col("b").alias("id")).agg(F.min("near").alias("near"))
         step = label.join(heard, "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
-        up = label.select(F.col("id").alias("mid"), F.col("comp").alias("top"))
-        new = step.join(up, "mid", "left").select("id", "old", F.least("mid", "top").alias("comp"))
-        new = stored(new, "labels")
+        for _ in range(2):
+            up = label.select(F.col("id").alias("mid"), F.col("comp").alias("top"))
+            step = step.join(up, "mid", "left").select("id", "old", F.least("mid", "top").alias("mid"))
+        new = stored(step.withColumnRenamed("mid", "comp"), "labels")
         moved = new.filter("comp < old").limit(1).count()
         label = new.select("id", "comp")
         if not moved:
@@ -235,7 +237,8 @@ def closeness(mine: str, theirs: str, threshold: int, slack: float | None) -> Co
 
 
 def apart(members: DataFrame, sig: DataFrame, bands: DataFrame, threshold: int, slack: float | None) -> DataFrame:
-    """(a, b): all close pairs of a bucket whose classes lie in different components, each pair once.
+    """(a, b, comp_a, comp_b, close): all close pairs of a bucket whose classes lie in different
+    components, each pair once, with their components and the estimate.
 
     Members of a bucket's largest component meet only the others, which are few once the
     components have grown; a pair belongs to the first of the bands that it shares.
@@ -246,7 +249,9 @@ def apart(members: DataFrame, sig: DataFrame, bands: DataFrame, threshold: int,
     once = F.expr("comp <> near_comp AND (near_main OR id < near_id)")
     first = F.expr("size(filter(sequence(0, band), k -> bands[k] = near_bands[k])) = 1")
     pairs = full.filter("NOT main").join(theirs, ["band", "bucket"]).filter(once & closeness("", "near_", threshold, slack) & first)
-    return pairs.select(F.least("id", "near_id").alias("a"), F.greatest("id", "near_id").alias("b"))
+    one, other = F.struct(F.col("id").alias("id"), "comp"), F.struct(F.col("near_id").alias("id"), F.col("near_comp").alias("comp"))
+    both = pairs.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y"), estimate("sig", "near_sig", FIELDS * BITS // 64).alias("close"))
+    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.comp").alias("comp_a"), F.col("y.comp").alias("comp_b"), "close")
 
 
 def grouped(
@@ -280,12 +285,29 @@ def grouped(
     several = members.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "bucket")
     members = stored(members.join(several, ["band", "bucket"]), "several")
     rest = stored(apart(members, sig, classes.select("id", "bands"), threshold, slack).join(done, ["a", "b"], "left_anti"), "apart")
-    if rest.limit(1).count():
-        more = stored(confirmed(rest, docs, holders, size, threshold), "confirmed")
-        if more.limit(1).count():
-            label = components(links.union(more))
+    # first the closest pair of each two components; then what still lies in different ones
+    ends = [F.least("comp_a", "comp_b").alias("p"), F.greatest("comp_a", "comp_b").alias("q")]
+    best = rest.groupBy(*ends).agg(F.max_by(F.struct("a", "b", "comp_a", "comp_b"), F.struct("close", "a", "b")).alias("x")).select("x.*")
+    best = stored(best, "closest")
+    ties = joined = None
+    for turn in range(2):
+        wanted = best
+        if turn:
+            wanted = rest.join(best.select("a", "b"), ["a", "b"], "left_anti")
+            if joined is not None:
+                for side in ("comp_a", "comp_b"):
+                    wanted = wanted.join(joined.toDF(side, f"{side}_top"), side, "left").withColumn(f"{side}_top", F.coalesce(f"{side}_top", side))
+                wanted = wanted.filter("comp_a_top <> comp_b_top")
+            wanted = stored(wanted.select("a", "b", "comp_a", "comp_b"), "rest")
+        if wanted.limit(1).count():
+            found = stored(confirmed(wanted, docs, holders, size, threshold).join(wanted, ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), "confirmed")
+            if found.limit(1).count():
+                ties = found if ties is None else ties.union(found)
+                joined = components(ties).toDF("comp", "whole")
     # the smallest doc_id names a component, and the first of its rows stands for it
     by_class = classes.select("key", "id", "doc_id", "h").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    if joined is not None:
+        by_class = by_class.join(joined, "comp", "left").withColumn("comp", F.coalesce("whole", "comp"))
     names = by_class.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("top"))
     by_key = by_class.select("key", "comp").join(names, "comp").select("key", "top")
     out = signed.select("doc_id", "h", "n_shingles", "key").join(by_key, "key", "left")
