@@ -11,8 +11,9 @@ other layouts than the table's own are known too.  Scripts, styles, forms' contr
 comments in the markup are no blocks.  Extraction is one Arrow pass, a page at a time.
 
 Defined results: null or empty html and pages without main text give an empty text; cut
-off markup is read as far as it goes; a page may be of any length; repeated rows are
-extracted each; an empty table gives an empty result; further columns are ignored.
+off markup is read as far as it goes; a page may be of any length and nesting; repeated rows
+are extracted each; of equally good labellings the one with less text wins; text for agents
+without scripts (noscript) is a notice, what stands in an object or a formula is text; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +30,20 @@ from pyspark.sql import functions as F
 
 #: Elements without an end tag, inline elements, and elements that hold no text to read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-SILENT = set("button datalist head iframe math noscript object option script select style svg template textarea title".split())
+INLINE = set(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
+)
+SILENT = set("annotation annotation-xml button datalist head iframe noscript option script select style svg template textarea title".split())
 RAW = "script|style|template|noscript|textarea|svg|title"
 #: A self-closed svg is over at once; of unclosed raw elements script and style go to the end, title and textarea to the next tag.
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?!svg\b[^>]*/>)({RAW})\b[^>]*>.*?</\1\s*>|<(?:script|style)\b[^>]*>.*\Z|<(?:title|textarea)\b[^>]*>[^<]*|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+#: A ">" within a quoted value does not end a tag.
+VALUES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
+TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?!svg\b[^>]*/>)({RAW})\b{VALUES}>.*?</\1\s*>|<(?:script|style)\b{VALUES}>.*\Z|<(?:title|textarea)\b{VALUES}>[^<]*"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({VALUES})(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    re.S | re.I,
+)
 #: Elements that may stand in the head; any other, or text, ends it.
 HEAD = {"html", "head", "base", "link", "meta", *RAW.split("|")} - {"svg", "textarea"}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -53,12 +63,30 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     run: list[str] = []
     linked = place = 0
+    # how often each element and each name is open, so that nothing looks through the whole stack
+    tags: dict[str, int] = {}
+    named: dict[str, int] = {}
+
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        stack.append((tag, names))
+        for counts, key in ((tags, tag), *((named, n) for n in names)):
+            counts[key] = counts.get(key, 0) + 1
+
+    def pop() -> str:
+        tag, names = stack.pop()
+        for counts, key in ((tags, tag), *((named, n) for n in names)):
+            counts[key] -= 1
+            if not counts[key]:
+                del counts[key]
+        return tag
 
     def close() -> None:
         nonlocal linked
         text = " ".join(markup.unescape("".join(run)).split())
-        if text and not any(tag in SILENT for tag, _ in stack):
-            out.append(Block(text, tuple(tag for tag, _ in stack if tag not in INLINE), tuple(n for _, names in stack for n in names), linked))
+        if text and SILENT.isdisjoint(tags):
+            parent = next((tag for tag, _ in reversed(stack) if tag not in INLINE), None)
+            path = (*(t for t in tags if t not in INLINE and t != parent), *([parent] if parent else []))
+            out.append(Block(text, path, tuple(named), linked))
         run.clear()
         linked = 0
 
@@ -67,12 +95,12 @@ def blocks(page: str | None) -> list[Block]:
         if not text.isspace():
             leave_head()
         run.append(text)
-        if any(tag == "a" for tag, _ in stack[-4:]):
+        if "a" in tags:
             linked += len(text)
 
     def leave_head() -> None:
-        if any(tag == "head" for tag, _ in stack[:8]):
-            while stack.pop()[0] != "head":
+        if "head" in tags:
+            while pop() != "head":
                 pass
 
     page = page or ""
@@ -89,28 +117,28 @@ def blocks(page: str | None) -> list[Block]:
             if tag == "br":
                 run.append(" ")
             elif tag not in VOID and not m[2]:
-                stack.append((tag, ()))
-            elif m[2] and any(t == tag for t, _ in stack[-8:]):
+                push(tag, ())
+            elif m[2] and tag in tags:
                 while stack[-1][0] != tag and stack[-1][0] in INLINE:
-                    stack.pop()
+                    pop()
                 if stack[-1][0] == tag:
-                    stack.pop()
+                    pop()
             if tag == "hr":
                 close()
             continue
         close()
         while stack and stack[-1][0] in INLINE:  # inline elements end with their block
-            stack.pop()
+            pop()
         if m[2]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if tag in tags:
+                while pop() != tag:
                     pass
         else:
             if stack and stack[-1][0] == "p" or stack and stack[-1][0] == tag and tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
-                stack.pop()
+                pop()
             names = tuple(w.lower() for n in NAMES.findall(m[4]) for w in re.findall(r"[A-Za-z]+", n))
             if not m[4].rstrip().endswith("/"):
-                stack.append((tag, names))
+                push(tag, names)
     if place < len(page):
         take(page[place:])
     close()
