@@ -1,7 +1,14 @@
 """A corpus pipeline of five stages over ``documents``; part of the ``llm`` subpackage.
 
 Each stage takes the documents that its predecessor kept.  All but the last return the
-columns of ``documents``; the last returns the packed pieces.
+columns of ``documents``, whatever else they hold and under any names; the last returns the
+packed pieces.
+
+Defined results: null, empty and blank texts fail the first stage; a text that loses all its
+lines in the second stays, as an empty one; of rows alike in doc_id and text, and of near
+copies under one doc_id, one stays after the third; rows of a doc_id with different texts
+are documents of their own in every stage; a null source is a source of its own; texts may
+be of any length; empty tables give no pieces, an empty benchmark takes no document.
 """
 
 from __future__ import annotations
@@ -49,11 +56,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", heavy=True)
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
     return docs
 
 
-#: SQL has no tokenizer, so the packed rows are tested against a brute-force version instead.
+#: SQL has no tokenizer; tests/llm/test_cases.py compares the packed rows with a version of all five
+#: stages in plain Python.
 ORACLE_SQL = None

@@ -23,6 +23,13 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a scan, dealt to as many tasks as there are cores if it has fewer, as with one file of
+    one row group: the work on a read is far more than its bytes.  Larger scans stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def seed_join(peptides: DataFrame, proteins: DataFrame, k: int, multiplicity: int) -> DataFrame:
     """(doc_id, frame, prot_id, q_pos, r_pos): equal ``k``-mers; a k-mer on more than ``multiplicity``
     protein positions counts at its first one only, which also bounds what a common k-mer yields.

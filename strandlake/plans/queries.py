@@ -31,7 +31,7 @@ def _dna(df: DataFrame) -> F.Column:
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = seeding.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
     return docs.select("doc_id", _dna(docs).alias("dna"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandlake.config import SearchConfig
 from strandlake.functions.sequences import normal_dna, reverse_complement, six_frames
 from strandlake.functions.statistics import ka, read_matrix, ungapped
+from strandlake.operators.seeding import spread
 from strandlake.operators import alignment, chaining, extension, index, postfilter, seeding
 from strandlake.sources import daa
 from strandlake.sources.fasta import first_of_names, read_fasta
@@ -43,7 +44,7 @@ def seeds(reads: DataFrame, proteins: DataFrame, config: SearchConfig, suffixes:
     """The adaptive seeds of all six frames, extended both ways, that reach the least seed score;
     ``suffixes`` of an index spare a large base their making."""
     table, lam, k = scoring(reads.sparkSession, config)
-    return extension.seeds(six_frames(reads.select("doc_id", "dna")), proteins, config.multiplicity, table, lam, k, suffixes=suffixes)
+    return extension.seeds(six_frames(spread(reads.select("doc_id", "dna"))), proteins, config.multiplicity, table, lam, k, suffixes=suffixes)
 
 
 def chains(reads: DataFrame, proteins: DataFrame, config: SearchConfig, suffixes: DataFrame | None = None) -> DataFrame:
@@ -68,7 +69,9 @@ def blastx(reads: DataFrame, proteins: DataFrame, config: SearchConfig = SearchC
     strand = F.when(F.col("strand") == "+", F.col("dna")).otherwise(reverse_complement(F.col("dna")))
     # the least raw score under which no alignment passes the filters
     least = F.greatest(F.ceil((F.log(F.lit(k) * letters * F.length("dna")) - math.log(config.max_evalue)) / lam - 1e-9), F.lit(x_drop), F.lit(1))
-    rows = alignment.gapped(both.withColumns({"dna": strand, "least": least.cast("long")}), table, config.gap_open, config.gap_extend, config.frameshift, x_drop, band)
+    # a chain is a short row, but not its alignment: a given number of partitions is not made less
+    dealt = both.withColumns({"dna": strand, "least": least.cast("long")}).repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = alignment.gapped(dealt, table, config.gap_open, config.gap_extend, config.frameshift, x_drop, band)
     out = postfilter.significant(postfilter.scored(rows, letters, lam, k), config.max_evalue, config.min_coverage)
     return postfilter.not_dominated(out, config.dominance_overlap, config.dominance_score) if config.dominance else out
 
