@@ -73,16 +73,16 @@ def levels(calls: DataFrame) -> DataFrame:
     return out.select("call_id", F.expr("CASE WHEN over THEN level + steps END").alias("level"))
 
 
-def parsed(arguments: str) -> str:
-    """SQL of a whole JSON value as a variant; null for anything else."""
+def parsed(rows: DataFrame, arguments: str = "arguments") -> DataFrame:
+    """``rows`` with ``_value``, a whole JSON value as a variant, or null for anything else."""
     # in brackets, as text behind a value is ignored by the parser but is an error within an array
-    whole = f"try_parse_json(concat('[', {arguments}, ']'))"
-    return f"CASE WHEN try_variant_get({whole}, '$[1]', 'variant') IS NULL THEN try_variant_get({whole}, '$[0]', 'variant') END"
+    whole = rows.withColumn("_whole", F.expr(f"try_parse_json(concat('[', {arguments}, ']'))"))
+    value = "CASE WHEN try_variant_get(_whole, '$[1]', 'variant') IS NULL THEN try_variant_get(_whole, '$[0]', 'variant') END"
+    return whole.withColumn("_value", F.expr(value)).drop("_whole")
 
 
-def fits(arguments: str, name: str, schemas: dict) -> Column:
-    """Whether the JSON ``arguments`` are an object as the schema of the tool ``name`` asks for."""
-    value = parsed(arguments)
+def fits(arguments: str, value: str, name: str, schemas: dict) -> Column:
+    """Whether the JSON ``arguments``, parsed to ``value``, are an object as the schema of the tool ``name`` asks for."""
     held = F.lit(False)
     for tool, fields in schemas.items():
         keys = ", ".join("'" + k.replace("'", "\\'") + "'" for k in fields)
@@ -127,9 +127,10 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> Dat
     one = stored(numbered(calls, ["arguments", "conv_id", "turn", "after", "name"]), "calls")
     said = numbered(results, ["content", "conv_id", "turn"]).select("call_id", F.struct("content", "conv_id", "turn").alias("r"))
     out = one.withColumn("is_call", F.lit(True)).join(levels(one), "call_id").join(said, "call_id", "full_outer")
-    valid = F.col("is_call").isNotNull() & fits("arguments", "name", schemas)
+    out = parsed(out)
+    valid = F.col("is_call").isNotNull() & fits("arguments", "_value", "name", schemas)
     out = out.withColumns({"valid": valid, "linked": F.col("is_call").isNotNull() & F.col("r").isNotNull()})
-    held = F.expr(f"coalesce({parsed('arguments')}, CAST(arguments AS VARIANT))").alias("arguments")
+    held = F.expr("coalesce(_value, CAST(arguments AS VARIANT))").alias("arguments")
     body = F.struct(held, F.col("r.content").alias("content"), F.col("call_id").alias("id"), "level", "linked", "name", "valid")
     return out.select(
         F.coalesce("conv_id", "r.conv_id").alias("conv_id"), F.coalesce("turn", "r.turn").alias("turn"), "call_id", "level", "valid", "linked",

@@ -94,7 +94,7 @@ def test_no_turn_of_a_conversation_is_lost(spark):
     talk = spark.createDataFrame([*rows, rows[1]], "conv_id long, turn long, role string, text string")
     got = {r["call_id"]: r for r in chat_format.formatted(talk).collect()}
     said = {k: (json.loads(r["json"]), r["turn"], r["level"], r["linked"]) for k, r in got.items()}
-    prompts = {k: json.loads(j["arguments"])["prompt"] for k, (j, *_) in said.items() if j["arguments"]}
+    prompts = {k: j["arguments"]["prompt"] for k, (j, *_) in said.items() if j["arguments"]}
     assert prompts == {"call-1-1": "again", "call-1-1#2": "hello", "call-1-3": "bye"}
     assert {k: j["content"] for k, (j, *_) in said.items()} == {
         "turn-1-0": "be kind", "call-1-1": "no", "call-1-1#2": "yes", "call-1-3": None, "turn-1-4": "", "turn-1-5": "lost",
