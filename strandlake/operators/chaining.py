@@ -82,4 +82,7 @@ def linear_chains(found: DataFrame) -> DataFrame:
         return pd.DataFrame([(one["doc_id"], one["prot_id"], one["strand"], *stop, len(kept), seeds)], columns=["doc_id", "prot_id", "strand", "start", "stop", "r_start", "r_stop", "n", "seeds"])
 
     schema = "doc_id long, prot_id long, strand string, start long, stop long, r_start long, r_stop long, n long, seeds array<struct<q: long, r: long>>"
-    return found.select("doc_id", "prot_id", "strand", "nt", "r_pos", "length", "score").groupBy("doc_id", "prot_id", "strand").applyInPandas(run, schema)
+    # many small groups are much work on few bytes: a given number of partitions is not made less
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = found.select("doc_id", "prot_id", "strand", "nt", "r_pos", "length", "score").repartition(tasks, "doc_id", "prot_id", "strand")
+    return dealt.groupBy("doc_id", "prot_id", "strand").applyInPandas(run, schema)
