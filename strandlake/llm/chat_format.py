@@ -40,8 +40,9 @@ TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|DECI
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, level) of calls (call_id, after: array of identifiers)."""
-    ids = stored(calls.select("call_id", "after"), "order")
+    """(call_id, level) of calls (call_id, after: an identifier or an array of them)."""
+    several = calls.schema["after"].dataType.typeName() == "array"
+    ids = stored(calls.select("call_id", (F.col("after") if several else F.array("after")).alias("after")), "order")
     edges = ids.select("call_id", F.explode(F.array_distinct("after")).alias("before"))
     edges = stored(edges.join(ids.select(F.col("call_id").alias("before")).distinct(), "before"), "edges")
     count = edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("before").alias("before"))
