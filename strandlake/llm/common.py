@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +85,25 @@ def aside(docs: DataFrame, taken: list[str]) -> tuple[DataFrame, dict[str, str]]
     clash = {c.lower() for c in taken}
     names = {c: f"{mark}{k}" if c.lower() in clash else c for k, c in enumerate(docs.columns)}
     return docs.select(*(F.col(f"`{c}`").alias(there) for c, there in names.items())), names
+
+
+def finite_vectors(rows: DataFrame, vector: str = "embedding", *keep: str) -> DataFrame:
+    """(keep, v): rows whose ``vector`` is not null and holds finite numbers only, as doubles."""
+    # Spark holds NaN for larger than infinity, so one comparison leaves out both
+    finite = F.expr("v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND abs(x) < double('infinity'))")
+    return rows.select(*keep, F.col(vector).cast("array<double>").alias("v")).filter(finite)
+
+
+def matrix(lists: pa.ChunkedArray, width: int, kind: type = np.float64) -> np.ndarray:
+    """Lists of numbers as the rows of a matrix of ``width`` columns; shorter ones end in zeros."""
+    flat = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = np.diff(flat.offsets.to_numpy()) if len(flat) else np.empty(0, np.int64)
+    values = flat.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
+    out = np.zeros((len(flat), width), kind)
+    out[np.arange(width) < sizes[:, None]] = values
+    return out
+
+
+def widest(*tables: pa.Table) -> int:
+    """The length of the longest list in the columns ``v`` of some tables."""
+    return max((pc.max(pc.list_value_length(t.column("v"))).as_py() or 0 for t in tables if t.num_rows), default=0)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_extraction, license_scan, line_dedup, minhash, packing, quality_gam, quality_rules, token_counts
+from . import chat_format, decontamination, divergence, hard_negatives, hnsw, html_extraction, license_scan, line_dedup, minhash, packing, quality_gam, quality_rules, token_counts
 from .common import table
 
 
@@ -65,6 +65,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", heavy=True), size=4, threshold=80)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    rows = hard_negatives.quantised(table(spark, sf_dir, "embeddings"), label=label)
+    return hard_negatives.mined(rows, F.expr("vec_id % 100 = 0"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents", heavy=True), min_df=3, top=200)
+
+
+def op13_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.search(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), k=10)
+
+
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -178,6 +192,49 @@ comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM comp LEFT JOIN n USING (doc_id)
 """
 
+_VALID = "FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+OP11_SQL = f"""
+WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v {_VALID} AND label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+_SHARE = "1 + (1000000000 * CAST({0} + 1 AS HUGEINT)) // CAST({1} + n_terms AS HUGEINT)"
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, k, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT k) >= 3),
+sized AS (SELECT lang, count(*) AS n_terms, sum(n) AS n_all FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY 1, 2, 3),
+full_c AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, kept.n AS whole
+           FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+shares AS (SELECT f.lang, f.source, term, n, {_SHARE.format('n', 'sum(n) OVER (PARTITION BY f.lang, f.source)')} AS p, {_SHARE.format('whole', 'n_all')} AS q
+           FROM full_c f JOIN sized ON f.lang = sized.lang),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 200
+"""
+
+#: The exact neighbours: equal to what the graphs find where these miss none, as on tables of one shard.
+OP13_SQL = f"""
+WITH r AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v {_VALID} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_reduce(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])), lambda x, y: x + y)) AS score
+      FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
@@ -193,6 +250,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_gam": op8_quality_gam,
         "op9_quality_rules": op9_quality_rules,
         "op10_minhash": op10_minhash,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_hnsw": op13_hnsw,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -205,4 +265,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": OP6_SQL,
         "op9_quality_rules": OP9_SQL,
         "op10_minhash": OP10_SQL,
+        "op11_hard_negatives": OP11_SQL,
+        "op12_source_divergence": OP12_SQL,
+        "op13_hnsw": OP13_SQL,
     }
