@@ -1,13 +1,24 @@
-"""From seeds to chains: the densest diagonal window, the better strand, linear chains."""
+"""From seeds to chains: the densest diagonal window, the better strand, linear chains.
+
+:func:`diagonal_windows` and :func:`strand_choice` are the steps as window functions and aggregates.
+:func:`chains` takes all steps in one pass: seeds are dealt by read and protein and sorted once,
+and kernels go over the bounds of the groups in whole Arrow batches, without a Python call for
+each group.
+"""
 
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Seeds of a group up to which all groups are made linear at once; larger ones go one by one.
+TOGETHER = 256
+
 
 def diagonal_windows(seeds: DataFrame, proteins: DataFrame, weight: str | None = None) -> DataFrame:
     """The densest window of diagonals of each (doc_id, strand, prot_id).
@@ -39,50 +50,138 @@ def strand_choice(windows: DataFrame) -> DataFrame:
     return windows.groupBy("doc_id", "prot_id").agg(best.alias("b")).select("doc_id", "prot_id", "b.*")
 
 
-def best_frame(seeds: DataFrame, proteins: DataFrame) -> DataFrame:
-    """The seeds of one frame for each (doc_id, strand, prot_id): that with the heaviest window, of equals the smallest."""
-    each = seeds.withColumn("doc_id", F.struct("doc_id", "frame"))
-    windows = diagonal_windows(each.withColumn("frame", F.col("doc_id.frame")), proteins, "score")
-    best = windows.groupBy(F.col("doc_id.doc_id").alias("doc_id"), "strand", "prot_id").agg(F.max_by("doc_id.frame", F.struct("n_seeds", -F.abs("doc_id.frame"))).alias("frame"))
-    return seeds.join(best.drop("strand"), ["doc_id", "prot_id", "frame"], "left_semi")
-
-
-def members(seeds: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The seeds that lie in the chosen windows, with their place in the read's strand."""
-    step = seeds.withColumns({"strand": F.when(F.col("frame") > 0, F.lit("+")).otherwise(F.lit("-")), "nt": 3 * F.col("q_pos") + F.abs("frame") - 1})
-    both = step.join(chosen, ["doc_id", "prot_id", "strand"])
-    place = F.col("nt") - 3 * F.col("r_pos") + 3 * F.col("ref_len")
-    return both.filter((place >= F.col("y")) & (place <= F.col("y") + F.col("width")))
-
-
-def linear_chains(found: DataFrame) -> DataFrame:
-    """(doc_id, prot_id, strand, start, stop, r_start, r_stop, n, seeds): the seeds of a window, without
-    those that go backwards against a heavier one, merged to an interval; ``seeds`` (q, r) are the middles
-    of all seeds of the window, those of the chain first, the heaviest first.
-
-    Seeds are taken by score, so that a stray one cannot push out heavier ones.  A group holds the seeds
-    of one read and one protein only, no more than the read's letters.
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(group["score"], group["nt"], group["r_pos"], group["length"], strict=True), key=lambda x: (-x[0], x[1:]))
-        kept: list[tuple[int, int, int]] = []
-        rest = []
-        for _, nt, r, n in rows:
-            k = bisect.bisect(kept, (nt, r, n))
-            if (not k or kept[k - 1][1] <= r) and (k == len(kept) or kept[k][1] >= r):
-                kept.insert(k, (nt, r, n))
+class Seeds:
+    """Seeds of whole groups (read, protein), in order of group, then strand or frame, then diagonal.
+
+    ``part`` numbers the strands (or frames) of all groups, in which windows are sought."""
+
+    def __init__(self, doc: np.ndarray, prot: np.ndarray, frame: np.ndarray, nt: np.ndarray, r: np.ndarray, length: np.ndarray, score: np.ndarray, ref_len: np.ndarray, by_frame: bool) -> None:
+        kind = np.where(frame > 0, 0, 4) + (np.abs(frame) if by_frame else 0)
+        y = nt - 3 * r + 3 * ref_len
+        order = np.lexsort((length, r, nt, y, kind, prot, doc))
+        self.doc, self.prot, self.kind, self.nt, self.r, self.length, self.score, self.ref_len, self.y = (x[order] for x in (doc, prot, kind, nt, r, length, score, ref_len, y))
+        new_group = changes(self.doc, self.prot)
+        self.group = np.cumsum(new_group) - 1
+        self.part_begin = np.flatnonzero(new_group | changes(self.kind))
+        self.part = np.cumsum(new_group | changes(self.kind)) - 1
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first, end) of each part's heaviest window, of equals the first."""
+        width = np.maximum(0.06 * 3 * self.ref_len, 10.0)
+        last = np.floor(self.y + width).astype(np.int64)
+        # parts lie behind each other on one axis, farther apart than any window reaches
+        span = int(last.max()) + 1
+        end = np.searchsorted(self.part * span + self.y, self.part * span + last, side="right")
+        upto = np.concatenate(([0], np.cumsum(self.score)))
+        weight = upto[end] - upto[: len(end)]
+        # the first of equal diagonals has the whole window
+        order = np.lexsort((np.arange(len(end)), -weight, self.part))
+        first = order[self.part_begin]
+        self.weight = weight[first]
+        return first, end[first]
+
+    def chosen(self) -> np.ndarray:
+        """The places of the seeds in the window of each group's best strand (or frame); plus wins ties,
+        then the smaller frame."""
+        first, end = self.windows()
+        owner = self.group[self.part_begin]
+        order = np.lexsort((self.kind[self.part_begin], -self.weight, owner))
+        best = order[changes(owner[order])]
+        size = end[best] - first[best]
+        return np.repeat(first[best], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def linear(group: np.ndarray, nt: np.ndarray, r: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which seeds stay: in the order given, a seed goes if it lies behind in the read and ahead in the
+    protein, or the other way, against one that stays.  ``group`` numbers go up."""
+    begin = np.flatnonzero(changes(group))
+    size = np.diff(np.append(begin, len(group)))
+    kept = np.ones(len(group), bool)
+    for k in range(1, int(size[size <= TOGETHER].max(initial=1))):
+        one = begin[(size > k) & (size <= TOGETHER)] + k
+        mine = np.repeat(one, k)
+        other = mine - np.tile(np.arange(1, k + 1), len(one))
+        held = kept[other]
+        mine, other = mine[held], other[held]
+        before = (nt[other] < nt[mine]) | ((nt[other] == nt[mine]) & ((r[other] < r[mine]) | ((r[other] == r[mine]) & (n[other] <= n[mine]))))
+        against = np.where(before, r[other] > r[mine], r[other] < r[mine])
+        kept[mine[against]] = False
+    for b, s in zip(begin[size > TOGETHER].tolist(), size[size > TOGETHER].tolist(), strict=True):
+        line: list[tuple[int, int, int]] = []
+        for k, x in enumerate(zip(nt[b : b + s].tolist(), r[b : b + s].tolist(), n[b : b + s].tolist(), strict=True), b):
+            at = bisect.bisect(line, x)
+            if (not at or line[at - 1][1] <= x[1]) and (at == len(line) or line[at][1] >= x[1]):
+                line.insert(at, x)
             else:
-                rest.append((nt, r, n))
-        first = set(kept)
-        order = [x[1:] for x in rows if x[1:] in first] + rest
-        seeds = [{"q": int(nt + 3 * (n // 2)), "r": int(r + n // 2)} for nt, r, n in order]
-        one = group.iloc[0]
-        stop = (kept[0][0], max(nt + 3 * n for nt, _, n in kept), kept[0][1], max(r + n for _, r, n in kept))
-        return pd.DataFrame([(one["doc_id"], one["prot_id"], one["strand"], *stop, len(kept), seeds)], columns=["doc_id", "prot_id", "strand", "start", "stop", "r_start", "r_stop", "n", "seeds"])
-
-    schema = "doc_id long, prot_id long, strand string, start long, stop long, r_start long, r_stop long, n long, seeds array<struct<q: long, r: long>>"
-    # many small groups are much work on few bytes: a given number of partitions is not made less
-    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.select("doc_id", "prot_id", "strand", "nt", "r_pos", "length", "score").repartition(tasks, "doc_id", "prot_id", "strand")
-    return dealt.groupBy("doc_id", "prot_id", "strand").applyInPandas(run, schema)
+                kept[k] = False
+    return kept
+
+
+CHAINS = "doc_id long, prot_id long, strand string, start long, stop long, r_start long, r_stop long, n long, seeds array<struct<q: long, r: long>>"
+
+
+def chained(rows: pa.Table, by_frame: bool) -> pa.Table:
+    """CHAINS rows of whole groups of seeds."""
+    doc, prot, frame, q, r, length, score, ref_len = (rows.column(k).to_numpy().astype(np.int64) for k in range(8))
+    s = Seeds(doc, prot, frame, 3 * q + np.abs(frame) - 1, r, length, score, ref_len, by_frame)
+    at = s.chosen()
+    # the heaviest first; equal seeds of two frames cannot be, as the place in the read tells frames apart
+    at = at[np.lexsort((s.length[at], s.r[at], s.nt[at], -s.score[at], s.group[at]))]
+    group, nt, r, n = s.group[at], s.nt[at], s.r[at], s.length[at]
+    kept = linear(group, nt, r, n)
+    begin = np.flatnonzero(changes(group))
+    line = np.flatnonzero(kept)
+    first = np.flatnonzero(changes(group[line]))
+    of = line[first]
+    start, r_start = (np.minimum.reduceat(x[line], first) for x in (nt, r))
+    stop, r_stop = np.maximum.reduceat(nt[line] + 3 * n[line], first), np.maximum.reduceat(r[line] + n[line], first)
+    count = np.diff(np.append(first, len(line)))
+    # all seeds of a window, those of the chain before the others
+    order = np.lexsort((np.arange(len(at)), ~kept, group))
+    middles = pa.StructArray.from_arrays([pa.array((nt + 3 * (n // 2))[order]), pa.array((r + n // 2)[order])], names=["q", "r"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)), pa.int32()), middles)
+    strand = np.where(s.kind[at[of]] < 4, "+", "-")
+    columns = [s.doc[at[of]], s.prot[at[of]], pa.array(strand.tolist(), pa.string()), start, stop, r_start, r_stop, count, lists]
+    return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=[c.split()[0] for c in CHAINS.split(", ")[:9]])
+
+
+def chains(seeds: DataFrame, proteins: DataFrame, by_frame: bool = False) -> DataFrame:
+    """CHAINS of each read and protein: in the heaviest window of its better strand (or, ``by_frame``, of its
+    best frame), the seeds without those that go backwards against a heavier one, merged to an interval;
+    ``seeds`` (q, r) are the middles of all seeds of the window, those of the chain first, the
+    heaviest first.
+
+    Seeds are taken by score, so that a stray one cannot push out heavier ones.  A task holds the seeds of a
+    few Arrow batches and of one read and protein, no more than the read's letters.
+    """
+    lengths = proteins.select("prot_id", F.length("aa").cast("long").alias("ref_len"))
+    placed = seeds.select("doc_id", "prot_id", *(F.col(c).cast("long").alias(c) for c in ("frame", "q_pos", "r_pos", "length", "score"))).join(lengths, "prot_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, prot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # the last group may go on in the next batch
+            new = np.flatnonzero(changes(doc, prot))
+            last = int(new[-1])
+            if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (doc[0], prot[0]) or last:
+                held.append(batch.slice(0, last))
+                yield from chained(pa.Table.from_batches(held), by_frame).combine_chunks().to_batches()
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from chained(pa.Table.from_batches(held), by_frame).combine_chunks().to_batches()
+
+    dealt = placed.select("doc_id", "prot_id", "frame", "q_pos", "r_pos", "length", "score", "ref_len").repartition("doc_id", "prot_id").sortWithinPartitions("doc_id", "prot_id")
+    return dealt.mapInArrow(run, CHAINS)

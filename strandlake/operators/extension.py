@@ -10,20 +10,26 @@ Proteins up to INDEX_LETTERS go to the workers as a sorted suffix array; for lar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import statistics
 from strandlake.operators import index, seeding
+from strandlake.tables import stored
 
 #: Letters of all proteins up to which their suffixes are sorted in each worker (100 bytes a letter).
 INDEX_LETTERS = 500_000
 SCHEMA = "doc_id long, frame int, prot_id long, q_pos int, r_pos int, length int, score long"
 GAP = b"\0" * seeding.LONGEST
+#: Letters of the proteins of a block, and pairs of a group, where seeds come from joins.
+BLOCK_LETTERS, BLOCK_PAIRS = 2_000_000, 500_000
 #: Seeds that are extended at once.
 PIECE = 1 << 18
 
@@ -150,6 +156,11 @@ def least_score(length: np.ndarray, letters: int, lam: float, k: float) -> np.nd
     return np.floor(expected + 0.5).astype(np.int64)
 
 
+def rows_of(doc: np.ndarray, frame: np.ndarray, prot: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    """SCHEMA rows, equal ones once."""
+    return pd.DataFrame({"doc_id": doc, "frame": frame, "prot_id": prot, "q_pos": a, "r_pos": b, "length": length, "score": score}).drop_duplicates()
+
+
 def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np.ndarray, lam: float, k: float, index_letters: int = INDEX_LETTERS, suffixes: DataFrame | None = None) -> DataFrame:
     """(doc_id, frame, prot_id, q_pos, r_pos, length, score) from peptides (doc_id, frame, aa) and
     proteins (prot_id, aa); ``table`` holds the scores by two letters' codes (alignment.score_table)."""
@@ -158,10 +169,6 @@ def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np
     letters = int(proteins.agg(F.coalesce(F.sum(F.length("aa")), F.lit(0))).first()[0])
     x_drop = round(10 / lam)
 
-    def rows_of(doc: np.ndarray, frame: np.ndarray, prot: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, score: np.ndarray) -> pd.DataFrame:
-        out = pd.DataFrame({"doc_id": doc, "frame": frame, "prot_id": prot, "q_pos": a, "r_pos": b, "length": length, "score": score})
-        return out.drop_duplicates()
-
     if letters <= index_letters:
         sent = peptides.sparkSession.sparkContext.broadcast([tuple(r) for r in proteins.collect()])
 
@@ -183,16 +190,45 @@ def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np
 
     query = index.suffixes(peptides.select(F.struct("doc_id", "frame").alias("prot_id"), "aa"), seeding.LONGEST).select(F.col("prot_id").alias("q_id"), F.col("pos").alias("q_pos"), "suffix")
     found = seeding.adaptive_seed_join(query, index.suffixes(proteins, seeding.LONGEST) if suffixes is None else suffixes, multiplicity, small_partitions=True)
-    pairs = found.select("q_id.doc_id", "q_id.frame", "q_pos", "prot_id", F.col("pos").alias("r_pos"))
-    pairs = pairs.join(peptides.withColumnRenamed("aa", "q_aa"), ["doc_id", "frame"]).join(proteins.withColumnRenamed("aa", "r_aa"), "prot_id")
-
-    def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for part in range(0, len(frame), 512):
-                some = frame.iloc[part : part + 512]
-                (q, q0), (r, r0) = joined(some["q_aa"].tolist()), joined(some["r_aa"].tolist())
-                least = least_score(some["q_aa"].str.len().to_numpy(np.int64), letters, lam, k)
-                seed, a, b, length, score = extended(q, r, q0 + some["q_pos"].to_numpy(), r0 + some["r_pos"].to_numpy(), least, x_drop, table)
-                yield rows_of(*(some[c].to_numpy()[seed] for c in ("doc_id", "frame", "prot_id")), a - q0[seed], b - r0[seed], length, score)
-
-    return pairs.select("doc_id", "frame", "q_aa", "prot_id", "r_aa", "q_pos", "r_pos").mapInPandas(extend, SCHEMA).distinct()
+    pairs = stored(found.select("q_id.doc_id", "q_id.frame", F.col("q_pos").cast("int").alias("q_pos"), "prot_id", F.col("pos").cast("int").alias("r_pos")), "pairs")
+    return extended_pairs(pairs, peptides, proteins, letters, table, x_drop, lam, k).distinct()
+
+
+def extended_pairs(pairs: DataFrame, peptides: DataFrame, proteins: DataFrame, letters: int, table: np.ndarray, x_drop: int, lam: float, k: float, block_letters: int = BLOCK_LETTERS, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    """SCHEMA rows of the pairs (doc_id, frame, q_pos, prot_id, r_pos) that reach the least score.
+
+    Pairs are grouped by blocks of proteins and, where a block has many, by chunks of reads.  A group gets
+    each peptide and each protein of its pairs once, however many pairs they are in, so what is
+    shuffled grows with the texts and with the pairs, not with their product.
+    """
+    blocks = max(1, math.ceil(letters / block_letters))
+    block = F.pmod(F.xxhash64("prot_id"), F.lit(blocks)).cast("int")
+    placed = pairs.withColumn("block", block)
+    chunks = placed.groupBy("block").agg(F.ceil(F.count("*") / block_pairs).cast("int").alias("chunks"))
+    placed = placed.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    wide = {"doc_id": "long", "frame": "int", "prot_id": "long", "aa": "string", "q_pos": "int", "r_pos": "int"}
+    filled = lambda rows: rows.select("block", "chunk", *(F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in wide.items()))
+    mine = placed.select("block", "chunk", "doc_id", "frame").distinct().join(peptides, ["doc_id", "frame"])
+    theirs = placed.select("block", "chunk", "prot_id").distinct().join(proteins, "prot_id")
+    all_rows = filled(mine).union(filled(theirs)).union(filled(placed))
+
+    def run(rows: pa.Table) -> pa.Table:
+        pair = rows.filter(pc.is_valid(rows.column("q_pos")))
+        texts = rows.filter(pc.is_valid(rows.column("aa")))
+        q, q_at, q_len = placed_texts(texts.filter(pc.is_valid(texts.column("doc_id"))), ["doc_id", "frame"], pair)
+        r, r_at, _ = placed_texts(texts.filter(pc.is_valid(texts.column("prot_id"))), ["prot_id"], pair)
+        doc, frame, prot, q_pos, r_pos = (pair.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "frame", "prot_id", "q_pos", "r_pos"))
+        seed, a, b, length, score = extended(q, r, q_at + q_pos, r_at + r_pos, least_score(q_len, letters, lam, k), x_drop, table)
+        out = rows_of(doc[seed], frame[seed], prot[seed], a - q_at[seed], b - r_at[seed], length, score)
+        return pa.Table.from_pandas(out, schema=pa.schema([("doc_id", pa.int64()), ("frame", pa.int32()), ("prot_id", pa.int64()), ("q_pos", pa.int32()), ("r_pos", pa.int32()), ("length", pa.int32()), ("score", pa.int64())]), preserve_index=False)
+
+    return all_rows.groupBy("block", "chunk").applyInArrow(run, SCHEMA)
+
+
+def placed_texts(texts: pa.Table, key: list[str], pair: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts behind each other, and for each pair the place and the length of its own."""
+    flat, starts = joined(texts.column("aa").to_pylist())
+    place = {x: n for n, x in enumerate(zip(*(texts.column(c).to_pylist() for c in key), strict=True))}
+    own = np.array([place[x] for x in zip(*(pair.column(c).to_pylist() for c in key), strict=True)], np.int64)
+    size = pc.binary_length(texts.column("aa")).to_numpy().astype(np.int64)
+    return flat, starts[own], size[own]

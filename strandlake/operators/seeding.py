@@ -6,13 +6,17 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequences import common_prefix, kmers
+from strandlake.functions.sequences import kmers
+from strandlake.operators import neighbours
 from strandlake.operators.index import LONGEST
+from strandlake.tables import stored
 
 #: Bytes of the smaller side up to which a join may broadcast it.
 BROADCAST_BYTES = 64 << 20
 #: Different k-mers of the proteins up to which every task knows them (8 bytes each, and their rows).
 KNOWN_KMERS = 200_000
+#: Letters of suffixes that are compared first; most matches are shorter.
+SHORT = 24
 #: Parts in which the reads of a k-mer are joined beyond that.
 SALTS = 8
 
@@ -60,9 +64,8 @@ def adaptive_seed_join(queries: DataFrame, found: DataFrame, multiplicity: int,
     ``small_partitions``: a query suffix whose three-letter prefix starts no more than
     ``multiplicity`` protein suffixes gets all of those instead, with length 3.
 
-    In lexicographic order the longest match is a neighbour, so one window over the union of
-    both sides finds its length; an equi-join on the prefix of that length finds the suffixes.
-    Partitions go by four letters, as shorter matches do not count.
+    Suffixes go to ranges of the sorted order (:mod:`neighbours`) with their first SHORT letters; only
+    those that match on all of these go once more, with ``longest``.
     """
     if small_partitions:
         rare = small(found.groupBy(F.substring("suffix", 1, 3).alias("_p3")).agg(F.count("*").alias("_n")).filter(F.col("_n") <= multiplicity).select("_p3"))
@@ -71,26 +74,13 @@ def adaptive_seed_join(queries: DataFrame, found: DataFrame, multiplicity: int,
         short = mine.join(theirs, "_p3").select("q_id", "q_pos", "prot_id", "pos", F.lit(3).cast("long").alias("len"))
         rest = queries.join(rare, F.substring("suffix", 1, 3) == F.col("_p3"), "left_anti")
         return adaptive_seed_join(rest, found, multiplicity, longest).union(short)
-    ref = found.filter(F.length("suffix") >= 4)
-    starts = small(ref.select(F.substring("suffix", 1, 4).alias("_p")).distinct())
-    both = queries.join(starts, F.substring("suffix", 1, 4) == F.col("_p"), "left_semi").filter(F.length("suffix") >= 4).select("q_id", "q_pos", "suffix", F.lit(None).cast("string").alias("r")).union(
-        ref.select(*(F.lit(None).cast(queries.schema[c].dataType) for c in ("q_id", "q_pos")), "suffix", F.col("suffix"))
-    )
-    order = Window.partitionBy(F.substring("suffix", 1, 4)).orderBy("suffix")
-    near = both.withColumns(
-        {
-            "_l": F.last("r", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "_n": F.first("r", True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-        }
-    ).filter("q_id IS NOT NULL AND (_l IS NOT NULL OR _n IS NOT NULL)")
-    best = near.withColumn("len", F.greatest(common_prefix("suffix", "_l", longest), common_prefix("suffix", "_n", longest))).filter("len > 3")
-    best = best.select("q_id", "q_pos", "len", F.expr("substr(suffix, 1, len)").alias("key"))
-    wanted = best.select("len", "key").distinct()
-    keys = ref.select("prot_id", "pos", "suffix", F.explode(F.expr("sequence(4, length(suffix))")).alias("len"))
-    keys = keys.select("prot_id", "pos", "len", F.expr("substr(suffix, 1, len)").alias("key")).join(wanted, ["len", "key"], "left_semi")
-    many = keys.groupBy("len", "key").agg(F.count("*").alias("n"), F.min(F.struct("prot_id", "pos")).alias("first"))
-    kept = keys.join(many, ["len", "key"]).filter((F.col("n") <= multiplicity) | (F.struct("prot_id", "pos") == F.col("first")))
-    return best.join(kept.select("len", "key", "prot_id", "pos"), ["len", "key"]).select("q_id", "q_pos", "prot_id", "pos", F.col("len").cast("long").alias("len"))
+    columns = ["q_id", "q_pos", "prot_id", "pos", "len"]
+    if longest <= SHORT:
+        return neighbours.matches(queries, found, multiplicity, longest).select(columns)
+    first = stored(neighbours.matches(queries, found, multiplicity, SHORT).select(columns), "seeds")
+    deep = first.filter(F.col("len") == SHORT).select("q_id", "q_pos").distinct()
+    again = neighbours.matches(queries.join(deep, ["q_id", "q_pos"], "left_semi"), found, multiplicity, longest).select(columns)
+    return first.filter(F.col("len") < SHORT).union(again)
 
 
 def suppress_covered(seeds: DataFrame, k: int) -> DataFrame:

@@ -50,11 +50,7 @@ def seeds(reads: DataFrame, proteins: DataFrame, config: SearchConfig, suffixes:
 def chains(reads: DataFrame, proteins: DataFrame, config: SearchConfig, suffixes: DataFrame | None = None) -> DataFrame:
     """The linear seed chain of each read and protein on the better strand; without frame shifts, of the
     frame with the heaviest window."""
-    found = seeds(reads, proteins, config, suffixes)
-    if config.frameshift is None:
-        found = chaining.best_frame(found, proteins)
-    chosen = chaining.strand_choice(chaining.diagonal_windows(found, proteins, "score"))
-    return chaining.linear_chains(chaining.members(found, chosen))
+    return chaining.chains(seeds(reads, proteins, config, suffixes), proteins, by_frame=config.frameshift is None)
 
 
 def blastx(reads: DataFrame, proteins: DataFrame, config: SearchConfig = SearchConfig(), suffixes: DataFrame | None = None) -> DataFrame:
