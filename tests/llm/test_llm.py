@@ -29,7 +29,7 @@ def odd(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     base = duckdb.connect()
-    for t in "documents benchmark conversations pages labels".split():
+    for t in "documents benchmark conversations pages labels embeddings".split():
         base.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got, want = queries.queries()[name](spark, SF), base.execute(queries.oracle_sql()[name]).df()
     columns = sorted(got.columns)
