@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,6 +130,20 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+#: The index that a worker made last, by its broadcast: tasks of one search share it.
+HELD: dict[tuple, Index] = {}
+
+
+def held_index(sent: Broadcast, multiplicity: int) -> Index:
+    rows = sent.value
+    key = id(rows), multiplicity
+    if key not in HELD or HELD[key].rows is not rows:
+        HELD.clear()
+        HELD[key] = Index(rows, multiplicity)
+        HELD[key].rows = rows
+    return HELD[key]
+
+
 def windows(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The letters from each place on, to the end of the text."""
     if not len(at):
@@ -173,7 +188,7 @@ def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np
         sent = peptides.sparkSession.sparkContext.broadcast([tuple(r) for r in proteins.collect()])
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            base = Index(sent.value, multiplicity)
+            base = held_index(sent, multiplicity)
             for frame in frames:
                 for part in range(0, len(frame), 32):
                     some = frame.iloc[part : part + 32]

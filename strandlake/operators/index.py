@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from strandlake.functions.sequences import common_prefix, reduced
 
 #: Letters of a suffix in the index.
 LONGEST = 100
+#: Suffixes made at once.
+PIECE = 1 << 15
 
 
 def suffixes(proteins: DataFrame, longest: int = LONGEST, groups: dict[str, str] | None = None) -> DataFrame:
     """(prot_id, pos, prefix3, suffix): each position with three letters or more left; ``suffix``
     holds its first ``longest`` letters."""
-    letters = proteins.filter(F.length("aa") >= 3).select("prot_id", F.split(reduced(F.col("aa"), groups), "").alias("_a"))
-    place = letters.select("prot_id", "_a", F.explode(F.expr("sequence(0, size(_a) - 3)")).alias("pos"))
-    cut = place.select("prot_id", "pos", F.expr(f"array_join(slice(_a, pos + 1, {longest}), '')").alias("suffix"))
-    return cut.select("prot_id", "pos", F.substring("suffix", 1, 3).alias("prefix3"), "suffix")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 16) for b in batches for k in range(0, b.num_rows, 16)):
+            for row, aa in enumerate(batch.column(1).to_pylist()):
+                for begin in range(0, len(aa) - 2, PIECE):
+                    places = range(begin, min(begin + PIECE, len(aa) - 2))
+                    owner = batch.column(0).take(pa.array(np.full(len(places), row)))
+                    columns = [pa.array(places, pa.int32()), pa.array([aa[k : k + 3] for k in places], pa.string()), pa.array([aa[k : k + longest] for k in places], pa.string())]
+                    yield pa.RecordBatch.from_arrays([owner, *columns], names=["prot_id", "pos", "prefix3", "suffix"])
+
+    letters = proteins.filter(F.length("aa") >= 3).select("prot_id", reduced(F.col("aa"), groups).alias("aa"))
+    new = [StructField("pos", IntegerType()), StructField("prefix3", StringType()), StructField("suffix", StringType())]
+    return letters.mapInArrow(run, StructType([letters.schema["prot_id"], *new]))
 
 
 def sorted_index(found: DataFrame) -> DataFrame:
