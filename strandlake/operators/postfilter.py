@@ -24,17 +24,22 @@ def significant(found: DataFrame, max_evalue: float, min_coverage: int) -> DataF
 
 
 def not_dominated(found: DataFrame, overlap: float = 0.9, share: float = 0.9) -> DataFrame:
-    """Alignments over which no other of the same read lies with a clearly higher score."""
-    mine = found.alias("h1")
-    other = found.select("doc_id", "prot_id", "strand", "q_start", "q_stop", "bitscore").toDF("d", "p", "s", "a", "b", "bits").alias("h2")
-    shared = F.least("q_stop", "b") - F.greatest("q_start", "a")
-    on = (
-        (F.col("doc_id") == F.col("d"))
-        & ((F.col("prot_id") != F.col("p")) | (F.col("strand") != F.col("s")))
-        & (shared > overlap * (F.col("q_stop") - F.col("q_start")))
-        & (share * F.col("bits") > F.col("bitscore"))
-    )
-    return mine.join(other, on, "left_anti")
+    """Alignments over which no other of the same read lies with a clearly higher score, whatever its
+    protein and strand.
+
+    From an ``overlap`` of a half on, an alignment is only dominated by one that covers its middle, so
+    each is sent to the cells of a grid that it covers, and is held against those of its middle's cell
+    only.  Cells are as wide as the read's median alignment; below a half, a read is one cell.
+    """
+    # ``share`` times the other's bits exceeds its own only if the other's are more: no row meets itself
+    size = found.groupBy("doc_id").agg((F.greatest(F.percentile_approx(F.col("q_stop") - F.col("q_start"), 0.5), F.lit(1)) if overlap >= 0.5 else F.lit(1 << 40)).alias("_w"))
+    mine = found.join(size, "doc_id").withColumn("_cell", F.expr("(q_start + q_stop) div 2 div _w")).alias("h1")
+    other = found.select("doc_id", "q_start", "q_stop", "bitscore").distinct().join(size, "doc_id")
+    other = other.select(F.col("doc_id").alias("_d"), F.col("q_start").alias("_a"), F.col("q_stop").alias("_b"), F.col("bitscore").alias("_bits"), F.explode(F.expr("sequence(q_start div _w, q_stop div _w)")).alias("_c"))
+    shared = F.least("q_stop", "_b") - F.greatest("q_start", "_a")
+    more = (F.lit(share) * F.col("_bits") > F.col("bitscore")) & (F.col("_bits") > F.col("bitscore"))
+    on = (F.col("doc_id") == F.col("_d")) & (F.col("_cell") == F.col("_c")) & (shared > F.lit(overlap) * (F.col("q_stop") - F.col("q_start"))) & more
+    return mine.join(other, on, "left_anti").select(found.columns)
 
 
 def merged(volumes: list[DataFrame]) -> DataFrame:

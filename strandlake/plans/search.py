@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from strandlake.operators.seeding import spread
 from strandlake.operators import alignment, chaining, extension, index, postfilter, seeding
 from strandlake.sources import daa
 from strandlake.sources.fasta import first_of_names, read_fasta
+from strandlake.tables import stored
 
 
 def make_db(spark, fasta: str, path: str) -> None:
@@ -79,8 +81,9 @@ def gapped_x_drop(letters: int, lam: float, k: float) -> int:
 
 
 def reads_of(rows: DataFrame, seq: str = "seq", name: str = "id") -> DataFrame:
-    """Reads as the search takes them, from a FASTA or FASTQ table."""
-    return first_of_names(rows, name).select(F.xxhash64(name).alias("doc_id"), F.col(name).alias("id"), normal_dna(F.col(seq)).alias("dna"))
+    """Reads (doc_id, id, dna) as the search takes them, from a FASTA or FASTQ table, numbered once and stored."""
+    once = first_of_names(rows, name).select(F.col(name).alias("id"), normal_dna(F.col(seq)).alias("dna"))
+    return stored(once.select(F.monotonically_increasing_id().alias("doc_id"), "id", "dna"), "reads")
 
 
 def named(found: DataFrame, reads: DataFrame, proteins: DataFrame) -> DataFrame:
@@ -94,11 +97,17 @@ def named(found: DataFrame, reads: DataFrame, proteins: DataFrame) -> DataFrame:
 def merge_archives(spark, paths: list[str], path: str, config: SearchConfig) -> None:
     """One archive from several of the same reads: equal alignments once, dominated ones left out if the
     configuration says so, names and lengths of all subjects."""
-    heads = [daa.read_headers(spark, p).agg(F.max("db_seqs").alias("n"), F.max("db_letters").alias("l"), F.max("lambda"), F.max("k")).first() for p in paths]
-    sequences, letters = sum(h[0] for h in heads), sum(h[1] for h in heads)
-    lam, k = heads[0][2], heads[0][3]
+    same = [c for c in daa.HEADER_FIELDS if c in ("gap_open", "gap_extend", "shift", "k", "lambda", "matrix")]
+    # an archive without volumes holds nothing to merge
+    heads = [h for p in paths for h in daa.read_headers(spark, p).groupBy(*same).agg(F.max("db_seqs").alias("n"), F.max("db_letters").alias("l")).collect()]
+    if len({tuple(h[c] for c in same) for h in heads}) > 1:
+        raise ValueError(f"the archives {', '.join(paths)} differ in their matrix, penalties or statistics; their scores cannot be compared")
+    sequences, letters = sum(h["n"] for h in heads), sum(h["l"] for h in heads)
+    lam, k = (heads[0]["lambda"], heads[0]["k"]) if heads else (0.0, 0.0)
+    if heads:
+        config = replace(config, matrix=heads[0]["matrix"], gap_open=heads[0]["gap_open"], gap_extend=heads[0]["gap_extend"], frameshift=heads[0]["shift"])
     found = postfilter.merged([daa.read_daa(spark, p) for p in paths])
-    if config.dominance:
+    if config.dominance and heads:
         scored = postfilter.scored(found, letters, lam, k).withColumns({"doc_id": F.col("read_name"), "prot_id": F.col("subject")})
         found = postfilter.not_dominated(scored, config.dominance_overlap, config.dominance_score).select(found.columns)
     daa.write_daa(found, path, sequences, letters, config, lam, k)

@@ -215,6 +215,12 @@ def read_daa(spark: SparkSession, path: str, table: np.ndarray | None = None) ->
     return volumes_of(spark, path).select("content").mapInPandas(run, SCHEMA)
 
 
+#: What a volume's header tells.
+HEADER_FIELDS = {
+    "db_seqs": "long", "db_seqs_used": "long", "db_letters": "long", "reads": "long", "gap_open": "int", "gap_extend": "int", "shift": "int", "k": "double", "lambda": "double", "matrix": "string",
+}
+
+
 def volumes_of(spark: SparkSession, path: str) -> DataFrame:
     """The files of an archive, none of the writer's marks."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).filter("length > 0")
@@ -222,7 +228,7 @@ def volumes_of(spark: SparkSession, path: str) -> DataFrame:
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """A row per volume: path, db_seqs, db_seqs_used, db_letters, reads, penalties, statistics and matrix."""
-    schema = "path string, db_seqs long, db_seqs_used long, db_letters long, reads long, gap_open int, gap_extend int, shift int, k double, lambda double, matrix string"
+    schema = ", ".join(f"{c} {t}" for c, t in {"path": "string", **HEADER_FIELDS}.items())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

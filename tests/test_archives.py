@@ -124,6 +124,18 @@ def test_merged_archives_hold_each_alignment_once(spark, searched):
     assert rows("both") == rows("daa")
 
 
+def test_merging_of_empty_and_unlike_archives(spark, searched, tmp_path):
+    (tmp_path / "empty").mkdir()
+    cli.main(["merge", "-i", str(tmp_path / "empty"), str(searched / "daa"), "-o", str(tmp_path / "one")])
+    rows = lambda p: sorted(map(tuple, daa.read_daa(spark, str(p)).collect()))
+    assert rows(tmp_path / "one") == rows(searched / "daa")
+    cli.main(["merge", "-i", str(tmp_path / "empty"), "-o", str(tmp_path / "none")])
+    assert rows(tmp_path / "none") == []
+    cli.main(["blastx", "-i", str(searched / "reads.fa"), "-d", str(searched / "db"), "-o", str(tmp_path / "other"), "-F", "20"])
+    with pytest.raises(ValueError, match="differ"):
+        cli.main(["merge", "-i", str(tmp_path / "other"), str(searched / "daa"), "-o", str(tmp_path / "mixed")])
+
+
 def test_pairwise_text_and_xml(spark, searched, files):
     _, proteins, _ = files
     cli.main(["convert", "-i", str(searched / "daa"), "-o", str(searched / "text"), "--format", "pairwise"])

@@ -188,6 +188,20 @@ def test_dominated_alignments_go(spark):
     assert postfilter.not_dominated(left).count() == 3
 
 
+@pytest.mark.parametrize("overlap, share", [(0.9, 0.9), (0.0, 1.0), (0.5, 0.7)])
+def test_dominance_holds_within_a_protein(spark, overlap, share):
+    rng = random.Random(3)
+    rows = [(1, 1, "+", 0, 300, 200.0), (1, 1, "+", 10, 90, 30.0)]
+    for _ in range(300):
+        start = rng.randrange(400)
+        rows.append((rng.randrange(2, 5), rng.randrange(3), rng.choice("+-"), start, start + rng.choice([1, 9, 40, 300]), float(rng.randrange(1, 60))))
+    rows += rows[-5:]
+    left = postfilter.not_dominated(spark.createDataFrame(rows, "doc_id long, prot_id long, strand string, q_start long, q_stop long, bitscore double"), overlap, share)
+    beats = lambda b, a: b[0] == a[0] and min(a[4], b[4]) - max(a[3], b[3]) > overlap * (a[4] - a[3]) and share * b[5] > a[5]
+    want = sorted(a for a in rows if not any(beats(b, a) for b in rows))
+    assert sorted(tuple(r) for r in left.collect()) == want and (1, 1, "+", 10, 90, 30.0) not in want
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">one first\nACGT\nacgu\n>two\nNNACGT\n>one\nTT\n")
     rows = fasta.first_of_names(fasta.read_fasta(spark, str(tmp_path / "a.fa")))
