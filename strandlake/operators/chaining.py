@@ -9,7 +9,7 @@ each group.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +166,63 @@ def chains(seeds: DataFrame, proteins: DataFrame, by_frame: bool = False) -> Dat
     lengths = proteins.select("prot_id", F.length("aa").cast("long").alias("ref_len"))
     placed = seeds.select("doc_id", "prot_id", *(F.col(c).cast("long").alias(c) for c in ("frame", "q_pos", "r_pos", "length", "score"))).join(lengths, "prot_id")
 
+    ordered = placed.select("doc_id", "prot_id", "frame", "q_pos", "r_pos", "length", "score", "ref_len")
+    return whole_groups(ordered, lambda rows: iter(chained(rows, by_frame).combine_chunks().to_batches()), CHAINS)
+
+
+MERGED = "doc_id long, prot_id long, strand string, frame int, q_start long, q_stop long, r_start long, r_stop long, score long"
+
+
+def merge(doc: np.ndarray, prot: np.ndarray, frame: np.ndarray, nt: np.ndarray, r: np.ndarray, length: np.ndarray, score: np.ndarray) -> list[np.ndarray]:
+    """Columns of MERGED, but for the strand, of whole groups (read, protein, strand) of seeds.
+
+    Along the read: a seed that begins within the one before it, on its diagonal and in its frame, is one with
+    it, with the higher score of both; a seed that lies within the one before it in read and protein goes,
+    until none does; of what still overlaps in the read, the later one begins whole codons later.
+    """
+    kind = frame < 0
+    order = np.lexsort((length, frame, r, nt, kind, prot, doc))
+    doc, prot, frame, kind, nt, r, length, score = (x[order] for x in (doc, prot, frame, kind, nt, r, length, score))
+    new = changes(doc, prot, kind)
+    ahead = np.diff(nt, prepend=0)
+    joined = ~new & ~changes(frame) & (ahead == 3 * np.diff(r, prepend=0)) & (ahead < 3 * np.concatenate(([0], length[:-1])))
+    first = np.flatnonzero(~joined)
+    last = np.append(first[1:], len(nt)) - 1
+    doc, prot, frame, kind, start, r_start = (x[first] for x in (doc, prot, frame, kind, nt, r))
+    r_stop, score = r[last] + length[last], np.maximum.reduceat(score, first)
+    stop = start + 3 * (r_stop - r_start)
+    while True:
+        inside = np.zeros(len(start), bool)
+        inside[1:] = (start[1:] >= start[:-1]) & (stop[1:] <= stop[:-1]) & (r_start[1:] >= r_start[:-1]) & (r_stop[1:] <= r_stop[:-1])
+        inside &= ~changes(doc, prot, kind)
+        if not inside.any():
+            break
+        doc, prot, frame, kind, start, stop, r_start, r_stop, score = (x[~inside] for x in (doc, prot, frame, kind, start, stop, r_start, r_stop, score))
+    cut = np.where(changes(doc, prot, kind), 0, np.maximum(np.concatenate(([0], stop[:-1])) - start, 0))
+    cut = np.minimum(-(-cut // 3) * 3, stop - start)
+    left = start + cut < stop
+    return [x[left] for x in (doc, prot, frame, start + cut, stop, r_start + cut // 3, r_stop, score)]
+
+
+def merged(seeds: DataFrame) -> DataFrame:
+    """MERGED seeds of (doc_id, frame, prot_id, q_pos, r_pos, length, score); see :func:`merge`.
+
+    A task holds the seeds of a few Arrow batches and of one read and protein."""
+    columns = ["doc_id", "prot_id", "frame", "q_pos", "r_pos", "length", "score"]
+
+    def of_groups(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        doc, prot, frame, q, r, length, score = (rows.column(c).to_numpy() for c in columns)
+        out = merge(doc, prot, frame, 3 * q + np.abs(frame) - 1, r, length, score)
+        strand = pa.array(np.where(out[2] > 0, "+", "-").tolist(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), strand, pa.array(out[2].astype(np.int32)), *map(pa.array, out[3:])], names=[c.split()[0] for c in MERGED.split(", ")])
+
+    placed = seeds.select(*(F.col(c).cast("long").alias(c) for c in columns))
+    return whole_groups(placed, of_groups, MERGED)
+
+
+def whole_groups(rows: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work`` on tables of whole groups (doc_id, prot_id; the first two columns), a few Arrow batches at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -173,15 +230,13 @@ def chains(seeds: DataFrame, proteins: DataFrame, by_frame: bool = False) -> Dat
                 continue
             doc, prot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             # the last group may go on in the next batch
-            new = np.flatnonzero(changes(doc, prot))
-            last = int(new[-1])
+            last = int(np.flatnonzero(changes(doc, prot))[-1])
             if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (doc[0], prot[0]) or last:
                 held.append(batch.slice(0, last))
-                yield from chained(pa.Table.from_batches(held), by_frame).combine_chunks().to_batches()
+                yield from work(pa.Table.from_batches(held))
                 held = []
             held.append(batch.slice(last))
         if held:
-            yield from chained(pa.Table.from_batches(held), by_frame).combine_chunks().to_batches()
+            yield from work(pa.Table.from_batches(held))
 
-    dealt = placed.select("doc_id", "prot_id", "frame", "q_pos", "r_pos", "length", "score", "ref_len").repartition("doc_id", "prot_id").sortWithinPartitions("doc_id", "prot_id")
-    return dealt.mapInArrow(run, CHAINS)
+    return rows.repartition("doc_id", "prot_id").sortWithinPartitions("doc_id", "prot_id").mapInArrow(run, schema)

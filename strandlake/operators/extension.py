@@ -28,6 +28,8 @@ from strandlake.tables import stored
 #: Letters of all proteins up to which their suffixes are sorted in each worker (100 bytes a letter).
 INDEX_LETTERS = 500_000
 SCHEMA = "doc_id long, frame int, prot_id long, q_pos int, r_pos int, length int, score long"
+#: With the position in the peptide and the letters of the match that a seed was extended from.
+ORIGIN = SCHEMA + ", at int, match int"
 GAP = b"\0" * seeding.LONGEST
 #: Letters of the proteins of a block, and pairs of a group, where seeds come from joins.
 BLOCK_LETTERS, BLOCK_PAIRS = 2_000_000, 500_000
@@ -97,15 +99,15 @@ class Index:
         self.four = np.zeros(1 << 20, bool)
         self.four[prefix(self.flat, self.place, 4)] = True
 
-    def matches(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a joined text, of those in ``at``, and the places in the proteins that they match."""
+    def matches(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in a joined text, of those in ``at``, the places in the proteins that they match, and on how many letters."""
         n = self.small[prefix(flat, at, 3)]
         rare, rest = at[(n > 0) & (n <= self.m)], at[(n > self.m) & self.four[prefix(flat, at, 4)]]
         code = prefix(flat, rare, 3)
         by = np.argsort(self.code, kind="stable")
         low = np.searchsorted(self.code, code, sorter=by)
         owner, spot = spread(low, self.small[code])
-        out = [(rare[owner], self.place[by[spot]])]
+        out = [(rare[owner], self.place[by[spot]], np.full(len(owner), 3))]
         if len(rest):
             key = windows(flat, rest)
             mine = key.view(np.uint8).reshape(len(rest), -1)
@@ -122,11 +124,11 @@ class Index:
             low, high = np.searchsorted(self.sorted, bound(0)), np.searchsorted(self.sorted, bound(127), side="right")
             few = high - low <= self.m
             owner, spot = spread(low[few], (high - low)[few])
-            out.append((rest[few][owner], self.place[spot]))
+            out.append((rest[few][owner], self.place[spot], length[few][owner]))
             if not few.all():
                 pairs, back = np.unique(np.stack([low[~few], high[~few]], axis=1), axis=0, return_inverse=True)
                 first = np.minimum.reduceat(np.append(self.place, 1 << 60), pairs.ravel())[::2]
-                out.append((rest[~few], first[back.ravel()]))
+                out.append((rest[~few], first[back.ravel()], length[~few]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -171,14 +173,16 @@ def least_score(length: np.ndarray, letters: int, lam: float, k: float) -> np.nd
     return np.floor(expected + 0.5).astype(np.int64)
 
 
-def rows_of(doc: np.ndarray, frame: np.ndarray, prot: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, score: np.ndarray) -> pd.DataFrame:
-    """SCHEMA rows, equal ones once."""
-    return pd.DataFrame({"doc_id": doc, "frame": frame, "prot_id": prot, "q_pos": a, "r_pos": b, "length": length, "score": score}).drop_duplicates()
+def rows_of(doc: np.ndarray, frame: np.ndarray, prot: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, score: np.ndarray, *origin: np.ndarray) -> pd.DataFrame:
+    """SCHEMA rows, equal ones once; with an ``origin`` (at, match), ORIGIN rows."""
+    names = [c.split()[0] for c in ORIGIN.split(", ")]
+    return pd.DataFrame(dict(zip(names, (doc, frame, prot, a, b, length, score, *origin), strict=False))).drop_duplicates()
 
 
-def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np.ndarray, lam: float, k: float, index_letters: int = INDEX_LETTERS, suffixes: DataFrame | None = None) -> DataFrame:
+def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np.ndarray, lam: float, k: float, index_letters: int = INDEX_LETTERS, suffixes: DataFrame | None = None, origin: bool = False) -> DataFrame:
     """(doc_id, frame, prot_id, q_pos, r_pos, length, score) from peptides (doc_id, frame, aa) and
-    proteins (prot_id, aa); ``table`` holds the scores by two letters' codes (alignment.score_table)."""
+    proteins (prot_id, aa); ``table`` holds the scores by two letters' codes (alignment.score_table).
+    With their ``origin``, rows alike in all of these stay apart if they come from different matches."""
     proteins = proteins.select("prot_id", "aa").filter("aa IS NOT NULL")
     peptides = peptides.select("doc_id", "frame", "aa").filter("length(aa) >= 3")
     letters = int(proteins.agg(F.coalesce(F.sum(F.length("aa")), F.lit(0))).first()[0])
@@ -195,22 +199,24 @@ def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np
                     flat, starts = joined(some["aa"].tolist())
                     size = some["aa"].str.len().to_numpy(np.int64)
                     at = np.concatenate([s + np.arange(n - 2) for s, n in zip(starts, size, strict=True)])
-                    i, j = base.matches(flat, at)
+                    i, j, match = base.matches(flat, at)
                     owner = np.searchsorted(starts, i, side="right") - 1
                     seed, a, b, length, score = extended(flat, base.flat, i, j, least_score(size, letters, lam, k)[owner], x_drop, table)
                     owner, prot = owner[seed], np.searchsorted(base.starts, j[seed], side="right") - 1
-                    yield rows_of(some["doc_id"].to_numpy()[owner], some["frame"].to_numpy()[owner], base.ids[prot], a - starts[owner], b - base.starts[prot], length, score)
+                    came = (i[seed] - starts[owner], match[seed]) if origin else ()
+                    yield rows_of(some["doc_id"].to_numpy()[owner], some["frame"].to_numpy()[owner], base.ids[prot], a - starts[owner], b - base.starts[prot], length, score, *came)
 
-        return peptides.mapInPandas(run, SCHEMA)
+        return peptides.mapInPandas(run, ORIGIN if origin else SCHEMA)
 
     query = index.suffixes(peptides.select(F.struct("doc_id", "frame").alias("prot_id"), "aa"), seeding.LONGEST).select(F.col("prot_id").alias("q_id"), F.col("pos").alias("q_pos"), "suffix")
     found = seeding.adaptive_seed_join(query, index.suffixes(proteins, seeding.LONGEST) if suffixes is None else suffixes, multiplicity, small_partitions=True)
-    pairs = stored(found.select("q_id.doc_id", "q_id.frame", F.col("q_pos").cast("int").alias("q_pos"), "prot_id", F.col("pos").cast("int").alias("r_pos")), "pairs")
-    return extended_pairs(pairs, peptides, proteins, letters, table, x_drop, lam, k).distinct()
+    pairs = stored(found.select("q_id.doc_id", "q_id.frame", F.col("q_pos").cast("int").alias("q_pos"), "prot_id", F.col("pos").cast("int").alias("r_pos"), F.col("len").cast("int").alias("match")), "pairs")
+    return extended_pairs(pairs if origin else pairs.drop("match"), peptides, proteins, letters, table, x_drop, lam, k).distinct()
 
 
 def extended_pairs(pairs: DataFrame, peptides: DataFrame, proteins: DataFrame, letters: int, table: np.ndarray, x_drop: int, lam: float, k: float, block_letters: int = BLOCK_LETTERS, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
-    """SCHEMA rows of the pairs (doc_id, frame, q_pos, prot_id, r_pos) that reach the least score.
+    """SCHEMA rows of the pairs (doc_id, frame, q_pos, prot_id, r_pos) that reach the least score; ORIGIN rows of
+    pairs with the letters of their ``match``.
 
     Pairs are grouped by blocks of proteins and, where a block has many, by chunks of reads.  A group gets
     each peptide and each protein of its pairs once, however many pairs they are in, so what is
@@ -221,7 +227,8 @@ def extended_pairs(pairs: DataFrame, peptides: DataFrame, proteins: DataFrame, l
     placed = pairs.withColumn("block", block)
     chunks = placed.groupBy("block").agg(F.ceil(F.count("*") / block_pairs).cast("int").alias("chunks"))
     placed = placed.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    wide = {"doc_id": "long", "frame": "int", "prot_id": "long", "aa": "string", "q_pos": "int", "r_pos": "int"}
+    wide = {"doc_id": "long", "frame": "int", "prot_id": "long", "aa": "string", "q_pos": "int", "r_pos": "int", "match": "int"}
+    origin = "match" in pairs.columns
     filled = lambda rows: rows.select("block", "chunk", *(F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in wide.items()))
     mine = placed.select("block", "chunk", "doc_id", "frame").distinct().join(peptides, ["doc_id", "frame"])
     theirs = placed.select("block", "chunk", "prot_id").distinct().join(proteins, "prot_id")
@@ -234,10 +241,13 @@ def extended_pairs(pairs: DataFrame, peptides: DataFrame, proteins: DataFrame, l
         r, r_at, _ = placed_texts(texts.filter(pc.is_valid(texts.column("prot_id"))), ["prot_id"], pair)
         doc, frame, prot, q_pos, r_pos = (pair.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "frame", "prot_id", "q_pos", "r_pos"))
         seed, a, b, length, score = extended(q, r, q_at + q_pos, r_at + r_pos, least_score(q_len, letters, lam, k), x_drop, table)
-        out = rows_of(doc[seed], frame[seed], prot[seed], a - q_at[seed], b - r_at[seed], length, score)
-        return pa.Table.from_pandas(out, schema=pa.schema([("doc_id", pa.int64()), ("frame", pa.int32()), ("prot_id", pa.int64()), ("q_pos", pa.int32()), ("r_pos", pa.int32()), ("length", pa.int32()), ("score", pa.int64())]), preserve_index=False)
+        came = (q_pos[seed], pair.column("match").to_numpy()[seed]) if origin else ()
+        out = rows_of(doc[seed], frame[seed], prot[seed], a - q_at[seed], b - r_at[seed], length, score, *came)
+        kinds = {"long": pa.int64(), "int": pa.int32()}
+        schema = pa.schema([(c, kinds[t]) for c, t in (f.split() for f in (ORIGIN if origin else SCHEMA).split(", "))])
+        return pa.Table.from_pandas(out, schema=schema, preserve_index=False)
 
-    return all_rows.groupBy("block", "chunk").applyInArrow(run, SCHEMA)
+    return all_rows.groupBy("block", "chunk").applyInArrow(run, ORIGIN if origin else SCHEMA)
 
 
 def placed_texts(texts: pa.Table, key: list[str], pair: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strandlake.config import long_reads, short_reads
 from strandlake.functions import sequences, statistics
 from strandlake.functions.sequences import CODONS
-from strandlake.operators import alignment, chaining, index, postfilter, seeding
+from strandlake.operators import alignment, chaining, index, optimality, postfilter, replay, seeding
 from strandlake.plans import search
 from strandlake.sources import daa, results
 from strandlake.sources.fasta import first_of_names
@@ -24,6 +24,8 @@ from strandlake.sources.fasta import first_of_names
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 AS_BASES = ("ACGT" * 7)[:26]
 K, M = 10, 10
+#: Letters to both sides of a seed, scores of equal and other letters, and the drop of ``optimal_extensions``.
+AROUND, MATCH, MISMATCH, DROP = 8, 6, -2, 12
 
 
 def _dna(df: DataFrame) -> F.Column:
@@ -178,6 +180,85 @@ def subject_ids(spark: SparkSession, d: str) -> DataFrame:
     return postfilter.subject_ids(_seeds(spark, d)).select("prot_id", "name", "subject")
 
 
+def query_skip(spark: SparkSession, d: str) -> DataFrame:
+    """The k-mer seeds that a walk over each peptide takes."""
+    found = _seeds(spark, d).withColumns({"length": F.lit(K), "at": F.col("q_pos"), "match": F.lit(K)})
+    out = replay.query_skip(found)
+    return out.select("doc_id", "frame", "prot_id", F.col("q_pos").cast("long").alias("q_pos"), F.col("r_pos").cast("long").alias("r_pos"))
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    return chaining.merged(_seeds(spark, d).withColumns({"length": F.lit(K), "score": F.lit(K)}))
+
+
+def seed_merge(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d).drop("score")
+
+
+def dominance_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Merged seeds, by their letters, over which no other of the read lies with clearly more."""
+    rows = _merged(spark, d).withColumn("bitscore", (F.col("r_stop") - F.col("r_start")).cast("double"))
+    return postfilter.not_dominated(rows).select("doc_id", "prot_id", "strand", "frame", "q_start", "q_stop", "bitscore")
+
+
+def optimal_extensions(spark: SparkSession, d: str) -> DataFrame:
+    """Each k-mer seed with the letters around it: the sum of its pairs' scores, and whether that is worth its whole length."""
+    found = _seeds(spark, d)
+    texts = found.join(_peptides(spark, d), ["doc_id", "frame"]).join(proteins(spark, d).withColumnRenamed("aa", "r_aa"), "prot_id")
+    left = F.least(F.lit(AROUND), "q_pos", "r_pos")
+    letters = left + K + F.least(F.lit(AROUND), F.length("aa") - F.col("q_pos") - K, F.length("r_aa") - F.col("r_pos") - K)
+    pieces = [F.split(F.substring(aa, F.col(pos) - left + 1, letters), "") for aa, pos in (("aa", "q_pos"), ("r_aa", "r_pos"))]
+    steps = F.zip_with(*pieces, lambda a, b: F.when((a == b) & ~a.isin("X", "*"), F.lit(MATCH)).otherwise(F.lit(MISMATCH)))
+    total = F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)
+    best = optimality.optimal_extension(steps, DROP)
+    return texts.select("doc_id", "frame", "prot_id", F.col("q_pos").cast("long").alias("q_pos"), F.col("r_pos").cast("long").alias("r_pos"), total.alias("total"), best.alias("optimal"))
+
+
+def planted_reads(spark: SparkSession, d: str) -> DataFrame:
+    """A read for each benchmark item: its bases with one more in the middle (a frame shift), the next
+    item's on the other strand, and half of its own again (a repeat)."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet")
+    items = items.select("item_id", _dna(items).alias("b"))
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("b").alias("n"))
+    half = F.expr("length(b) div 2")
+    dna = F.concat(F.substring(F.col("b"), F.lit(1), half), F.lit("A"), F.expr("substr(b, length(b) div 2 + 1)"), sequences.reverse_complement(F.coalesce("n", F.lit(""))), F.substring(F.col("b"), F.lit(1), half))
+    return items.join(after, "item_id", "left").select(F.col("item_id").alias("doc_id"), dna.alias("dna"))
+
+
+def planted_proteins(spark: SparkSession, d: str) -> DataFrame:
+    """The proteins of the items, and the middle third of each as a rival of its own."""
+    whole = proteins(spark, d)
+    third = F.expr("substr(aa, length(aa) div 3 + 1, length(aa) div 3)")
+    return whole.select((2 * F.col("prot_id")).alias("prot_id"), "aa").union(whole.select((2 * F.col("prot_id") + 1).alias("prot_id"), third.alias("aa")))
+
+
+def _planted_seeds(spark: SparkSession, d: str) -> DataFrame:
+    peptides = sequences.six_frames(seeding.spread(planted_reads(spark, d))).drop("dna")
+    found = seeding.seed_join(peptides, planted_proteins(spark, d), K, M)
+    return found.withColumns({"length": F.lit(K), "score": F.lit(K), "at": F.col("q_pos"), "match": F.lit(K)})
+
+
+def planted_adaptive_seeds(spark: SparkSession, d: str) -> DataFrame:
+    peptides = sequences.six_frames(seeding.spread(planted_reads(spark, d))).select((F.col("doc_id") * 8 + F.col("frame") + 3).alias("prot_id"), "aa")
+    query = index.suffixes(peptides, seeding.LONGEST).select(F.col("prot_id").alias("q_id"), F.col("pos").alias("q_pos"), "suffix")
+    out = seeding.adaptive_seed_join(query, index.suffixes(planted_proteins(spark, d), seeding.LONGEST), M, small_partitions=True)
+    return out.select("q_id", F.col("q_pos").cast("long").alias("q_pos"), "prot_id", F.col("pos").cast("long").alias("pos"), "len")
+
+
+def planted_skip(spark: SparkSession, d: str) -> DataFrame:
+    out = replay.query_skip(_planted_seeds(spark, d))
+    return out.select("doc_id", "frame", "prot_id", F.col("q_pos").cast("long").alias("q_pos"), F.col("r_pos").cast("long").alias("r_pos"))
+
+
+def planted_merge(spark: SparkSession, d: str) -> DataFrame:
+    return chaining.merged(_planted_seeds(spark, d)).drop("score")
+
+
+def planted_dominance(spark: SparkSession, d: str) -> DataFrame:
+    rows = chaining.merged(_planted_seeds(spark, d)).withColumn("bitscore", (F.col("r_stop") - F.col("r_start")).cast("double"))
+    return postfilter.not_dominated(rows).select("doc_id", "prot_id", "strand", "frame", "q_start", "q_stop", "bitscore")
+
+
 def dedupe_reads(spark: SparkSession, d: str) -> DataFrame:
     """Reads named by their source and length: the first of each name stays."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -213,6 +294,40 @@ pts AS (SELECT doc_id, prot_id, CASE WHEN frame > 0 THEN '+' ELSE '-' END AS str
 cnt AS (SELECT *, count(*) OVER (PARTITION BY doc_id, strand, prot_id ORDER BY y / width RANGE BETWEEN CURRENT ROW AND 1.0 FOLLOWING) AS n FROM pts),
 win AS (SELECT doc_id, strand, prot_id, n AS n_seeds, CAST(y AS BIGINT) AS y FROM cnt QUALIFY row_number() OVER (PARTITION BY doc_id, strand, prot_id ORDER BY n DESC, y) = 1)"""
 
+_IN_GROUP = "WINDOW w AS (PARTITION BY doc_id, prot_id, m ORDER BY isle)"
+_ROUND = f"SELECT * FROM {{0}} {_IN_GROUP} QUALIFY NOT coalesce(a >= lag(a) OVER w AND b <= lag(b) OVER w AND ra >= lag(ra) OVER w AND rb <= lag(rb) OVER w, false)"
+_MERGED = f"""placed AS (SELECT *, frame < 0 AS m, 3 * q_pos + abs(frame) - 1 AS nt FROM seeds),
+linked AS (SELECT *, CASE WHEN lag(frame) OVER w = frame AND nt - lag(nt) OVER w = 3 * (r_pos - lag(r_pos) OVER w) AND nt - lag(nt) OVER w < {3 * K} THEN 0 ELSE 1 END AS new FROM placed
+           WINDOW w AS (PARTITION BY doc_id, prot_id, m ORDER BY nt, r_pos, frame)),
+isles AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, prot_id, m ORDER BY nt, r_pos, frame ROWS UNBOUNDED PRECEDING) AS isle FROM linked),
+g0 AS (SELECT doc_id, prot_id, m, isle, any_value(frame) AS frame, min(nt) AS a, min(nt) + 3 * (max(r_pos) - min(r_pos) + {K}) AS b, min(r_pos) AS ra, max(r_pos) + {K} AS rb FROM isles GROUP BY 1, 2, 3, 4),
+g1 AS ({_ROUND.format('g0')}), g2 AS ({_ROUND.format('g1')}), g3 AS ({_ROUND.format('g2')}), g4 AS ({_ROUND.format('g3')}),
+cut AS (SELECT *, least((greatest(coalesce(lag(b) OVER w, 0) - a, 0) + 2) // 3 * 3, b - a) AS c FROM g4 {_IN_GROUP}),
+merged AS (SELECT doc_id, prot_id, CASE WHEN m THEN '-' ELSE '+' END AS strand, frame, CAST(a + c AS BIGINT) AS q_start, CAST(b AS BIGINT) AS q_stop, CAST(ra + c // 3 AS BIGINT) AS r_start, CAST(rb AS BIGINT) AS r_stop FROM cut WHERE a + c < b)"""
+
+_WALK = f""", pos AS (SELECT DISTINCT doc_id, frame, q_pos FROM seeds),
+nxt AS (SELECT a.doc_id, a.frame, a.q_pos, min(b.q_pos) AS n FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND a.frame = b.frame AND b.q_pos > a.q_pos + {K} GROUP BY 1, 2, 3),
+walk AS (SELECT doc_id, frame, min(q_pos) AS q_pos FROM pos GROUP BY 1, 2 UNION ALL SELECT walk.doc_id, walk.frame, n FROM walk JOIN nxt ON walk.doc_id = nxt.doc_id AND walk.frame = nxt.frame AND walk.q_pos = nxt.q_pos)
+SELECT s.doc_id, s.frame, prot_id, s.q_pos, r_pos FROM seeds s JOIN walk ON s.doc_id = walk.doc_id AND s.frame = walk.frame AND s.q_pos = walk.q_pos"""
+_DOMINANCE = """, h AS (SELECT *, CAST(r_stop - r_start AS DOUBLE) AS bitscore FROM merged)
+SELECT doc_id, prot_id, strand, frame, q_start, q_stop, bitscore FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.doc_id = h.doc_id
+  AND least(o.q_stop, h.q_stop) - greatest(o.q_start, h.q_start) > 0.9 * (h.q_stop - h.q_start) AND 0.9 * o.bitscore > h.bitscore)"""
+_PLANTED = f"""WITH RECURSIVE cods AS (SELECT {_MAP} AS cod), items AS (SELECT item_id, {_BASES} AS b FROM benchmark),
+reads AS (SELECT i.item_id AS doc_id, substr(i.b, 1, length(i.b) // 2) || 'A' || substr(i.b, length(i.b) // 2 + 1) || translate(reverse(coalesce(n.b, '')), 'ACGT', 'TGCA') || substr(i.b, 1, length(i.b) // 2) AS dna
+          FROM items i LEFT JOIN items n ON n.item_id = i.item_id + 1),
+one AS (SELECT item_id, {_AA.format('b')} AS aa FROM items, cods),
+prot AS (SELECT 2 * item_id AS prot_id, aa FROM one UNION ALL SELECT 2 * item_id + 1, substr(aa, length(aa) // 3 + 1, length(aa) // 3) FROM one), {_SIX}"""
+#: Common prefixes of pairs of suffixes, by halves: n letters are known to be alike, then s more.
+_HALVES = "\n".join(f"l{k + 1} AS (SELECT * REPLACE (n + CASE WHEN least(length(a), length(b)) >= n + {s} AND substr(a, n + 1, {s}) = substr(b, n + 1, {s}) THEN {s} ELSE 0 END AS n) FROM l{k})," for k, s in enumerate((64, 32, 16, 8, 4, 2, 1)))
+_ADAPTIVE = f"""{_PLANTED}, suf AS (SELECT prot_id, pos, substr(aa, pos + 1, 100) AS b FROM (SELECT prot_id, aa, unnest(range(greatest(length(aa) - 2, 0))) AS pos FROM prot)),
+qs AS (SELECT doc_id * 8 + frame + 3 AS q_id, q_pos, substr(aa, q_pos + 1, 100) AS a FROM (SELECT doc_id, frame, aa, unnest(range(greatest(length(aa) - 2, 0))) AS q_pos FROM pep)),
+few AS (SELECT b[1:3] AS p FROM suf GROUP BY 1 HAVING count(*) <= {M}),
+l0 AS (SELECT q_id, q_pos, prot_id, pos, a, b, 0 AS n FROM qs JOIN suf ON length(a) >= 4 AND a[1:4] = b[1:4] AND length(b) >= 4 AND a[1:3] NOT IN (SELECT p FROM few)),
+{_HALVES}
+best AS (SELECT *, count(*) OVER w AS many, row_number() OVER (w ORDER BY prot_id, pos) AS k FROM (SELECT * FROM l7 QUALIFY n = max(n) OVER (PARTITION BY q_id, q_pos)) WINDOW w AS (PARTITION BY q_id, q_pos))
+SELECT q_id, q_pos, prot_id, pos, CAST(n AS BIGINT) AS len FROM best WHERE many <= {M} OR k = 1
+UNION ALL SELECT q_id, q_pos, prot_id, pos, 3 FROM qs JOIN suf ON a[1:3] = b[1:3] JOIN few ON a[1:3] = p"""
+
 ORACLES = {
     "revcomp": f"WITH {_READS} SELECT doc_id, md5(translate(reverse(dna), 'ACGT', 'TGCA')) AS rc_md5, CAST(length(dna) AS BIGINT) AS n_bases FROM reads",
     "translate_frame1": f"WITH {_READS} SELECT doc_id, md5({_AA.format('dna')}) AS aa_md5 FROM reads, cods",
@@ -231,6 +346,19 @@ ORACLES = {
     "diagonal_window_best": f"{_ALL}, {_WIN} SELECT doc_id, strand, prot_id, n_seeds, y FROM win",
     "strand_choice": f"{_ALL}, {_WIN} SELECT doc_id, prot_id, strand, n_seeds, y FROM win QUALIFY row_number() OVER (PARTITION BY doc_id, prot_id ORDER BY n_seeds DESC, strand = '+' DESC) = 1",
     "subject_ids": f"{_ALL} SELECT prot_id, 'prot' || lpad(CAST(prot_id AS VARCHAR), 9, '0') AS name, row_number() OVER (ORDER BY 'prot' || lpad(CAST(prot_id AS VARCHAR), 9, '0')) - 1 AS subject FROM (SELECT DISTINCT prot_id FROM seeds)",
+    "query_skip": _ALL.replace("WITH", "WITH RECURSIVE", 1) + _WALK,
+    "seed_merge": f"{_ALL}, {_MERGED} SELECT * FROM merged",
+    "dominance_seeds": f"{_ALL}, {_MERGED}{_DOMINANCE}",
+    "planted_adaptive_seeds": _ADAPTIVE,
+    "planted_skip": f"{_PLANTED}, {_SEEDS}{_WALK}",
+    "planted_merge": f"{_PLANTED}, {_SEEDS}, {_MERGED} SELECT * FROM merged",
+    "planted_dominance": f"{_PLANTED}, {_SEEDS}, {_MERGED}{_DOMINANCE}",
+    "optimal_extensions": f"""{_ALL}, t AS (SELECT s.*, pep.aa, prot.aa AS r_aa, least({AROUND}, q_pos, r_pos) AS l FROM seeds s JOIN pep USING (doc_id, frame) JOIN prot USING (prot_id)),
+p AS (SELECT *, l + {K} + least({AROUND}, length(aa) - q_pos - {K}, length(r_aa) - r_pos - {K}) AS n FROM t),
+x AS (SELECT *, list_transform(range(1, n + 1), lambda k: CASE WHEN aa[q_pos - l + k] = r_aa[r_pos - l + k] AND aa[q_pos - l + k] NOT IN ('X', '*') THEN {MATCH} ELSE {MISMATCH} END) AS steps FROM p),
+y AS (SELECT *, list_transform(range(1, n + 1), lambda k: list_sum(steps[1:k])) AS sums FROM x)
+SELECT doc_id, frame, prot_id, q_pos, r_pos, CAST(list_sum(steps) AS BIGINT) AS total,
+       len(list_filter(range(1, n + 1), lambda k: sums[k] <= 0 OR sums[k] < coalesce(list_max(sums[1:k - 1]), 0) - {DROP})) = 0 AND sums[n] > 0 AND (n = 1 OR sums[n] >= list_max(sums)) AS optimal FROM y""",
     "dedupe_reads": "SELECT source || '-' || length(text) AS id, min(doc_id) AS rank FROM documents GROUP BY 1",
     "run_counters": f"WITH {_READS}, {_PROT} SELECT * FROM (SELECT count(*) AS n_reads, CAST(sum(length(dna)) AS BIGINT) AS n_bases FROM reads), (SELECT count(*) AS n_proteins, CAST(sum(length(aa)) AS BIGINT) AS n_letters FROM prot)",
 }
@@ -243,5 +371,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             revcomp, translate_frame1, six_frame, pack_dna, reduce_alphabet, seq_stats, ka_lookup, min_seed_score, prefix_histogram, suffixes, lcp_neighbours, minimizers,
             seed_join_k, adaptive_seed_join, ungapped_xdrop, diagonal_suppress, diagonal_window_best, strand_choice, linear_chain, frameshift_blastx, gapped_blastx,
             alignment_stats, blast_tab, blast_tab_extended, dominance_filter, subject_ids, dedupe_reads, run_counters,
+            query_skip, seed_merge, dominance_seeds, optimal_extensions,
+            planted_adaptive_seeds, planted_skip, planted_merge, planted_dominance,
         )
     }

@@ -13,7 +13,7 @@ from strandlake.config import SearchConfig
 from strandlake.functions.sequences import normal_dna, reverse_complement, six_frames
 from strandlake.functions.statistics import ka, read_matrix, ungapped
 from strandlake.operators.seeding import spread
-from strandlake.operators import alignment, chaining, extension, index, postfilter, seeding
+from strandlake.operators import alignment, chaining, extension, index, postfilter, replay, seeding
 from strandlake.sources import daa
 from strandlake.sources.fasta import first_of_names, read_fasta
 from strandlake.tables import stored
@@ -46,7 +46,8 @@ def seeds(reads: DataFrame, proteins: DataFrame, config: SearchConfig, suffixes:
     """The adaptive seeds of all six frames, extended both ways, that reach the least seed score;
     ``suffixes`` of an index spare a large base their making."""
     table, lam, k = scoring(reads.sparkSession, config)
-    return extension.seeds(six_frames(spread(reads.select("doc_id", "dna"))), proteins, config.multiplicity, table, lam, k, suffixes=suffixes)
+    found = extension.seeds(six_frames(spread(reads.select("doc_id", "dna"))), proteins, config.multiplicity, table, lam, k, suffixes=suffixes, origin=config.query_skip)
+    return replay.query_skip(found).drop("at", "match").distinct() if config.query_skip else found
 
 
 def chains(reads: DataFrame, proteins: DataFrame, config: SearchConfig, suffixes: DataFrame | None = None) -> DataFrame:
