@@ -245,6 +245,17 @@ def planted_adaptive_seeds(spark: SparkSession, d: str) -> DataFrame:
     return out.select("q_id", F.col("q_pos").cast("long").alias("q_pos"), "prot_id", F.col("pos").cast("long").alias("pos"), "len")
 
 
+def planted_ungapped(spark: SparkSession, d: str) -> DataFrame:
+    """Adaptive seeds of the planted reads, extended to both sides."""
+    out = search.seeds(planted_reads(spark, d), planted_proteins(spark, d), long_reads())
+    return out.select("doc_id", "frame", "prot_id", *(F.col(c).cast("long").alias(c) for c in ("q_pos", "r_pos", "length", "score")))
+
+
+def planted_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Linear chains of the planted reads' seeds on their better strand."""
+    return search.chains(planted_reads(spark, d), planted_proteins(spark, d), long_reads()).drop("seeds")
+
+
 def planted_skip(spark: SparkSession, d: str) -> DataFrame:
     out = replay.query_skip(_planted_seeds(spark, d))
     return out.select("doc_id", "frame", "prot_id", F.col("q_pos").cast("long").alias("q_pos"), F.col("r_pos").cast("long").alias("r_pos"))
@@ -328,6 +339,38 @@ best AS (SELECT *, count(*) OVER w AS many, row_number() OVER (w ORDER BY prot_i
 SELECT q_id, q_pos, prot_id, pos, CAST(n AS BIGINT) AS len FROM best WHERE many <= {M} OR k = 1
 UNION ALL SELECT q_id, q_pos, prot_id, pos, 3 FROM qs JOIN suf ON a[1:3] = b[1:3] JOIN few ON a[1:3] = p"""
 
+_LAM, _K, _ = map(float, statistics.ungapped(alignment.score_table(None, MATCH, MISMATCH)))
+_SIDE = "min(k) FILTER (m - c >= {0}) AS stop_{1}"
+_BEST = "max(m) FILTER (k <= coalesce(stop_{0}, k)) AS best_{0}"
+_UNGAPPED = _ADAPTIVE.replace("SELECT q_id, q_pos, prot_id, pos, CAST(n AS BIGINT)", ", hits AS (SELECT q_id, q_pos, prot_id, pos, CAST(n AS BIGINT)") + f"""),
+texts AS (SELECT h.q_id, h.q_pos AS i, h.prot_id, h.pos AS j, pep.aa AS q, prot.aa AS r, pep.doc_id, pep.frame,
+                 CAST(floor((ln(length(pep.aa) * CAST(t.letters AS DOUBLE) * {_K!r}) - {statistics.SEED_EXPECTATION}) / {_LAM!r} + 0.5) AS BIGINT) AS least
+          FROM hits h JOIN pep ON h.q_id = pep.doc_id * 8 + pep.frame + 3 JOIN prot USING (prot_id), (SELECT sum(length(aa)) AS letters FROM prot) t),
+pairs AS (SELECT *, 0 AS side, unnest(range(0, least(i, j) + 1)) AS k FROM texts UNION ALL SELECT *, 1, unnest(range(0, least(length(q) - i, length(r) - j) - 1)) FROM texts),
+steps AS (SELECT *, CASE WHEN a = b AND a NOT IN ('X', '*') THEN {MATCH} ELSE {MISMATCH} END AS s
+          FROM (SELECT *, CASE WHEN side = 0 THEN q[i - k + 1] ELSE q[i + k + 2] END AS a, CASE WHEN side = 0 THEN r[j - k + 1] ELSE r[j + k + 2] END AS b FROM pairs)),
+sums AS (SELECT *, sum(s) OVER w AS c FROM steps WINDOW w AS (PARTITION BY q_id, i, prot_id, j, side ORDER BY k)),
+tops AS (SELECT *, greatest(0, max(c) OVER (PARTITION BY q_id, i, prot_id, j, side ORDER BY k)) AS m FROM sums),
+stops AS (SELECT q_id, i, prot_id, j, side, {_SIDE.format(round(10 / _LAM), 1)}, {_SIDE.format("CAST(round_even(least * 0.1, 0) AS BIGINT)", 2)} FROM tops GROUP BY ALL),
+bests AS (SELECT q_id, i, prot_id, j, side, stop_2, {_BEST.format(1)}, {_BEST.format(2)} FROM tops JOIN stops USING (q_id, i, prot_id, j, side) GROUP BY ALL),
+ends AS (SELECT b.q_id, b.i, b.prot_id, b.j, b.side, best_1, best_2, coalesce(min(k + 1) FILTER (c = best_2 AND best_2 > 0), 0) AS n FROM tops t JOIN bests b USING (q_id, i, prot_id, j, side) GROUP BY ALL),
+both_sides AS (SELECT q_id, i, prot_id, j, sum(best_1) AS s1, sum(best_2) AS s2, greatest(max(n) FILTER (side = 0), 1) AS n0, coalesce(max(n) FILTER (side = 1), 0) AS n1 FROM ends GROUP BY 1, 2, 3, 4)
+SELECT DISTINCT doc_id, frame, prot_id, CAST(i - n0 + 1 AS BIGINT) AS q_pos, CAST(j - n0 + 1 AS BIGINT) AS r_pos, CAST(n0 + n1 AS BIGINT) AS length, CAST(s2 AS BIGINT) AS score
+FROM both_sides JOIN texts USING (q_id, i, prot_id, j) WHERE s1 >= least"""
+
+_CHAINS = _UNGAPPED.replace("\nSELECT DISTINCT doc_id, frame", ",\nseeds AS (SELECT DISTINCT doc_id, frame") + """),
+pts AS (SELECT doc_id, prot_id, frame < 0 AS m, 3 * q_pos + abs(frame) - 1 AS nt, r_pos AS r, s.length AS n, score, nt - 3 * r + 3 * length(aa) AS y, CAST(greatest(0.06 * 3 * length(aa), 10.0) AS DOUBLE) AS width FROM seeds s JOIN prot USING (prot_id)),
+starts AS (SELECT DISTINCT doc_id, prot_id, m, y, width FROM pts),
+weights AS (SELECT a.doc_id, a.prot_id, a.m, a.y, a.width, sum(b.score) AS weight FROM starts a JOIN pts b ON a.doc_id = b.doc_id AND a.prot_id = b.prot_id AND a.m = b.m AND b.y BETWEEN a.y AND a.y + a.width GROUP BY ALL),
+heaviest AS (SELECT doc_id, prot_id, m, y AS y0, width AS w0 FROM weights QUALIFY row_number() OVER (PARTITION BY doc_id, prot_id ORDER BY weight DESC, m, y) = 1),
+members AS (SELECT doc_id, prot_id, m, nt, r, n, row_number() OVER (PARTITION BY doc_id, prot_id ORDER BY score DESC, nt, r, n) AS k FROM pts JOIN heaviest USING (doc_id, prot_id, m) WHERE y BETWEEN y0 AND y0 + w0),
+line AS (SELECT doc_id, prot_id, m, k, [{'nt': nt, 'r': r, 'n': n}] AS kept FROM members WHERE k = 1
+         UNION ALL SELECT x.doc_id, x.prot_id, x.m, x.k, CASE WHEN len(list_filter(kept, lambda o: CASE WHEN (o.nt, o.r, o.n) <= (x.nt, x.r, x.n) THEN o.r > x.r ELSE o.r < x.r END)) = 0
+                   THEN list_append(kept, {'nt': x.nt, 'r': x.r, 'n': x.n}) ELSE kept END FROM line JOIN members x ON x.doc_id = line.doc_id AND x.prot_id = line.prot_id AND x.k = line.k + 1)
+SELECT doc_id, prot_id, CASE WHEN m THEN '-' ELSE '+' END AS strand, CAST(list_min(list_transform(kept, lambda x: x.nt)) AS BIGINT) AS start, CAST(list_max(list_transform(kept, lambda x: x.nt + 3 * x.n)) AS BIGINT) AS stop,
+       CAST(list_min(list_transform(kept, lambda x: x.r)) AS BIGINT) AS r_start, CAST(list_max(list_transform(kept, lambda x: x.r + x.n)) AS BIGINT) AS r_stop, CAST(len(kept) AS BIGINT) AS n
+FROM line QUALIFY k = max(k) OVER (PARTITION BY doc_id, prot_id)"""
+
 ORACLES = {
     "revcomp": f"WITH {_READS} SELECT doc_id, md5(translate(reverse(dna), 'ACGT', 'TGCA')) AS rc_md5, CAST(length(dna) AS BIGINT) AS n_bases FROM reads",
     "translate_frame1": f"WITH {_READS} SELECT doc_id, md5({_AA.format('dna')}) AS aa_md5 FROM reads, cods",
@@ -350,6 +393,8 @@ ORACLES = {
     "seed_merge": f"{_ALL}, {_MERGED} SELECT * FROM merged",
     "dominance_seeds": f"{_ALL}, {_MERGED}{_DOMINANCE}",
     "planted_adaptive_seeds": _ADAPTIVE,
+    "planted_ungapped": _UNGAPPED,
+    "planted_chains": _CHAINS,
     "planted_skip": f"{_PLANTED}, {_SEEDS}{_WALK}",
     "planted_merge": f"{_PLANTED}, {_SEEDS}, {_MERGED} SELECT * FROM merged",
     "planted_dominance": f"{_PLANTED}, {_SEEDS}, {_MERGED}{_DOMINANCE}",
@@ -372,6 +417,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             seed_join_k, adaptive_seed_join, ungapped_xdrop, diagonal_suppress, diagonal_window_best, strand_choice, linear_chain, frameshift_blastx, gapped_blastx,
             alignment_stats, blast_tab, blast_tab_extended, dominance_filter, subject_ids, dedupe_reads, run_counters,
             query_skip, seed_merge, dominance_seeds, optimal_extensions,
-            planted_adaptive_seeds, planted_skip, planted_merge, planted_dominance,
+            planted_adaptive_seeds, planted_ungapped, planted_chains, planted_skip, planted_merge, planted_dominance,
         )
     }
