@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.config import SearchConfig
 from strandlake.functions.statistics import KARLIN_ALTSCHUL
 from strandlake.plans import search
-from strandlake.sources import daa, fasta, results
+from strandlake.sources import daa, fasta, fastq, results
 
 FORMATS = ("daa", "tab", "tab22", "pairwise", "xml")
 
@@ -82,8 +82,8 @@ def write(found: DataFrame, path: str, form: str) -> None:
 def blastx(spark: SparkSession, args: argparse.Namespace) -> None:
     config = config_of(args)
     proteins, suffixes = search.read_db(spark, args.db)
-    fastq = args.input.removesuffix(".gz").endswith((".fq", ".fastq"))
-    rows = fasta.read_fastq(spark, args.input) if fastq else fasta.read_fasta(spark, args.input)
+    qualities = args.input.removesuffix(".gz").endswith((".fq", ".fastq"))
+    rows = fastq.read_fastq(spark, args.input) if qualities else fasta.read_fasta(spark, args.input)
     reads = search.reads_of(rows)
     found = search.named(search.blastx(reads, proteins, config, suffixes), reads, proteins)
     if args.format != "daa":

@@ -1,4 +1,4 @@
-"""FASTA and FASTQ files as DataFrames, and files of results.
+"""FASTA files as DataFrames, and files of results.
 
 Plain files are split by Hadoop's reader at record marks, so a file of any size is read in
 parallel; compressed ones are read whole by one task each.
@@ -6,7 +6,7 @@ parallel; compressed ones are read whole by one task each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,25 +22,6 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return step.select("file", "rank", F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.upper(seq).alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rank, id, seq, quality) of four-line records; quality lines may start with any mark.
-
-    A record's place is its line number divided by four.  Each split of a file counts its own lines;
-    the counts of the splits before it, a row each, give the number of its first line.
-    """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value"
-    )
-    blocks = lines.groupBy("file", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    skips = blocks.select("file", "block", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("skip"))
-    number = lines.join(skips, ["file", "block"]).withColumn("n", F.col("n") - F.col("first") + F.col("skip"))
-    record = number.groupBy("file", F.floor(F.col("n") / 4).alias("rank"))
-    part = lambda k: F.max(F.when(F.col("n") % 4 == k, F.col("value")))
-    found = record.agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("quality"))
-    return found.select("file", "rank", F.regexp_extract("head", r"^@(\S*)", 1).alias("id"), F.upper("seq").alias("seq"), "quality")
-
-
 def first_of_names(reads: DataFrame, name: str = "id", rank: str = "rank") -> DataFrame:
     """One read per name, the first by rank; summed before the shuffle, so a common name is no hot group."""
     rest = [c for c in reads.columns if c != name]

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from strandlake import __main__ as cli
 from strandlake.functions.sequences import CODONS
 from strandlake.operators import alignment
-from strandlake.sources import daa, fasta, results
+from strandlake.sources import daa, fasta, fastq, results
 
 BACK = {a: c for c, a in sorted(CODONS.items())}
 
@@ -84,7 +84,7 @@ def test_headers_of_files_may_hold_marks(spark, files):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "600b")
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
-        lines = fasta.read_fastq(spark, str(folder / "reads.fq"))
+        lines = fastq.read_fastq(spark, str(folder / "reads.fq"))
         assert spark.read.text(str(folder / "reads.fq")).rdd.getNumPartitions() > 2
         assert {r["id"]: r["seq"] for r in lines.collect()} == reads and sorted(r["rank"] for r in lines.collect()) == list(range(len(reads)))
         assert {r["id"]: r["seq"] for r in fasta.read_fasta(spark, str(folder / "reads.fa")).collect()} == reads

@@ -13,7 +13,7 @@ from strandlake.operators import alignment, postfilter
 from strandlake.operators.alignment import lines
 from strandlake.plans import queries as Q
 from strandlake.plans import search
-from strandlake.sources import fasta
+from strandlake.sources import fasta, fastq
 
 from .conftest import SF
 
@@ -208,7 +208,7 @@ def test_files(spark, tmp_path):
     assert {r["id"]: r["seq"] for r in rows.collect()} == {"one": "ACGTACGU", "two": "NNACGT"}
     assert {r["dna"] for r in search.reads_of(rows).collect()} == {"ACGTACGT", "AAACGT"}
     (tmp_path / "a.fq").write_text("@r1 x\nACGT\n+\n@@@@\n@r2\nGGG\n+\n>>>\n")
-    assert {(r["id"], r["seq"], r["quality"]) for r in fasta.read_fastq(spark, str(tmp_path / "a.fq")).collect()} == {("r1", "ACGT", "@@@@"), ("r2", "GGG", ">>>")}
+    assert {(r["id"], r["seq"], r["quality"]) for r in fastq.read_fastq(spark, str(tmp_path / "a.fq")).collect()} == {("r1", "ACGT", "@@@@"), ("r2", "GGG", ">>>")}
     (tmp_path / "m.txt").write_text("# c\n   A  R\nA  4 -1\nR -1  5\n")
     assert {(r["a"], r["b"]): r["score"] for r in statistics.read_matrix(spark, str(tmp_path / "m.txt")).collect()} == {("A", "A"): 4, ("A", "R"): -1, ("R", "A"): -1, ("R", "R"): 5}
     search.make_db(spark, str(tmp_path / "a.fa"), str(tmp_path / "db"))
