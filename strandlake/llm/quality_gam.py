@@ -8,7 +8,9 @@ Training uses at most ``sample_rows`` labelled rows (those with the smallest has
 doc_id), whose features, not texts, reach the driver.  Scoring is one Arrow pass over all
 documents.  Defined results: null texts score as empty ones; unlabelled or unlearnable
 inputs (no labels, one class) give the share of label 1, or 0.5; repeated rows score
-alike; repeated labels count once; an empty table gives an empty result; further columns
+alike; of a labelled doc_id on several rows one text is taught, that with the smallest hash; of
+repeated labels the smallest counts; rows alike in all features tie and share a score; a text of
+any length is read whole, by one task; an empty table gives an empty result; further columns
 are ignored.
 """
 
@@ -178,8 +180,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Gam:
     taught = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     taught = taught.groupBy("doc_id").agg(F.min("quality").cast("long").alias("quality"))
     sample = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).withColumnRenamed("doc_id", "_id")
-    both = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("quality", "text")
-    rows = with_features(both, "quality").collect()
+    both = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    # a doc_id may stand on any number of rows: one of its texts is taught, so no more than ``sample_rows`` are gathered
+    one = both.groupBy("_id").agg(F.first("quality").alias("quality"), F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text")).alias("t"))
+    rows = sorted(with_features(one.select("quality", "t.text"), "quality").collect(), key=lambda r: (r["quality"], r["x"]))
     return fit(np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["quality"] for r in rows], float))
 
 
