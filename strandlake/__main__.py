@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.config import SearchConfig
-from strandlake.functions.statistics import KARLIN_ALTSCHUL
+from strandlake.functions.statistics import KARLIN_ALTSCHUL, known_rows
 from strandlake.plans import search
 from strandlake.sources import daa, fasta, fastq, results
 
@@ -40,7 +40,9 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("-e", "--evalue", type=positive(float), default=1e-3)
     run.add_argument("-c", "--coverage", type=positive(int), default=0)
     run.add_argument("-F", "--frameshift", type=positive(int), default=15, help="penalty; 0 for none")
-    run.add_argument("--matrix", default="BLOSUM80", choices=sorted({m for m, *_ in KARLIN_ALTSCHUL}))
+    run.add_argument("--matrix", default="BLOSUM80", help="name of the matrix, for its statistics")
+    run.add_argument("--statistics", help="file of rows: matrix, gap opening, gap extension, lambda, K, H; for other matrices than the built-in ones")
+    run.add_argument("--walk", action="store_true", help="skip a hit's matched letters, position by position")
     run.add_argument("--matrix-path", help="file of the matrix in the NCBI text format; without it letters match or not")
     run.add_argument("--gop", type=int, help="gap opening; the first known one of the matrix by default")
     run.add_argument("--gep", type=int, help="gap extension")
@@ -56,14 +58,16 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def config_of(args: argparse.Namespace) -> SearchConfig:
-    """The search's parameters; penalties that the matrix has no statistics for are an error."""
-    known = [(o, e) for m, o, e, *_ in KARLIN_ALTSCHUL if m == args.matrix]
+def config_of(args: argparse.Namespace, rows: list[tuple] = KARLIN_ALTSCHUL) -> SearchConfig:
+    """The search's parameters; a matrix or penalties that ``rows`` have no statistics for are an error."""
+    known = [(o, e) for m, o, e, *_ in rows if m == args.matrix]
+    if not known:
+        raise SystemExit(f"no statistics for {args.matrix}, only for {', '.join(sorted({m for m, *_ in rows}))}")
     penalties = (args.gop if args.gop is not None else known[0][0], args.gep if args.gep is not None else known[0][1])
     if penalties not in known:
         raise SystemExit(f"{args.matrix} takes gap penalties {', '.join(f'{o}/{e}' for o, e in known)}, not {penalties[0]}/{penalties[1]}")
     return SearchConfig(
-        matrix=args.matrix, matrix_path=args.matrix_path, gap_open=penalties[0], gap_extend=penalties[1], frameshift=args.frameshift or None,
+        matrix=args.matrix, matrix_path=args.matrix_path, statistics_path=args.statistics, query_skip=args.walk, gap_open=penalties[0], gap_extend=penalties[1], frameshift=args.frameshift or None,
         multiplicity=args.multiplicity, max_evalue=args.evalue, min_coverage=args.coverage, dominance=args.dominance,
     )
 
@@ -80,7 +84,7 @@ def write(found: DataFrame, path: str, form: str) -> None:
 
 
 def blastx(spark: SparkSession, args: argparse.Namespace) -> None:
-    config = config_of(args)
+    config = config_of(args, known_rows(spark, args.statistics))
     proteins, suffixes = search.read_db(spark, args.db)
     qualities = args.input.removesuffix(".gz").endswith((".fq", ".fastq"))
     rows = fastq.read_fastq(spark, args.input) if qualities else fasta.read_fasta(spark, args.input)

@@ -11,6 +11,8 @@ class SearchConfig:
     #: file, letters score ``match`` or ``mismatch``, with the statistics of these scores.
     matrix: str = "BLOSUM80"
     matrix_path: str | None = None
+    #: File of statistics (statistics.read_statistics) for matrices and penalties that are not built in.
+    statistics_path: str | None = None
     gap_open: int = 11
     gap_extend: int = 2
     #: Penalty of a frame shift; None keeps alignments in one frame.

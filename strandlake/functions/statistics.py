@@ -40,14 +40,19 @@ def read_statistics(spark: SparkSession, path: str) -> DataFrame:
     return f.selectExpr("f[0] AS matrix", "int(f[1]) AS gap_open", "int(f[2]) AS gap_extend", "double(f[3]) AS lambda", "double(f[4]) AS k", "double(f[5]) AS h")
 
 
-def ka(matrix: str, gap_open: int, gap_extend: int) -> tuple[float, float, float]:
-    """(lambda, K, H); unknown penalties are an error."""
-    for m, o, e, *values in KARLIN_ALTSCHUL:
+def ka(matrix: str, gap_open: int, gap_extend: int, rows: list[tuple] = KARLIN_ALTSCHUL) -> tuple[float, float, float]:
+    """(lambda, K, H) from the built-in ``rows`` or others; unknown penalties are an error."""
+    for m, o, e, *values in rows:
         if (m, o, e) == (matrix, gap_open, gap_extend):
             return tuple(values)
     raise ValueError(f"no statistics for {matrix} with {gap_open}/{gap_extend}")
 
 
+def known_rows(spark: SparkSession, path: str | None) -> list[tuple]:
+    """The built-in statistics, after those of a file (a row for each choice of penalties of a few matrices)."""
+    return [*([tuple(r) for r in read_statistics(spark, path).collect()] if path else []), *KARLIN_ALTSCHUL]
+
+
 #: How often each amino acid stands in proteins, per thousand.
 BACKGROUND = {
     "A": 78, "R": 51, "N": 45, "D": 54, "C": 19, "Q": 43, "E": 63, "G": 74, "H": 22, "I": 51,
@@ -90,6 +95,15 @@ def bit_score(score: Column, lam: float, k: float) -> Column:
     return (F.lit(lam) * score - F.lit(math.log(k))) / F.lit(math.log(2))
 
 
+#: Letters of the fixed space in which results without a base are compared, on each side.
+FIXED_SPACE = 1e9
+
+
+def evalue_of_fixed_space(score: Column, lam: float, k: float) -> Column:
+    """Expected hits of this score between two texts of FIXED_SPACE letters: the same for all reads and bases."""
+    return F.lit(k) * F.lit(FIXED_SPACE) * F.lit(FIXED_SPACE) * F.exp(-F.lit(lam) * score)
+
+
 def evalue(score: Column, length: Column, letters: Column, lam: float, k: float) -> Column:
     """Expected hits of this score for a query of ``length`` in a base of ``letters``."""
     return F.lit(k) * letters * length * F.exp(-F.lit(lam) * score)

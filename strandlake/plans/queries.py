@@ -256,6 +256,20 @@ def planted_chains(spark: SparkSession, d: str) -> DataFrame:
     return search.chains(planted_reads(spark, d), planted_proteins(spark, d), long_reads()).drop("seeds")
 
 
+def seed_evalues(spark: SparkSession, d: str) -> DataFrame:
+    """Bit scores, coverages and the logarithms of both e-values of the planted reads' merged seeds."""
+    lam, k, _ = statistics.ka("BLOSUM62", 11, 1)
+    letters = planted_proteins(spark, d).agg(F.sum(F.length("aa")).alias("letters")).scalar()
+    lengths = planted_reads(spark, d).select("doc_id", F.length("dna").alias("read_len"))
+    whole = planted_proteins(spark, d).select("prot_id", F.length("aa").alias("ref_len"))
+    rows = chaining.merged(_planted_seeds(spark, d)).join(lengths, "doc_id").join(whole, "prot_id").withColumn("score", MATCH * (F.col("r_stop") - F.col("r_start")))
+    log = lambda x: F.round(F.log10(x), 6)
+    return rows.select(
+        "doc_id", "prot_id", "strand", "q_start", F.round(statistics.bit_score(F.col("score"), lam, k), 6).alias("bits"), log(statistics.evalue(F.col("score"), F.col("read_len"), letters, lam, k)).alias("log_evalue"),
+        log(statistics.evalue_of_fixed_space(F.col("score"), lam, k)).alias("log_evalue_fixed"), statistics.coverage(F.col("r_stop") - F.col("r_start"), F.col("ref_len")).cast("long").alias("coverage"),
+    )
+
+
 def planted_skip(spark: SparkSession, d: str) -> DataFrame:
     out = replay.query_skip(_planted_seeds(spark, d))
     return out.select("doc_id", "frame", "prot_id", F.col("q_pos").cast("long").alias("q_pos"), F.col("r_pos").cast("long").alias("r_pos"))
@@ -395,6 +409,10 @@ ORACLES = {
     "planted_adaptive_seeds": _ADAPTIVE,
     "planted_ungapped": _UNGAPPED,
     "planted_chains": _CHAINS,
+    "seed_evalues": f"""{_PLANTED}, {_SEEDS}, {_MERGED}, t AS (SELECT CAST(sum(length(aa)) AS DOUBLE) AS letters FROM prot),
+s AS (SELECT m.*, {MATCH} * (r_stop - r_start) AS score, length(dna) AS read_len, length(aa) AS ref_len, letters FROM merged m JOIN reads USING (doc_id) JOIN prot USING (prot_id), t)
+SELECT doc_id, prot_id, strand, q_start, round((0.267 * score - ln(0.041)) / ln(2), 6) AS bits, round(log10(0.041 * letters * read_len * exp(-0.267 * score)), 6) AS log_evalue,
+       round(log10(0.041 * 1e9 * 1e9 * exp(-0.267 * score)), 6) AS log_evalue_fixed, CAST(floor(CAST(r_stop - r_start AS DOUBLE) / ref_len * 100) AS BIGINT) AS coverage FROM s""",
     "planted_skip": f"{_PLANTED}, {_SEEDS}{_WALK}",
     "planted_merge": f"{_PLANTED}, {_SEEDS}, {_MERGED} SELECT * FROM merged",
     "planted_dominance": f"{_PLANTED}, {_SEEDS}, {_MERGED}{_DOMINANCE}",
@@ -417,6 +435,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             seed_join_k, adaptive_seed_join, ungapped_xdrop, diagonal_suppress, diagonal_window_best, strand_choice, linear_chain, frameshift_blastx, gapped_blastx,
             alignment_stats, blast_tab, blast_tab_extended, dominance_filter, subject_ids, dedupe_reads, run_counters,
             query_skip, seed_merge, dominance_seeds, optimal_extensions,
-            planted_adaptive_seeds, planted_ungapped, planted_chains, planted_skip, planted_merge, planted_dominance,
+            planted_adaptive_seeds, planted_ungapped, planted_chains, seed_evalues, planted_skip, planted_merge, planted_dominance,
         )
     }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandlake.config import SearchConfig
 from strandlake.functions.sequences import normal_dna, reverse_complement, six_frames
-from strandlake.functions.statistics import ka, read_matrix, ungapped
+from strandlake.functions.statistics import ka, known_rows, read_matrix, ungapped
 from strandlake.operators.seeding import spread
 from strandlake.operators import alignment, chaining, extension, index, postfilter, replay, seeding
 from strandlake.sources import daa
@@ -37,7 +37,7 @@ def scoring(spark, config: SearchConfig) -> tuple[np.ndarray, float, float]:
     if config.matrix_path:
         # a matrix of some 27 letters
         rows = [tuple(r) for r in read_matrix(spark, config.matrix_path).collect()]
-        return (alignment.score_table(rows, 0, 0), *ka(config.matrix, config.gap_open, config.gap_extend)[:2])
+        return (alignment.score_table(rows, 0, 0), *ka(config.matrix, config.gap_open, config.gap_extend, known_rows(spark, config.statistics_path))[:2])
     table = alignment.score_table(None, config.match, config.mismatch)
     return (table, *ungapped(table)[:2])
 

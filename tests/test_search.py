@@ -234,3 +234,21 @@ def test_adaptive_seeds_match_brute_force(spark):
                 hits = sorted((p, k) for p, k, x in suffixes if x.startswith(mine[:length]))
                 want += [(q, i, p, k, length) for p, k in (hits if len(hits) <= 3 else hits[:1])]
     assert got == sorted(want) and want
+
+
+def test_statistics_of_other_matrices_come_from_a_file(spark, tmp_path):
+    from strandlake import __main__ as cli
+    from strandlake.config import SearchConfig
+
+    (tmp_path / "ka.txt").write_text("# matrix open extend lambda K H\nPAM250 11 3 0.174 0.020 0.070\nBLOSUM80 11 2 0.5 0.1 0.2\n")
+    (tmp_path / "m.txt").write_text("   A  R\nA  4 -1\nR -1  5\n")
+    found = lambda **c: search.scoring(spark, SearchConfig(matrix_path=str(tmp_path / "m.txt"), statistics_path=str(tmp_path / "ka.txt"), **c))[1:]
+    assert found(matrix="PAM250", gap_open=11, gap_extend=3) == (0.174, 0.020)
+    assert found() == (0.5, 0.1) and found(matrix="BLOSUM62", gap_open=11, gap_extend=1) == (0.267, 0.041)
+    with pytest.raises(ValueError, match="PAM250"):
+        found(matrix="PAM250", gap_open=1, gap_extend=1)
+    args = cli.parser().parse_args(["blastx", "-i", "a", "-d", "b", "-o", "c", "--matrix", "PAM250", "--walk"])
+    config = cli.config_of(args, statistics.known_rows(spark, str(tmp_path / "ka.txt")))
+    assert (config.matrix, config.gap_open, config.gap_extend, config.query_skip) == ("PAM250", 11, 3, True)
+    with pytest.raises(SystemExit, match="PAM250"):
+        cli.config_of(args)
