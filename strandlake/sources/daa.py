@@ -2,9 +2,9 @@
 
 An archive is written as volumes.  All alignments of a read lie in one volume, a volume is made
 by one task from about ``volume_rows`` alignments and holds the names of its own subjects, so a
-result of any size is written and read in parallel.  Files go through Spark's own readers and
-writers, to any store that Spark knows; the writer's line end behind the last block is not part
-of the format and is not read.
+result of any size is written in parallel, through Spark's own writer; the line end behind the last block
+is not part of the format and is not read.  Reading takes ranges of records (:func:`read_daa`), so a volume
+of any size, also one of another program, is decoded by many tasks.
 
 Null names are written as empty ones, reads without alignments are not written, equal rows are
 written each; an empty table gives a folder without volumes.
@@ -14,15 +14,19 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.config import SearchConfig
 from strandlake.functions.sequences import CODE_OF, CODONS
 from strandlake.operators.alignment import score_table
+from strandlake.tables import stored
 
 #: Layout of the header (longs, integers, doubles, matrix name, block sizes, block types),
 #: its first number, and the letters of edit operations.
@@ -154,32 +158,43 @@ def header_of(data: bytes) -> dict:
     }
 
 
-def records(data: bytes, table: np.ndarray) -> Iterator[tuple]:
-    """The alignments of an archive, one after the other."""
-    head = header_of(data)
-    (at, _), (n0, n_size), (l0, l_size) = (head["blocks"][kind] for kind in (1, 2, 3))
-    names = [x.decode() for x in data[n0 : n0 + n_size].split(b"\0")[:-1]]
-    lengths = np.frombuffer(data, "<i4", l_size // 4, l0)
-    while size := struct.unpack_from("<i", data, at)[0]:
-        stop = at + 4 + size
-        length = struct.unpack_from("<i", data, at + 4)[0]
-        name_end = data.index(b"\0", at + 8)
-        name, bits = data[at + 8 : name_end].decode(), 3 if data[name_end + 1] & 1 else 2
-        at = name_end + 2
+def reads_in(body: bytes, wanted: set[str] | None = None) -> Iterator[tuple[str, int, int, int, int]]:
+    """(name, bits a base, bases, start and end of the rest) of each read whose record is in ``body``, or of those ``wanted``."""
+    at = 0
+    while at < len(body):
+        size, length = struct.unpack_from("<ii", body, at)
+        name_end = body.index(b"\0", at + 8)
+        name = body[at + 8 : name_end].decode()
+        if wanted is None or name in wanted:
+            yield name, 3 if body[name_end + 1] & 1 else 2, length, name_end + 2, at + 4 + size
+        at += 4 + size
+
+
+def hits_in(body: bytes, at: int, stop: int) -> Iterator[tuple[int, bool, int, int, int, bytes]]:
+    """(subject, whether on the plus strand, score, start, start in the subject, edit script) of a read's alignments."""
+    while at < stop:
+        subject, flag = struct.unpack_from("<iB", body, at)
+        score, at = packed_number(body, at + 5, flag & 3)
+        start, at = packed_number(body, at, flag >> 2 & 3)
+        r_start, at = packed_number(body, at, flag >> 4 & 3)
+        end = body.index(b"\0", at)
+        yield subject, not flag & 64, score, start, r_start, body[at:end]
+        at = end + 1
+
+
+def subjects_in(body: bytes, wanted: set[str] | None = None) -> set[int]:
+    return {hit[0] for _, bits, length, at, stop in reads_in(body, wanted) for hit in hits_in(body, at + (length * bits + 7) // 8, stop)}
+
+
+def alignments_in(body: bytes, names: dict[int, str], lengths: dict[int, int], table: np.ndarray, wanted: set[str] | None = None) -> Iterator[tuple]:
+    """Rows of SCHEMA from whole records."""
+    for name, bits, length, at, stop in reads_in(body, wanted):
         width = (length * bits + 7) // 8
-        dna = unpacked_bases(data[at : at + width], length, bits)
-        at += width
-        while at < stop:
-            subject, flag = struct.unpack_from("<iB", data, at)
-            score, at = packed_number(data, at + 5, flag & 3)
-            start, at = packed_number(data, at, flag >> 2 & 3)
-            r_start, at = packed_number(data, at, flag >> 4 & 3)
-            end = data.index(b"\0", at)
-            plus = not flag & 64
+        dna = unpacked_bases(body[at : at + width], length, bits)
+        for subject, plus, score, start, r_start, edits in hits_in(body, at + width, stop):
             start = start if plus else length - 1 - start
-            ops, q, mid, r, bases, aminos = edit_lines(data[at:end], dna if plus else turned(dna), start, table)
-            yield (name, dna, names[subject], "+" if plus else "-", score, start, start + bases, r_start, r_start + aminos, length, int(lengths[subject]), ops, q, mid, r)
-            at = end + 1
+            ops, q, mid, r, bases, aminos = edit_lines(edits, dna if plus else turned(dna), start, table)
+            yield (name, dna, names[subject], "+" if plus else "-", score, start, start + bases, r_start, r_start + aminos, length, lengths[subject], ops, q, mid, r)
 
 
 SCHEMA = (
@@ -203,16 +218,118 @@ def write_daa(found: DataFrame, path: str, sequences: int, letters: int, config:
     content.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", 1).text(path)
 
 
-def read_daa(spark: SparkSession, path: str, table: np.ndarray | None = None) -> DataFrame:
-    """The alignments of all volumes under ``path``, in the columns of SCHEMA; ``table`` scores similar pairs in the middle line."""
+#: Bytes of records that one task decodes at once, and of a file that are read at once.
+RANGE_BYTES, CHUNK = 8 << 20, 1 << 22
+#: Tasks into which the ranges of an archive are dealt at most.
+MOST_TASKS = 10_000
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file, by the path that Spark lists, for reading at any place, from the stores that Arrow knows."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+def blocks_of(file: pa.NativeFile) -> dict[int, tuple[int, int]]:
+    """Places and sizes of a volume's blocks."""
+    file.seek(0)
+    return header_of(file.read(HEADER.size))["blocks"]
+
+
+def ranges(file: pa.NativeFile, most: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of whole records, of about ``most`` bytes; only the records' lengths are looked at."""
+    at, size = blocks_of(file)[1]
+    end, begin = at + size - 4, at  # four zero bytes close the records
+    held, place = b"", at
+    while at < end:
+        if not place <= at <= place + len(held) - 4:
+            file.seek(at)
+            held, place = file.read(CHUNK), at
+        size = struct.unpack_from("<i", held, at - place)[0]
+        if not size:
+            break
+        at += 4 + size
+        if at - begin >= most:
+            yield begin, at
+            begin = at
+    if at > begin:
+        yield begin, at
+
+
+def subject_names(file: pa.NativeFile, blocks: dict, numbers: set[int]) -> tuple[dict[int, str], dict[int, int]]:
+    """Names and lengths of some subjects; the names of the others are passed over, a chunk at a time."""
+    at, size = blocks[2]
+    file.seek(at)
+    found, number, rest = {}, 0, b""
+    while size and len(found) < len(numbers):
+        chunk = file.read(min(CHUNK, size))
+        size -= len(chunk)
+        *names, rest = (rest + chunk).split(b"\0")
+        found |= {n: x.decode() for n, x in enumerate(names, number) if n in numbers}
+        number += len(names)
+    lengths = {}
+    for n in sorted(numbers):
+        file.seek(blocks[3][0] + 4 * n)
+        lengths[n] = struct.unpack("<i", file.read(4))[0]
+    return found, lengths
+
+
+def read_daa(spark: SparkSession, path: str, table: np.ndarray | None = None, reads: list[str] | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The alignments of all volumes under ``path``, in the columns of SCHEMA, or those of some ``reads`` (names);
+    ``table`` scores similar pairs in the middle line.
+
+    A task goes along the lengths of a volume's records and cuts them into ranges; the ranges, of all
+    volumes, are dealt out, and each task reads its own bytes of the file, and the names of the
+    subjects in them.  Of other reads than the wanted ones only the names are decoded.  Stores that only
+    Spark can open are read a whole volume at a time.
+    """
     table = score_table(None, 1, -1) if table is None else table
+    wanted = None if reads is None else set(reads)
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def in_batches(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        while some := list(islice(rows, 1000)):
+            yield pd.DataFrame(some, columns=columns)
+
+    def part(file: pa.NativeFile, start: int, stop: int) -> Iterator[tuple]:
+        blocks = blocks_of(file)
+        file.seek(start)
+        body = file.read(stop - start)
+        return alignments_in(body, *subject_names(file, blocks, subjects_in(body, wanted)), table, wanted)
+
+    if not arrow_opens(spark, path):
+
+        def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for content in (c for frame in frames for c in frame["content"]):
+                file = pa.BufferReader(content)
+                for start, stop in ranges(file, range_bytes):
+                    yield from in_batches(part(file, start, stop))
+
+        return volumes_of(spark, path).select("content").mapInPandas(whole, SCHEMA)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for path in (p for frame in frames for p in frame["path"]):
+            with opened(path) as file:
+                yield pd.DataFrame([(path, *r) for r in ranges(file, range_bytes)], columns=["path", "start", "stop"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                yield pd.DataFrame(list(records(content, table)), columns=[c.split()[0] for c in SCHEMA.split(", ")])
+        for path, start, stop in (r for frame in frames for r in frame.itertuples(index=False)):
+            with opened(path) as file:
+                yield from in_batches(part(file, start, stop))
 
-    return volumes_of(spark, path).select("content").mapInPandas(run, SCHEMA)
+    found = stored(volumes_of(spark, path).select("path").mapInPandas(cut, "path string, start long, stop long"), "ranges")
+    return found.repartition(max(1, min(found.count(), MOST_TASKS)), "path", "start").mapInPandas(run, SCHEMA)
+
+
+def arrow_opens(spark: SparkSession, path: str) -> bool:
+    """Whether Arrow can open the first of the files under ``path``."""
+    first = volumes_of(spark, path).select("path").first()
+    try:
+        return first is None or opened(first["path"]).seekable()
+    except (pa.ArrowException, OSError, ValueError):
+        return False
 
 
 #: What a volume's header tells.
@@ -232,7 +349,13 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            heads = [header_of(c) for c in frame["content"]]
+            heads = [header_of(c) for c in (frame["content"] if "content" in frame else map(first_bytes, frame["path"]))]
             yield pd.DataFrame([{"path": p, **{c: h[c] for c in h if c != "blocks"}} for p, h in zip(frame["path"], heads, strict=True)]).astype({"shift": "Int32"})
 
-    return volumes_of(spark, path).select("path", "content").mapInPandas(run, schema)
+    # without the content, Spark lists the files but does not read them
+    return volumes_of(spark, path).select("path", *([] if arrow_opens(spark, path) else ["content"])).mapInPandas(run, schema)
+
+
+def first_bytes(path: str) -> bytes:
+    with opened(path) as file:
+        return file.read(HEADER.size)

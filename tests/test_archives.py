@@ -124,6 +124,37 @@ def test_merged_archives_hold_each_alignment_once(spark, searched):
     assert rows("both") == rows("daa")
 
 
+def test_one_file_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = []
+    for k in range(80):
+        protein = word("ARNDCQEGHILKMFPSTWYV", rng.randrange(5, 40))
+        dna = word("ACGT", 6) + "".join(BACK[a] for a in protein) + word("ACGT", 7)
+        for s in range(rng.randrange(1, 4)):
+            n = len(protein)
+            rows.append((f"read {k}", dna, f"s{rng.randrange(30)}", "+", 6 * n, 6, 6 + 3 * n, s, n + s, len(dna), n + 9, "M" * n, protein, protein, protein))
+    lengths = {r[2]: r[10] for r in rows}
+    rows = [(*r[:10], lengths[r[2]], *r[11:]) for r in rows]
+    from strandlake.config import SearchConfig
+
+    daa.write_daa(spark.createDataFrame(rows, daa.SCHEMA), str(tmp_path / "one archive"), 30, 999, SearchConfig(), 0.3, 0.1)
+    for chunk in (daa.CHUNK, 64):
+        monkeypatch.setattr(daa, "CHUNK", chunk)
+        (path,) = [r["path"] for r in daa.volumes_of(spark, str(tmp_path / "one archive")).select("path").collect()]
+        with daa.opened(path) as file:
+            parts = list(daa.ranges(file, 500))
+            names = daa.subject_names(file, daa.header_of(open(path.removeprefix("file:"), "rb").read())["blocks"], {0, 7})[0]
+        assert len(parts) > 10 and all(b == c for (_, b), (c, _) in zip(parts, parts[1:], strict=False)) and set(names) == {0, 7}
+    found = daa.read_daa(spark, str(tmp_path / "one archive"), range_bytes=500)
+    assert sorted(map(tuple, found.collect())) == sorted(rows) and found.rdd.getNumPartitions() == len(parts)
+    some = daa.read_daa(spark, str(tmp_path / "one archive"), reads=["read 3", "read 77", "none"], range_bytes=500).collect()
+    assert sorted(map(tuple, some)) == sorted(r for r in rows if r[0] in ("read 3", "read 77"))
+    monkeypatch.setattr(daa, "arrow_opens", lambda *_: False)
+    assert sorted(map(tuple, daa.read_daa(spark, str(tmp_path / "one archive"), range_bytes=500).collect())) == sorted(rows)
+    assert daa.read_headers(spark, str(tmp_path / "one archive")).first()["reads"] == 80
+
+
 def test_merging_of_empty_and_unlike_archives(spark, searched, tmp_path):
     (tmp_path / "empty").mkdir()
     cli.main(["merge", "-i", str(tmp_path / "empty"), str(searched / "daa"), "-o", str(tmp_path / "one")])
