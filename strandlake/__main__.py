@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     db = mode.add_parser("makedb", help="index a protein FASTA file")
     db.add_argument("-i", "--input", required=True)
     db.add_argument("-d", "--db", required=True)
+    db.add_argument("--minimizers", type=positive(int, 1), nargs=2, metavar=("P", "Q"), help="index only the smallest of P letters in each window of Q")
     run = mode.add_parser("blastx", help="align DNA reads with an index")
     run.add_argument("-i", "--input", required=True, help="FASTA or FASTQ (.fq, .fastq), plain or gz")
     run.add_argument("-d", "--db", required=True)
@@ -101,7 +102,7 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("strandlake").getOrCreate()
     if args.mode == "makedb":
-        search.make_db(spark, args.input, args.db)
+        search.make_db(spark, args.input, args.db, args.minimizers and tuple(args.minimizers))
     elif args.mode == "blastx":
         blastx(spark, args)
     elif args.mode == "convert":

@@ -18,6 +18,8 @@ class SearchConfig:
     #: Penalty of a frame shift; None keeps alignments in one frame.
     frameshift: int | None = 15
     multiplicity: int = 10
+    #: (p, q) of the minimizers at whose places alone the base is indexed; None for all places.
+    sampling: tuple[int, int] | None = None
     #: Whether a hit's matched letters are skipped, position by position as in a serial search; else all hits count.
     query_skip: bool = False
     max_evalue: float = 1e-3

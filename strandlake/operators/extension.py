@@ -84,11 +84,11 @@ def extended(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, least:
 class Index:
     """The sorted suffixes of all proteins, each of ``LONGEST`` letters."""
 
-    def __init__(self, rows: list[tuple[int, str]], multiplicity: int) -> None:
+    def __init__(self, rows: list[tuple[int, str]], multiplicity: int, sampling: tuple[int, int] | None = None) -> None:
         rows = sorted(rows)
         self.ids, self.m = np.array([p for p, _ in rows], np.int64), multiplicity
         self.flat, self.starts = joined([aa for _, aa in rows])
-        place = [s + np.arange(max(len(aa) - 2, 0)) for s, (_, aa) in zip(self.starts, rows, strict=True)]
+        place = [s + (np.arange(max(len(aa) - 2, 0)) if sampling is None else sampled_places(aa, *sampling)) for s, (_, aa) in zip(self.starts, rows, strict=True)]
         place = np.concatenate(place) if place else np.empty(0, np.int64)
         found = windows(self.flat, place)
         # places go up with (prot_id, pos), so the first of equals is the smallest
@@ -132,16 +132,28 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def sampled_places(aa: str, p: int, q: int) -> np.ndarray:
+    """The minimizers of a protein, as index.minimizers has them; all places of one of fewer than ``q`` letters."""
+    if len(aa) < q:
+        return np.arange(max(len(aa) - 2, 0))
+    code = np.frombuffer(aa.encode(), np.uint8).astype(np.int64)
+    sums = np.convolve(code, np.ones(p, np.int64), "valid")
+    width = q - p + 1
+    order = sums * len(sums) + np.arange(len(sums))[::-1]  # of equal sums the last
+    least = np.lib.stride_tricks.sliding_window_view(order, width).argmin(1)
+    return np.unique(np.arange(len(least)) + least)
+
+
 #: The index that a worker made last, by its broadcast: tasks of one search share it.
 HELD: dict[tuple, Index] = {}
 
 
-def held_index(sent: Broadcast, multiplicity: int) -> Index:
+def held_index(sent: Broadcast, multiplicity: int, sampling: tuple[int, int] | None) -> Index:
     rows = sent.value
-    key = id(rows), multiplicity
+    key = id(rows), multiplicity, sampling
     if key not in HELD or HELD[key].rows is not rows:
         HELD.clear()
-        HELD[key] = Index(rows, multiplicity)
+        HELD[key] = Index(rows, multiplicity, sampling)
         HELD[key].rows = rows
     return HELD[key]
 
@@ -179,9 +191,10 @@ def rows_of(doc: np.ndarray, frame: np.ndarray, prot: np.ndarray, a: np.ndarray,
     return pd.DataFrame(dict(zip(names, (doc, frame, prot, a, b, length, score, *origin), strict=False))).drop_duplicates()
 
 
-def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np.ndarray, lam: float, k: float, index_letters: int = INDEX_LETTERS, suffixes: DataFrame | None = None, origin: bool = False) -> DataFrame:
+def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np.ndarray, lam: float, k: float, index_letters: int = INDEX_LETTERS, suffixes: DataFrame | None = None, origin: bool = False, sampling: tuple[int, int] | None = None) -> DataFrame:
     """(doc_id, frame, prot_id, q_pos, r_pos, length, score) from peptides (doc_id, frame, aa) and
     proteins (prot_id, aa); ``table`` holds the scores by two letters' codes (alignment.score_table).
+    ``sampling``: (p, q) of the minimizers at which matches start, None for all places.
     With their ``origin``, rows alike in all of these stay apart if they come from different matches."""
     proteins = proteins.select("prot_id", "aa").filter("aa IS NOT NULL")
     peptides = peptides.select("doc_id", "frame", "aa").filter("length(aa) >= 3")
@@ -192,7 +205,7 @@ def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np
         sent = peptides.sparkSession.sparkContext.broadcast([tuple(r) for r in proteins.collect()])
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            base = held_index(sent, multiplicity)
+            base = held_index(sent, multiplicity, sampling)
             for frame in frames:
                 for part in range(0, len(frame), 32):
                     some = frame.iloc[part : part + 32]
@@ -209,7 +222,10 @@ def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np
         return peptides.mapInPandas(run, ORIGIN if origin else SCHEMA)
 
     query = index.suffixes(peptides.select(F.struct("doc_id", "frame").alias("prot_id"), "aa"), seeding.LONGEST).select(F.col("prot_id").alias("q_id"), F.col("pos").alias("q_pos"), "suffix")
-    found = seeding.adaptive_seed_join(query, index.suffixes(proteins, seeding.LONGEST) if suffixes is None else suffixes, multiplicity, small_partitions=True)
+    if suffixes is None:
+        suffixes = index.suffixes(proteins, seeding.LONGEST)
+        suffixes = index.sampled(suffixes, proteins, *sampling) if sampling else suffixes
+    found = seeding.adaptive_seed_join(query, suffixes, multiplicity, small_partitions=True)
     pairs = stored(found.select("q_id.doc_id", "q_id.frame", F.col("q_pos").cast("int").alias("q_pos"), "prot_id", F.col("pos").cast("int").alias("r_pos"), F.col("len").cast("int").alias("match")), "pairs")
     return extended_pairs(pairs if origin else pairs.drop("match"), peptides, proteins, letters, table, x_drop, lam, k).distinct()
 

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from strandlake.functions.sequences import common_prefix, reduced
+from strandlake.functions.sequences import reduced
+from strandlake.operators import neighbours
+from strandlake.tables import stored
 
 #: Letters of a suffix in the index.
 LONGEST = 100
@@ -41,14 +43,45 @@ def sorted_index(found: DataFrame) -> DataFrame:
     return found.repartition("prefix3").sortWithinPartitions("prefix3", "suffix", "prot_id", "pos")
 
 
-def write_index(proteins: DataFrame, path: str) -> None:
-    sorted_index(suffixes(proteins)).write.parquet(path)
-
-
-def lcp_neighbours(found: DataFrame, longest: int = 127) -> DataFrame:
-    """Each suffix with the length of the prefix that it shares with its predecessor."""
-    before = Window.partitionBy("prefix3").orderBy("suffix", "prot_id", "pos")
-    return found.withColumn("_b", F.lag("suffix").over(before)).withColumn("lcp", common_prefix("suffix", "_b", longest).cast("long")).drop("_b")
+def sampled(found: DataFrame, proteins: DataFrame, p: int, q: int) -> DataFrame:
+    """The suffixes that start at minimizers (:func:`minimizers`): about 2 in ``q`` - ``p`` + 2 of them.  A match of ``q``
+    letters or more holds one; its letters to the left are found again when the seed is extended."""
+    kept = minimizers(proteins, p, q).select("prot_id", F.col("pos").cast("int").alias("pos"))
+    short = proteins.filter((F.length("aa") >= 3) & (F.length("aa") < q)).select("prot_id")
+    return found.join(kept, ["prot_id", "pos"], "left_semi").union(found.join(short, "prot_id", "left_semi").select(found.columns))
+
+
+def write_index(proteins: DataFrame, path: str, sampling: tuple[int, int] | None = None) -> None:
+    """The sorted suffixes of all positions, or of those of minimizers (p, q), as a table."""
+    found = suffixes(proteins)
+    sorted_index(sampled(found, proteins, *sampling) if sampling else found).write.parquet(path)
+
+
+def lcp_neighbours(found: DataFrame, longest: int = 127, range_rows: int = neighbours.RANGE_ROWS) -> DataFrame:
+    """Each suffix with the length of the prefix that it shares with its predecessor in the sorted order, 0 if
+    that starts with other three letters.
+
+    Ranges of the sorted order are sorted apart; the last suffix of each, a row a range, is carried to the next.
+    """
+    spark = found.sparkSession
+    rows = stored(found.select("prot_id", "pos", F.substring("suffix", 1, longest).alias("suffix")), "suffixes")
+    splits = spark.sparkContext.broadcast(neighbours.splits_of(rows, range_rows, longest))
+    held = neighbours.ranged(rows, splits)
+    lasts = {r["range"]: r["last"] for r in held.groupBy("range").agg(F.max("suffix").alias("last")).collect()}
+    carried, before = {}, None
+    for number in sorted(lasts):
+        carried[number], before = before, lasts[number]
+    sent = spark.sparkContext.broadcast(carried)
+
+    def run(rows: pa.Table) -> pa.Table:
+        prot, pos, suffix = rows.column("prot_id").to_numpy(), rows.column("pos").to_numpy(), neighbours.fixed(rows.column("suffix"), longest)
+        order = np.lexsort((pos, prot, suffix))
+        first = sent.value[rows.column("range")[0].as_py()] or ""
+        letters = neighbours.letters_of(np.concatenate([np.array([first.encode()], suffix.dtype), suffix[order]]))
+        lcp = neighbours.shared(letters[1:], letters[:-1])
+        return pa.table({"prot_id": prot[order], "pos": pos[order], "lcp": np.where(lcp < 3, 0, lcp)})
+
+    return held.groupBy("range").applyInArrow(run, "prot_id long, pos int, lcp long")
 
 
 def minimizers(proteins: DataFrame, p: int = 3, q: int = 6) -> DataFrame:

@@ -19,11 +19,16 @@ from strandlake.sources.fasta import first_of_names, read_fasta
 from strandlake.tables import stored
 
 
-def make_db(spark, fasta: str, path: str) -> None:
-    """Proteins and their sorted suffixes as two tables under ``path``; the first protein of a name counts."""
+#: Chains that a task aligns, and the most tasks that chains are dealt to at once.
+CHAINS_A_TASK, MOST_TASKS = 5_000, 50_000
+
+
+def make_db(spark, fasta: str, path: str, sampling: tuple[int, int] | None = None) -> None:
+    """Proteins and their sorted suffixes as two tables under ``path``; the first protein of a name counts.
+    ``sampling``: (p, q) of the minimizers that alone are indexed."""
     proteins = first_of_names(read_fasta(spark, fasta)).select(F.monotonically_increasing_id().alias("prot_id"), "id", F.col("seq").alias("aa"))
     proteins.write.parquet(f"{path}/proteins")
-    index.write_index(spark.read.parquet(f"{path}/proteins"), f"{path}/suffixes")
+    index.write_index(spark.read.parquet(f"{path}/proteins"), f"{path}/suffixes", sampling)
 
 
 def read_db(spark, path: str) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +51,7 @@ def seeds(reads: DataFrame, proteins: DataFrame, config: SearchConfig, suffixes:
     """The adaptive seeds of all six frames, extended both ways, that reach the least seed score;
     ``suffixes`` of an index spare a large base their making."""
     table, lam, k = scoring(reads.sparkSession, config)
-    found = extension.seeds(six_frames(spread(reads.select("doc_id", "dna"))), proteins, config.multiplicity, table, lam, k, suffixes=suffixes, origin=config.query_skip)
+    found = extension.seeds(six_frames(spread(reads.select("doc_id", "dna"))), proteins, config.multiplicity, table, lam, k, suffixes=suffixes, origin=config.query_skip, sampling=config.sampling)
     return replay.query_skip(found).drop("at", "match").distinct() if config.query_skip else found
 
 
@@ -63,13 +68,14 @@ def blastx(reads: DataFrame, proteins: DataFrame, config: SearchConfig = SearchC
     letters = int(proteins.agg(F.coalesce(F.sum(F.length("aa")), F.lit(0))).first()[0])
     x_drop = gapped_x_drop(letters, lam, k)
     band = config.band or 3 * max((x_drop - config.gap_open) // max(config.gap_extend, 1), 10)
-    found = chains(reads, proteins, config, suffixes).select("doc_id", "prot_id", "strand", "seeds")
+    found = stored(chains(reads, proteins, config, suffixes).select("doc_id", "prot_id", "strand", "seeds"), "chains")
     both = found.join(reads.select("doc_id", "dna"), "doc_id").join(seeding.small(proteins.select("prot_id", F.col("aa").alias("protein"))), "prot_id")
     strand = F.when(F.col("strand") == "+", F.col("dna")).otherwise(reverse_complement(F.col("dna")))
     # the least raw score under which no alignment passes the filters
     least = F.greatest(F.ceil((F.log(F.lit(k) * letters * F.length("dna")) - math.log(config.max_evalue)) / lam - 1e-9), F.lit(x_drop), F.lit(1))
-    # a chain is a short row, but not its alignment: a given number of partitions is not made less
-    dealt = both.withColumns({"dna": strand, "least": least.cast("long")}).repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # a chain is a short row, but not its alignment: tasks by their number, which Spark does not make less
+    tasks = min(max(reads.sparkSession.sparkContext.defaultParallelism, -(-found.count() // CHAINS_A_TASK)), MOST_TASKS)
+    dealt = both.withColumns({"dna": strand, "least": least.cast("long")}).repartition(tasks)
     rows = alignment.gapped(dealt, table, config.gap_open, config.gap_extend, config.frameshift, x_drop, band)
     out = postfilter.significant(postfilter.scored(rows, letters, lam, k), config.max_evalue, config.min_coverage)
     return postfilter.not_dominated(out, config.dominance_overlap, config.dominance_score) if config.dominance else out

@@ -168,3 +168,32 @@ def test_chains_over_group_bounds(spark, monkeypatch, by_frame, together, batch)
         assert chaining.chains(rows.limit(0), proteins).collect() == []
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("letters", [extension.INDEX_LETTERS, 0])
+def test_a_sampled_index_finds_the_planted_seeds(spark, letters):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("ARNDCQEGHILKMFPSTWYV") for _ in range(n))
+    proteins = {k: word(rng.choice([4, 5, 80])) for k in range(30)}
+    base = table(spark, proteins)
+    places = {(p, int(i)) for p, aa in proteins.items() for i in extension.sampled_places(aa, 3, 6)}
+    found = index.suffixes(base)
+    assert {(r["prot_id"], r["pos"]) for r in index.sampled(found, base, 3, 6).collect()} == places and len(places) < 0.6 * found.count()
+    peptides = [(k, 1, word(9) + "".join(c if i % 17 else rng.choice("AR") for i, c in enumerate(aa)) + word(5)) for k, aa in proteins.items() if len(aa) > 50]
+    rows = spark.createDataFrame(peptides, "doc_id long, frame int, aa string")
+    seeds = lambda s: {tuple(r) for r in extension.seeds(rows, base, 10, alignment.score_table(None, 6, -2), 0.365, 0.168, letters, sampling=s).collect()}
+    every, some = seeds(None), seeds((3, 6))
+    best = lambda x: {(d, p): max(s for a, _, b, *_, s in x if (a, b) == (d, p)) for d, _, p, *_ in x if d == p}
+    assert best(some) == best(every) and len(best(every)) == len(peptides)
+
+
+@pytest.mark.parametrize("range_rows", [5, 60, 10_000])
+def test_neighbours_over_ranges_share_prefixes(spark, range_rows):
+    _, proteins = repeated()
+    proteins |= {30 + k: "AAAAAAAAAAAA" for k in range(9)}
+    rows = sorted((s[i : i + 127], p, i) for p, s in proteins.items() for i in range(len(s) - 2))
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    lcp = [0] + [common(a[0], b[0]) for a, b in zip(rows, rows[1:], strict=False)]
+    want = {(p, i): n if n >= 3 else 0 for (_, p, i), n in zip(rows, lcp, strict=True)}
+    got = index.lcp_neighbours(index.suffixes(table(spark, proteins), 127), 127, range_rows).collect()
+    assert {(r["prot_id"], r["pos"]): r["lcp"] for r in got} == want and len(got) == len(want)
