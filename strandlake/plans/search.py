@@ -88,8 +88,11 @@ def gapped_x_drop(letters: int, lam: float, k: float) -> int:
 
 
 def reads_of(rows: DataFrame, seq: str = "seq", name: str = "id") -> DataFrame:
-    """Reads (doc_id, id, dna) as the search takes them, from a FASTA or FASTQ table, numbered once and stored."""
-    once = first_of_names(rows, name).select(F.col(name).alias("id"), normal_dna(F.col(seq)).alias("dna"))
+    """Reads (doc_id, id, dna) as the search takes them, from a FASTA or FASTQ table, numbered in the order of
+    files and records, once, and stored."""
+    place = [c for c in ("file", "rank") if c in rows.columns]
+    once = first_of_names(rows, name).repartitionByRange(*place).sortWithinPartitions(*place)
+    once = once.select(F.col(name).alias("id"), normal_dna(F.col(seq)).alias("dna"))
     return stored(once.select(F.monotonically_increasing_id().alias("doc_id"), "id", "dna"), "reads")
 
 

@@ -121,7 +121,7 @@ def volume(rows: pd.DataFrame, head: tuple, matrix: str) -> bytes:
     body = bytearray()
     sequences, letters, gap_open, gap_extend, shift, k, lam = head
     reads = 0
-    for (name, dna), hits in rows.groupby(["read_name", "dna"], sort=True):
+    for (name, dna), hits in rows.groupby(["read_name", "dna"], sort=False):
         record = bytearray(struct.pack("<i", len(dna)) + name.encode() + b"\0\0" + packed_bases(dna))
         for h in hits.itertuples(index=False):
             number, _ = subjects.setdefault(h.subject, (len(subjects), int(h.ref_len)))
@@ -204,18 +204,30 @@ SCHEMA = (
 
 
 def write_daa(found: DataFrame, path: str, sequences: int, letters: int, config: SearchConfig, lam: float, k: float, volume_rows: int = 200_000) -> None:
-    """Alignments in the columns of SCHEMA, as volumes in the folder ``path``."""
+    """Alignments in the columns of SCHEMA, as volumes in the folder ``path``.
+
+    With the reads' numbers (``doc_id``), volumes are ranges of reads, in the order of the files' names, and so are
+    the records of a volume; without them, reads go to volumes by the hashes of their names.
+    """
     volumes = max(1, -(-found.count() // volume_rows))
     head = (sequences, letters, config.gap_open, config.gap_extend, config.frameshift, k, lam)
     named = found.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("read_name", "subject")})
-    dealt = named.withColumn("volume", F.pmod(F.xxhash64("read_name"), F.lit(volumes)))
+    if "doc_id" in found.columns:
+        # a bound for each volume of some 200,000 rows
+        bounds = sorted(set(named.approxQuantile("doc_id", [k / volumes for k in range(1, volumes)], 0.1 / volumes))) if volumes > 1 else []
+        number = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col("doc_id")))
+        dealt = named.withColumns({"volume": number.cast("long"), "_order": F.col("doc_id")})
+    else:
+        dealt = named.withColumns({"volume": F.pmod(F.xxhash64("read_name"), F.lit(volumes)), "_order": F.lit(0).cast("long")})
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["read_name", "score", "subject", "strand", "q_start"], ascending=[True, False, True, True, True])
-        return pd.DataFrame({"value": [volume(rows, head, config.matrix)]})
+        by = ["_order", "read_name", "dna", "score", "subject", "strand", "q_start"]
+        rows = rows.sort_values(by, ascending=[True, True, True, False, True, True, True])
+        return pd.DataFrame({"volume": rows["volume"].iloc[:1], "value": [volume(rows, head, config.matrix)]})
 
-    content = dealt.groupBy("volume").applyInPandas(run, "value binary")
-    content.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", 1).text(path)
+    content = dealt.groupBy("volume").applyInPandas(run, "volume long, value binary")
+    ordered = content.repartitionByRange(volumes, "volume").sortWithinPartitions("volume")
+    ordered.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", 1).text(path)
 
 
 #: Bytes of records that one task decodes at once, and of a file that are read at once.

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from strandlake import __main__ as cli
 from strandlake.functions.sequences import CODONS
 from strandlake.operators import alignment
+from strandlake.plans import search
 from strandlake.sources import daa, fasta, fastq, results
 
 BACK = {a: c for c, a in sorted(CODONS.items())}
@@ -155,6 +156,28 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
     assert daa.read_headers(spark, str(tmp_path / "one archive")).first()["reads"] == 80
 
 
+def test_volumes_keep_the_order_of_reads(spark, tmp_path):
+    from strandlake.config import SearchConfig
+
+    rng = random.Random(2)
+    names = [f"r{rng.randrange(10**6)}" for _ in range(300)]
+    (tmp_path / "x.fa").write_text("".join(f">{n}\nACGTACGTACGT\n" for n in names))
+    once = list(dict.fromkeys(names))
+    reads = search.reads_of(fasta.read_fasta(spark, str(tmp_path / "x.fa")))
+    assert [r["id"] for r in reads.orderBy("doc_id").collect()] == once
+    hit = spark.createDataFrame([("s", "+", 9, 0, 12, 0, 4, 12, 4, "MMMM", "TYVR", "TYVR", "TYVR")], ", ".join(daa.SCHEMA.split(", ")[2:]))
+    found = reads.withColumnsRenamed({"id": "read_name"}).crossJoin(hit)
+    daa.write_daa(found, str(tmp_path / "o"), 1, 4, SearchConfig(), 0.3, 0.1, volume_rows=40)
+    files = sorted(r["path"] for r in daa.volumes_of(spark, str(tmp_path / "o")).select("path").collect())
+    order = []
+    for f in files:
+        with daa.opened(f) as file:
+            for start, stop in daa.ranges(file, 10**6):
+                file.seek(start)
+                order += [name for name, *_ in daa.reads_in(file.read(stop - start))]
+    assert order == once and len(files) > 5
+
+
 def test_merging_of_empty_and_unlike_archives(spark, searched, tmp_path):
     (tmp_path / "empty").mkdir()
     cli.main(["merge", "-i", str(tmp_path / "empty"), str(searched / "daa"), "-o", str(tmp_path / "one")])
