@@ -56,6 +56,9 @@ def parser() -> argparse.ArgumentParser:
     both.add_argument("-i", "--input", required=True, nargs="+")
     both.add_argument("-o", "--output", required=True)
     both.add_argument("--dominance", action="store_true")
+    out = mode.add_parser("dump", help="write the proteins of an index as FASTA")
+    out.add_argument("-d", "--db", required=True)
+    out.add_argument("-o", "--output", required=True)
     return top
 
 
@@ -105,6 +108,8 @@ def main(argv: list[str] | None = None) -> None:
         search.make_db(spark, args.input, args.db, args.minimizers and tuple(args.minimizers))
     elif args.mode == "blastx":
         blastx(spark, args)
+    elif args.mode == "dump":
+        fasta.write_fasta(search.read_db(spark, args.db)[0], args.output, seq="aa")
     elif args.mode == "convert":
         write(search.archived(spark, args.input), args.output, args.format)
     else:

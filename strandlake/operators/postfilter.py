@@ -66,8 +66,3 @@ def subject_ids(found: DataFrame, parts: int = 200) -> DataFrame:
     before = sizes.withColumn("skip", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("part").orderBy("name"))
     return dealt.withColumn("place", place).join(F.broadcast(before), "part").select("prot_id", "name", (F.col("skip") + F.col("place") - 1).alias("subject"))
-
-
-def in_read_order(found: DataFrame) -> DataFrame:
-    """Range partitions by read, best alignments first, as files are written."""
-    return found.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.desc("bitscore"), "prot_id")

@@ -178,6 +178,11 @@ def test_volumes_keep_the_order_of_reads(spark, tmp_path):
     assert order == once and len(files) > 5
 
 
+def test_an_index_is_written_as_fasta(spark, searched, files, tmp_path):
+    cli.main(["dump", "-d", str(searched / "db"), "-o", str(tmp_path / "fasta")])
+    assert {r["id"]: r["seq"] for r in fasta.read_fasta(spark, str(tmp_path / "fasta")).collect()} == files[1]
+
+
 def test_merging_of_empty_and_unlike_archives(spark, searched, tmp_path):
     (tmp_path / "empty").mkdir()
     cli.main(["merge", "-i", str(tmp_path / "empty"), str(searched / "daa"), "-o", str(tmp_path / "one")])

@@ -172,7 +172,7 @@ def as_text(rows, width, end="\n"):
     return "".join(f"@{n} some words{end}{cut(s)}+{n if k % 2 else ''}{end}{cut(q)}" for k, (n, s, q) in enumerate(rows))
 
 
-@pytest.mark.parametrize("width, split, end", [(7, 50, "\n"), (13, 300, "\r\n"), (1000, 64, "\n"), (3, 10_000, "\n")])
+@pytest.mark.parametrize("width, split, end", [(7, 50, "\n"), (13, 300, "\r\n"), (1000, 3000, "\n"), (3, 10_000, "\n")])
 def test_fastq_of_several_lines_over_splits(spark, tmp_path, width, split, end):
     rng = random.Random(width)
     files = {"a": records(rng, 60, width), "b": records(rng, 5, width, 400) + [("long", "ACGT" * 300, "@+I@" * 300)] + records(rng, 30, width), "c": []}
