@@ -10,7 +10,9 @@ into it.  Files hold about ``shard_chars`` characters, so a task's memory is bou
 
 Defined results: null and empty texts have no tokens and a count of 0; repeated rows are
 counted each; ids after the last end id of a file belong to no document; an empty file or
-table gives no rows; further columns are ignored.
+table gives no rows; rows alike in doc_id and text tie, and have the same count; a text of any
+length is read whole, by the one task that encodes it, and may reach over many blocks of a
+file; further columns are ignored.
 """
 
 from __future__ import annotations

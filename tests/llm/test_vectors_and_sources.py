@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import divergence, hard_negatives, hnsw
+from strandlake.llm import divergence, hard_negatives, hnsw, minhash, quality_gam
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 NAN, INF = float("nan"), float("inf")
@@ -179,3 +179,27 @@ def test_sums_are_written_out_in_pieces(spark, monkeypatch):
     assert sorted((str(r["term"]), r["n"], r["df"]) for r in rows) == [("None", 0, 0), ("ab", 20, 20), ("ac", 20, 20), ("z", 80, 40)]
     vectors = {tuple(r) for r in divergence.document_vectors(docs).select("doc_id", F.array_join("terms", " "), F.array_join("counts", " ")).collect()}
     assert (0, "ab z", "1 2") in vectors and len(vectors) == 40
+
+
+def test_very_long_texts_are_read_to_their_ends(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    half, other, third = ([word() for _ in range(40_000)] for _ in range(3))
+    texts = [" ".join(half + other), " ".join(half + other[:-1] + ["changed"]), " ".join(half + third)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = sorted(tuple(r) for r in minhash.near_duplicates(docs, size=4).select("doc_id", "n_shingles", "component_id").collect())
+    sets = [len({tuple(w[k : k + 4]) for k in range(len(w) - 3)}) for w in (t.split() for t in texts)]
+    # the third shares its first half with the others
+    assert out == [(0, sets[0], 0), (1, sets[1], 0), (2, sets[2], 2)]
+    loud = texts[0] + " !" * 80_000
+    plain, marked = (dict(zip(quality_gam.FEATURES, quality_gam.features(t), strict=True)) for t in (texts[0], loud))
+    assert plain["marks"] == 0 and marked["marks"] > 0.1 and marked["log_words"] > plain["log_words"]
+
+
+def test_a_labelled_doc_id_on_many_rows_is_taught_once(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    one = [(k, ("good words here. " if k % 2 else "BAD ### ") * (k + 1)) for k in range(40)]
+    many = one + [one[1]] * 500
+    models = [quality_gam.train(spark.createDataFrame(rows, "doc_id long, text string"), labels) for rows in (one, many)]
+    x = np.array([quality_gam.features(t) for _, t in one])
+    assert np.array_equal(models[0].score(x), models[1].score(x))
