@@ -167,6 +167,12 @@ def estimate(a: str, b: str, longs: int) -> Column:
     return F.expr(f"({share} - {2.0**-BITS}D) / {1 - 2.0**-BITS}D")
 
 
+def sorted_side(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a sort-merge join.  What is joined here grows with the corpus; as broadcasts, many
+    in one plan, they would all pass through the driver."""
+    return rows.hint("merge")
+
+
 def components(links: DataFrame, partitions: int | None = None) -> DataFrame:
     """(id, comp): for each id in the links (a, b), the smallest id it is connected with.
 
@@ -177,11 +183,11 @@ def components(links: DataFrame, partitions: int | None = None) -> DataFrame:
     both = stored(both, "links")
     label = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("comp")), "labels")
     while True:
-        heard = both.join(label.select(F.col("id").alias("a"), F.col("comp").alias("near")), "a").groupBy(F.col("b").alias("id")).agg(F.min("near").alias("near"))
-        step = label.join(heard, "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
+        heard = both.join(sorted_side(label.select(F.col("id").alias("a"), F.col("comp").alias("near"))), "a").groupBy(F.col("b").alias("id")).agg(F.min("near").alias("near"))
+        step = label.join(sorted_side(heard), "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         for _ in range(2):
             up = label.select(F.col("id").alias("mid"), F.col("comp").alias("top"))
-            step = step.join(up, "mid", "left").select("id", "old", F.least("mid", "top").alias("mid"))
+            step = step.join(sorted_side(up), "mid", "left").select("id", "old", F.least("mid", "top").alias("mid"))
         new = stored(step.withColumnRenamed("mid", "comp"), "labels")
         moved = new.filter("comp < old").limit(1).count()
         label = new.select("id", "comp")
@@ -194,12 +200,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, thr
 
     ``rows`` (id, doc_id, h): the row of ``docs``, by doc_id and hash of the text, that has an id's set."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = rows.join(wanted, "id").select("id", F.col("doc_id").alias("_i"), F.col("h").alias("_h"))
+    wanted = rows.join(sorted_side(wanted), "id").select("id", F.col("doc_id").alias("_i"), F.col("h").alias("_h"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # the one join that may be a broadcast: few wanted rows spare all texts a shuffle
     text = text.join(wanted, text["doc_id"].eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_h"))).select("id", "text")
     sets = stored(sets_of(text, size), "sets").dropDuplicates(["id"])
     left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.join(sorted_side(left), "a").join(sorted_side(right), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return both.withColumn("common", common).filter(100 * F.col("common") >= threshold * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
 
@@ -218,12 +225,12 @@ def tries(hot: DataFrame, sig: DataFrame, threshold: int, slack: float | None) -
     """
     longs = FIELDS * BITS // 64
     parts = [F.expr(f"struct({d} AS depth, " + (f"shiftrightunsigned(sig[pmod(band * 5 + {d}, {longs})], {64 - BITS * d})" if d else "0L") + " AS part)") for d in DEPTHS]
-    dealt = hot.join(sig.select("id", "sig"), "id").select("band", "bucket", "id", F.explode(F.array(*parts)).alias("d")).select("band", "bucket", "id", "d.depth", "d.part")
+    dealt = hot.join(sorted_side(sig.select("id", "sig")), "id").select("band", "bucket", "id", F.explode(F.array(*parts)).alias("d")).select("band", "bucket", "id", "d.depth", "d.part")
     key = ["band", "bucket", "depth", "part"]
     ends = dealt.groupBy(*key).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
     near = F.explode(F.expr("filter(array(lo, hi), x -> x <> id)")).alias("near")
-    pairs = dealt.join(ends, key).select("id", "depth", near).distinct()
-    close = pairs.join(sig, "id").join(sig.toDF("near", "near_n", "near_sig"), "near").filter(closeness("", "near_", threshold, slack))
+    pairs = dealt.join(sorted_side(ends), key).select("id", "depth", near).distinct()
+    close = pairs.join(sorted_side(sig), "id").join(sorted_side(sig.toDF("near", "near_n", "near_sig")), "near").filter(closeness("", "near_", threshold, slack))
     best = close.groupBy("id", "depth").agg(F.max_by("near", F.struct(estimate("sig", "near_sig", longs), -F.col("near"))).alias("near"))
     return best.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
 
@@ -244,11 +251,11 @@ def apart(members: DataFrame, sig: DataFrame, bands: DataFrame, threshold: int,
     components have grown; a pair belongs to the first of the bands that it shares.
     """
     sizes = members.groupBy("band", "bucket", "comp").agg(F.count("*").alias("m")).groupBy("band", "bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-    full = stored(members.join(sizes, ["band", "bucket"]).withColumn("main", F.expr("comp = main")).join(sig, "id").join(bands, "id"), "members")
+    full = stored(members.join(sorted_side(sizes), ["band", "bucket"]).withColumn("main", F.expr("comp = main")).join(sorted_side(sig), "id").join(sorted_side(bands), "id"), "members")
     theirs = full.select("band", "bucket", *(F.col(c).alias(f"near_{c}") for c in ("id", "comp", "main", "n", "sig", "bands")))
     once = F.expr("comp <> near_comp AND (near_main OR id < near_id)")
     first = F.expr("size(filter(sequence(0, band), k -> bands[k] = near_bands[k])) = 1")
-    pairs = full.filter("NOT main").join(theirs, ["band", "bucket"]).filter(once & closeness("", "near_", threshold, slack) & first)
+    pairs = full.filter("NOT main").join(sorted_side(theirs), ["band", "bucket"]).filter(once & closeness("", "near_", threshold, slack) & first)
     one, other = F.struct(F.col("id").alias("id"), "comp"), F.struct(F.col("near_id").alias("id"), F.col("near_comp").alias("comp"))
     both = pairs.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y"), estimate("sig", "near_sig", FIELDS * BITS // 64).alias("close"))
     return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.comp").alias("comp_a"), F.col("y.comp").alias("comp_b"), "close")
@@ -274,17 +281,17 @@ def grouped(
     holders = classes.select("id", "doc_id", "h")
     buckets = stored(classes.select("id", F.posexplode("bands").alias("band", "bucket")), "buckets")
     shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
-    hot = stored(buckets.join(shared, ["band", "bucket"]), "hot")
+    hot = stored(buckets.join(sorted_side(shared), ["band", "bucket"]), "hot")
     ids = hot.select("id").distinct()
-    sig = stored(classes.select("id", "n", "sig").join(ids, "id"), "sigs")
+    sig = stored(classes.select("id", "n", "sig").join(sorted_side(ids), "id"), "sigs")
     done = stored(tries(hot, sig, threshold, slack), "tries")
     links = stored(confirmed(done, docs, holders, size, threshold), "confirmed")
     label = components(links)
     # what may still join two components: only buckets of several components matter
-    members = hot.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    members = hot.join(sorted_side(label), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     several = members.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "bucket")
-    members = stored(members.join(several, ["band", "bucket"]), "several")
-    rest = stored(apart(members, sig, classes.select("id", "bands"), threshold, slack).join(done, ["a", "b"], "left_anti"), "apart")
+    members = stored(members.join(sorted_side(several), ["band", "bucket"]), "several")
+    rest = stored(apart(members, sig, classes.select("id", "bands"), threshold, slack).join(sorted_side(done), ["a", "b"], "left_anti"), "apart")
     # first the closest pair of each two components; then what still lies in different ones
     ends = [F.least("comp_a", "comp_b").alias("p"), F.greatest("comp_a", "comp_b").alias("q")]
     best = rest.groupBy(*ends).agg(F.max_by(F.struct("a", "b", "comp_a", "comp_b"), F.struct("close", "a", "b")).alias("x")).select("x.*")
@@ -293,24 +300,24 @@ def grouped(
     for turn in range(2):
         wanted = best
         if turn:
-            wanted = rest.join(best.select("a", "b"), ["a", "b"], "left_anti")
+            wanted = rest.join(sorted_side(best.select("a", "b")), ["a", "b"], "left_anti")
             if joined is not None:
                 for side in ("comp_a", "comp_b"):
-                    wanted = wanted.join(joined.toDF(side, f"{side}_top"), side, "left").withColumn(f"{side}_top", F.coalesce(f"{side}_top", side))
+                    wanted = wanted.join(sorted_side(joined.toDF(side, f"{side}_top")), side, "left").withColumn(f"{side}_top", F.coalesce(f"{side}_top", side))
                 wanted = wanted.filter("comp_a_top <> comp_b_top")
             wanted = stored(wanted.select("a", "b", "comp_a", "comp_b"), "rest")
         if wanted.limit(1).count():
-            found = stored(confirmed(wanted, docs, holders, size, threshold).join(wanted, ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), "confirmed")
+            found = stored(confirmed(wanted, docs, holders, size, threshold).join(sorted_side(wanted), ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), "confirmed")
             if found.limit(1).count():
                 ties = found if ties is None else ties.union(found)
                 joined = components(ties).toDF("comp", "whole")
     # the smallest doc_id names a component, and the first of its rows stands for it
-    by_class = classes.select("key", "id", "doc_id", "h").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    by_class = classes.select("key", "id", "doc_id", "h").join(sorted_side(label), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     if joined is not None:
-        by_class = by_class.join(joined, "comp", "left").withColumn("comp", F.coalesce("whole", "comp"))
+        by_class = by_class.join(sorted_side(joined), "comp", "left").withColumn("comp", F.coalesce("whole", "comp"))
     names = by_class.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("top"))
-    by_key = by_class.select("key", "comp").join(names, "comp").select("key", "top")
-    out = signed.select("doc_id", "h", "n_shingles", "key").join(by_key, "key", "left")
+    by_key = by_class.select("key", "comp").join(sorted_side(names), "comp").select("key", "top")
+    out = signed.select("doc_id", "h", "n_shingles", "key").join(sorted_side(by_key), "key", "left")
     component = F.expr("CASE WHEN key IS NULL THEN doc_id ELSE top.doc_id END")
     stays = F.expr("key IS NULL OR (doc_id <=> top.doc_id AND h = top.h)")
     return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), stays.alias("stays"))
