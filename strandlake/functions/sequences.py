@@ -39,22 +39,24 @@ def translate(dna: str, frame: int) -> Column:
     return F.expr(f"regexp_replace({marked}, '...,', 'X')")
 
 
-def six_frames(reads: DataFrame, dna: str = "dna") -> DataFrame:
+def six_frames(reads: DataFrame, dna: str = "dna", keep: bool = True) -> DataFrame:
     """Each read once per frame 1, 2, 3, -1, -2, -3, with its peptide ``aa``; a null read has null peptides.
 
-    An Arrow batch of reads at a time: codons are numbers there, looked up all at once.
+    An Arrow batch of reads at a time: codons are numbers there, looked up all at once.  Without ``keep`` the
+    bases, three times the letters of all six peptides, stay behind.
     """
     at = reads.columns.index(dna)
+    others = [k for k in range(len(reads.columns)) if keep or k != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             aa = [None if x is None else p for x in batch.column(at).to_pylist() for p in (peptides(x) if x is not None else [None] * 6)]
             rows = np.repeat(np.arange(batch.num_rows), 6)
             frames = pa.array(np.tile(np.array(FRAMES, np.int32), batch.num_rows))
-            columns = [c.take(pa.array(rows)) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays([*columns, frames, pa.array(aa, pa.string())], names=[*batch.schema.names, "frame", "aa"])
+            columns = [batch.column(k).take(pa.array(rows)) for k in others]
+            yield pa.RecordBatch.from_arrays([*columns, frames, pa.array(aa, pa.string())], names=[*(batch.schema.names[k] for k in others), "frame", "aa"])
 
-    schema = StructType([*reads.schema.fields, StructField("frame", IntegerType()), StructField("aa", StringType())])
+    schema = StructType([*(reads.schema.fields[k] for k in others), StructField("frame", IntegerType()), StructField("aa", StringType())])
     return reads.mapInArrow(run, schema)
 
 

@@ -25,7 +25,7 @@ from strandlake.functions import statistics
 from strandlake.operators import index, seeding
 from strandlake.tables import stored
 
-#: Letters of all proteins up to which their suffixes are sorted in each worker (100 bytes a letter).
+#: Letters of all proteins up to which their suffixes are sorted in each worker (200 bytes a letter).
 INDEX_LETTERS = 500_000
 SCHEMA = "doc_id long, frame int, prot_id long, q_pos int, r_pos int, length int, score long"
 #: With the position in the peptide and the letters of the match that a seed was extended from.
@@ -33,8 +33,13 @@ ORIGIN = SCHEMA + ", at int, match int"
 GAP = b"\0" * seeding.LONGEST
 #: Letters of the proteins of a block, and pairs of a group, where seeds come from joins.
 BLOCK_LETTERS, BLOCK_PAIRS = 2_000_000, 500_000
-#: Seeds that are extended at once.
-PIECE = 1 << 18
+#: Seeds that are extended at once, letter by letter, and by eight letters at once.
+PIECE, EIGHTS_PIECE = 1 << 18, 1 << 16
+#: Counts of (peptide, protein, length) that are kept as one array; beyond that, pairs are sorted.
+MOST_BINS = 1 << 23
+HIGH, LOW_BITS = np.uint64(0x8080808080808080), np.uint64(0x7F7F7F7F7F7F7F7F)
+#: Multipliers that gather a bit of each of eight bytes in the top byte: the first byte as the lowest bit, or the last.
+FORWARD, BACKWARD = np.uint64(0x0102040810204080), np.uint64(0x8040201008040201)
 
 
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +67,67 @@ def drop_off(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, step: i
     return best, length
 
 
-def extended(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, least: np.ndarray, x_drop: int, table: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(seed, i, j, length, score) of the seeds at ``i`` and ``j`` that score ``least`` at least."""
+class Eights:
+    """Extension by eight letters at once, for scores that are one number for equal letters and one for others.
+
+    ``after[d << 8 | m]``: what eight pairs of letters do to a run that lies ``d`` under its best, where the bits of
+    ``m`` mark the pairs that differ: the growth of its best times 1024, and how far it lies under it then, ``x_drop`` if
+    it has ended.
+    """
+
+    def __init__(self, match: int, mismatch: int, same: np.ndarray, x_drop: int) -> None:
+        self.same, self.x_drop = same, x_drop
+        under, mask = (x.ravel() for x in np.meshgrid(np.arange(x_drop), np.arange(256), indexing="ij"))
+        gain, live = np.zeros(len(under), np.int64), np.ones(len(under), bool)
+        under = under.copy()
+        for k in range(8):
+            now = under - np.where(mask >> k & 1, mismatch, match)
+            more = live & (now < 0)
+            gain[more] -= now[more]
+            under = np.where(live, np.maximum(now, 0), under)
+            live &= under < x_drop
+        self.after = (gain << 10 | np.where(live, under, x_drop)).astype(np.int32)
+
+    @classmethod
+    def of(cls, table: np.ndarray, x_drop: int) -> Eights | None:
+        """None for other scores, or if a run may go on beyond the gaps around texts."""
+        letters = np.arange(1, 128)
+        inner = table[1:128, 1:128]
+        diagonal = inner[letters - 1, letters - 1]
+        match, mismatch = int(diagonal.max()), int(inner.min())
+        other = inner[~np.eye(127, dtype=bool)]
+        if not (match > 0 > mismatch and (other == mismatch).all() and np.isin(diagonal, (match, mismatch)).all()):
+            return None
+        if not 0 < x_drop <= min(-mismatch * (len(GAP) - 16), 1000):
+            return None
+        same = np.zeros(256, bool)
+        same[letters] = diagonal == match
+        return cls(match, mismatch, same, x_drop)
+
+    def words(self, flat: np.ndarray, other: int) -> np.ndarray:
+        """The eight bytes from each place on as a number; what is equal to nothing is ``other``."""
+        plain = np.concatenate([np.where(self.same[flat], flat, np.uint8(other)), np.full(8, other, np.uint8)])
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(plain, 8)).view("<u8").ravel()
+
+    def best(self, q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, step: int) -> np.ndarray:
+        """The scores of :func:`drop_off`, from the :meth:`words` of both texts."""
+        best, live = np.zeros(len(i), np.int64), np.arange(len(i))
+        i, j = (i, j) if step > 0 else (i - 7, j - 7)
+        under = np.zeros(len(i), np.int64)
+        while len(live):
+            differ = (((q[i] ^ r[j]) + LOW_BITS) & HIGH) >> np.uint64(7)
+            mask = (differ * (FORWARD if step > 0 else BACKWARD)) >> np.uint64(56)
+            out = self.after[under << 8 | mask.view(np.int64)]
+            best[live] += out >> 10
+            under = out & 1023
+            on = np.flatnonzero(under < self.x_drop)
+            live, i, j, under = live[on], i[on] + 8 * step, j[on] + 8 * step, under[on].astype(np.int64)
+        return best
+
+
+def extended(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, least: np.ndarray, x_drop: int, table: np.ndarray, eights: tuple[Eights, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """(seed, i, j, length, score) of the seeds at ``i`` and ``j`` that score ``least`` at least; ``eights`` with the
+    words of ``r`` tell faster which these are."""
 
     def both(i: np.ndarray, j: np.ndarray, drop: np.ndarray) -> tuple[np.ndarray, ...]:
         left, n = drop_off(q, r, i, j, -1, drop, table)
@@ -72,9 +136,15 @@ def extended(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, least:
         return left + right, i - n + 1, j - n + 1, n + m
 
     good = []
-    for part in range(0, len(i), PIECE):
-        some = slice(part, part + PIECE)
-        score = both(i[some], j[some], np.full(len(i[some]), x_drop))[0]
+    by_eights, theirs = eights or (None, None)
+    mine = by_eights.words(q, 1) if eights else None
+    piece = EIGHTS_PIECE if eights else PIECE
+    for part in range(0, len(i), piece):
+        some = slice(part, part + piece)
+        if eights:
+            score = by_eights.best(mine, theirs, i[some], j[some], -1) + by_eights.best(mine, theirs, i[some] + 1, j[some] + 1, 1)
+        else:
+            score = both(i[some], j[some], np.full(len(i[some]), x_drop))[0]
         good.append(part + np.flatnonzero(score >= least[some]))
     seed = np.concatenate(good) if good else np.empty(0, np.int64)
     score, a, b, length = both(i[seed], j[seed], np.rint(least[seed] * 0.1).astype(np.int64))
@@ -94,20 +164,65 @@ class Index:
         # places go up with (prot_id, pos), so the first of equals is the smallest
         order = np.argsort(found, kind="stable")
         self.place, self.sorted = place[order], found[order]
-        self.code = prefix(self.flat, self.place, 3)
-        self.small = np.bincount(self.code, minlength=1 << 15)
-        self.four = np.zeros(1 << 20, bool)
-        self.four[prefix(self.flat, self.place, 4)] = True
+        # letters by their place among those of the base, 0 for all others; so codes go up with the sorted order
+        letters = np.flatnonzero(np.bincount(self.flat, minlength=256)[1:]) + 1
+        self.number, self.letters = np.zeros(256, np.int64), len(letters) + 1
+        self.number[letters] = np.arange(1, self.letters)
+        code = self.prefix(self.number[self.flat], self.place, 3)
+        self.small = np.bincount(code, minlength=self.letters**3)
+        self.low = np.cumsum(self.small) - self.small
+        more = self.number[self.flat[self.place + 3]] > 0
+        self.four = np.zeros(self.letters**4, bool)
+        self.four[self.prefix(self.number[self.flat], self.place[more], 4)] = True
+        # the suffixes that share the first 4 to 7 letters with each, and the smallest place of these
+        self.eight = eight(self.flat, self.place)
+        self.begin, self.end, self.first = (np.zeros((4, len(order)), np.int32) for _ in range(3))
+        for k in range(4 if len(order) else 0):
+            some = self.eight >> np.uint64(32 - 8 * k)
+            start = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
+            size = np.diff(np.append(start, len(some)))
+            self.begin[k], self.end[k], self.first[k] = (np.repeat(x, size) for x in (start, start + size, np.minimum.reduceat(self.place, start)))
+
+    def prefix(self, number: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """A number for the ``n`` letters from each place on; ``number`` holds the letters' own."""
+        code = number[at]
+        for k in range(1, n):
+            code = code * self.letters + number[at + k]
+        return code
 
     def matches(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in a joined text, of those in ``at``, the places in the proteins that they match, and on how many letters."""
-        n = self.small[prefix(flat, at, 3)]
-        rare, rest = at[(n > 0) & (n <= self.m)], at[(n > self.m) & self.four[prefix(flat, at, 4)]]
-        code = prefix(flat, rare, 3)
-        by = np.argsort(self.code, kind="stable")
-        low = np.searchsorted(self.code, code, sorter=by)
-        owner, spot = spread(low, self.small[code])
-        out = [(rare[owner], self.place[by[spot]], np.full(len(owner), 3))]
+        number = self.number[flat]
+        code = self.prefix(number, at, 3)
+        n = self.small[code]
+        few, many = (n > 0) & (n <= self.m), n > self.m
+        rare, rest, above = at[few], at[many], code[many]
+        owner, spot = spread(self.low[code[few]], n[few])
+        out = [(rare[owner], self.place[spot], np.full(len(owner), 3))]
+        last = number[rest + 3]
+        rest = rest[(last > 0) & self.four[above * self.letters + last]]
+        if len(rest):
+            # the neighbours in the sorted order by eight letters; matches on all of these are looked at once more
+            key = eight(flat, rest)
+            after = np.searchsorted(self.eight, key)
+            length, near = np.zeros(len(rest), np.int64), after
+            for side in (np.maximum(after - 1, 0), np.minimum(after, len(self.eight) - 1)):
+                same = key ^ self.eight[side]
+                here = sum(((same >> np.uint64(64 - 8 * k)) == 0).astype(np.int64) for k in range(1, 8)) + (same == 0)
+                near = np.where(here > length, side, near)
+                length = np.maximum(length, here)
+            own = sum(((key >> np.uint64(64 - 8 * k)) & np.uint64(255) != 0).astype(np.int64) for k in range(1, 9))
+            deep = (length == 8) & (own == 8)
+            # behind the end of its text a match has no letters
+            length = np.minimum(length, own)
+            plain = np.flatnonzero(~deep & (length > 3))
+            near, length, row = near[plain], length[plain], length[plain] - 4
+            low, size = self.begin[row, near].astype(np.int64), (self.end[row, near] - self.begin[row, near]).astype(np.int64)
+            few = size <= self.m
+            owner, spot = spread(low[few], size[few])
+            out.append((rest[plain][few][owner], self.place[spot], length[few][owner]))
+            out.append((rest[plain][~few], self.first[row[~few], near[~few]].astype(np.int64), length[~few]))
+            rest = rest[deep]
         if len(rest):
             key = windows(flat, rest)
             mine = key.view(np.uint8).reshape(len(rest), -1)
@@ -165,12 +280,11 @@ def windows(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, seeding.LONGEST)[at]).view(f"S{seeding.LONGEST}").ravel()
 
 
-def prefix(flat: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """A number for the ``n`` letters from each place on."""
-    code = np.zeros(len(at), np.int64)
-    for k in range(n):
-        code = code << 5 | flat[at + k] & 31
-    return code
+def eight(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight letters from each place on as a number, in the order of their letters."""
+    if not len(at):
+        return np.empty(0, np.uint64)
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, 8)[at]).view(">u8").ravel().astype(np.uint64)
 
 
 def spread(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,6 +320,8 @@ def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             base = held_index(sent, multiplicity, sampling)
+            by_eights = Eights.of(table, x_drop)
+            eights = (by_eights, by_eights.words(base.flat, 2)) if by_eights else None
             for frame in frames:
                 for part in range(0, len(frame), 32):
                     some = frame.iloc[part : part + 32]
@@ -214,7 +330,7 @@ def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np
                     at = np.concatenate([s + np.arange(n - 2) for s, n in zip(starts, size, strict=True)])
                     i, j, match = base.matches(flat, at)
                     owner = np.searchsorted(starts, i, side="right") - 1
-                    seed, a, b, length, score = extended(flat, base.flat, i, j, least_score(size, letters, lam, k)[owner], x_drop, table)
+                    seed, a, b, length, score = extended(flat, base.flat, i, j, least_score(size, letters, lam, k)[owner], x_drop, table, eights)
                     owner, prot = owner[seed], np.searchsorted(base.starts, j[seed], side="right") - 1
                     came = (i[seed] - starts[owner], match[seed]) if origin else ()
                     yield rows_of(some["doc_id"].to_numpy()[owner], some["frame"].to_numpy()[owner], base.ids[prot], a - starts[owner], b - base.starts[prot], length, score, *came)
@@ -230,6 +346,49 @@ def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np
     return extended_pairs(pairs if origin else pairs.drop("match"), peptides, proteins, letters, table, x_drop, lam, k).distinct()
 
 
+def seed_counts(peptides: DataFrame, proteins: DataFrame, multiplicity: int, index_letters: int = INDEX_LETTERS) -> DataFrame:
+    """(q_id, prot_id, len, n): how many adaptive seeds of ``len`` letters peptides (q_id, aa) and proteins share.
+
+    Proteins up to ``index_letters`` go to the workers, which count the seeds of each peptide where they find them;
+    only peptides of a q_id that stands on several rows are added up after that.
+    """
+    proteins = proteins.select("prot_id", "aa").filter("aa IS NOT NULL")
+    if int(proteins.agg(F.coalesce(F.sum(F.length("aa")), F.lit(0))).first()[0]) > index_letters:
+        query = index.suffixes(peptides.withColumnRenamed("q_id", "prot_id"), seeding.LONGEST).select(F.col("prot_id").alias("q_id"), F.col("pos").alias("q_pos"), "suffix")
+        out = seeding.adaptive_seed_join(query, index.suffixes(proteins, seeding.LONGEST), multiplicity, small_partitions=True)
+        return out.groupBy("q_id", "prot_id", "len").agg(F.count("*").alias("n"))
+    sent = peptides.sparkSession.sparkContext.broadcast([tuple(r) for r in proteins.collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = held_index(sent, multiplicity, None)
+        for some in (b.slice(k, 32) for b in batches for k in range(0, b.num_rows, 32)):
+            flat, starts = joined(some.column(1).to_pylist())
+            size = pc.binary_length(some.column(1)).to_numpy().astype(np.int64)
+            at = np.concatenate([s + np.arange(n - 2) for s, n in zip(starts, size, strict=True)])
+            i, j, match = base.matches(flat, at)
+            owner, prot = np.searchsorted(starts, i, side="right") - 1, np.searchsorted(base.starts, j, side="right") - 1
+            code = (owner * max(len(base.ids), 1) + prot) * (seeding.LONGEST + 1) + match
+            if len(starts) * len(base.ids) * (seeding.LONGEST + 1) <= MOST_BINS:
+                bins = np.bincount(code)
+                code = np.flatnonzero(bins)
+                n = bins[code]
+            else:
+                code, n = np.unique(code, return_counts=True)
+            owner, match = np.divmod(code, seeding.LONGEST + 1)
+            owner, prot = np.divmod(owner, max(len(base.ids), 1))
+            columns = [some.column(0).take(pa.array(owner)), pa.array(base.ids[prot]), pa.array(match), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["q_id", "prot_id", "len", "n"])
+
+    # of rows alike in q_id all go to one count
+    again = stored(peptides.groupBy("q_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("q_id").alias("_q")), "again")
+    out = peptides.filter("length(aa) >= 3").select("q_id", "aa").mapInArrow(run, "q_id long, prot_id long, len long, n long")
+    if not again.limit(1).count():
+        return out
+    same = F.col("q_id").eqNullSafe(F.col("_q"))
+    several = out.join(again, same, "left_semi").groupBy("q_id", "prot_id", "len").agg(F.sum("n").alias("n"))
+    return out.join(again, same, "left_anti").union(several)
+
+
 def extended_pairs(pairs: DataFrame, peptides: DataFrame, proteins: DataFrame, letters: int, table: np.ndarray, x_drop: int, lam: float, k: float, block_letters: int = BLOCK_LETTERS, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """SCHEMA rows of the pairs (doc_id, frame, q_pos, prot_id, r_pos) that reach the least score; ORIGIN rows of
     pairs with the letters of their ``match``.
@@ -256,7 +415,9 @@ def extended_pairs(pairs: DataFrame, peptides: DataFrame, proteins: DataFrame, l
         q, q_at, q_len = placed_texts(texts.filter(pc.is_valid(texts.column("doc_id"))), ["doc_id", "frame"], pair)
         r, r_at, _ = placed_texts(texts.filter(pc.is_valid(texts.column("prot_id"))), ["prot_id"], pair)
         doc, frame, prot, q_pos, r_pos = (pair.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "frame", "prot_id", "q_pos", "r_pos"))
-        seed, a, b, length, score = extended(q, r, q_at + q_pos, r_at + r_pos, least_score(q_len, letters, lam, k), x_drop, table)
+        by_eights = Eights.of(table, x_drop)
+        eights = (by_eights, by_eights.words(r, 2)) if by_eights else None
+        seed, a, b, length, score = extended(q, r, q_at + q_pos, r_at + r_pos, least_score(q_len, letters, lam, k), x_drop, table, eights)
         came = (q_pos[seed], pair.column("match").to_numpy()[seed]) if origin else ()
         out = rows_of(doc[seed], frame[seed], prot[seed], a - q_at[seed], b - r_at[seed], length, score, *came)
         kinds = {"long": pa.int64(), "int": pa.int32()}

@@ -80,7 +80,8 @@ def adaptive_seed_join(queries: DataFrame, found: DataFrame, multiplicity: int,
     first = stored(neighbours.matches(queries, found, multiplicity, SHORT).select(columns), "seeds")
     deep = first.filter(F.col("len") == SHORT).select("q_id", "q_pos").distinct()
     again = neighbours.matches(queries.join(deep, ["q_id", "q_pos"], "left_semi"), found, multiplicity, longest).select(columns)
-    return first.filter(F.col("len") < SHORT).union(again)
+    # of two suffixes alike in (q_id, q_pos) only one may be deep; the other is in ``first``
+    return first.filter(F.col("len") < SHORT).union(again.filter(F.col("len") >= SHORT))
 
 
 def suppress_covered(seeds: DataFrame, k: int) -> DataFrame:

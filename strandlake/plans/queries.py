@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strandlake.config import long_reads, short_reads
 from strandlake.functions import sequences, statistics
 from strandlake.functions.sequences import CODONS
-from strandlake.operators import alignment, chaining, index, optimality, postfilter, replay, seeding
+from strandlake.operators import alignment, chaining, extension, index, optimality, postfilter, replay, seeding
 from strandlake.plans import search
 from strandlake.sources import daa, results
 from strandlake.sources.fasta import first_of_names
@@ -43,7 +43,7 @@ def proteins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _peptides(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.six_frames(reads(spark, d)).drop("dna")
+    return sequences.six_frames(reads(spark, d), keep=False)
 
 
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
@@ -116,10 +116,8 @@ def seed_join_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def adaptive_seed_join(spark: SparkSession, d: str) -> DataFrame:
-    peptides = _peptides(spark, d).select((F.col("doc_id") * 8 + F.col("frame") + 3).alias("prot_id"), "aa")
-    query = index.suffixes(peptides, seeding.LONGEST).select(F.col("prot_id").alias("q_id"), F.col("pos").alias("q_pos"), "suffix")
-    out = seeding.adaptive_seed_join(query, index.suffixes(proteins(spark, d), seeding.LONGEST), M, small_partitions=True)
-    return out.groupBy("q_id", "prot_id", "len").agg(F.count("*").alias("n"))
+    peptides = _peptides(spark, d).select((F.col("doc_id") * 8 + F.col("frame") + 3).alias("q_id"), "aa")
+    return extension.seed_counts(peptides, proteins(spark, d), M)
 
 
 def ungapped_xdrop(spark: SparkSession, d: str) -> DataFrame:
