@@ -13,21 +13,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import CODONS
 
 FAR = -(1 << 28)
+#: The same in 16 bits, and the largest sum of drop, penalties and scores that leaves them room.
+FAR_SHORT, MOST_SHORT = -8_000, 6_000
 #: Cells on each side of the diagonal, in bases (gaps and shifts of that many bases in sum).
 BAND = 96
-#: Bytes of moves that a task holds, and chains aligned at once.
+#: Bytes of moves that a task holds, and chains aligned at once; chains, and letters of their reads, that are prepared together.
 MOVES, CHAINS = 32 << 20, 256
+PREPARED, PREPARED_LETTERS = 4096, 4 << 20
 #: How a cell was reached: codon with amino acid, with a base read twice, with a base skipped, amino acid alone.
 PAIR, TWICE, SKIP, DOWN, DOWN_ON, RIGHT, RIGHT_ON = 1, 2, 3, 4, 8, 16, 32
 CODON_TABLE = np.zeros(64, np.uint8)
 for _codon, _aa in CODONS.items():
     CODON_TABLE["TCAG".index(_codon[0]) * 16 + "TCAG".index(_codon[1]) * 4 + "TCAG".index(_codon[2])] = ord(_aa)
+#: Bases of the other strand, as sequences.reverse_complement has them.
+COMPLEMENT = str.maketrans("ACGT", "TGCA")
 BASE_CODE = np.full(256, 64, np.uint8)
 BASE_CODE[[ord(c) for c in "TCAG"]] = np.arange(4)
 
@@ -69,14 +76,143 @@ def padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class Batch:
-    """Reads' strands and proteins of some chains, and how they are aligned."""
+    """Reads' strands and proteins of some chains, and how they are aligned.  ``of``: the strand and the protein of
+    each chain; without it, chain by chain its own."""
 
-    def __init__(self, dna: list[str], proteins: list[str], table: np.ndarray, gap_open: int, gap_extend: int, shift: int | None, x_drop: int, band: int = BAND) -> None:
+    def __init__(self, dna: list[str], proteins: list[str], table: np.ndarray, gap_open: int, gap_extend: int, shift: int | None, x_drop: int, band: int = BAND, of: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.aa, self.a_lo, self.a_hi = padded([codons(x) for x in dna])
         self.prot, self.p_lo, self.p_hi = padded([np.frombuffer(p.upper().encode(), np.uint8) for p in proteins])
         self.table, self.open, self.extend, self.shift, self.x_drop = table, gap_open, gap_extend, shift, x_drop
         self.side = -(-band // 3) * 3
         self.width = 2 * self.side + 3
+        scores = table[1:128, 1:128]
+        most = x_drop + gap_open + gap_extend * self.width + (shift or 0) + int(np.abs(scores).max())
+        self.short = most <= MOST_SHORT
+        if self.short:
+            self.prepared()
+        if of:
+            self.a_lo, self.a_hi, self.p_lo, self.p_hi = self.a_lo[of[0]], self.a_hi[of[0]], self.p_lo[of[1]], self.p_hi[of[1]]
+            if self.short:
+                self.s_lo, self.s_hi = self.s_lo[of[0]], self.s_hi[of[0]]
+
+    def prepared(self) -> None:
+        """What :meth:`best` reads: codons with zeros around each strand, in both directions, and scores of 16 bits."""
+        room = np.zeros(self.width + 3, np.uint8)
+        size = self.a_hi - self.a_lo
+        self.s_lo = np.cumsum(size + len(room)) - size
+        parts = [x for lo, hi in zip(self.a_lo.tolist(), self.a_hi.tolist(), strict=True) for x in (room, self.aa[lo:hi])]
+        self.ahead = np.concatenate([*parts, room])
+        self.back = self.ahead[::-1].copy()
+        self.s_hi = self.s_lo + size
+        self.scores = self.table.astype(np.int32).clip(FAR_SHORT).astype(np.int16)
+        # scores of one number for equal letters and one for others are compared, not looked up
+        letters = np.arange(1, 128)
+        inner, diagonal = self.table[1:128, 1:128], self.table[letters, letters]
+        high, low = int(diagonal.max()), int(inner.min())
+        self.two = (high, low) if (inner[~np.eye(127, dtype=bool)] == low).all() and np.isin(diagonal, (high, low)).all() and max(self.aa.max(), self.prot.max(initial=0)) < 128 else None
+        if self.two:
+            alone = np.flatnonzero(diagonal == low) + 1
+            self.prot_codes, other = self.prot.copy(), self.ahead.copy()
+            self.prot_codes[np.isin(self.prot, alone)] = 128
+            other[np.isin(other, alone)] = 129
+            self.ahead, self.back = other, other[::-1].copy()
+
+    def best(self, who: np.ndarray, q: np.ndarray, r: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score, amino acids, bases) as :meth:`reach` has them.
+
+        Rows are held in 16 bits, as distances from each chain's best score, one behind the other with FAR_SHORT
+        between them, so that a step to other cells is one step for all chains.
+        """
+        if not self.short:
+            return self.reach(who, q, r, sign)
+        n, w, c, e = len(who), self.width, self.side, np.int16(self.extend)
+        wide, drop, opening = w + 3, np.int16(-self.x_drop), np.int16(self.open)
+        best, best_i, best_o = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, c)
+        row = np.full((n, wide), FAR_SHORT, np.int16)
+        row[:, c] = 0
+        first = np.arange(1, (w - c - 1) // 3 + 1)
+        row[:, c + 3 * first] = -self.open - first * self.extend
+        down = np.full((n, wide), FAR_SHORT, np.int16)
+        climb = np.zeros(wide, np.int16)
+        climb[:w] = np.arange(w) // 3 * self.extend
+        rise = climb[None, :]
+        fall = (climb + opening + e)[None, :]
+        # a run that costs more than the drop ends under it
+        reach = min(w, 3 * (max(self.x_drop - self.open, 0) // max(self.extend, 1) + 2))
+        views = np.lib.stride_tricks.sliding_window_view(self.ahead if sign > 0 else self.back, w)
+        total = len(self.ahead)
+        live, i = np.arange(n), 0
+        while len(live):
+            i += 1
+            chain = who[live]
+            at = self.p_lo[chain] + (r[live] + i - 1 if sign > 0 else r[live] - i)
+            inside = (at >= self.p_lo[chain]) & (at < self.p_hi[chain])
+            if not inside.all():
+                live, chain, at, row, down = live[inside], chain[inside], at[inside], row[inside], down[inside]
+                if not len(live):
+                    break
+            m = len(live)
+            lo, hi = self.s_lo[chain], self.s_hi[chain]
+            if sign > 0:
+                start = np.clip(lo + q[live] + 3 * i - c - 3, lo - w, hi)
+            else:
+                start = np.clip(total - 1 - (lo + q[live] - 3 * i + c), total - hi - w, total - lo)
+            codes = views[start]
+            pair = np.full((m, wide), FAR_SHORT, np.int16)
+            if self.two:
+                high, low = self.two
+                pair[:, :w] = codes == self.prot_codes[at][:, None]
+                pair[:, :w] *= np.int16(high - low)
+                pair[:, :w] += np.int16(low)
+                if not codes.all():
+                    pair[:, :w][codes == 0] = FAR_SHORT
+            else:
+                pair[:, :w] = self.scores[self.prot[at][:, None], codes]
+            if 3 * i - c < 3:
+                pair[:, : 3 - 3 * i + c] = FAR_SHORT
+            flat, deep = row.ravel(), down.ravel()
+            here = flat
+            if self.shift:
+                # the cells on both sides, past the ends of rows FAR_SHORT
+                beside = np.empty_like(flat)
+                beside[0], beside[-1] = flat[1], flat[-2]
+                np.maximum(flat[2:], flat[:-2], out=beside[1:-1])
+                beside -= np.int16(self.shift)
+                here = np.maximum(flat, beside, out=beside)
+            here = np.add(here, pair.ravel(), out=pair.ravel())
+            under = np.full_like(flat, FAR_SHORT)
+            np.maximum(flat[3:] - opening, deep[3:], out=under[:-3])
+            under[:-3] -= e
+            np.maximum(here, under, out=here)
+            here, under = here.reshape(m, wide), under.reshape(m, wide)
+            here[:, w:] = under[:, w:] = FAR_SHORT
+            # runs of codons without amino acids: a running maximum by doubled steps, in each of the three frames
+            top, spare, step = here + rise, np.empty_like(here), 3
+            while step < reach:
+                spare[:, :step] = top[:, :step]
+                np.maximum(top[:, step:], top[:, :-step], out=spare[:, step:])
+                top, spare, step = spare, top, 2 * step
+            top -= fall
+            np.maximum(here[:, 3:], top[:, :-3], out=here[:, 3:])
+            here[:, w:] = FAR_SHORT
+            row, down = here, under
+            value = row.max(axis=1)
+            more = np.flatnonzero(value > 0)
+            if len(more):
+                best[live[more]] += value[more]
+                best_i[live[more]], best_o[live[more]] = i, row[more].argmax(axis=1)
+                row[more] -= value[more, None]
+                down[more] -= value[more, None]
+            # FAR_SHORT where a cell lies under the drop: its sign, as a mask
+            below = np.subtract(row, drop, out=spare)
+            below >>= 15
+            below &= np.int16(FAR_SHORT)
+            row += below
+            np.maximum(row, np.int16(FAR_SHORT), out=row)
+            stay = value >= drop
+            if not stay.all():
+                live, row, down = live[stay], row[stay], down[stay]
+        return best, best_i, 3 * best_i + best_o - c
 
     def reach(self, who: np.ndarray, q: np.ndarray, r: np.ndarray, sign: int, until: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """(score, amino acids, bases[, ops]) of the best extension of chains ``who`` from base ``q`` and
@@ -192,7 +328,8 @@ def aligned(batch: Batch, seeds: list[list[tuple[int, int]]], least: np.ndarray)
     while left:
         who = np.array(sorted(left))
         q, r = (np.array([left[k][0][x] for k in who.tolist()], np.int64) for x in (0, 1))
-        found = [batch.reach(who, q, r, sign) for sign in (-1, 1)]
+        parts = range(0, len(who), CHAINS)
+        found = [tuple(np.concatenate(x) for x in zip(*(batch.best(who[p : p + CHAINS], q[p : p + CHAINS], r[p : p + CHAINS], sign) for p in parts), strict=True)) for sign in (-1, 1)]
         score = found[0][0] + found[1][0]
         box = np.stack([q - found[0][2], q + found[1][2], r - found[0][1], r + found[1][1]], axis=1)
         good = np.flatnonzero(score >= least[who])
@@ -231,15 +368,61 @@ def lines(dna: str, protein: str, q_start: int, r_start: int, ops: str, table: n
     return "".join(q), "".join(mid), "".join(r)
 
 
+SCHEMA = (
+    "doc_id long, prot_id long, strand string, score long, q_start long, q_stop long, r_start long, r_stop long, "
+    "read_len long, ref_len long, ops string, query_line string, middle_line string, subject_line string"
+)
+
+
+def gapped_by_read(reads: DataFrame, table: np.ndarray, gap_open: int, gap_extend: int, shift: int | None, x_drop: int, band: int = BAND) -> DataFrame:
+    """Alignments of reads (doc_id, dna, least, chains: array of (prot_id, strand, protein, seeds: array of (q, r))).
+
+    As :func:`gapped`, but a read is sent and translated once for all of its chains in a row.
+    """
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chains, letters = pc.list_value_length(batch.column(3)).to_numpy(), pc.binary_length(batch.column(1)).to_numpy()
+            begin = n = size = 0
+            for k, (c, x) in enumerate(zip(chains.tolist(), letters.tolist(), strict=True)):
+                if k > begin and (n + c > PREPARED or size + x > PREPARED_LETTERS):
+                    yield batch.slice(begin, k - begin)
+                    begin, n, size = k, 0, 0
+                n, size = n + c, size + x
+            if batch.num_rows > begin:
+                yield batch.slice(begin)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        kinds = pa.schema([(c, {"long": pa.int64(), "string": pa.string()}[t]) for c, t in (f.split() for f in SCHEMA.split(", "))])
+        for some in pieces(batches):
+            doc, dna, least = some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_numpy()
+            lists = some.column(3)
+            read = pc.list_parent_indices(lists).to_numpy()
+            prot, strand, protein, seeds = lists.flatten().flatten()
+            minus = pc.equal(strand, "-").to_numpy(zero_copy_only=False)
+            strands, own = np.unique(read * 2 + minus, return_inverse=True)
+            texts = [dna[k >> 1] if not k & 1 else dna[k >> 1][::-1].translate(COMPLEMENT) for k in strands.tolist()]
+            coded = protein.dictionary_encode()
+            subjects, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            places = list(zip(*(x.to_pylist() for x in seeds.flatten().flatten()), strict=True))
+            ends = np.cumsum(pc.list_value_length(seeds).to_numpy()).tolist()
+            batch = Batch(texts, subjects, table, gap_open, gap_extend, shift, x_drop, band, (own, which))
+            rows = []
+            prots = prot.to_pylist()
+            for k, score, q0, q1, r0, r1, ops in aligned(batch, [places[a:b] for a, b in zip([0, *ends], ends, strict=False)], least[read]):
+                text, subject = texts[own[k]], subjects[which[k]]
+                rows.append((doc[read[k]], prots[k], "-" if minus[k] else "+", score, q0, q1, r0, r1, len(text), len(subject), ops, *lines(text, subject, q0, r0, ops, table)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.field(c).type) for c in range(len(names))], schema=kinds)
+
+    return reads.select("doc_id", "dna", "least", "chains").mapInArrow(run, SCHEMA)
+
+
 def gapped(chains: DataFrame, table: np.ndarray, gap_open: int, gap_extend: int, shift: int | None, x_drop: int, band: int = BAND) -> DataFrame:
     """Alignments of chains (doc_id, prot_id, strand, dna, protein, seeds: array of (q, r), least).
 
     ``dna`` is the read's strand, ``least`` the raw score from which an alignment counts.
     """
-    schema = (
-        "doc_id long, prot_id long, strand string, score long, q_start long, q_stop long, r_start long, r_stop long, "
-        "read_len long, ref_len long, ops string, query_line string, middle_line string, subject_line string"
-    )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -252,9 +435,9 @@ def gapped(chains: DataFrame, table: np.ndarray, gap_open: int, gap_extend: int,
                 keys = some[["doc_id", "prot_id", "strand"]].values.tolist()
                 for k, score, q0, q1, r0, r1, ops in aligned(batch, seeds, some["least"].to_numpy()):
                     rows.append((*keys[k], score, q0, q1, r0, r1, len(dna[k]), len(proteins[k]), ops, *lines(dna[k], proteins[k], q0, r0, ops, table)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return chains.select("doc_id", "prot_id", "strand", "dna", "protein", "seeds", "least").mapInPandas(run, schema)
+    return chains.select("doc_id", "prot_id", "strand", "dna", "protein", "seeds", "least").mapInPandas(run, SCHEMA)
 
 
 def encoded(ops: str = "ops") -> str:

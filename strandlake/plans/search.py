@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.config import SearchConfig
-from strandlake.functions.sequences import normal_dna, reverse_complement, six_frames
+from strandlake.functions.sequences import normal_dna, six_frames
 from strandlake.functions.statistics import ka, known_rows, read_matrix, ungapped
 from strandlake.operators.seeding import spread
 from strandlake.operators import alignment, chaining, extension, index, postfilter, replay, seeding
@@ -19,8 +19,8 @@ from strandlake.sources.fasta import first_of_names, read_fasta
 from strandlake.tables import stored
 
 
-#: Chains that a task aligns, and the most tasks that chains are dealt to at once.
-CHAINS_A_TASK, MOST_TASKS = 5_000, 50_000
+#: Chains that a task aligns, the most tasks that chains are dealt to at once, and about the chains that go with a read.
+CHAINS_A_TASK, MOST_TASKS, CHAINS_A_ROW = 5_000, 50_000, 100
 
 
 def make_db(spark, fasta: str, path: str, sampling: tuple[int, int] | None = None) -> None:
@@ -69,14 +69,18 @@ def blastx(reads: DataFrame, proteins: DataFrame, config: SearchConfig = SearchC
     x_drop = gapped_x_drop(letters, lam, k)
     band = config.band or 3 * max((x_drop - config.gap_open) // max(config.gap_extend, 1), 10)
     found = stored(chains(reads, proteins, config, suffixes).select("doc_id", "prot_id", "strand", "seeds"), "chains")
-    both = found.join(reads.select("doc_id", "dna"), "doc_id").join(seeding.small(proteins.select("prot_id", F.col("aa").alias("protein"))), "prot_id")
-    strand = F.when(F.col("strand") == "+", F.col("dna")).otherwise(reverse_complement(F.col("dna")))
+    # a read goes once with up to CHAINS_A_ROW of its chains, not once with each
+    rows = found.groupBy("doc_id").agg(F.ceil(F.count("*") / CHAINS_A_ROW).alias("rows"))
+    named = found.join(seeding.small(proteins.select("prot_id", F.col("aa").alias("protein"))), "prot_id").join(rows, "doc_id")
+    row = F.pmod(F.xxhash64("prot_id", "strand"), F.col("rows")).alias("row")
+    of_read = named.groupBy("doc_id", row).agg(F.collect_list(F.struct("prot_id", "strand", "protein", "seeds")).alias("chains"))
+    both = of_read.join(reads.select("doc_id", "dna"), "doc_id")
     # the least raw score under which no alignment passes the filters
     least = F.greatest(F.ceil((F.log(F.lit(k) * letters * F.length("dna")) - math.log(config.max_evalue)) / lam - 1e-9), F.lit(x_drop), F.lit(1))
-    # a chain is a short row, but not its alignment: tasks by their number, which Spark does not make less
+    # chains are short rows, but not their alignment: tasks by their number, which Spark does not make less
     tasks = min(max(reads.sparkSession.sparkContext.defaultParallelism, -(-found.count() // CHAINS_A_TASK)), MOST_TASKS)
-    dealt = both.withColumns({"dna": strand, "least": least.cast("long")}).repartition(tasks)
-    rows = alignment.gapped(dealt, table, config.gap_open, config.gap_extend, config.frameshift, x_drop, band)
+    dealt = both.withColumn("least", least.cast("long")).repartition(tasks)
+    rows = alignment.gapped_by_read(dealt, table, config.gap_open, config.gap_extend, config.frameshift, x_drop, band)
     out = postfilter.significant(postfilter.scored(rows, letters, lam, k), config.max_evalue, config.min_coverage)
     return postfilter.not_dominated(out, config.dominance_overlap, config.dominance_score) if config.dominance else out
 

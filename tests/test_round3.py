@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from strandlake.functions.sequences import peptides, reverse_complement
 from strandlake.operators import alignment, extension, index, seeding
 
 
@@ -60,3 +61,54 @@ def test_seed_counts_equal_the_join(spark, monkeypatch):
         monkeypatch.undo()
     none = proteins.filter("prot_id < 0")
     assert not rows(extension.seed_counts(peptides, none, 10)) and not rows(extension.seed_counts(peptides.filter("q_id < 0"), proteins, 10))
+
+
+def homologies(rng, count):
+    """Reads and proteins, most alike but for letters, gaps and shifts; seeds on and off the diagonal."""
+    out = []
+    for _ in range(count):
+        dna = "".join(rng.choice("ACGT") for _ in range(rng.choice([1, 2, 5, 60, 300])))
+        aa = peptides(dna + "ACG")[0]
+        if rng.random() < 0.6 and len(aa) > 15:
+            aa = "".join(rng.choice("ARNDX") if rng.random() < 0.1 else x for x in aa[: len(aa) // 2] + aa[len(aa) // 2 + rng.randrange(6) :])
+            dna = dna[: len(dna) // 3] + "A" * rng.randrange(3) + dna[len(dna) // 3 :]
+        else:
+            aa = "".join(rng.choice("ARNDCQEGHILKX*") for _ in range(rng.choice([1, 3, 60])))
+        r = rng.randrange(len(aa))
+        out.append((dna, aa, [(min(3 * r, len(dna) - 1), r), (rng.randrange(len(dna)), rng.randrange(len(aa)))]))
+    return out
+
+
+def test_scores_in_16_bits_equal_the_traced_kernel():
+    rng = random.Random(7)
+    plain = alignment.score_table(None, 6, -2)
+    other = plain.copy()
+    other[ord("L"), ord("I")] = other[ord("I"), ord("L")] = 2
+    rows = homologies(rng, 80)
+    who = np.repeat(np.arange(len(rows)), 2)
+    q, r = (np.array([s[k] for _, _, seeds in rows for s in seeds]) for k in (0, 1))
+    for table in (plain, other):
+        for shift, band, drop in ((15, 75, 61), (None, 30, 27), (15, 99, 200), (None, 99, 200)):
+            batch = alignment.Batch([x[0] for x in rows], [x[1] for x in rows], table, 11, 2, shift, drop, band)
+            assert batch.short
+            for sign in (1, -1):
+                want, got = batch.reach(who, q, r, sign), batch.best(who, q, r, sign)
+                assert all((a == b).all() for a, b in zip(want, got, strict=True)) and want[0].max() > 200
+    assert not alignment.Batch(["ACG"], ["T"], plain, 11, 2, 15, 10**6).short
+
+
+def test_a_read_goes_once_with_all_its_chains(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k // 3, k, "+-"[k % 2], aa, seeds) for k, (_, aa, seeds) in enumerate(homologies(rng, 60))]
+    reads = {d: x for d, (x, _, _) in enumerate(homologies(random.Random(8), 20))}
+    rows = [(d, p, s, aa, [(min(a, len(reads[d]) - 1), b) for a, b in seeds]) for d, p, s, aa, seeds in rows]
+    rows += [(d, 100 + d, "-" if d % 2 else "+", peptides(x)[3 if d % 2 else 0], [(0, 0)]) for d, x in reads.items() if len(x) > 30]
+    chains = spark.createDataFrame(rows, "doc_id long, prot_id long, strand string, protein string, seeds array<struct<q: long, r: long>>")
+    texts = spark.createDataFrame([(d, x, 20) for d, x in reads.items()], "doc_id long, dna string, least long")
+    how = (alignment.score_table(None, 6, -2), 11, 2, 15, 61, 75)
+    dna = F.when(F.col("strand") == "+", F.col("dna")).otherwise(reverse_complement(F.col("dna")))
+    want = sorted(map(tuple, alignment.gapped(chains.join(texts, "doc_id").withColumn("dna", dna), *how).collect()))
+    by_read = chains.groupBy("doc_id").agg(F.collect_list(F.struct("prot_id", "strand", "protein", "seeds")).alias("chains")).join(texts, "doc_id")
+    for most in (4096, 3):
+        monkeypatch.setattr(alignment, "PREPARED", most)
+        assert sorted(map(tuple, alignment.gapped_by_read(by_read, *how).collect())) == want and len(want) > 5
