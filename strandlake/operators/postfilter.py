@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.statistics import bit_score, coverage, evalue
+from strandlake.tables import stored
 
 
 def scored(found: DataFrame, letters: int, lam: float, k: float) -> DataFrame:
@@ -57,7 +58,8 @@ def subject_ids(found: DataFrame, parts: int = 200) -> DataFrame:
     earlier ranges plus the place in the own one, so no task sees all names, and a range holds the
     same names however often it is computed.
     """
-    names = found.select("prot_id").distinct().withColumn("name", F.concat(F.lit("prot"), F.lpad(F.col("prot_id").cast("string"), 9, "0")))
+    # used four times below, while ``found`` may be a whole search
+    names = stored(found.select("prot_id").distinct().withColumn("name", F.concat(F.lit("prot"), F.lpad(F.col("prot_id").cast("string"), 9, "0"))), "names")
     every = max(1, names.count() // parts)
     bounds = sorted(r["name"] for r in names.filter(F.pmod(F.xxhash64("name"), F.lit(every)) == 0).select("name").collect())
     held = F.array(*map(F.lit, bounds)).cast("array<string>")
