@@ -108,8 +108,29 @@ LETTER_BITS = np.full(256, 28, np.int64)
 LETTER_BITS[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ*"]] = np.arange(1, 28)
 
 
+def text_pieces(batch: pa.RecordBatch, at: int, k: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, bytes]]]]:
+    """``batch`` with (row, begin, letters) of some of its texts, about KMER_LETTERS at a time: all ``k``-mers lie in one of them."""
+    some, letters = [], 0
+    for row, x in enumerate(batch.column(at)):
+        text = b"" if x.as_py() is None else x.as_buffer().to_pybytes()
+        for begin in range(0, len(text) - k + 1, KMER_LETTERS):
+            part = text[begin : begin + KMER_LETTERS + k - 1]
+            some.append((row, begin, part))
+            letters += len(part)
+            if letters >= KMER_LETTERS:
+                yield batch, some
+                some, letters = [], 0
+    if some:
+        yield batch, some
+
+
+#: Letters whose k-mers are made at once.
+KMER_LETTERS = 1 << 18
+
+
 def kmers(rows: DataFrame, seq: str, k: int, keep: list[str], wanted: Broadcast | None = None) -> DataFrame:
-    """(keep, pos, kmer) of every position; a k-mer of up to 12 letters is a long, five bits a letter.
+    """(keep, pos, kmer) of every position; a k-mer of up to 12 letters is a long, five bits a letter.  Texts are taken
+    up to KMER_LETTERS at once, and longer ones in pieces of as many, so a task's arrays stay the same on any input.
 
     ``wanted``, a broadcast sorted array of k-mers, leaves only these: of many peptides against few
     proteins, hardly any leave the task.
@@ -117,20 +138,19 @@ def kmers(rows: DataFrame, seq: str, k: int, keep: list[str], wanted: Broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = wanted.value if wanted is not None else None
-        for batch in (b.slice(n, 64) for b in batches for n in range(0, b.num_rows, 64)):
+        for batch, some in (x for b in batches for x in text_pieces(b, len(keep), k)):
             codes, places, owners = [], [], []
-            for n, text in enumerate(batch.column(len(keep)).to_pylist()):
-                bits = LETTER_BITS[np.frombuffer((text or "").encode(), np.uint8)]
-                if len(bits) < k:
-                    continue
+            for n, begin, text in some:
+                bits = LETTER_BITS[np.frombuffer(text, np.uint8)]
                 code = np.zeros(len(bits) - k + 1, np.int64)
                 for j in range(k):
-                    code = code << 5 | bits[j : j + len(code)]
+                    code <<= 5
+                    code |= bits[j : j + len(code)]
                 place = np.arange(len(code))
                 if known is not None:
                     near = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
                     place = place[known[near] == code] if len(known) else place[:0]
-                codes.append(code[place]), places.append(place), owners.append(np.full(len(place), n))
+                codes.append(code[place]), places.append(begin + place), owners.append(np.full(len(place), n))
             owner = pa.array(np.concatenate([*owners, np.empty(0, np.int64)]).astype(np.int64))
             columns = [batch.column(c).take(owner) for c in range(len(keep))]
             place = np.concatenate([*places, np.empty(0, np.int64)]).astype(np.int32)

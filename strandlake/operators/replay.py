@@ -15,6 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+#: Hits that are Python objects at once.
+PIECE = 1 << 12
+
+
 def query_skip(hits: DataFrame) -> DataFrame:
     """The ``hits`` (doc_id, frame, prot_id, q_pos, r_pos, length, at, match, ...) that a walk takes.
 
@@ -28,7 +32,7 @@ def query_skip(hits: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         peptide, go_on, here, longest = None, 0, -1, 0
         covered: dict[tuple[int, int], int] = {}
-        for batch in batches:
+        for batch in (b.slice(k, PIECE) for b in batches for k in range(0, b.num_rows, PIECE)):
             taken = np.zeros(batch.num_rows, bool)
             for k, (doc, frame, prot, q, r, length, at, match) in enumerate(zip(*(batch.column(w).to_pylist() for w in where), strict=True)):
                 if (doc, frame) != peptide:

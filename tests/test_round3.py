@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from strandlake.functions import sequences
 from strandlake.functions.sequences import peptides, reverse_complement
-from strandlake.operators import alignment, extension, index, seeding
+from strandlake.operators import alignment, extension, index, postfilter, seeding
 
 
 def texts(rng, count, letters="AAACDEFGJX*", longest=60):
@@ -112,3 +114,30 @@ def test_a_read_goes_once_with_all_its_chains(spark, monkeypatch):
     for most in (4096, 3):
         monkeypatch.setattr(alignment, "PREPARED", most)
         assert sorted(map(tuple, alignment.gapped_by_read(by_read, *how).collect())) == want and len(want) > 5
+
+
+def test_subjects_are_numbered_from_one_pass_over_the_seeds(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = spark.range(0, 1000, 1, 4).select(F.expr("id % 50 * 3").alias("prot_id")).mapInArrow(counted, "prot_id long")
+    out = sorted((r["prot_id"], r["subject"]) for r in postfilter.subject_ids(found, parts=7).collect())
+    assert out == [(3 * k, k) for k in range(50)]
+    assert seen.value == 1000
+
+
+def test_kmers_of_long_texts_are_made_in_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(k, "".join(rng.choice("ACDEFG") for _ in range(n))) for k, n in enumerate([0, 3, 4, 5, 9, 10, 11, 40, 200, 7])] + [(20, None)]
+    df = spark.createDataFrame(rows, "id long, aa string").coalesce(1)
+    want = sorted((i, p) for i, t in rows for p in range(len(t or "") - 4))
+    whole = sorted(map(tuple, sequences.kmers(df, "aa", 5, ["id"]).collect()))
+    assert [x[:2] for x in whole] == want
+    monkeypatch.setattr(sequences, "KMER_LETTERS", 10)
+    pieces = list(sequences.text_pieces(pa.RecordBatch.from_pydict({"t": [t for _, t in rows]}), 0, 5))
+    assert max(sum(len(x) for _, _, x in some) for _, some in pieces) <= 10 + 4 + 10 + 4
+    assert sorted((rows[n][0], b + p) for _, some in pieces for n, b, x in some for p in range(len(x) - 4)) == want
