@@ -82,7 +82,8 @@ def blastx(reads: DataFrame, proteins: DataFrame, config: SearchConfig = SearchC
     dealt = both.withColumn("least", least.cast("long")).repartition(tasks)
     rows = alignment.gapped_by_read(dealt, table, config.gap_open, config.gap_extend, config.frameshift, x_drop, band)
     out = postfilter.significant(postfilter.scored(rows, letters, lam, k), config.max_evalue, config.min_coverage)
-    return postfilter.not_dominated(out, config.dominance_overlap, config.dominance_score) if config.dominance else out
+    # read three times by the filter: aligned once
+    return postfilter.not_dominated(stored(out, "alignments"), config.dominance_overlap, config.dominance_score) if config.dominance else out
 
 
 def gapped_x_drop(letters: int, lam: float, k: float) -> int:
