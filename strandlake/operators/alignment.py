@@ -4,7 +4,8 @@ The only kernel that is no DataFrame expression.  Many chains are aligned at onc
 the dynamic program goes to both sides an amino acid at a time, and a row of it holds the cells
 around the seed's diagonal for all chains of a batch.  A chain leaves the batch when its row
 falls ``x_drop`` under its best score.  Scores come first; only alignments that pass the raw
-score wanted are traced, by one byte of moves per cell.
+score wanted are traced, by one byte of moves per cell.  Chains that cannot reach that score from any
+of their seeds, by an upper bound that is far cheaper than the score (:meth:`Batch.most`), are not aligned.
 """
 
 from __future__ import annotations
@@ -27,7 +28,11 @@ FAR_SHORT, MOST_SHORT = -8_000, 6_000
 BAND = 96
 #: Bytes of moves that a task holds, and chains aligned at once; chains, and letters of their reads, that are prepared together.
 MOVES, CHAINS = 32 << 20, 256
-PREPARED, PREPARED_LETTERS = 4096, 4 << 20
+PREPARED, PREPARED_LETTERS = 16384, 4 << 20
+#: Seeds that are bounded at once, amino acids whose codons are gathered for them, and those after which values start from 0 again.
+BOUNDED, ROWS, RESTART = 1024, 32, 8
+#: A protein's letter behind its ends.
+NONE = 130
 #: How a cell was reached: codon with amino acid, with a base read twice, with a base skipped, amino acid alone.
 PAIR, TWICE, SKIP, DOWN, DOWN_ON, RIGHT, RIGHT_ON = 1, 2, 3, 4, 8, 16, 32
 CODON_TABLE = np.zeros(64, np.uint8)
@@ -97,7 +102,7 @@ class Batch:
 
     def prepared(self) -> None:
         """What :meth:`best` reads: codons with zeros around each strand, in both directions, and scores of 16 bits."""
-        room = np.zeros(self.width + 3, np.uint8)
+        room = np.zeros(self.width + 3 * ROWS, np.uint8)
         size = self.a_hi - self.a_lo
         self.s_lo = np.cumsum(size + len(room)) - size
         parts = [x for lo, hi in zip(self.a_lo.tolist(), self.a_hi.tolist(), strict=True) for x in (room, self.aa[lo:hi])]
@@ -214,6 +219,92 @@ class Batch:
                 live, row, down = live[stay], row[stay], down[stay]
         return best, best_i, 3 * best_i + best_o - c
 
+    def bounded(self) -> bool:
+        """Whether :meth:`most` can tell: scores of one number for equal letters and one for others, in small values."""
+        if not (self.short and self.two):
+            return False
+        high, low = self.two
+        gain, costs = high - max(low, -self.extend), self.open + self.extend + 2 * (self.shift or 0)
+        return high > 0 > low and min(self.open, self.extend, self.shift or 0) >= 0 and costs + (RESTART + 2) * gain < 128
+
+    def most(self, who: np.ndarray, q: np.ndarray, r: np.ndarray, sign: int, enough: np.ndarray) -> np.ndarray:
+        """No less than the scores of :meth:`best`, or than ``enough`` of each.
+
+        An easier program: a gap costs its least, however long it is, and so does what leads to another frame but
+        the step to the next base.  So a row only needs the largest value of each frame.  Values count from the score
+        of a row of other letters; by frame, codon and chain, a step to other cells is one of the same bytes.
+        """
+        high, low = self.two
+        low = max(low, -self.extend)
+        gap, down, gain, frames = self.open + self.extend, self.open, np.int8(high - low), 3 if self.shift else 1
+        turn = gap + self.shift if self.shift else 0
+        k, c = self.width // 3, self.side // 3
+        views = np.lib.stride_tricks.sliding_window_view(self.ahead if sign > 0 else self.back, 3 * (ROWS + k - 1))
+        out = np.zeros(len(who), np.int64)
+        rows = self.p_hi[who] - self.p_lo[who] - r if sign > 0 else r
+        # of much alike numbers of rows together
+        order = np.argsort(rows, kind="stable")
+        for part in range(0, len(order), BOUNDED):
+            live = order[part : part + BOUNDED]
+            best, base = np.zeros(len(live), np.int32), np.zeros(len(live), np.int32)
+            value = np.full((frames, k, len(live)), -(turn or gap), np.int8)
+            value[0, c] = 0
+            before = None
+            for begin in range(0, int(rows[live].max(initial=0)), ROWS):
+                chain = who[live]
+                lo, hi = self.s_lo[chain], self.s_hi[chain]
+                if sign > 0:
+                    start = np.clip(lo + q[live] - self.side + 3 * begin, lo - self.width, hi)
+                else:
+                    start = np.clip(len(self.ahead) + 2 - lo - q[live] - self.side + 3 * begin, len(self.ahead) - hi - self.width, len(self.ahead) - lo)
+                codes = np.ascontiguousarray(views[start].reshape(len(live), ROWS + k - 1, 3)[:, :, :frames].transpose(2, 1, 0))
+                step = np.arange(begin, begin + ROWS)[:, None]
+                at = self.p_lo[chain] + (r[live] + step if sign > 0 else r[live] - 1 - step)
+                letters = np.where(step < rows[live], self.prot_codes[np.clip(at, 0, len(self.prot_codes) - 1)], np.uint8(NONE))
+                for i in range(min(ROWS, int(rows[live].max()) - begin)):
+                    top = value.max(axis=1)
+                    if self.shift:
+                        all_top = top.max(axis=0)
+                        floor = np.maximum(top - np.int8(gap), (all_top - np.int8(turn))[None])
+                        if before is not None:
+                            np.maximum(floor, before - np.int8(down), out=floor)
+                            np.maximum(floor, before.max(axis=0) - np.int8(down + self.shift), out=floor)
+                    else:
+                        all_top = top[0]
+                        floor = top - np.int8(gap)
+                        if before is not None:
+                            np.maximum(floor, before - np.int8(down), out=floor)
+                    before = top
+                    # no codon lies before the seed
+                    first = max(c - begin - i, 0)
+                    if self.shift:
+                        beside = np.empty_like(value)
+                        np.maximum(value[0], value[2], out=beside[1])
+                        beside[0, 0] = value[1, 0]
+                        np.maximum(value[1, 1:], value[2, :-1], out=beside[0, 1:])
+                        beside[2, -1] = value[1, -1]
+                        np.maximum(value[1, :-1], value[0, 1:], out=beside[2, :-1])
+                        beside -= np.int8(self.shift)
+                        np.maximum(value, beside, out=value)
+                    np.maximum(value, floor[:, None], out=value)
+                    same = codes[:, i + first : i + k] == letters[i]
+                    inc = same.view(np.int8)
+                    inc *= gain
+                    value[:, first:] += inc
+                    now = value.max(axis=(0, 1))
+                    np.maximum(best, base + now + low * (begin + i + 1), out=best)
+                    if (i + 1) % RESTART == 0:
+                        value -= now
+                        before = before - now
+                        base += now
+                on = (best < enough[live]) & (rows[live] > begin + ROWS)
+                out[live] = best
+                if not on.all():
+                    live, best, base, value, before = live[on], best[on], base[on], np.ascontiguousarray(value[:, :, on]), before[:, on]
+                if not len(live):
+                    break
+        return out
+
     def reach(self, who: np.ndarray, q: np.ndarray, r: np.ndarray, sign: int, until: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """(score, amino acids, bases[, ops]) of the best extension of chains ``who`` from base ``q`` and
         amino acid ``r``, to the right (``sign`` 1) or to the left (-1); with ops if ``until``, the amino
@@ -324,7 +415,8 @@ def aligned(batch: Batch, seeds: list[list[tuple[int, int]]], least: np.ndarray)
     """(chain, score, q_start, q_stop, r_start, r_stop, ops): from each chain's first seed (base, amino
     acid), and from its next one that lies in no alignment yet, as long as there is one."""
     out = []
-    left = {k: list(s) for k, s in enumerate(seeds) if s}
+    hopeful = promising(batch, seeds, least) if batch.bounded() else np.ones(len(seeds), bool)
+    left = {k: list(s) for k, s in enumerate(seeds) if s and hopeful[k]}
     while left:
         who = np.array(sorted(left))
         q, r = (np.array([left[k][0][x] for k in who.tolist()], np.int64) for x in (0, 1))
@@ -346,6 +438,19 @@ def aligned(batch: Batch, seeds: list[list[tuple[int, int]]], least: np.ndarray)
     return out
 
 
+def promising(batch: Batch, seeds: list[list[tuple[int, int]]], least: np.ndarray) -> np.ndarray:
+    """Whether any seed of a chain may lead to an alignment of its ``least`` score.  A chain of which none does is
+    left out as a whole: what its alignments hold matters to its own seeds only."""
+    who = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
+    q, r = np.array([x for s in seeds for x in s], np.int64).reshape(-1, 2).T
+    enough = np.maximum(least[who], 1)
+    ahead = batch.most(who, q, r, 1, enough)
+    both = ahead + batch.most(who, q, r, -1, enough - ahead)
+    out = np.zeros(len(seeds), bool)
+    out[who[both >= least[who]]] = True
+    return out
+
+
 def lines(dna: str, protein: str, q_start: int, r_start: int, ops: str, table: np.ndarray | None = None) -> tuple[str, str, str]:
     """Query, middle and subject line of an alignment; shifts stand in the query line.  The middle
     line holds equal letters, and + for others that score above 0 in ``table``."""

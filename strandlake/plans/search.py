@@ -20,7 +20,7 @@ from strandlake.tables import stored
 
 
 #: Chains that a task aligns, the most tasks that chains are dealt to at once, and about the chains that go with a read.
-CHAINS_A_TASK, MOST_TASKS, CHAINS_A_ROW = 5_000, 50_000, 100
+CHAINS_A_TASK, MOST_TASKS, CHAINS_A_ROW = 20_000, 50_000, 100
 
 
 def make_db(spark, fasta: str, path: str, sampling: tuple[int, int] | None = None) -> None:
