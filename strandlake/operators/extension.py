@@ -14,14 +14,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions import statistics
+from strandlake.functions import sequences, statistics
 from strandlake.operators import index, seeding
 from strandlake.tables import stored
 
@@ -72,7 +71,7 @@ class Eights:
 
     ``after[d << 8 | m]``: what eight pairs of letters do to a run that lies ``d`` under its best, where the bits of
     ``m`` mark the pairs that differ: the growth of its best times 1024, and how far it lies under it then, ``x_drop`` if
-    it has ended.
+    it has ended.  ``first[m]``: the same for the first sixteen pairs, of a run that lies at its best.
     """
 
     def __init__(self, match: int, mismatch: int, same: np.ndarray, x_drop: int) -> None:
@@ -87,6 +86,10 @@ class Eights:
             under = np.where(live, np.maximum(now, 0), under)
             live &= under < x_drop
         self.after = (gain << 10 | np.where(live, under, x_drop)).astype(np.int32)
+        one, two = self.after[np.arange(1 << 16) & 255], np.arange(1 << 16) >> 8
+        on = one & 1023 < x_drop
+        then = self.after[np.where(on, one & 1023, 0) << 8 | two]
+        self.first = np.where(on, (one & ~1023) + then, one)
 
     @classmethod
     def of(cls, table: np.ndarray, x_drop: int) -> Eights | None:
@@ -111,19 +114,33 @@ class Eights:
 
     def best(self, q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, step: int) -> np.ndarray:
         """The scores of :func:`drop_off`, from the :meth:`words` of both texts."""
-        best, live = np.zeros(len(i), np.int64), np.arange(len(i))
         i, j = (i, j) if step > 0 else (i - 7, j - 7)
-        under = np.zeros(len(i), np.int64)
+        out = self.first[self.masks(q, r, i, j, step) | self.masks(q, r, i + 8 * step, j + 8 * step, step) << 8]
+        best, under = (out >> 10).astype(np.int64), out & 1023
+        live = np.flatnonzero(under < self.x_drop)
+        i, j, under = i[live] + 16 * step, j[live] + 16 * step, under[live].astype(np.int64)
         while len(live):
-            differ = (((q[i] ^ r[j]) + LOW_BITS) & HIGH) >> np.uint64(7)
-            mask = (differ * (FORWARD if step > 0 else BACKWARD)) >> np.uint64(56)
-            out = self.after[under << 8 | mask.view(np.int64)]
+            under <<= 8
+            under |= self.masks(q, r, i, j, step)
+            out = self.after[under]
             best[live] += out >> 10
             under = out & 1023
             on = np.flatnonzero(under < self.x_drop)
             live, i, j, under = live[on], i[on] + 8 * step, j[on] + 8 * step, under[on].astype(np.int64)
         return best
 
+    @staticmethod
+    def masks(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, step: int) -> np.ndarray:
+        """Which of eight pairs of letters differ, as bits."""
+        differ = q[i]
+        differ ^= r[j]
+        differ += LOW_BITS
+        differ &= HIGH
+        differ >>= np.uint64(7)
+        differ *= FORWARD if step > 0 else BACKWARD
+        differ >>= np.uint64(56)
+        return differ.view(np.int64)
+
 
 def extended(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, least: np.ndarray, x_drop: int, table: np.ndarray, eights: tuple[Eights, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
     """(seed, i, j, length, score) of the seeds at ``i`` and ``j`` that score ``least`` at least; ``eights`` with the
@@ -299,44 +316,74 @@ def least_score(length: np.ndarray, letters: int, lam: float, k: float) -> np.nd
     return np.floor(expected + 0.5).astype(np.int64)
 
 
-def rows_of(doc: np.ndarray, frame: np.ndarray, prot: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, score: np.ndarray, *origin: np.ndarray) -> pd.DataFrame:
-    """SCHEMA rows, equal ones once; with an ``origin`` (at, match), ORIGIN rows."""
-    names = [c.split()[0] for c in ORIGIN.split(", ")]
-    return pd.DataFrame(dict(zip(names, (doc, frame, prot, a, b, length, score, *origin), strict=False))).drop_duplicates()
+def once(*columns: np.ndarray) -> list[np.ndarray]:
+    """Rows of the columns, equal ones once."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    return [c[order[new]] for c in columns]
+
+
+def rows_of(doc: np.ndarray, frame: np.ndarray, prot: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, score: np.ndarray, *origin: np.ndarray, docs: pa.Array | None = None) -> pa.RecordBatch:
+    """SCHEMA rows, equal ones once; with an ``origin`` (at, match), ORIGIN rows.  ``doc`` are places in ``docs``, if given."""
+    fields = [f.split() for f in ORIGIN.split(", ")][: 7 + len(origin)]
+    kinds = {"long": np.int64, "int": np.int32}
+    columns = once(doc, frame, prot, a, b, length, score, *origin)
+    arrays = [pa.array(c.astype(kinds[t])) for c, (_, t) in zip(columns, fields, strict=True)]
+    return pa.RecordBatch.from_arrays([docs.take(arrays[0]) if docs is not None else arrays[0], *arrays[1:]], names=[n for n, _ in fields])
+
+
+def texts_of(batches: Iterator[pa.RecordBatch], of_reads: bool) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[str]]]:
+    """(different doc_ids, each peptide's place in them, frame, peptides) of some rows (doc_id, frame, aa), or ``of_reads``
+    (doc_id, dna); of peptides of three letters at least."""
+    for batch in batches:
+        for some in (batch.slice(k, 6 if of_reads else 32) for k in range(0, batch.num_rows, 6 if of_reads else 32)):
+            coded = some.column(0).dictionary_encode(null_encoding="encode")
+            docs, doc = coded.dictionary, coded.indices.to_numpy()
+            if of_reads:
+                aa = [a for x in some.column(1).to_pylist() for a in (sequences.peptides(x) if x is not None else [""] * 6)]
+                doc, frame = np.repeat(doc, 6), np.tile(np.array(sequences.FRAMES), len(doc))
+            else:
+                frame, aa = some.column(1).to_numpy(), some.column(2).to_pylist()
+            long = np.flatnonzero([len(a or "") >= 3 for a in aa])
+            if len(long):
+                yield docs, doc[long], frame[long], [aa[x] for x in long.tolist()]
 
 
-def seeds(peptides: DataFrame, proteins: DataFrame, multiplicity: int, table: np.ndarray, lam: float, k: float, index_letters: int = INDEX_LETTERS, suffixes: DataFrame | None = None, origin: bool = False, sampling: tuple[int, int] | None = None) -> DataFrame:
-    """(doc_id, frame, prot_id, q_pos, r_pos, length, score) from peptides (doc_id, frame, aa) and
-    proteins (prot_id, aa); ``table`` holds the scores by two letters' codes (alignment.score_table).
+def seeds(reads: DataFrame, proteins: DataFrame, multiplicity: int, table: np.ndarray, lam: float, k: float, index_letters: int = INDEX_LETTERS, suffixes: DataFrame | None = None, origin: bool = False, sampling: tuple[int, int] | None = None) -> DataFrame:
+    """(doc_id, frame, prot_id, q_pos, r_pos, length, score) from reads (doc_id, dna), or their peptides (doc_id, frame,
+    aa), and proteins (prot_id, aa); ``table`` holds the scores by two letters' codes (alignment.score_table).
     ``sampling``: (p, q) of the minimizers at which matches start, None for all places.
     With their ``origin``, rows alike in all of these stay apart if they come from different matches."""
     proteins = proteins.select("prot_id", "aa").filter("aa IS NOT NULL")
-    peptides = peptides.select("doc_id", "frame", "aa").filter("length(aa) >= 3")
     letters = int(proteins.agg(F.coalesce(F.sum(F.length("aa")), F.lit(0))).first()[0])
     x_drop = round(10 / lam)
+    of_reads = "dna" in reads.columns
 
     if letters <= index_letters:
-        sent = peptides.sparkSession.sparkContext.broadcast([tuple(r) for r in proteins.collect()])
+        sent = reads.sparkSession.sparkContext.broadcast([tuple(r) for r in proteins.collect()])
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = held_index(sent, multiplicity, sampling)
             by_eights = Eights.of(table, x_drop)
             eights = (by_eights, by_eights.words(base.flat, 2)) if by_eights else None
-            for frame in frames:
-                for part in range(0, len(frame), 32):
-                    some = frame.iloc[part : part + 32]
-                    flat, starts = joined(some["aa"].tolist())
-                    size = some["aa"].str.len().to_numpy(np.int64)
-                    at = np.concatenate([s + np.arange(n - 2) for s, n in zip(starts, size, strict=True)])
-                    i, j, match = base.matches(flat, at)
-                    owner = np.searchsorted(starts, i, side="right") - 1
-                    seed, a, b, length, score = extended(flat, base.flat, i, j, least_score(size, letters, lam, k)[owner], x_drop, table, eights)
-                    owner, prot = owner[seed], np.searchsorted(base.starts, j[seed], side="right") - 1
-                    came = (i[seed] - starts[owner], match[seed]) if origin else ()
-                    yield rows_of(some["doc_id"].to_numpy()[owner], some["frame"].to_numpy()[owner], base.ids[prot], a - starts[owner], b - base.starts[prot], length, score, *came)
-
-        return peptides.mapInPandas(run, ORIGIN if origin else SCHEMA)
-
+            for docs, doc, frame, aa in texts_of(batches, of_reads):
+                flat, starts = joined(aa)
+                size = np.array([len(a) for a in aa], np.int64)
+                at = np.concatenate([s + np.arange(n - 2) for s, n in zip(starts.tolist(), size.tolist(), strict=True)])
+                i, j, match = base.matches(flat, at)
+                least = np.repeat(least_score(size, letters, lam, k), size + len(GAP))
+                seed, a, b, length, score = extended(flat, base.flat, i, j, least[i - len(GAP)], x_drop, table, eights)
+                owner, prot = np.searchsorted(starts, i[seed], side="right") - 1, np.searchsorted(base.starts, j[seed], side="right") - 1
+                came = (i[seed] - starts[owner], match[seed]) if origin else ()
+                yield rows_of(doc[owner], frame[owner], base.ids[prot], a - starts[owner], b - base.starts[prot], length, score, *came, docs=docs)
+
+        return reads.select("doc_id", *(["dna"] if of_reads else ["frame", "aa"])).mapInArrow(run, ORIGIN if origin else SCHEMA)
+
+    peptides = sequences.six_frames(reads.select("doc_id", "dna"), keep=False) if of_reads else reads
+    peptides = peptides.select("doc_id", "frame", "aa").filter("length(aa) >= 3")
     query = index.suffixes(peptides.select(F.struct("doc_id", "frame").alias("prot_id"), "aa"), seeding.LONGEST).select(F.col("prot_id").alias("q_id"), F.col("pos").alias("q_pos"), "suffix")
     if suffixes is None:
         suffixes = index.suffixes(proteins, seeding.LONGEST)
@@ -419,10 +466,7 @@ def extended_pairs(pairs: DataFrame, peptides: DataFrame, proteins: DataFrame, l
         eights = (by_eights, by_eights.words(r, 2)) if by_eights else None
         seed, a, b, length, score = extended(q, r, q_at + q_pos, r_at + r_pos, least_score(q_len, letters, lam, k), x_drop, table, eights)
         came = (q_pos[seed], pair.column("match").to_numpy()[seed]) if origin else ()
-        out = rows_of(doc[seed], frame[seed], prot[seed], a - q_at[seed], b - r_at[seed], length, score, *came)
-        kinds = {"long": pa.int64(), "int": pa.int32()}
-        schema = pa.schema([(c, kinds[t]) for c, t in (f.split() for f in (ORIGIN if origin else SCHEMA).split(", "))])
-        return pa.Table.from_pandas(out, schema=schema, preserve_index=False)
+        return pa.Table.from_batches([rows_of(doc[seed], frame[seed], prot[seed], a - q_at[seed], b - r_at[seed], length, score, *came)])
 
     return all_rows.groupBy("block", "chunk").applyInArrow(run, ORIGIN if origin else SCHEMA)
 

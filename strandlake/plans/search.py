@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.config import SearchConfig
-from strandlake.functions.sequences import normal_dna, six_frames
+from strandlake.functions.sequences import normal_dna
 from strandlake.functions.statistics import ka, known_rows, read_matrix, ungapped
 from strandlake.operators.seeding import spread
 from strandlake.operators import alignment, chaining, extension, index, postfilter, replay, seeding
@@ -51,7 +51,7 @@ def seeds(reads: DataFrame, proteins: DataFrame, config: SearchConfig, suffixes:
     """The adaptive seeds of all six frames, extended both ways, that reach the least seed score;
     ``suffixes`` of an index spare a large base their making."""
     table, lam, k = scoring(reads.sparkSession, config)
-    found = extension.seeds(six_frames(spread(reads.select("doc_id", "dna")), keep=False), proteins, config.multiplicity, table, lam, k, suffixes=suffixes, origin=config.query_skip, sampling=config.sampling)
+    found = extension.seeds(spread(reads.select("doc_id", "dna")), proteins, config.multiplicity, table, lam, k, suffixes=suffixes, origin=config.query_skip, sampling=config.sampling)
     return replay.query_skip(found).drop("at", "match").distinct() if config.query_skip else found
 
 

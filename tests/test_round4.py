@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 
 from strandlake.config import long_reads
+from strandlake.functions import sequences
 from strandlake.functions.sequences import peptides
-from strandlake.operators import alignment
+from strandlake.operators import alignment, extension
 from strandlake.plans import search
 
 from .test_round3 import homologies
@@ -76,3 +77,16 @@ def test_only_hopeful_chains_are_aligned(monkeypatch):
     table[ord("L"), ord("I")] = table[ord("I"), ord("L")] = 2
     assert not alignment.Batch(["ACG"], ["T"], table, 11, 2, 15, 60).bounded()
     assert not alignment.aligned(alignment.Batch(["ACG"], ["T"], alignment.score_table(None, 6, -2), 11, 2, 15, 60), [[]], np.ones(1, np.int64))
+
+
+def test_seeds_come_from_reads_without_peptides_between(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k // 2, "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 2, 8, 9, 90, 700])))) for k in range(40)] + [(50, None), (None, "ACGT" * 30), (None, "ACGT" * 30), (1 << 60, "ACGTT" * 30)]
+    reads = spark.createDataFrame(rows, "doc_id long, dna string").coalesce(1)
+    proteins = spark.createDataFrame([*((k, peptides(x)[k % 6]) for k, (_, x) in enumerate(rows[:40])), (90, peptides("ACGTT" * 30)[1]), (91, peptides("ACGT" * 30)[4])], "prot_id long, aa string")
+    how = (10, alignment.score_table(None, 6, -2), 0.365, 0.168)
+    of_peptides = {tuple(r) for r in extension.seeds(sequences.six_frames(reads, keep=False), proteins, *how, origin=True).collect()}
+    monkeypatch.setattr(sequences, "six_frames", None)
+    got = [tuple(r) for r in extension.seeds(reads, proteins, *how, origin=True).collect()]
+    assert set(got) == of_peptides and {r[0] for r in got} >= {None, 1 << 60}
+    assert len(search.seeds(reads, proteins, long_reads()).collect()) > 20
