@@ -117,10 +117,10 @@ class Batch:
         self.two = (high, low) if (inner[~np.eye(127, dtype=bool)] == low).all() and np.isin(diagonal, (high, low)).all() and max(self.aa.max(), self.prot.max(initial=0)) < 128 else None
         if self.two:
             alone = np.flatnonzero(diagonal == low) + 1
-            self.prot_codes, other = self.prot.copy(), self.ahead.copy()
-            self.prot_codes[np.isin(self.prot, alone)] = 128
-            other[np.isin(other, alone)] = 129
-            self.ahead, self.back = other, other[::-1].copy()
+            mine, theirs = np.arange(256, dtype=np.uint8), np.arange(256, dtype=np.uint8)
+            mine[alone], theirs[alone] = 129, 128
+            self.prot_codes, self.ahead = theirs[self.prot], mine[self.ahead]
+            self.back = self.ahead[::-1].copy()
 
     def best(self, who: np.ndarray, q: np.ndarray, r: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score, amino acids, bases) as :meth:`reach` has them.
