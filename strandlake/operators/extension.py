@@ -115,14 +115,21 @@ class Eights:
     def best(self, q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, step: int) -> np.ndarray:
         """The scores of :func:`drop_off`, from the :meth:`words` of both texts."""
         i, j = (i, j) if step > 0 else (i - 7, j - 7)
-        out = self.first[self.masks(q, r, i, j, step) | self.masks(q, r, i + 8 * step, j + 8 * step, step) << 8]
+        mine, theirs = np.empty((2, 2, len(i)), np.uint64)
+        near, far = (0, 8) if step > 0 else (8, 0)
+        at, place = (i, j) if step > 0 else (i - 8, j - 8)
+        mask = self.masks(q[near:], r[near:], at, place, step, mine)
+        more = self.masks(q[far:], r[far:], at, place, step, theirs)
+        more <<= 8
+        mask |= more
+        out = self.first.take(mask, mode="clip")
         best, under = (out >> 10).astype(np.int64), out & 1023
         live = np.flatnonzero(under < self.x_drop)
         i, j, under = i[live] + 16 * step, j[live] + 16 * step, under[live].astype(np.int64)
         while len(live):
             under <<= 8
-            under |= self.masks(q, r, i, j, step)
-            out = self.after[under]
+            under |= self.masks(q, r, i, j, step, mine[:, : len(live)])
+            out = self.after.take(under, mode="clip")
             best[live] += out >> 10
             under = out & 1023
             on = np.flatnonzero(under < self.x_drop)
@@ -130,10 +137,13 @@ class Eights:
         return best
 
     @staticmethod
-    def masks(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, step: int) -> np.ndarray:
-        """Which of eight pairs of letters differ, as bits."""
-        differ = q[i]
-        differ ^= r[j]
+    def masks(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, step: int, room: np.ndarray) -> np.ndarray:
+        """Which of eight pairs of letters differ, as bits; ``room`` for two rows of words, of which the first holds the result."""
+        differ, other = room
+        # all places lie in the texts; clip spares a copy
+        np.take(q, i, out=differ, mode="clip")
+        np.take(r, j, out=other, mode="clip")
+        differ ^= other
         differ += LOW_BITS
         differ &= HIGH
         differ >>= np.uint64(7)
